@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import profile_queries  # noqa: F401
+from tessera.plans import association_queries, profile_queries  # noqa: F401
 from tessera.plans.registry import REGISTRY
 
 
