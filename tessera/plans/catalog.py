@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import association_queries, profile_queries  # noqa: F401
+from tessera.plans import association_queries, prep_queries, profile_queries  # noqa: F401
 from tessera.plans.registry import REGISTRY
 
 
@@ -11,4 +11,5 @@ def all_queries():
 
 
 def flagship(spark, sf_dir):
-    return profile_queries.q_moments(spark, sf_dir)
+    """prepare_task on orders: stratified split, recipe fitted on train only, applied to all."""
+    return prep_queries.q_prepare(spark, sf_dir)
