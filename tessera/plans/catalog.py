@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import association_queries, prep_queries, profile_queries  # noqa: F401
+from tessera.plans import (association_queries, distribution_queries, prep_queries,  # noqa: F401
+                           profile_queries)
 from tessera.plans.registry import REGISTRY
 
 
