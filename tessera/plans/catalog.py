@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import (association_queries, distribution_queries, prep_queries,  # noqa: F401
-                           profile_queries)
+from tessera.plans import (association_queries, distribution_queries, model_queries,  # noqa: F401
+                           prep_queries, profile_queries)
 from tessera.plans.registry import REGISTRY
 
 
