@@ -62,11 +62,11 @@ def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]], max_categories: i
     k = F.least("ka", "kb")
     chi2 = F.col("n") * (F.col("s") - 1)
     ok = (k >= 2) & (F.greatest("ka", "kb") <= max_categories)
-    v = F.when(ok, F.sqrt(F.greatest(F.lit(0.0), chi2) / (F.col("n") * (k - 1))))
+    v = F.when(ok, F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), chi2) / (F.col("n") * (k - 1)))))
     names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, x string, y string")
     status = F.when(F.greatest("ka", "kb") > max_categories, "skipped").when(k < 2, "undefined").otherwise("ok")
     return F.broadcast(names).join(stat, "pair", "left").select(
-        "x", "y", F.lit("cramers_v").alias("method"), F.least(F.lit(1.0), v).alias("value"),
+        "x", "y", F.lit("cramers_v").alias("method"), v.alias("value"),
         F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("rows"),
         F.coalesce(status, F.lit("undefined")).alias("status"))
 
