@@ -382,3 +382,43 @@ def period_aggregate(df: DataFrame, ts: str, y: str | None = None, frequency: st
     if agg == "count":
         out = out.withColumn("value", F.coalesce("value", F.lit(0)).cast("bigint"))
     return out.select(F.col("period").cast("timestamp_ntz").alias("period"), "value")
+
+
+# ---------------------------------------------------------------- G25, D06, D16
+
+def missing_matrix(df: DataFrame, columns: Sequence[str], n: int = 1000, seed: int = 42,
+                   key: Sequence[str] | None = None) -> DataFrame:
+    """Null-mask of up to ``n`` priority-sampled rows (1 = missing)."""
+    from tessera.operators.sampling import priority_sample
+    s = priority_sample(df, n, seed, key)
+    return s.select(*(key or []), *[is_missing(c, df.schema[c].dataType).cast("int").alias(c) for c in columns])
+
+
+def strip_points(df: DataFrame, x: str, group: str, n: int = 400, seed: int = 42,
+                 key: Sequence[str] | None = None, max_groups: int = 8) -> DataFrame:
+    """Up to ``n`` sampled finite points per group (raincloud / strip); pair with
+    ``box_stats`` for the summary glyph."""
+    from tessera.operators.sampling import per_group_sample
+    cond = is_finite(x) & ~is_missing(group, df.schema[group].dataType)
+    base = df.where(cond)
+    top = base.groupBy(group).count().orderBy(F.col("count").desc(), F.col(group)).limit(max_groups)
+    base = base.join(F.broadcast(top.select(group)), group, "left_semi")
+    return per_group_sample(base.select(*(key or []), group, x), group, n, seed, key)
+
+
+def summary_plan(overview: list[dict], strongest_pairs: list[tuple[str, str]], limit: int = 10) -> list[dict]:
+    """Which distribution operators to compute for a profile: a missing-value view when
+    anything is missing, the strongest pairs by role, then one view per column by role."""
+    plan = []
+    if any(r["num_missing"] for r in overview):
+        plan.append({"operator": "G23", "args": {}})
+        plan.append({"operator": "G25", "args": {"columns": [r["column"] for r in overview if r["num_missing"]][:8]}})
+    roles = {r["column"]: r["role"] for r in overview}
+    for a, b in strongest_pairs:
+        kind = "D09" if roles[a] == roles[b] == "numeric" else "G26" if roles[a] == roles[b] == "category" else "D04"
+        plan.append({"operator": kind, "args": {"x": a, "y": b}})
+    for r in overview:
+        op = {"numeric": "D01", "category": "G29", "text": "D12", "datetime": "G32"}.get(r["role"])
+        if op and not r["all_missing"]:
+            plan.append({"operator": op, "args": {"x": r["column"]}})
+    return plan[:limit]

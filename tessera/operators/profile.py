@@ -115,7 +115,7 @@ def numeric_moments(df: DataFrame, columns: Sequence[str] | None = None) -> Data
         x = finite_or_null(c)
         xs = x - F.lit(shifts[c])  # central moments on small deviations (numerically stable)
         aggs += [
-            F.count(x).alias(f"n{i}"), (F.avg(xs) + F.lit(shifts[c])).alias(f"mean{i}"),
+            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
             F.var_samp(xs).alias(f"var{i}"),
             F.stddev_samp(xs).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
             F.sum(x).alias(f"sum{i}"), F.skewness(xs).alias(f"sk{i}"), F.kurtosis(xs).alias(f"ku{i}"),

@@ -330,3 +330,37 @@ def q_lags(spark, d):
     daily = ev.groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     from tessera.operators.series import lag_features
     return lag_features(daily, "day", "n", 3).drop("pos")
+
+
+LI_PRIORITY = ("sha256('42' || chr(0) || CAST(l_orderkey AS VARCHAR) || chr(1) || CAST(l_linenumber AS VARCHAR)), "
+               "CAST(l_orderkey AS VARCHAR) || chr(1) || CAST(l_linenumber AS VARCHAR)")
+
+
+@register("G25_missing_matrix", f"""SELECT l_orderkey, l_linenumber, (l_quantity IS NULL)::INT AS l_quantity,
+  (l_linestatus IS NULL)::INT AS l_linestatus FROM {LI} t ORDER BY {LI_PRIORITY} LIMIT 1000""")
+def q_missing_matrix(spark, d):
+    return D.missing_matrix(lineitem_with_nulls(spark, d), ["l_quantity", "l_linestatus"], 1000, 42,
+                            ["l_orderkey", "l_linenumber"])
+
+
+@register("D06_strip_points", f"""SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {LI_PRIORITY}) AS rn FROM lineitem) WHERE rn <= 400""")
+def q_strip(spark, d):
+    return D.strip_points(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag", 400, 42,
+                          ["l_orderkey", "l_linenumber"])
+
+
+@register("D16_summary_plan")
+def q_summary_plan(spark, d):
+    from tessera.operators.associations import association_table, select_pairs, strongest
+    from tessera.operators.profile import column_overview
+    df = lineitem_with_nulls(spark, d).select("l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
+                                              "l_linestatus", "l_shipdate")
+    ov = [r.asDict() for r in column_overview(df).collect()]  # one row per column
+    roles = {r["column"]: r["role"] for r in ov}
+    pairs, _ = select_pairs(roles, df.columns)
+    top = [(r["x"], r["y"]) for r in strongest(association_table(df, roles, pairs), 3).collect()]
+    plan = D.summary_plan(ov, top)
+    import json
+    return spark.createDataFrame([(i, p["operator"], json.dumps(p["args"], sort_keys=True)) for i, p in enumerate(plan)],
+                                 "step int, operator string, args string")

@@ -223,3 +223,35 @@ def q_compare(spark, d):
             for r in results]
     return spark.createDataFrame(rows, "candidate string, accuracy double, f1_macro double, log_loss double, "
                                        "roc_auc double, winner boolean")
+
+
+@register("V09_test_evaluation")
+def q_test_eval(spark, d):
+    """The chosen candidate evaluated once on the held-out test split."""
+    data = _doc_features(spark, d)
+    m = M.fit_model(M.ModelConfig("sklearn", "logistic_regression"), data.where(F.col("split") == "train"),
+                    "classification", n_classes=2)
+    return V.classification_metrics(m.predict(data.where(F.col("split") == "test")), 2, prob="probability")
+
+
+EMB_SPLIT_SQL = _rank_split_sql("embeddings", "vec_id", "''")
+
+
+@register("M10_knn_exact", f"""
+WITH s AS ({EMB_SPLIT_SQL}),
+tr AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN s USING (vec_id) WHERE split = 'train'),
+qu AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings JOIN s USING (vec_id) WHERE split <> 'train'),
+d AS (SELECT qu.vec_id AS qid, tr.vec_id AS tid, tr.label, list_distance(qu.v, tr.v) AS dist FROM qu, tr),
+nb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, tid) AS rk FROM d) WHERE rk <= 5),
+votes AS (SELECT qid, label, count(*) AS w FROM nb GROUP BY 1, 2)
+SELECT qid AS vec_id, label AS prediction, CAST(w AS DOUBLE) AS votes FROM
+  (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY w DESC, label) AS r FROM votes) WHERE r = 1""")
+def q_knn(spark, d):
+    from tessera.operators.neighbors import knn_predict
+    emb = table(spark, d, "embeddings")
+    s = split_assign(emb.select("vec_id"), SplitConfig("random"), "vec_id")
+    e2 = emb.join(s, "vec_id")
+    train = e2.where(F.col("split") == "train").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"), "label")
+    query = e2.where(F.col("split") != "train").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    out = knn_predict(train, query, 5, "label")
+    return out.select(F.col("qid").alias("vec_id"), "prediction", "votes")

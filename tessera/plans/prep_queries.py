@@ -290,3 +290,48 @@ def q_apply_fitted(spark, d):
     # round trip through the JSON form (R03) before applying to the whole table
     restored = FittedRecipe.from_dict(fitted.to_dict())
     return rounded(restored.apply(df), {"l_quantity": 6})
+
+
+@register("Q04_changed_rows", f"""SELECT o_orderkey, o_custkey, o_totalprice, false AS removed FROM {ORDERS_NULLS_SQL} o
+WHERE o_totalprice IS NULL ORDER BY o_orderkey LIMIT 5""")
+def q_changed(spark, d):
+    """J05 + Q04: first five rows a fitted recipe changes (null-safe comparison by key)."""
+    from tessera.operators.sampling import changed_rows
+    before = orders_with_nulls(spark, d).select("o_orderkey", "o_custkey", "o_totalprice")
+    r = Recipe()
+    r.add("fill_missing", columns=["o_totalprice"], strategy="median")
+    fitted = fit_recipe(r.approve_all(), before.select("o_custkey", "o_totalprice"))
+    from tessera.plans.prepare import _apply_carrying
+    after = _apply_carrying(fitted, before, ["o_orderkey"])
+    return changed_rows(before, after, "o_orderkey", 5)
+
+
+@register("Q03_preview", f"""SELECT o_orderkey, o_orderstatus, lower(o_orderpriority) AS o_orderpriority
+FROM orders ORDER BY o_orderkey LIMIT 200""")
+def q_preview(spark, d):
+    from tessera.operators.sampling import preview
+    df = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    step = X.NormalizeCategories(["o_orderpriority"], case="lower")
+    head, truncated = preview(step.apply(df), ["o_orderkey"], 200)
+    assert truncated
+    return head
+
+
+@register("L10_seed_trials")
+def q_seed_trials(spark, d):
+    """Repeat split + dummy baseline over seeds; one row per trial with validation
+    accuracy (the class prior of each split differs by seed)."""
+    from tessera.operators import models as M
+    from tessera.operators import evaluation as V
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    rows = []
+    for seed in range(3):
+        s = split_assign(o, SplitConfig("stratified", seed=seed), "o_orderkey", target="o_orderstatus")
+        from tessera.operators.encoding import encode_target, target_classes
+        classes = target_classes(s, "o_orderstatus")
+        enc = encode_target(s, "o_orderstatus", classes)
+        m = M.fit_model(M.ModelConfig("sklearn", "dummy"), enc.where("split = 'train'"), "classification",
+                        n_classes=len(classes))
+        acc = V.classification_metrics(m.predict(enc.where("split = 'validation'")), len(classes)).first()["accuracy"]
+        rows.append((seed, float(acc)))
+    return spark.createDataFrame(rows, "seed int, validation_accuracy double")
