@@ -90,7 +90,8 @@ def last_value_baseline(split_df: DataFrame, ts: str, value: str, series: str |
     last = split_df.where(F.col("split") == "train").groupBy(*keys).agg(
         F.max_by(value, ts).alias("_last"))
     val = split_df.where(F.col("split") == "validation")
-    j = val.join(F.broadcast(last), keys) if keys else val.crossJoin(F.broadcast(last))
+    # one row per series: the series count is not bounded, so AQE picks the join from runtime size
+    j = val.join(last, keys) if keys else val.crossJoin(last)
     err = F.col(value) - F.col("_last")
     return j.groupBy(*keys).agg(F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
                                 F.count(F.lit(1)).alias("rows"))
@@ -188,3 +189,16 @@ def forecast_ar(df: DataFrame, model: DataFrame, ts: str, value: str, p: int, d:
     schema = ", ".join([f"`{c}` {j.schema[c].dataType.simpleString()}" for c in keys] +
                        ["step long", f"ts {df.schema[ts].dataType.simpleString()}", "forecast double"])
     return j.mapInPandas(run, schema)
+
+
+def ar_residuals(df: DataFrame, model: DataFrame, ts: str, value: str, p: int,
+                 series: str | None = None) -> DataFrame:
+    """One-step prediction of every position from its observed history only (AR(p) on the
+    levels, d = 0) and the residual actual - prediction; positions without p lags get NULL."""
+    keys = [series] if series else []
+    lagged = lag_features(df.select(*keys, ts, value), ts, value, p, series)
+    j = lagged.join(model.select(*keys, "coef"), keys) if keys else lagged.crossJoin(model.select("coef"))
+    pred = F.col("coef")[0]
+    for i in range(1, p + 1):
+        pred = pred + F.col("coef")[i] * F.col(f"{value}_lag_{i}")
+    return j.select(*keys, ts, value, pred.alias("prediction"), (F.col(value) - pred).alias("residual"))

@@ -176,3 +176,15 @@ def q_ar1(spark, d):
     model = Z.fit_ar(_daily(spark, d), "day", "n", p=1, d=0, series="event_type")
     return model.select("event_type", "n", F.round(F.col("coef")[0], 6).alias("intercept"),
                         F.round(F.col("coef")[1], 6).alias("phi_1"))
+
+
+@register("Z06_ar1_residuals", f"""
+WITH l AS (SELECT day, event_type, n, lag(n) OVER (PARTITION BY event_type ORDER BY day) AS prev FROM {DAILY_SQL} t),
+c AS (SELECT event_type, regr_intercept(n, prev) AS a, regr_slope(n, prev) AS b FROM l WHERE prev IS NOT NULL GROUP BY 1)
+SELECT event_type, day, n, round(a + b * prev, 6) AS prediction, round(n - (a + b * prev), 6) AS residual
+FROM l JOIN c USING (event_type)""")
+def q_ar_residuals(spark, d):
+    daily = _daily(spark, d)
+    model = Z.fit_ar(daily, "day", "n", p=1, d=0, series="event_type")
+    out = Z.ar_residuals(daily, model, "day", "n", 1, "event_type")
+    return rounded(out, {"prediction": 6, "residual": 6})

@@ -213,22 +213,16 @@ def execute_recipe(recipe: Recipe, df: DataFrame, output_base: str, fit_source:
                    partition_by: str | None = None) -> dict:
     """R08 + S09/S10: approved steps only; learned steps need an explicit fit source; writes a new
     version folder in ``errorifexists`` mode with a JSON sidecar (recipe, state, lineage) and
-    counts rows with ``observe`` during the single write."""
-    from pyspark.sql import Observation
+    counts the rows that landed from the Parquet footers."""
     checked = validate_recipe(recipe, df.columns)
     if checked["requires_fit"] and fit_source is None:
         raise ValueError("Learned steps need an explicit fit source")
     fitted = fit_recipe(recipe, fit_source if fit_source is not None else df)
     out = fitted.apply(df)
-    obs = Observation("rows")
-    out = out.observe(obs, F.count(F.lit(1)).alias("rows"))
     path = next_version_path(output_base)
-    writer = out.write.mode("errorifexists")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    meta = {"recipe_fingerprint": recipe.fingerprint(), "fitted": fitted.to_dict(),
-            "rows": obs.get["rows"], "path": path}
+    from tessera.sources.readers import write_parquet
+    rows = write_parquet(out, path, [partition_by] if partition_by else ())
+    meta = {"recipe_fingerprint": recipe.fingerprint(), "fitted": fitted.to_dict(), "rows": rows, "path": path}
     with open(path + ".json", "x", encoding="utf-8") as fh:
         json.dump(meta, fh, sort_keys=True, default=str)
     return meta

@@ -12,7 +12,7 @@ import json
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -138,14 +138,16 @@ def require_rows(df: DataFrame, max_rows: int | None = None) -> None:
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> int:
-    """One write in ``errorifexists`` mode; the row count is observed during that write
-    (no second pass)."""
-    obs = Observation("rows")
-    w = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists")
+    """One write in ``errorifexists`` mode, then the row count of what landed, answered from
+    the Parquet footers (row-group metadata; no data pages are read).
+
+    ``DataFrame.observe`` is not used: once an ``Observation`` is registered, Spark 4.1 keeps a
+    non-serializable ObservationManager on the session and later jobs that capture it fail."""
+    w = df.write.mode("errorifexists")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    return int(obs.get["rows"])
+    return int(df.sparkSession.read.parquet(path).count())
 
 
 def write_csv(df: DataFrame, path: str) -> None:
