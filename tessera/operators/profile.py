@@ -102,49 +102,45 @@ def moment_shifts(df: DataFrame, columns: Sequence[str], rows: int = 1000) -> di
 
 
 def numeric_moments(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """G02-G07 for numeric columns, one row per column, from a single aggregate.
-
-    Moments use finite values only; skew and kurtosis are the bias-adjusted estimators
-    (NULL when n <= 2 / n <= 3 or zero variance)."""
+    """G02-G07 for numeric columns, one row per column, from a single scan.
+
+    The columns are unpivoted to (column, value) rows and aggregated grouped by column: the
+    aggregation buffer stays a dozen fields wide however many columns the table has, so the
+    stage keeps whole-stage codegen (one wide ``agg`` over many columns exceeds
+    ``spark.sql.codegen.maxFields`` and runs interpreted).  Moments use finite values only,
+    centred on a per-column shift; skew and kurtosis are the bias-adjusted estimators (NULL when
+    n <= 2 / n <= 3 or zero variance)."""
     cols = list(columns or numeric_columns(df))
     shifts = moment_shifts(df, cols)
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
+    entries = []
+    for c in cols:
         dt = df.schema[c].dataType
         raw = F.col(c).cast("double")
         x = finite_or_null(c)
-        xs = x - F.lit(shifts[c])  # central moments on small deviations (numerically stable)
-        aggs += [
-            F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"),
-            F.var_samp(xs).alias(f"var{i}"),
-            F.stddev_samp(xs).alias(f"std{i}"), F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-            F.sum(x).alias(f"sum{i}"), F.skewness(xs).alias(f"sk{i}"), F.kurtosis(xs).alias(f"ku{i}"),
-            F.count_if(is_missing(c, dt)).alias(f"miss{i}"),
-            F.count_if(raw.isNotNull() & (F.abs(raw) == F.lit(float("inf")))).alias(f"inf{i}"),
-            F.count_if(x == 0).alias(f"zero{i}"), F.count_if(x < 0).alias(f"neg{i}"),
-        ]
-    wide = df.agg(*aggs)
+        entries.append(F.struct(F.lit(c).alias("column"), x.alias("x"), (x - F.lit(shifts[c])).alias("s"),
+                                is_missing(c, dt).alias("m"),
+                                (raw.isNotNull() & (F.abs(raw) == F.lit(float("inf")))).alias("i")))
+    long = df.select(F.inline(F.array(*entries)))
+    x, xs = F.col("x"), F.col("s")
+    agg = long.groupBy("column").agg(
+        F.count(F.lit(1)).alias("_rows"), F.count(x).alias("n"), F.avg(x).alias("mean"),
+        F.var_samp(xs).alias("variance"), F.stddev_samp(xs).alias("std"), F.min(x).alias("min"),
+        F.max(x).alias("max"), F.sum(x).alias("sum"), F.skewness(xs).alias("_sk"), F.kurtosis(xs).alias("_ku"),
+        F.count_if(F.col("m")).alias("num_missing"), F.count_if(F.col("i")).alias("num_infinity"),
+        F.count_if(x == 0).alias("num_zeros"), F.count_if(x < 0).alias("num_neg"))
+    n = F.col("n").cast("double")
     rows = F.col("_rows")
-    entries = []
-    for i, c in enumerate(cols):
-        n = F.col(f"n{i}").cast("double")
-        sk = F.when((F.col(f"n{i}") > 2) & (F.col(f"var{i}") > 0),
-                    F.col(f"sk{i}") * F.sqrt(n * (n - 1)) / (n - 2))
-        ku = F.when((F.col(f"n{i}") > 3) & (F.col(f"var{i}") > 0),
-                    (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col(f"ku{i}") + 6))
-        share = lambda k: F.when(rows > 0, F.col(k) / rows).otherwise(0.0)
-        entries.append(F.struct(
-            F.lit(c).alias("column"), F.col(f"n{i}").alias("n"), F.col(f"mean{i}").alias("mean"),
-            F.col(f"var{i}").alias("variance"), F.col(f"std{i}").alias("std"),
-            F.col(f"min{i}").alias("min"), F.col(f"max{i}").alias("max"), F.col(f"sum{i}").alias("sum"),
-            sk.alias("skew"), ku.alias("kurtosis"),
-            (F.col(f"max{i}") - F.col(f"min{i}")).alias("range"),
-            F.when(F.col(f"mean{i}") != 0, F.col(f"std{i}") / F.col(f"mean{i}")).alias("cv"),
-            F.col(f"miss{i}").alias("num_missing"), share(f"miss{i}").alias("pct_missing"),
-            F.col(f"inf{i}").alias("num_infinity"), share(f"inf{i}").alias("pct_infinity"),
-            F.col(f"zero{i}").alias("num_zeros"), share(f"zero{i}").alias("pct_zeros"),
-            F.col(f"neg{i}").alias("num_neg"), share(f"neg{i}").alias("pct_neg")))
-    return wide.select(F.inline(F.array(*entries)))
+    sk = F.when((F.col("n") > 2) & (F.col("variance") > 0), F.col("_sk") * F.sqrt(n * (n - 1)) / (n - 2))
+    ku = F.when((F.col("n") > 3) & (F.col("variance") > 0),
+                (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("_ku") + 6))
+    share = lambda k: F.when(rows > 0, F.col(k) / rows).otherwise(0.0)
+    return agg.select(
+        "column", "n", "mean", "variance", "std", "min", "max", "sum", sk.alias("skew"), ku.alias("kurtosis"),
+        (F.col("max") - F.col("min")).alias("range"),
+        F.when(F.col("mean") != 0, F.col("std") / F.col("mean")).alias("cv"),
+        "num_missing", share("num_missing").alias("pct_missing"),
+        "num_infinity", share("num_infinity").alias("pct_infinity"),
+        "num_zeros", share("num_zeros").alias("pct_zeros"), "num_neg", share("num_neg").alias("pct_neg"))
 
 
 # ---------------------------------------------------------------- G08-G10: quantiles

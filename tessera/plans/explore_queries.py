@@ -188,3 +188,14 @@ def q_ar_residuals(spark, d):
     model = Z.fit_ar(daily, "day", "n", p=1, d=0, series="event_type")
     out = Z.ar_residuals(daily, model, "day", "n", 1, "event_type")
     return rounded(out, {"prediction": 6, "residual": 6})
+
+
+@register("X05_isolation_forest")
+def q_iforest(spark, d):
+    from tessera.operators.anomaly import fit_isolation_forest, score_isolation_forest
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                                            "l_discount")
+    feats = ["l_quantity", "l_extendedprice", "l_discount"]
+    model = fit_isolation_forest(li, feats, n_estimators=50, key=["l_orderkey", "l_linenumber"])
+    scored = score_isolation_forest(li, model, contamination=0.05)
+    return scored.select("l_orderkey", "l_linenumber", "anomaly_score", "is_anomaly")
