@@ -57,7 +57,9 @@ def recall_from_ranks(train: DataFrame, val: DataFrame, item_rank: DataFrame, k:
     rel_n = relevant.groupBy("user").agg(F.count(F.lit(1)).alias("_rel_n"))
     evaluated = rel_n.join(seen_n, "user", "left").fillna(0, ["_seen_n"]) \
         .withColumn("_count", F.least(F.lit(kk), F.lit(n_items) - F.col("_seen_n"))).where(F.col("_count") > 0)
-    rows = relevant.withColumn("_seen", F.lit(0)).unionByName(
+    # a held-out item the user already saw is relevant but excluded from the ranking: always a
+    # miss (it stays in the denominator); only unseen relevant items can be hits
+    rows = relevant.join(seen, ["user", "item"], "left_anti").withColumn("_seen", F.lit(0)).unionByName(
         seen.join(evaluated.select("user"), "user", "left_semi").withColumn("_seen", F.lit(1)))
     # items without a rank (outside a scored list) cannot precede ranked ones: they are misses
     rows = rows.join(item_rank.select(*keys, "grank"), keys)

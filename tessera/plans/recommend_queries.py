@@ -8,6 +8,7 @@ from tessera.operators import recommend as N
 from tessera.operators.splitting import SplitConfig, split_assign
 from tessera.plans.prep_queries import _alloc_sql
 from tessera.plans.registry import register, rounded, table
+from tessera.session import cut_lineage
 
 INTER_SQL = ("(SELECT o_custkey AS \"user\", l_partkey AS item, sum(l_quantity) AS weight "
              "FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1, 2)")
@@ -26,8 +27,11 @@ def split_interactions(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     joined = li.join(o, li.l_orderkey == o.o_orderkey)
-    inter = N.interactions(joined, "o_custkey", "l_partkey", "l_quantity")
+    # the derived pair table feeds three passes of the split: materialise it once
+    inter = cut_lineage(N.interactions(joined, "o_custkey", "l_partkey", "l_quantity"))
     s = split_assign(inter, SplitConfig("random", 0.8, 0.2, 0.0), ["user", "item"])
+    # the split pairs feed ALS iterations, ranks and several counts: materialise them once
+    s = cut_lineage(s)
     return s.where(F.col("split") == "train"), s.where(F.col("split") == "validation")
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -64,6 +65,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably (survives executor loss) and return the checkpointed frame."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` as a Parquet table in the shared checkpoint folder and return a frame
+    reading it back: lineage is cut, the data survives executor loss, and the input is computed
+    exactly once (``Dataset.checkpoint(eager=True)`` computes an unpersisted input twice: once
+    for its eager count and again to write the checkpoint files)."""
+    spark = df.sparkSession
+    path = checkpoint_dir(spark).rstrip("/") + "/tables/" + uuid.uuid4().hex
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
