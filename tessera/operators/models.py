@@ -128,6 +128,9 @@ class TrainedModel:
                 "probability", F.array_max("probability")).cast("double") - 1)
         if algo == "adaboost":
             return self._adaboost_predict(df, features)
+        if algo == "stacking":
+            meta_in = _stack_features(self.extra["members"], df, features, self.task_type)
+            return self.extra["meta"].predict(meta_in, "_meta").drop("_meta")
         out = self.model.transform(df)
         keep = [c for c in out.columns if c not in ("rawPrediction",)]
         out = out.select(*keep)
@@ -185,6 +188,8 @@ def fit_model(config: ModelConfig, train: DataFrame, task_type: str, n_classes:
         return TrainedModel(config, task_type, n_classes, extra={"members": members})
     if algo == "adaboost":
         return _fit_adaboost(config, train, n_classes, features, label)
+    if algo == "stacking":
+        return _fit_stacking(config, train, task_type, n_classes, features, label)
     if algo == "knn":
         raise ValueError("k nearest neighbours are served by operators.neighbors.knn_predict")
     if task_type == "classification":
@@ -201,6 +206,47 @@ def fit_model(config: ModelConfig, train: DataFrame, task_type: str, n_classes:
     return TrainedModel(config, task_type, n_classes, model=model)
 
 
+def _base_configs(task_type: str, seed: int) -> list[ModelConfig]:
+    lin = "logistic_regression" if task_type == "classification" else "linear_regression"
+    return [ModelConfig("sklearn", lin, {}, seed), ModelConfig("sklearn", "random_forest", {"n_estimators": 20}, seed)]
+
+
+def _stack_features(members: list, df: DataFrame, features: str, task_type: str) -> DataFrame:
+    """Base-model outputs (class probabilities, or predictions) assembled as ``_meta``."""
+    from pyspark.ml.functions import array_to_vector
+    out = df
+    parts = []
+    for i, m in enumerate(members):
+        p = m.predict(out, features)
+        if task_type == "classification":
+            out = p.withColumnRenamed("probability", f"_p{i}").drop("prediction")
+        else:
+            out = p.withColumnRenamed("prediction", f"_p{i}")
+            out = out.withColumn(f"_p{i}", F.array(F.col(f"_p{i}")))
+        parts.append(f"_p{i}")
+    return out.withColumn("_meta", array_to_vector(F.concat(*[F.col(c) for c in parts]))).drop(*parts)
+
+
+def _fit_stacking(config, train, task_type, n_classes, features, label):
+    """Out-of-fold base predictions (``cv`` folds from a content hash, so folds do not depend
+    on partitioning) train a logistic / linear meta model; base models are then refitted on all
+    training rows."""
+    cv = int(config.params.get("cv", 3))
+    from pyspark.ml.functions import vector_to_array as v2a
+    fold = F.pmod(F.xxhash64(v2a(features), F.col(label)), F.lit(cv))
+    data = train.withColumn("_fold", fold)
+    oof = None
+    for k in range(cv):
+        members = [fit_model(c, data.where(F.col("_fold") != k), task_type, n_classes, features, label)
+                   for c in _base_configs(task_type, config.seed)]
+        part = _stack_features(members, data.where(F.col("_fold") == k), features, task_type)
+        oof = part if oof is None else oof.unionByName(part)
+    meta_cfg = ModelConfig("sklearn", "logistic_regression" if task_type == "classification" else "linear_regression")
+    meta = fit_model(meta_cfg, oof, task_type, n_classes, "_meta", label)
+    members = [fit_model(c, train, task_type, n_classes, features, label) for c in _base_configs(task_type, config.seed)]
+    return TrainedModel(config, task_type, n_classes, extra={"members": members, "meta": meta})
+
+
 def _fit_adaboost(config, train, n_classes, features, label):
     """SAMME with depth-1 trees on ``weightCol``; one small fit per round, weights updated
     by a column expression (no collection of rows)."""

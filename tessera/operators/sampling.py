@@ -23,11 +23,21 @@ def row_key_text(cols: Sequence[str]) -> Column:
     return F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in cols])
 
 
+def tie_break(df: DataFrame, exclude: Sequence[str]) -> list[Column]:
+    """The remaining orderable columns, in schema order: when the sampling key is not unique,
+    rows sharing it are ordered by their values, so the sample does not depend on partitioning."""
+    from pyspark.sql import types as T
+    atomic = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+    return [F.col(f.name) for f in df.schema.fields
+            if f.name not in set(exclude) and isinstance(f.dataType, atomic)]
+
+
 def priority_sample(df: DataFrame, n: int, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
     """Q01: exactly min(n, N) rows without replacement, the same rows for any partitioning."""
     k = row_key_text(key or df.columns)
     pr = priority(seed, k)
-    return df.withColumn("_pr", pr).withColumn("_tk", k).orderBy("_pr", "_tk").limit(n).drop("_pr", "_tk")
+    ties = tie_break(df, key or df.columns)
+    return df.withColumn("_pr", pr).withColumn("_tk", k).orderBy("_pr", "_tk", *ties).limit(n).drop("_pr", "_tk")
 
 
 def per_group_sample(df: DataFrame, group: str, n: int, seed: int = 42, key: Sequence[str] | None = None,
@@ -35,9 +45,11 @@ def per_group_sample(df: DataFrame, group: str, n: int, seed: int = 42, key: Seq
     """Q02: n rows per group by smallest priority.  Two window stages over (group, salt) then
     group, so a group holding a third of all rows is split ``salts`` ways before ranking."""
     from tessera.operators.profile import top_k
-    k = row_key_text(key or [c for c in df.columns if c != group])
+    key = key or [c for c in df.columns if c != group]
+    k = row_key_text(key)
     staged = df.withColumn("_pr", priority(seed, k)).withColumn("_tk", k)
-    out = top_k(staged, [group], [F.col("_pr"), F.col("_tk")], n, salt_of="_pr", salts=salts, rank_name="_rank")
+    order = [F.col("_pr"), F.col("_tk"), *tie_break(df, [*key, group])]
+    out = top_k(staged, [group], order, n, salt_of="_pr", salts=salts, rank_name="_rank")
     return out.drop("_pr", "_tk", "_rank")
 
 

@@ -102,7 +102,8 @@ LI_KEY_SQL = "sha256('42' || chr(0) || CAST(l_orderkey AS VARCHAR) || chr(1) ||
 
 @register("D09_bubble_sample", f"""
 WITH s AS (SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem
-           ORDER BY {LI_KEY_SQL}, CAST(l_orderkey AS VARCHAR) || chr(1) || CAST(l_linenumber AS VARCHAR) LIMIT 2000),
+           ORDER BY {LI_KEY_SQL}, CAST(l_orderkey AS VARCHAR) || chr(1) || CAST(l_linenumber AS VARCHAR),
+                    l_quantity, l_extendedprice, l_discount LIMIT 2000),
 m AS (SELECT max(l_discount) AS mx FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
        round(CASE WHEN mx > 0 THEN l_discount / mx * 250 ELSE 0.0 END, 8) AS area FROM s, m""")
@@ -344,7 +345,8 @@ def q_missing_matrix(spark, d):
 
 
 @register("D06_strip_points", f"""SELECT l_orderkey, l_linenumber, l_returnflag, l_extendedprice FROM (
-  SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {LI_PRIORITY}) AS rn FROM lineitem) WHERE rn <= 400""")
+  SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY {LI_PRIORITY}, l_extendedprice) AS rn
+  FROM lineitem) WHERE rn <= 400""")
 def q_strip(spark, d):
     return D.strip_points(table(spark, d, "lineitem"), "l_extendedprice", "l_returnflag", 400, 42,
                           ["l_orderkey", "l_linenumber"])

@@ -201,6 +201,7 @@ for _qid, _algo, _params in [
         ("M09_linear_svm", "svm", {"C": 1.0}),
         ("M11_naive_bayes", "gaussian_nb", {}),
         ("M12_voting", "voting", {"n_estimators": 10}),
+        ("M13_stacking", "stacking", {"cv": 3}),
         ("M14_mlp", "mlp", {"hidden_sizes": [8], "epochs": 30})]:
     register(_qid)(_model_rows(_algo, params=_params))
 
