@@ -1,4 +1,4 @@
-"""Recommendation.
+"""Recommendation.
 
 Evaluation protocol: held-out (user, item) pairs; a validation user counts when it is known in
 training and has at least one held-out item known in training; training-seen items are excluded
@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.ranking import cumulative
+from tessera.session import cut_lineage
 
 
 def interactions(df: DataFrame, user: str, item: str, weight: str | None = None) -> DataFrame:
@@ -94,6 +95,110 @@ def fit_als(train: DataFrame, factors: int = 8, iterations: int = 10, regulariza
     return als.fit(data), ui, ii
 
 
+def _weighted_products(a: DataFrame, block: DataFrame, on: str, by: str, cols: list[str]) -> DataFrame:
+    """Sparse matrix times a k-wide block: ``a`` (user, item, weight) joined with the block on
+    ``on`` and summed per ``by``.  A hot key is one block row against many pair rows, which AQE's
+    skew join splits; the sums combine map-side."""
+    return a.join(block, on).groupBy(by).agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in cols])
+
+
+def _gram(block: DataFrame, cols: list[str]):
+    """``block^T block`` (r x r): each task adds X^T X over its Arrow batches (numpy), Spark sums
+    the per-task matrices element-wise, and only the r*r sums reach the driver."""
+    import numpy as np
+    import pandas as pd
+    r = len(cols)
+
+    def partial(batches):
+        g = np.zeros((r, r))
+        for b in batches:
+            x = b[cols].to_numpy(dtype=float)
+            g += x.T @ x
+        yield pd.DataFrame({"g": [g.ravel()]})
+
+    parts = block.select(*cols).mapInPandas(partial, "g array<double>")
+    sums = parts.select(F.posexplode("g").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).collect()
+    g = np.zeros(r * r)
+    for row in sums:  # r * r rows
+        g[row["pos"]] = row["v"]
+    return g.reshape(r, r)
+
+
+def _combine(block: DataFrame, key: str, cols: list[str], m, prefix: str = "c") -> tuple[DataFrame, list[str]]:
+    """``block @ m`` as a narrow projection with the (small) matrix entries as literals."""
+    out = [f"{prefix}{j}" for j in range(m.shape[1])]
+    exprs = []
+    for j, name in enumerate(out):
+        e = None
+        for i, c in enumerate(cols):
+            t = F.col(c) * F.lit(float(m[i, j]))
+            e = t if e is None else e + t
+        exprs.append(e.alias(name))
+    return block.select(key, *exprs), out
+
+
+def _orthonormal(block: DataFrame, key: str, cols: list[str]) -> tuple[DataFrame, list[str]]:
+    """Orthonormal basis of the block's column space: Q = Y E diag(lambda)^-1/2 from the
+    eigen-decomposition of the Gram matrix (directions with no weight are dropped)."""
+    import numpy as np
+    block = cut_lineage(block)  # read twice: Gram matrix, then the projection
+    lam, e = np.linalg.eigh(_gram(block, cols))
+    keep = lam > max(lam.max(), 0.0) * 1e-12
+    if not keep.any():
+        raise ValueError("the interaction matrix has no weight")
+    return _combine(block, key, cols, e[:, keep] / np.sqrt(lam[keep]))
+
+
+def truncated_svd(train: DataFrame, factors: int, iterations: int = 20, oversample: int | None = None,
+                  seed: int = 42):
+    """The ``factors`` largest singular triplets of the user x item weight matrix by block
+    subspace iteration (randomised range finder with power iterations, V <- orth(A^T A V)).
+
+    Every pass is two sparse products (join + grouped sum) and one orthonormalisation whose
+    only driver-side object is an r x r Gram matrix (r = factors + oversample, default
+    2 x factors); the user and item blocks stay distributed and the item block is written to
+    the checkpoint folder once per pass, so lineage stays one pass long.  Returns (user factors
+    = U * s, item factors = V, singular values), the factor tables holding ``f0 .. f{k-1}``."""
+    import numpy as np
+    from tessera.functions.columns import hash_unit, priority
+    a = train.select("user", "item", F.col("weight").cast("double"))
+    counts = a.agg(F.count_distinct("user").alias("u"), F.count_distinct("item").alias("i")).first()
+    if not 1 <= factors < min(counts["u"], counts["i"]):
+        raise ValueError("factors must be positive and smaller than both the training user and item counts")
+    r = min(factors + (factors if oversample is None else oversample), counts["u"], counts["i"])
+    cols = [f"c{j}" for j in range(r)]
+    # deterministic start block: a hash of (seed, item, column), centred on 0
+    v = a.select("item").distinct().select("item", *[
+        (hash_unit(priority(seed, F.concat_ws("#", F.col("item").cast("string"), F.lit(str(j))))) - 0.5).alias(c)
+        for j, c in enumerate(cols)])
+    for _ in range(max(1, iterations)):
+        y = _weighted_products(a, v, "item", "user", cols)  # A V
+        v, cols = _orthonormal(_weighted_products(a, y, "user", "item", cols), "item", cols)  # orth(A^T A V)
+    q, cols = _orthonormal(_weighted_products(a, v, "item", "user", cols), "user", cols)
+    z = cut_lineage(_weighted_products(a, q, "user", "item", cols))  # B^T = A^T Q
+    lam, w = np.linalg.eigh(_gram(z, cols))  # B B^T = W S^2 W^T
+    order = np.argsort(-lam)[:factors]
+    sig = np.sqrt(np.clip(lam[order], 0.0, None))
+    w = w[:, order]
+    users, _ = _combine(q, "user", cols, w * sig, prefix="f")  # U S = Q W S
+    inv = np.where(sig > 0, 1.0 / np.where(sig > 0, sig, 1.0), 0.0)
+    items_f, _ = _combine(z, "item", cols, w * inv, prefix="f")  # V = B^T W S^-1
+    return users, items_f, [float(x) for x in sig]
+
+
+def factor_model(user_factors: DataFrame, item_factors: DataFrame, ui: DataFrame, ii: DataFrame):
+    """An MLlib ``ALSModel`` over given factor tables (``f0 ..`` columns), so its blocked top-k
+    scoring ranks them; ids are the dense indices of ``index_ids``."""
+    from pyspark.ml.recommendation import ALSModel
+    fcols = sorted((c for c in user_factors.columns if c.startswith("f")), key=lambda c: int(c[1:]))
+    arr = F.array(*[F.col(c).cast("float") for c in fcols])
+    uf = user_factors.join(ui, "user").select(F.col("uid").alias("id"), arr.alias("features"))
+    itf = item_factors.join(ii, "item").select(F.col("iid").alias("id"), arr.alias("features"))
+    spark = user_factors.sparkSession
+    jm = spark._jvm.org.apache.spark.ml.recommendation.ALSModel("svd", len(fcols), uf._jdf, itf._jdf)
+    return ALSModel(jm.setUserCol("uid").setItemCol("iid").setPredictionCol("prediction"))
+
+
 def als_recall(train: DataFrame, val: DataFrame, model, ui: DataFrame, ii: DataFrame, k: int = 10) -> DataFrame:
     """recall@k of ALS scores.  Every (user, item) score is needed to rank exactly; MLlib's
     blocked ``recommendForUserSubset`` produces the top (k + most seen items) per evaluated user,

@@ -1,4 +1,4 @@
-"""Registered recommendation queries."""
+"""Registered recommendation queries."""
 
 from __future__ import annotations
 
@@ -96,6 +96,16 @@ def q_als_recall(spark, d):
     return N.als_recall(train, val, model, ui, ii)
 
 
+@register("N02_svd_recall_at_10")
+def q_svd_recall(spark, d):
+    """N02 + N03: truncated-SVD factors of the training pairs, recall@10 on held-out pairs."""
+    train, val = split_interactions(spark, d)
+    users, items, _ = N.truncated_svd(train, factors=8)
+    ui = N.index_ids(train, "user", "uid")
+    ii = N.index_ids(train, "item", "iid")
+    return N.als_recall(train, val, N.factor_model(users, items, ui, ii), ui, ii)
+
+
 @register("N06_recommend_top_k")
 def q_recommend(spark, d):
     train, val = split_interactions(spark, d)

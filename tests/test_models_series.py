@@ -111,3 +111,21 @@ def test_stream_profile_equals_batch(spark, sf):
                                                                  "complete").collect()}
     want = {r["event_type"]: r["count"] for r in spark.read.parquet(path).groupBy("event_type").count().collect()}
     assert got == want
+
+
+def test_truncated_svd_matches_numpy(spark):
+    rng = np.random.default_rng(3)
+    a = rng.random((30, 3)) @ np.diag([9.0, 5.0, 2.0]) @ rng.random((3, 25)) + 0.01 * rng.random((30, 25))
+    rows = [(int(u), int(i), float(a[u, i])) for u in range(30) for i in range(25) if (u + i) % 5]
+    dense = np.zeros_like(a)
+    for u, i, w in rows:
+        dense[u, i] = w
+    train = spark.createDataFrame(rows, "user long, item long, weight double")
+    users, items, sig = N.truncated_svd(train, factors=3, iterations=8)
+    u, s, vt = np.linalg.svd(dense)
+    assert np.allclose(sig, s[:3], rtol=1e-6)
+    uf = users.toPandas().set_index("user").sort_index()[["f0", "f1", "f2"]].to_numpy()
+    itf = items.toPandas().set_index("item").sort_index()[["f0", "f1", "f2"]].to_numpy()
+    assert np.allclose(uf @ itf.T, (u[:, :3] * s[:3]) @ vt[:3], atol=1e-6)
+    with pytest.raises(ValueError):
+        N.truncated_svd(train, factors=25)

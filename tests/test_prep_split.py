@@ -117,3 +117,15 @@ def test_priority_sample_partition_free(spark):
     a = sorted(r["k"] for r in priority_sample(df.repartition(1), 50, 7, ["k"]).collect())
     b = sorted(r["k"] for r in priority_sample(df.repartition(5), 50, 7, ["k"]).collect())
     assert a == b and len(a) == 50
+
+
+def test_priority_sample_breaks_key_ties_by_value(spark):
+    from tessera.operators.sampling import per_group_sample, priority_sample
+    rows = [(k % 7, "g", float(v)) for k in range(40) for v in (k, -k)]  # every key held by many rows
+    df = spark.createDataFrame(rows, "k long, grp string, x double")
+    one = priority_sample(df.repartition(1), 5, 42, ["k"]).collect()
+    many = priority_sample(df.repartition(6, "x"), 5, 42, ["k"]).collect()
+    assert sorted(one) == sorted(many)
+    g1 = per_group_sample(df.repartition(1), "grp", 5, 42, ["k"]).collect()
+    g6 = per_group_sample(df.repartition(6, "x"), "grp", 5, 42, ["k"]).collect()
+    assert sorted(g1) == sorted(g6)
