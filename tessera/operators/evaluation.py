@@ -117,3 +117,61 @@ def check_probabilities(df: DataFrame, prob: str, n_classes: int) -> None:
                             (F.abs(F.aggregate(prob, F.lit(0.0), lambda a, v: a + v) - 1) > 1e-5)).alias("n")).first()
     if bad["n"]:
         raise ValueError("Invalid class probabilities")
+
+
+def learning_curve(model, frames: dict[str, DataFrame], features: str = "features", label: str = "label") -> DataFrame:
+    """Loss per boosting round (``evaluateEachIteration``: one distributed pass per frame,
+    all rounds at once) or per optimiser iteration (``summary.objectiveHistory`` of linear
+    models, training only).  Rows: series (``<frame>_loss``), round (1-based), loss; the
+    table is bounded by the number of rounds."""
+    spark = next(iter(frames.values())).sparkSession
+    rows = []
+    if hasattr(model, "evaluateEachIteration"):
+        for name, df in frames.items():
+            data = df.select(features, label)
+            losses = model.evaluateEachIteration(data) if "Classification" in type(model).__name__ \
+                else model.evaluateEachIteration(data, "squared")
+            rows += [(f"{name}_loss", i + 1, float(v)) for i, v in enumerate(losses)]
+    elif getattr(model, "hasSummary", False):
+        rows += [("train_loss", i + 1, float(v)) for i, v in enumerate(model.summary.objectiveHistory)]
+    else:
+        raise ValueError("the model records no per-round loss")
+    return spark.createDataFrame(rows, "series string, round int, loss double")
+
+
+def class_view(scored: DataFrame, axes: list[str], classes: list, n: int = 2000, seed: int = 42,
+               key: list[str] | None = None, max_categories: int = 30, label: str = "label",
+               prediction: str = "prediction") -> DataFrame:
+    """True vs predicted classes of a priority sample of at most ``n`` rows, placed on one
+    or two axes.  A numeric axis keeps its (finite) values; a categorical axis is coded 0.. by
+    the sorted distinct sampled labels (at most ``max_categories``).  Rows without a prediction
+    or a usable axis value are left out; ``unknown`` marks true labels outside ``classes``."""
+    from pyspark.sql import Window
+    from pyspark.sql import types as T
+
+    from tessera.operators.sampling import priority_sample
+    if not 1 <= len(axes) <= 2 or len(set(axes)) != len(axes):
+        raise ValueError("Choose one or two distinct feature columns.")
+    sample = priority_sample(scored, n, seed, key)  # at most n rows from here on
+    valid = F.col(prediction).isNotNull()
+    coords = []
+    for a in axes:
+        if isinstance(scored.schema[a].dataType, T.NumericType):
+            v = F.col(a).cast("double")
+            valid = valid & v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
+            coords.append(v)
+        else:
+            text = F.col(a).cast("string")
+            n_labels = sample.where(text.isNotNull()).select(text).distinct().count()  # <= n
+            if n_labels > max_categories:
+                raise ValueError(f"Choose a categorical axis with at most {max_categories} sampled categories, "
+                                 "or a numeric column.")
+            code_w = Window.partitionBy(text.isNull()).orderBy(text)  # the sample is bounded by n
+            coords.append((F.dense_rank().over(code_w) - 1).cast("double"))
+            valid = valid & text.isNotNull()
+    names = ["x", "y"][:len(axes)]
+    placed = sample.select(*(key or []), *[c.alias(nm) for c, nm in zip(coords, names)],
+                           F.col(label).alias("true_class"), F.col(prediction).alias("predicted_class"),
+                           valid.alias("_valid"))
+    known = F.col("true_class").isin(*classes) & F.col("true_class").isNotNull()
+    return placed.where("_valid").drop("_valid").withColumn("unknown", ~known)

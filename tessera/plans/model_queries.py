@@ -192,6 +192,30 @@ def _model_rows(algorithm: str, task: str = "classification", params: dict | Non
     return run
 
 
+@register("V12_class_view", f"""
+WITH t AS (SELECT doc_id, n_chars, lang, quality, (n_chars > 1000)::INT AS p FROM {DOCS_LABELED} x),
+s AS (SELECT * FROM t ORDER BY sha256('42' || chr(0) || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR),
+                               n_chars, lang, quality, p LIMIT 2000),
+c AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY lang IS NULL ORDER BY lang) - 1 AS DOUBLE) AS code FROM s)
+SELECT doc_id, CAST(n_chars AS DOUBLE) AS x, code AS y, quality AS true_class, p AS predicted_class,
+       coalesce(quality NOT IN (0, 1), true) AS unknown
+FROM c WHERE p IS NOT NULL AND n_chars IS NOT NULL AND lang IS NOT NULL""")
+def q_class_view(spark, d):
+    """True vs predicted classes on (n_chars, lang) for a 2,000-row priority sample."""
+    df = docs_labeled(spark, d).withColumn("prediction", (F.col("n_chars") > 1000).cast("int"))
+    return V.class_view(df, ["n_chars", "lang"], classes=[0, 1], key=["doc_id"], label="quality")
+
+
+@register("V11_learning_curve")
+def q_learning_curve(spark, d):
+    """Per-round log loss of the boosted model (M07) on its training and validation rows."""
+    data = _doc_features(spark, d)
+    m = M.fit_model(M.ModelConfig("sklearn", "gradient_boosting", {"n_estimators": 10}),
+                    data.where(F.col("split") == "train"), "classification", n_classes=2)
+    frames = {s: data.where(F.col("split") == s) for s in ("train", "validation")}
+    return rounded(V.learning_curve(m.model, frames), {"loss": 8})
+
+
 for _qid, _algo, _params in [
         ("M04_logistic_regression", "logistic_regression", {"C": 1.0}),
         ("M05_decision_tree", "decision_tree", {"max_depth": 4}),
