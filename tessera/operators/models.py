@@ -63,9 +63,21 @@ def _reg(algorithm: str, p: dict, seed: int):
     if algorithm in ("linear_regression", "linear"):
         return R.LinearRegression(solver="normal", regParam=0.0)
     if algorithm in ("ridge", "lasso", "elastic_net"):
-        l1 = {"ridge": 0.0, "lasso": 1.0}.get(algorithm, float(p.get("l1_ratio", 0.5)))
-        return R.LinearRegression(regParam=float(p.get("alpha", 1.0)), elasticNetParam=l1,
-                                  solver="normal" if l1 == 0 else "auto")
+        # The scikit-learn objectives, mapped exactly.  Lasso / ElasticNet minimise
+        # 1/(2n)|y - Xw|^2 + a1 |w|_1 + a2/2 |w|^2 (a1 = alpha * l1_ratio, a2 = alpha - a1);
+        # Ridge minimises |y - Xw|^2 + alpha |w|^2, i.e. a1 = 0, a2 = alpha / n.  MLlib without
+        # standardisation applies regParam * elasticNetParam to |w|_1 and divides the L2 part
+        # by the label's population std, so regParam = a1 + a2 * std_y.
+        alpha = float(p.get("alpha", 1.0))
+        if algorithm == "ridge":
+            a1, a2 = 0.0, alpha / p["_n"]
+        else:
+            l1 = 1.0 if algorithm == "lasso" else float(p.get("l1_ratio", 0.5))
+            a1, a2 = alpha * l1, alpha * (1 - l1)
+        reg = a1 + a2 * p["_std_y"]
+        return R.LinearRegression(regParam=reg, elasticNetParam=a1 / reg if reg > 0 else 0.0, standardization=False,
+                                  solver="normal" if a1 == 0 else "auto", maxIter=int(p.get("max_iter", 1000)),
+                                  tol=float(p.get("tol", 1e-10)))
     if algorithm == "decision_tree":
         return R.DecisionTreeRegressor(maxDepth=int(p.get("max_depth") or 5),
                                        minInstancesPerNode=int(p.get("min_samples_leaf", 1)), seed=seed)
@@ -200,6 +212,9 @@ def fit_model(config: ModelConfig, train: DataFrame, task_type: str, n_classes:
             est = C.MultilayerPerceptronClassifier(layers=[width, *hidden, n_classes], seed=config.seed,
                                                    maxIter=int(p.get("epochs", 100)))
     else:
+        if algo in ("ridge", "lasso", "elastic_net"):
+            st = train.agg(F.count(F.col(label)).alias("n"), F.stddev_pop(label).alias("sd")).first()
+            p = {**p, "_n": st["n"], "_std_y": st["sd"] or 0.0}
         est = _reg(algo, p, config.seed)
     est = est.setFeaturesCol(features).setLabelCol(label) if hasattr(est, "setFeaturesCol") else est
     model = est.fit(train)

@@ -96,6 +96,26 @@ def q_linreg(spark, d):
         .select(F.round("slope", 6).alias("slope"), F.round("intercept", 6).alias("intercept"))
 
 
+@register("M03_penalised_regression", """
+WITH m AS (SELECT covar_pop(p_size, p_retailprice) AS c, var_pop(p_size) AS v, count(*) AS n,
+                  avg(p_size) AS mx, avg(p_retailprice) AS my FROM part),
+w AS (SELECT 'ridge' AS model, c / (v + 10.0 / n) AS slope, mx, my FROM m
+      UNION ALL SELECT 'lasso', sign(c) * greatest(abs(c) - 0.05, 0) / v, mx, my FROM m
+      UNION ALL SELECT 'elastic_net', sign(c) * greatest(abs(c) - 0.025, 0) / (v + 0.025), mx, my FROM m)
+SELECT model, round(slope, 6) AS slope, round(my - slope * mx, 4) AS intercept FROM w""")
+def q_penalised(spark, d):
+    """Ridge, lasso and elastic-net coefficients on the same encoded part rows."""
+    p = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    data = E.fit_encoder(p, {"p_size": "numeric"}).transform(p).withColumn("label", F.col("p_retailprice"))
+    rows = []
+    for algo, params in [("ridge", {"alpha": 10.0}), ("lasso", {"alpha": 0.05}),
+                         ("elastic_net", {"alpha": 0.05, "l1_ratio": 0.5})]:
+        lm = M.fit_model(M.ModelConfig("sklearn", algo, params), data, "regression").model
+        rows.append((algo, float(lm.coefficients[0]), float(lm.intercept)))
+    out = spark.createDataFrame(rows, "model string, slope double, intercept double")
+    return rounded(out, {"slope": 6, "intercept": 4})
+
+
 @register("V01_regression_metrics", """
 WITH f AS (SELECT regr_slope(p_retailprice, p_size) AS b, regr_intercept(p_retailprice, p_size) AS a FROM part),
 p AS (SELECT p_retailprice AS y, a + b * p_size AS yhat FROM part, f)

@@ -129,3 +129,19 @@ def test_truncated_svd_matches_numpy(spark):
     assert np.allclose(uf @ itf.T, (u[:, :3] * s[:3]) @ vt[:3], atol=1e-6)
     with pytest.raises(ValueError):
         N.truncated_svd(train, factors=25)
+
+
+def test_penalised_regression_matches_closed_form(spark):
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(5)
+    x = rng.normal(3.0, 2.0, 200)
+    y = 1.5 * x + rng.normal(0.0, 1.0, 200) + 4.0
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(
+        spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, label double"))
+    c, v, n = np.mean((x - x.mean()) * (y - y.mean())), x.var(), len(x)
+    expect = {"ridge": c / (v + 20.0 / n), "lasso": (abs(c) - 0.3) / v, "elastic_net": (abs(c) - 0.15) / (v + 0.15)}
+    for algo, params in [("ridge", {"alpha": 20.0}), ("lasso", {"alpha": 0.3}),
+                         ("elastic_net", {"alpha": 0.3, "l1_ratio": 0.5})]:
+        lm = M.fit_model(M.ModelConfig("sklearn", algo, params), df, "regression").model
+        assert abs(lm.coefficients[0] - expect[algo]) < 1e-6
+        assert abs(lm.intercept - (y.mean() - expect[algo] * x.mean())) < 1e-5
