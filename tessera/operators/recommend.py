@@ -199,31 +199,44 @@ def factor_model(user_factors: DataFrame, item_factors: DataFrame, ui: DataFrame
     return ALSModel(jm.setUserCol("uid").setItemCol("iid").setPredictionCol("prediction"))
 
 
+def ranked_candidates(model, ui: DataFrame, train: DataFrame, users: DataFrame, k: int) -> DataFrame:
+    """Top (k + seen) items per user by model score, as (user, uid, iid, score, pos): enough to hold
+    each user's top k unseen items exactly, with no cap.  MLlib's blocked
+    ``recommendForUserSubset`` takes one list length per call, so users are batched by
+    power-of-two seen counts (at most ~40 batches); a user fetches < k + 2 * seen items, so a hot
+    user with a huge history does not lengthen every other user's list."""
+    seen_n = train.groupBy("user").agg(F.count(F.lit(1)).alias("_seen_n"))
+    u = users.select("user").distinct().join(ui, "user").join(seen_n, "user", "left").fillna(0, ["_seen_n"]) \
+        .withColumn("_b", F.ceil(F.log2(F.col("_seen_n") + 1)).cast("int"))
+    u = cut_lineage(u)  # read once per batch
+    parts = None
+    for (b,) in sorted(u.select("_b").distinct().collect()):  # bounded by log2(max seen) + 1
+        top = model.recommendForUserSubset(u.where(F.col("_b") == b).select("uid"), int(k + 2 ** b - 1))
+        flat = top.select("uid", F.posexplode("recommendations").alias("pos", "r")) \
+            .select("uid", F.col("r.iid").alias("iid"), F.col("r.rating").alias("score"), "pos")
+        parts = flat if parts is None else parts.unionByName(flat)
+    if parts is None:
+        return u.sparkSession.createDataFrame([], "user long, uid int, iid int, score float, pos int")
+    return parts.join(u.select("user", "uid"), "uid")
+
+
 def als_recall(train: DataFrame, val: DataFrame, model, ui: DataFrame, ii: DataFrame, k: int = 10) -> DataFrame:
-    """recall@k of ALS scores.  Every (user, item) score is needed to rank exactly; MLlib's
-    blocked ``recommendForUserSubset`` produces the top (k + most seen items) per evaluated user,
-    which always contains the user's top k unseen items (exact, no candidate cap)."""
-    max_seen = train.groupBy("user").count().agg(F.max("count")).first()[0] or 0
-    users = val.join(train.select("user").distinct(), "user", "left_semi").select("user").distinct().join(ui, "user")
-    top = model.recommendForUserSubset(users.select("uid"), int(k + max_seen))
-    flat = top.select("uid", F.posexplode("recommendations").alias("pos", "r")) \
-        .select("uid", F.col("r.iid").alias("iid"), F.col("r.rating").alias("score"), "pos")
-    ranks = flat.join(ui, "uid").join(ii, "iid").select("user", "item", F.col("pos").cast("long").alias("grank"))
+    """recall@k of model scores (ALS, or the SVD factors via ``factor_model``).  Every
+    (user, item) score is needed to rank exactly; the blocked top lists of
+    ``ranked_candidates`` always contain each evaluated user's top k unseen items."""
+    users = val.join(train.select("user").distinct(), "user", "left_semi").select("user")
+    flat = ranked_candidates(model, ui, train, users, k)
+    ranks = flat.join(ii, "iid").select("user", "item", F.col("pos").cast("long").alias("grank"))
     return recall_from_ranks(train, val, ranks, k, per_user_rank=True)
 
 
 def recommend(model, ui: DataFrame, ii: DataFrame, train: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
     """Top-k unseen items for the given users; unknown users get the popularity top-k
     (seen items are not removed there, as nothing is known about them)."""
-    known = users.join(ui, "user")
-    max_seen = train.groupBy("user").count().agg(F.max("count")).first()[0] or 0
-    top = model.recommendForUserSubset(known.select("uid"), int(k + max_seen))
-    flat = top.select("uid", F.posexplode("recommendations").alias("pos", "r")) \
-        .select("uid", F.col("r.iid").alias("iid"), F.col("r.rating").alias("score"), "pos") \
-        .join(ui, "uid").join(ii, "iid")
+    flat = ranked_candidates(model, ui, train, users, k).join(ii, "iid")
     unseen = flat.join(train.select("user", "item"), ["user", "item"], "left_anti")
     from tessera.operators.profile import top_k
-    best = top_k(unseen, ["user"], [F.col("pos")], k, rank_name="rank").select("user", "item", "score", "rank",
+    best = top_k(unseen, ["user"], [F.col("pos")], k, salt_of="item", rank_name="rank").select("user", "item", "score", "rank",
                                                                                  F.lit(False).alias("fallback"))
     unknown = users.join(ui, "user", "left_anti")
     top_pop = popularity(train).where(F.col("grank") < k).collect()  # k <= 1000 rows
