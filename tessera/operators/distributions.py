@@ -422,3 +422,16 @@ def summary_plan(overview: list[dict], strongest_pairs: list[tuple[str, str]], l
         if op and not r["all_missing"]:
             plan.append({"operator": op, "args": {"x": r["column"]}})
     return plan[:limit]
+
+
+def pair_matrix(df: DataFrame, columns: Sequence[str], bins: int = 20, n: int = 2000, seed: int = 42,
+                key: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """A pair matrix (and, for two columns, joint + marginals): equal-width histograms of
+    every column for the diagonal, all from one scan, and one shared priority sample of the
+    columns for every off-diagonal panel."""
+    from tessera.operators.profile import histogram
+    from tessera.operators.sampling import priority_sample
+    cols = list(columns)
+    diagonal = histogram(df, cols, bins=bins)
+    shared = priority_sample(df.select(*(key or []), *cols), n, seed, key)
+    return diagonal, shared

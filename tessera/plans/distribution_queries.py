@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import distributions as D
 from tessera.operators import sampling as S
+from tessera.plans.profile_queries import _hist_sql
 from tessera.plans.registry import LINEITEM_NULLS_SQL, lineitem_with_nulls, register, rounded, table
 
 LI = LINEITEM_NULLS_SQL
@@ -352,6 +353,13 @@ def q_strip(spark, d):
                           ["l_orderkey", "l_linenumber"])
 
 
+@register("D15_pair_matrix_diagonal", _hist_sql("lineitem", ["l_quantity", "l_extendedprice", "l_discount"], bins=20))
+def q_pair_matrix(spark, d):
+    diagonal, _ = D.pair_matrix(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
+                                key=["l_orderkey", "l_linenumber"])
+    return rounded(diagonal, {"lower": 6, "upper": 6})
+
+
 @register("D16_summary_plan")
 def q_summary_plan(spark, d):
     from tessera.operators.associations import association_table, select_pairs, strongest
