@@ -23,6 +23,15 @@ def q_kmeans(spark, d):
     return X.cluster_sizes(assigned)
 
 
+@register("X08_assign_new_rows")
+def q_assign_new(spark, d):
+    """K-means fitted on the training rows assigns the held-out rows (an inductive model)."""
+    from tessera.operators.splitting import SplitConfig, split_assign
+    emb = split_assign(_embeddings(spark, d), SplitConfig("random", 0.8, 0.2, 0.0), "vec_id")
+    model, _ = X.kmeans(emb.where(F.col("split") == "train"), k=10, n_init=2)
+    return X.predict_new(model, "kmeans", emb.where(F.col("split") == "validation")).select("vec_id", "cluster")
+
+
 @register("X02_gaussian_mixture")
 def q_gmm(spark, d):
     emb = table(spark, d, "embeddings")
