@@ -100,6 +100,15 @@ def q_score(spark, d):
     return rounded(scored, {"probability_0": 10, "probability_1": 10})
 
 
+@register("Y02_scoring_counts", f"""
+SELECT CASE WHEN n_chars IS NULL THEN 'excluded_by_preprocessing' ELSE 'predicted' END AS status, count(*) AS count
+FROM {DOCS_Y} x GROUP BY 1""")
+def q_score_counts(spark, d):
+    """Rows scored per status for a batch (one grouped count over the scored table)."""
+    _, scored = _dummy_scored(spark, d)
+    return scored.groupBy("status").agg(F.count(F.lit(1)).alias("count"))
+
+
 @register("Y03_append_predictions", f"""
 WITH t AS (SELECT * FROM {DOCS_Y} x), lab AS (SELECT quality FROM t WHERE quality IS NOT NULL AND n_chars IS NOT NULL),
 pri AS (SELECT quality, count(*) / (SELECT count(*) FROM lab) AS p FROM lab GROUP BY 1),
