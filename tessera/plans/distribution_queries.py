@@ -281,6 +281,14 @@ def q_group_sample(spark, d):
     return S.per_group_sample(c, "c_mktsegment", 5, seed=7, key=["c_custkey"])
 
 
+@register("W01_row_id", """
+SELECT l_orderkey, l_linenumber, l_partkey, row_number() OVER () - 1 AS row_id FROM lineitem""")
+def q_row_id(spark, d):
+    """Zero-based ordinal in file order, from Parquet ``_metadata`` (no sort of the rows)."""
+    li = table(spark, d, "lineitem")
+    return S.with_row_id(li).select("l_orderkey", "l_linenumber", "l_partkey", "row_id")
+
+
 @register("W03_row_views", """
 WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS row_number, count(*) OVER () AS n FROM orders)
 SELECT o_orderkey, row_number, CASE WHEN row_number <= 10 THEN 'first' WHEN row_number > n - 10 THEN 'last'
