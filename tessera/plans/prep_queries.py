@@ -182,6 +182,33 @@ def q_random(spark, d):
     return split_assign(df, SplitConfig("random"), "o_orderkey").select("o_orderkey", "split")
 
 
+@register("U05_split_partition", f"""
+WITH s AS ({_rank_split_sql("orders", "o_orderkey", "o_orderstatus")}),
+tr AS (SELECT o_orderkey FROM s WHERE split = 'train'), va AS (SELECT o_orderkey FROM s WHERE split = 'validation'),
+te AS (SELECT o_orderkey FROM s WHERE split = 'test'),
+u AS (SELECT * FROM tr UNION SELECT * FROM va UNION SELECT * FROM te),
+src AS (SELECT DISTINCT o_orderkey FROM orders)
+SELECT 'source_ids' AS name, count(*) AS value FROM src
+UNION ALL SELECT 'assigned_ids', count(*) FROM u
+UNION ALL SELECT 'overlapping_ids', count(*) FROM ((SELECT * FROM tr INTERSECT SELECT * FROM va)
+  UNION (SELECT * FROM tr INTERSECT SELECT * FROM te) UNION (SELECT * FROM va INTERSECT SELECT * FROM te))
+UNION ALL SELECT 'missing_ids', count(*) FROM (SELECT * FROM src EXCEPT SELECT * FROM u)
+UNION ALL SELECT 'extra_ids', count(*) FROM (SELECT * FROM u EXCEPT SELECT * FROM src)""")
+def q_split_partition(spark, d):
+    """The three splits are disjoint and their union is the source (set operations)."""
+    df = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    s = split_assign(df, SplitConfig("stratified"), "o_orderkey", target="o_orderstatus")
+    tr, va, te = (s.where(F.col("split") == name).select("o_orderkey") for name in ("train", "validation", "test"))
+    src = df.select("o_orderkey").distinct()
+    union = tr.union(va).union(te).distinct()
+    overlap = tr.intersect(va).union(tr.intersect(te)).union(va.intersect(te)).distinct()
+
+    def n(name, frame):
+        return frame.agg(F.count(F.lit(1)).alias("value")).select(F.lit(name).alias("name"), "value")
+    return n("source_ids", src).unionByName(n("assigned_ids", union)).unionByName(n("overlapping_ids", overlap)) \
+        .unionByName(n("missing_ids", src.subtract(union))).unionByName(n("extra_ids", union.subtract(src)))
+
+
 @register("L03_stratified_split", _rank_split_sql("orders", "o_orderkey", "o_orderstatus"))
 def q_stratified(spark, d):
     df = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
