@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import priority
+from tessera.session import cut_lineage
 
 
 def _dist(a: Column, b: Column) -> Column:
@@ -39,6 +40,7 @@ def knn(train: DataFrame, query: DataFrame, k: int, vec: str = "vec", tid: str =
     pd = F.transform(plist, lambda p: _dist(F.col("_v"), p))
     t = t.withColumn("_pd", pd).withColumn("_cell", F.array_position("_pd", F.array_min("_pd")).cast("int") - 1) \
         .withColumn("_r", F.array_min("_pd")).drop("_pd")
+    t = cut_lineage(t)  # cell statistics and both join rounds read it: pivot distances once
     cells = t.groupBy("_cell").agg(F.max("_r").alias("_R"), F.count(F.lit(1)).alias("_n")).collect()  # <= P rows
     radius = {r["_cell"]: float(r["_R"]) for r in cells}
     size = {r["_cell"]: int(r["_n"]) for r in cells}
@@ -56,7 +58,7 @@ def knn(train: DataFrame, query: DataFrame, k: int, vec: str = "vec", tid: str =
 
     def pairs(sel):
         return sel.join(t_small, "_cell").select("_qid", "_tid", _dist(F.col("_qv"), F.col("_v")).alias("distance"))
-    d1 = pairs(first)
+    d1 = cut_lineage(pairs(first))  # feeds the k-th distance bound and the final ranking
     kth = d1.withColumn("_rk", F.row_number().over(Window.partitionBy("_qid").orderBy("distance", "_tid"))) \
         .where(F.col("_rk") == min(k, sum(size.values()))).select("_qid", F.col("distance").alias("_bound"))
     second = qc.where(F.col("_before") >= k).join(kth, "_qid") \
