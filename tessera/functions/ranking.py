@@ -82,7 +82,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], keys: Seq
     """
     keys = list(keys)
     counts = value_counts(df, keys, [value])
-    ranked = cumulative(counts, keys, [value], partitions=partitions)
+    return ranked_quantiles(cumulative(counts, keys, [value], partitions=partitions), value, probs, keys)
+
+
+def ranked_quantiles(ranked: DataFrame, value: str, probs: Sequence[float], keys: Sequence[str] = ()) -> DataFrame:
+    """``exact_quantiles`` from a distinct-value table already ranked by ``cumulative`` (columns
+    keys, value, cnt, before, total), so callers can aggregate other per-value columns from the
+    same materialised table."""
+    keys = list(keys)
     hits = []
     for p in probs:
         h = (F.col("total") - 1).cast("double") * F.lit(float(p))

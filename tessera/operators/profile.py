@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.columns import (finite_or_null, is_finite, is_float, is_missing, is_numeric,
                                        text_length)
-from tessera.functions.ranking import exact_quantiles
+from tessera.functions.ranking import cumulative, exact_quantiles, ranked_quantiles
 
 QUANTILES = (0.05, 0.25, 0.5, 0.75, 0.95)
 QUANTILE_NAMES = ("p5", "q1", "median", "q3", "p95")
@@ -163,9 +163,12 @@ def numeric_quantiles(df: DataFrame, columns: Sequence[str] | None = None,
         .select("column", F.abs(F.col("x") - F.col("median")).alias("d"),
                 ((F.col("x") < F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) |
                  (F.col("x") > F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))).alias("out"))
-    mad = exact_quantiles(dev.select("column", "d"), "d", [0.5], keys=["column"], partitions=partitions) \
-        .select("column", F.col("q").alias("mad"))
-    outl = dev.groupBy("column").agg(F.count_if("out").alias("outliers"), F.count(F.lit(1)).alias("n"))
+    # one pass over the deviations: (column, d) counts carry their outlier counts, so MAD's rank
+    # table (materialised once by the rank core) also yields the outlier totals
+    dev_counts = dev.groupBy("column", "d").agg(F.count(F.lit(1)).alias("cnt"), F.count_if("out").alias("_out"))
+    ranked = cumulative(dev_counts, ["column"], ["d"], partitions=partitions)
+    mad = ranked_quantiles(ranked, "d", [0.5], keys=["column"]).select("column", F.col("q").alias("mad"))
+    outl = ranked.groupBy("column").agg(F.sum("_out").alias("outliers"), F.max("total").alias("n"))
     return wide.join(mad, "column").join(outl, "column").select(
         "column", *QUANTILE_NAMES, (F.col("q3") - F.col("q1")).alias("iqr"), "mad",
         F.col("outliers").cast("bigint").alias("outliers"),
