@@ -1,9 +1,9 @@
 """Session construction and the shared checkpoint folder.
 
-On a cluster the session is built by the platform; ``get_session`` only fills in settings that
-are unset.  Lineage is cut with reliable ``checkpoint()`` into ``spark.checkpoint.dir`` (a shared
-folder named by the cluster); a machine-local folder is only created when nothing is configured,
-which is the local test case.
+On a cluster the session is built by the platform and ``get_session`` returns it unchanged.
+Lineage is cut by writing a Parquet table under ``spark.checkpoint.dir`` (a shared folder named
+by the cluster) and reading it back (``cut_lineage``); a machine-local folder is only created
+when nothing is configured, which is the local test case.
 """
 
 from __future__ import annotations
