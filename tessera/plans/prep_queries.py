@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.operators import transforms as X
 from tessera.operators.splitting import SplitConfig, class_counts, overlap, split_assign
 from tessera.plans.prepare import TaskConfig, eligible_rows, prepare_task
-from tessera.plans.recipe import FittedRecipe, Recipe, fit_recipe
+from tessera.plans.recipe import FittedRecipe, Recipe, fit_recipe, suggest_recipe
 from tessera.plans.registry import LINEITEM_NULLS_SQL, lineitem_with_nulls, register, rounded, table
 
 LI = LINEITEM_NULLS_SQL
@@ -292,6 +292,44 @@ def flagship_recipe() -> Recipe:
     return r.approve_all()
 
 
+R06_COLS = [("doc_id", "numeric"), ("text", "text"), ("lang", "text"), ("source", "text"), ("n_chars", "numeric"),
+            ("quality", "numeric"), ("toxic", "numeric")]
+R06_SRC = "(SELECT d.*, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
+
+
+def _suggest_sql() -> str:
+    per_col = []
+    for i, (c, base) in enumerate(R06_COLS):
+        edge = (f"count(*) FILTER (WHERE {c} <> regexp_replace({c}, '^\\s+|\\s+$', '', 'g'))" if base == "text"
+                else "0")
+        per_col.append(f"SELECT {i} AS ci, '{c}' AS c, '{base}' AS base, count(*) AS n, "
+                       f"count(*) FILTER (WHERE {c} IS NULL) AS m, count(DISTINCT {c}) AS u, {edge} AS e FROM t")
+    js = "'{\"columns\": [\"' || c || '\"]'"
+    return f"""WITH t AS {R06_SRC}, pc AS ({" UNION ALL ".join(per_col)}),
+f AS (SELECT *, CASE WHEN u BETWEEN 1 AND 10 THEN 'category' ELSE base END AS role, u = 1 AND m = 0 AS cand,
+             m = n AND n > 0 AS allm FROM pc),
+g AS (SELECT *, coalesce(sum(cand::INT) OVER (ORDER BY ci ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+                < {len(R06_COLS)} - 1 AND cand AS dropped FROM f WHERE NOT allm),
+s AS (SELECT ci, 0 AS si, 'drop_columns' AS operator, {js} || '}}' AS params, 'constant' AS reason FROM g WHERE dropped
+      UNION ALL SELECT ci, 1, 'normalize_categories', {js} || ', "strip": true}}', 'edge whitespace'
+      FROM g WHERE NOT dropped AND base = 'text' AND e > 0
+      UNION ALL SELECT ci, 2, 'fill_missing', {js} || ', "strategy": "' || CASE WHEN role = 'numeric' THEN 'median'
+      ELSE 'mode' END || '"}}', CASE WHEN role = 'numeric' THEN 'numeric missing' ELSE 'category missing' END
+      FROM g WHERE NOT dropped AND m > 0)
+SELECT CAST(row_number() OVER (ORDER BY ci, si) - 1 AS INTEGER) AS step, operator, params, reason FROM s"""
+
+
+@register("R06_suggest_recipe", _suggest_sql())
+def q_suggest(spark, d):
+    """Steps suggested from the full-data profile of labelled documents (labels joined left)."""
+    import json
+    docs = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id", "left") \
+        .select(*[c for c, _ in R06_COLS])
+    recipe = suggest_recipe(docs)
+    rows = [(i, st.name, json.dumps(st.params, sort_keys=True), st.reason) for i, st in enumerate(recipe.steps)]
+    return spark.createDataFrame(rows, "step int, operator string, params string, reason string")
+
+
 @register("R09_prepare_task", f"""WITH s AS ({_rank_split_sql(ORDERS_NULLS_SQL, "o_orderkey", "o_orderstatus")}),
 j AS (SELECT o.*, s.split FROM {ORDERS_NULLS_SQL} o JOIN s USING (o_orderkey)),
 m AS (SELECT quantile_cont(o_totalprice, 0.5) AS med FROM j WHERE split = 'train')
