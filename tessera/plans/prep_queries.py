@@ -330,6 +330,45 @@ def q_suggest(spark, d):
     return spark.createDataFrame(rows, "step int, operator string, params string, reason string")
 
 
+def _change_report_sql() -> str:
+    # (column, type before, type after, expression in b, expression in a, change)
+    cols = [("o_orderkey", "bigint", "bigint", "o_orderkey", "o_orderkey", "kept"),
+            ("o_custkey", "bigint", "bigint", "o_custkey", "o_custkey", "kept"),
+            ("o_orderstatus", "string", None, "o_orderstatus", None, "removed"),
+            ("o_totalprice", "double", "double", "o_totalprice", "o_totalprice", "kept"),
+            ("o_orderdate", "timestamp_ntz", "timestamp_ntz", "o_orderdate", "o_orderdate", "kept"),
+            ("o_orderpriority", "string", None, "o_orderpriority", None, "removed"),
+            ("status", None, "string", None, "status", "added")]
+    parts = []
+    for c, tb, ta, eb, ea, ch in cols:
+        mb = f"(SELECT count(*) FILTER (WHERE {eb} IS NULL) FROM b)" if eb else "CAST(NULL AS BIGINT)"
+        ma = f"(SELECT count(*) FILTER (WHERE {ea} IS NULL) FROM a)" if ea else "CAST(NULL AS BIGINT)"
+        tbs = f"'{tb}'" if tb else "CAST(NULL AS VARCHAR)"
+        tas = f"'{ta}'" if ta else "CAST(NULL AS VARCHAR)"
+        parts.append(f"SELECT '{c}' AS \"column\", {tbs} AS type_before, {tas} AS type_after, {mb} AS missing_before, "
+                     f"{ma} AS missing_after, '{ch}' AS change")
+    return f"""WITH b AS {ORDERS_NULLS_SQL},
+a AS (SELECT o_orderkey, o_custkey, o_orderstatus AS status, o_totalprice, o_orderdate FROM b
+      WHERE o_totalprice IS NOT NULL AND NOT isnan(o_totalprice)),
+r AS ({" UNION ALL ".join(parts)})
+SELECT r.*, (SELECT count(*) FROM b) AS rows_before, (SELECT count(*) FROM a) AS rows_after,
+       (SELECT count(*) FROM b) - (SELECT count(*) FROM a) AS rows_removed FROM r"""
+
+
+@register("R07_change_report", _change_report_sql())
+def q_change_report(spark, d):
+    """What a recipe did -- rows removed, columns added / removed, missing cells and types."""
+    from tessera.plans.recipe import change_report
+    before = orders_with_nulls(spark, d).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+                                                "o_orderdate", "o_orderpriority")
+    r = Recipe()
+    r.add("drop_missing", columns=["o_totalprice"])
+    r.add("rename_columns", columns=["o_orderstatus"], names=["status"])
+    r.add("drop_columns", columns=["o_orderpriority"])
+    after = fit_recipe(r.approve_all(), before).apply(before)
+    return change_report(before, after)
+
+
 @register("R09_prepare_task", f"""WITH s AS ({_rank_split_sql(ORDERS_NULLS_SQL, "o_orderkey", "o_orderstatus")}),
 j AS (SELECT o.*, s.split FROM {ORDERS_NULLS_SQL} o JOIN s USING (o_orderkey)),
 m AS (SELECT quantile_cont(o_totalprice, 0.5) AS med FROM j WHERE split = 'train')
