@@ -382,6 +382,18 @@ def q_prepare(spark, d):
     return rounded(prepared.frame, {"o_totalprice": 6})
 
 
+@register("R01_fit_in_order", f"""WITH t AS (SELECT l_orderkey, l_linenumber, lower(l_linestatus) AS s FROM {LI} x),
+m AS (SELECT s FROM t WHERE s IS NOT NULL GROUP BY s ORDER BY count(*) DESC, s LIMIT 1)
+SELECT l_orderkey, l_linenumber, coalesce(t.s, m.s) AS l_linestatus FROM t, m""")
+def q_fit_in_order(spark, d):
+    """The mode is learned on values already lower-cased by the step before it."""
+    df = lineitem_with_nulls(spark, d).select("l_orderkey", "l_linenumber", "l_linestatus")
+    r = Recipe()
+    r.add("normalize_categories", columns=["l_linestatus"], case="lower")
+    r.add("fill_missing", columns=["l_linestatus"], strategy="mode")
+    return fit_recipe(r.approve_all(), df).apply(df)
+
+
 @register("R02_apply_fitted_recipe", f"""WITH m AS (SELECT avg(l_quantity) AS mq FROM {LI} a WHERE l_linenumber <= 3)
 SELECT l_orderkey, l_linenumber, round(coalesce(l_quantity, mq), 6) AS l_quantity, lower(l_returnflag) AS l_returnflag
 FROM {LI} t, m""")
