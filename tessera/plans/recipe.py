@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -201,12 +200,12 @@ def suggest_recipe(df: DataFrame, protected: tuple[str, ...] = (), overview: Dat
     return recipe
 
 
-def next_version_path(base: str) -> str:
-    """``base/vN`` with N = max existing + 1; never overwrites."""
-    existing = []
-    if os.path.isdir(base):
-        existing = [int(n[1:]) for n in os.listdir(base) if n.startswith("v") and n[1:].isdigit()]
-    return os.path.join(base, f"v{max(existing, default=0) + 1}")
+def next_version_path(spark, base: str) -> str:
+    """``base/vN`` with N = max existing + 1; never overwrites.  Listed through the Hadoop
+    FileSystem of the session, so ``base`` may be on shared cluster storage."""
+    from tessera.sources.readers import list_names
+    existing = [int(n[1:]) for n in list_names(spark, base) if n.startswith("v") and n[1:].isdigit()]
+    return base.rstrip("/") + f"/v{max(existing, default=0) + 1}"
 
 
 def execute_recipe(recipe: Recipe, df: DataFrame, output_base: str, fit_source: DataFrame | None = None,
@@ -219,10 +218,10 @@ def execute_recipe(recipe: Recipe, df: DataFrame, output_base: str, fit_source:
         raise ValueError("Learned steps need an explicit fit source")
     fitted = fit_recipe(recipe, fit_source if fit_source is not None else df)
     out = fitted.apply(df)
-    path = next_version_path(output_base)
-    from tessera.sources.readers import write_parquet
+    spark = df.sparkSession
+    path = next_version_path(spark, output_base)
+    from tessera.sources.readers import write_parquet, write_text_file
     rows = write_parquet(out, path, [partition_by] if partition_by else ())
     meta = {"recipe_fingerprint": recipe.fingerprint(), "fitted": fitted.to_dict(), "rows": rows, "path": path}
-    with open(path + ".json", "x", encoding="utf-8") as fh:
-        json.dump(meta, fh, sort_keys=True, default=str)
+    write_text_file(spark, path + ".json", json.dumps(meta, sort_keys=True, default=str))
     return meta

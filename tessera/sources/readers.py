@@ -150,6 +150,31 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     return int(df.sparkSession.read.parquet(path).count())
 
 
+def _hadoop_path(spark, path: str):
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jp.getFileSystem(spark._jsc.hadoopConfiguration()), jp
+
+
+def list_names(spark, base: str) -> list[str]:
+    """Entry names directly under ``base`` on any Hadoop-supported storage ([] when absent)."""
+    fs, p = _hadoop_path(spark, base)
+    if not fs.exists(p):
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p)]
+
+
+def write_text_file(spark, path: str, text: str) -> None:
+    """Create one small text file (a sidecar) on any Hadoop-supported storage; never overwrites."""
+    fs, p = _hadoop_path(spark, path)
+    if fs.exists(p):
+        raise FileExistsError(path)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header into a new folder of part files."""
     df.write.mode("errorifexists").option("header", True).csv(path)

@@ -129,3 +129,24 @@ def test_priority_sample_breaks_key_ties_by_value(spark):
     g1 = per_group_sample(df.repartition(1), "grp", 5, 42, ["k"]).collect()
     g6 = per_group_sample(df.repartition(6, "x"), "grp", 5, 42, ["k"]).collect()
     assert sorted(g1) == sorted(g6)
+
+
+def test_execute_recipe_versions_and_sidecar(spark):
+    import json
+    import uuid
+
+    from tessera.plans.recipe import execute_recipe
+    from tessera.session import checkpoint_dir
+    base = checkpoint_dir(spark).rstrip("/") + "/recipe-test-" + uuid.uuid4().hex
+    df = spark.createDataFrame([(1, 2.0), (2, None), (3, 4.0)], "id long, x double")
+    r = Recipe()
+    r.add("fill_missing", columns=["x"], strategy="mean")
+    r.approve_all()
+    with pytest.raises(ValueError):
+        execute_recipe(r, df, base)  # a learned step needs an explicit fit source
+    m1 = execute_recipe(r, df, base, fit_source=df)
+    m2 = execute_recipe(r, df, base, fit_source=df)
+    assert m1["path"].endswith("/v1") and m2["path"].endswith("/v2") and m1["rows"] == 3
+    assert sorted(spark.read.parquet(m2["path"]).collect()) == [(1, 2.0), (2, 3.0), (3, 4.0)]
+    side = json.loads("".join(r.value for r in spark.read.text(m1["path"] + ".json").collect()))
+    assert side["rows"] == 3 and side["path"] == m1["path"]
