@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from tessera.streaming import streams as T
 
 
 def _scratch(spark, name):
-    return os.path.join(checkpoint_dir(spark).replace("file:", ""), "outputs", f"{name}-{uuid.uuid4().hex}")
+    return checkpoint_dir(spark).rstrip("/") + f"/outputs/{name}-{uuid.uuid4().hex}"
 
 
 @register("S03_parquet_scan_projection", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
@@ -47,7 +46,7 @@ def q_csv_sink(spark, d):
     path = _scratch(spark, "orders-csv")
     cols = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
     S.write_csv(table(spark, d, "orders").select(*cols), path)
-    back = S.open_dataset(spark, [os.path.join(path, f) for f in sorted(os.listdir(path)) if f.endswith(".csv")],
+    back = S.open_dataset(spark, [path + "/" + f for f in sorted(S.list_names(spark, path)) if f.endswith(".csv")],
                           fmt="csv", dtype={"o_orderkey": "bigint", "o_custkey": "bigint", "o_totalprice": "double"})
     return back.select(*cols)
 

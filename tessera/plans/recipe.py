@@ -120,14 +120,15 @@ class FittedRecipe:
                 raise ValueError(f"Unknown transform {s['name']!r}")
         return cls(list(data["steps"]), list(data["states"]), list(data["input_columns"]))
 
-    def save(self, path: str) -> None:
-        with open(path, "x", encoding="utf-8") as fh:
-            json.dump(self.to_dict(), fh, sort_keys=True, default=str)
+    def save(self, spark, path: str) -> None:
+        """The JSON form as one new file (local or shared cluster storage)."""
+        from tessera.sources.readers import write_text_file
+        write_text_file(spark, path, json.dumps(self.to_dict(), sort_keys=True, default=str))
 
     @classmethod
-    def load(cls, path: str) -> FittedRecipe:
-        with open(path, encoding="utf-8") as fh:
-            return cls.from_dict(json.load(fh))
+    def load(cls, spark, path: str) -> FittedRecipe:
+        text = spark.read.text(path, wholetext=True).first()  # one small file
+        return cls.from_dict(json.loads(text[0]))
 
 
 def fit_recipe(recipe: Recipe, df: DataFrame) -> FittedRecipe:

@@ -7,7 +7,6 @@ Multiple files must share the same *set* of column names (order free) and are co
 
 from __future__ import annotations
 
-import glob as globmod
 import json
 import os
 from collections.abc import Sequence
@@ -20,26 +19,54 @@ SUPPORTED = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".parquet": "parquet",
              ".jsonl": "json", ".ndjson": "json", ".orc": "orc"}
 
 
-def resolve_paths(source: str | Sequence[str]) -> list[str]:
-    """A file, a folder (its top-level supported files, sorted), a glob, or a list."""
+def _hadoop_path(spark, path: str):
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jp.getFileSystem(spark._jsc.hadoopConfiguration()), jp
+
+
+def list_names(spark, base: str) -> list[str]:
+    """Entry names directly under ``base`` on any Hadoop-supported storage ([] when absent)."""
+    fs, p = _hadoop_path(spark, base)
+    if not fs.exists(p):
+        return []
+    return [st.getPath().getName() for st in fs.listStatus(p)]
+
+
+def write_text_file(spark, path: str, text: str) -> None:
+    """Create one small text file (a sidecar) on any Hadoop-supported storage; never overwrites."""
+    fs, p = _hadoop_path(spark, path)
+    if fs.exists(p):
+        raise FileExistsError(path)
+    out = fs.create(p, False)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+
+
+def resolve_paths(spark: SparkSession, source: str | Sequence[str]) -> list[str]:
+    """A file, a folder (its top-level supported files, sorted), a glob, or a list -- listed
+    through the session's Hadoop FileSystem, so shared cluster storage works like a local disk."""
     if isinstance(source, (list, tuple)):
         out = []
         for s in source:
-            out.extend(resolve_paths(s))
+            out.extend(resolve_paths(spark, s))
         return out
-    if os.path.isdir(source):
-        files = [os.path.join(source, f) for f in sorted(os.listdir(source))
-                 if os.path.splitext(f)[1].lower() in SUPPORTED and not f.startswith((".", "_"))]
-        if not files:
-            raise ValueError(f"No supported files in {source}")
-        return files
+    fs, p = _hadoop_path(spark, source)
     if any(ch in source for ch in "*?["):
-        files = sorted(globmod.glob(source))
+        found = fs.globStatus(p) or []
+        files = sorted(st.getPath().toString() for st in found)
         if not files:
             raise ValueError(f"No files match {source}")
         return files
-    if "://" not in source and not os.path.exists(source):
+    if not fs.exists(p):
         raise FileNotFoundError(source)
+    if fs.getFileStatus(p).isDirectory():
+        files = [source.rstrip("/") + "/" + f for f in sorted(list_names(spark, source))
+                 if os.path.splitext(f)[1].lower() in SUPPORTED and not f.startswith((".", "_"))]
+        if not files:
+            raise ValueError(f"No supported files in {source}")
+        return files
     return [source]
 
 
@@ -77,7 +104,7 @@ def open_dataset(spark: SparkSession, source, fmt: str | None = None, dtype: dic
                  csv_options: dict | None = None, schema: T.StructType | None = None,
                  multiline_json: bool = False) -> DataFrame:
     """Lazy frame over one or more files with a checked common column set."""
-    paths = resolve_paths(source)
+    paths = resolve_paths(spark, source)
     frames = []
     for p in paths:
         kind = fmt or SUPPORTED.get(os.path.splitext(p)[1].lower())
@@ -150,31 +177,6 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     return int(df.sparkSession.read.parquet(path).count())
 
 
-def _hadoop_path(spark, path: str):
-    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jp.getFileSystem(spark._jsc.hadoopConfiguration()), jp
-
-
-def list_names(spark, base: str) -> list[str]:
-    """Entry names directly under ``base`` on any Hadoop-supported storage ([] when absent)."""
-    fs, p = _hadoop_path(spark, base)
-    if not fs.exists(p):
-        return []
-    return [st.getPath().getName() for st in fs.listStatus(p)]
-
-
-def write_text_file(spark, path: str, text: str) -> None:
-    """Create one small text file (a sidecar) on any Hadoop-supported storage; never overwrites."""
-    fs, p = _hadoop_path(spark, path)
-    if fs.exists(p):
-        raise FileExistsError(path)
-    out = fs.create(p, False)
-    try:
-        out.write(bytearray(text.encode("utf-8")))
-    finally:
-        out.close()
-
-
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header into a new folder of part files."""
     df.write.mode("errorifexists").option("header", True).csv(path)

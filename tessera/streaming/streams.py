@@ -12,7 +12,6 @@ it (so a restarted driver resumes), and returns the result as a batch frame.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +28,10 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
     reader = spark.readStream.schema(schema)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    if os.path.isfile(path):
-        folder, name = os.path.split(path)
-        return reader.option("pathGlobFilter", name).parquet(folder)
+    from tessera.sources.readers import _hadoop_path
+    fs, p = _hadoop_path(spark, path)
+    if fs.exists(p) and fs.getFileStatus(p).isFile():
+        return reader.option("pathGlobFilter", p.getName()).parquet(p.getParent().toString())
     return reader.parquet(path)
 
 
@@ -39,7 +39,7 @@ def run_available(stream: DataFrame, mode: str = "append", name: str | None = No
     """Run to completion over the data available now; ``complete`` mode overwrites the output
     with each batch's full result table, ``append``/``update`` append batch outputs."""
     spark = stream.sparkSession
-    base = os.path.join(checkpoint_dir(spark).replace("file:", ""), "streams", name or uuid.uuid4().hex)
+    base = checkpoint_dir(spark).rstrip("/") + "/streams/" + (name or uuid.uuid4().hex)
     out_path, ckpt = base + "/data", base + "/checkpoint"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -50,7 +50,9 @@ def run_available(stream: DataFrame, mode: str = "append", name: str | None = No
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return spark.read.schema(stream.schema).parquet(out_path) if os.path.exists(out_path) \
+    from tessera.sources.readers import _hadoop_path
+    fs, p = _hadoop_path(spark, out_path)
+    return spark.read.schema(stream.schema).parquet(out_path) if fs.exists(p) \
         else spark.createDataFrame([], stream.schema)
 
 

@@ -150,3 +150,33 @@ def test_execute_recipe_versions_and_sidecar(spark):
     assert sorted(spark.read.parquet(m2["path"]).collect()) == [(1, 2.0), (2, 3.0), (3, 4.0)]
     side = json.loads("".join(r.value for r in spark.read.text(m1["path"] + ".json").collect()))
     assert side["rows"] == 3 and side["path"] == m1["path"]
+
+
+def test_open_dataset_folder_glob_list_and_recipe_file(spark):
+    import uuid
+
+    from tessera.plans.recipe import FittedRecipe, fit_recipe
+    from tessera.session import checkpoint_dir
+    from tessera.sources.readers import open_dataset
+    base = checkpoint_dir(spark).rstrip("/") + "/sources-" + uuid.uuid4().hex
+    a = spark.createDataFrame([(1, "x")], "id long, s string")
+    b = spark.createDataFrame([("y", 2)], "s string, id long")  # same name set, other order
+    a.coalesce(1).write.parquet(base + "/in/a")
+    b.coalesce(1).write.parquet(base + "/in/b")
+    part_a = [n for n in spark.read.text(base + "/in/a").inputFiles() if n.endswith(".parquet")][0]
+    part_b = [n for n in spark.read.text(base + "/in/b").inputFiles() if n.endswith(".parquet")][0]
+    by_list = open_dataset(spark, [part_a, part_b])
+    assert sorted(by_list.select("id", "s").collect()) == [(1, "x"), (2, "y")]
+    by_glob = open_dataset(spark, base + "/in/*/*.parquet")
+    assert by_glob.count() == 2
+    by_folder = open_dataset(spark, base + "/in/a")
+    assert by_folder.collect() == [(1, "x")]
+    with pytest.raises(FileNotFoundError):
+        open_dataset(spark, base + "/missing.parquet")
+    r = Recipe()
+    r.add("fill_missing", columns=["id"], strategy="mean")
+    fitted = fit_recipe(r.approve_all(), a)
+    fitted.save(spark, base + "/recipe.json")
+    assert FittedRecipe.load(spark, base + "/recipe.json").to_dict() == fitted.to_dict()
+    with pytest.raises(FileExistsError):
+        fitted.save(spark, base + "/recipe.json")
