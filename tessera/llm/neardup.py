@@ -10,8 +10,8 @@ How work stays linear in groups of copies, without losing a link between differe
 * equal sets fall into one class first (an aggregate with map-side combine), the smallest id stands
   for it;
 * a document is listed only under its rarest retained values: two sets with similarity of 3/4 share so
-  many retained values that their rarest ones cannot all differ (``prefix_size``), hence values
-  of passages that many unrelated documents share make no candidates;
+  many retained values that their rarest ones cannot all differ (``least_shared``, ``can_meet``), hence
+  values of passages that many unrelated documents share make no candidates;
 * inside a list no pairs are enumerated: one hub is tested against every member (then 16, 64, ...
   hubs a round), confirmed links merge components, a hub leaves its lists after its round,
   and a list ends as soon as its members lie in one component.
@@ -31,31 +31,56 @@ from tessera.llm.text import Words, checked_broadcast, text_chunks
 from tessera.session import cut_lineage
 
 WORDS = 5
-SKETCH = 128
+SKETCH = 192
 #: chance that a linked pair shares fewer retained values than the candidate search counts on
-MISS = 1e-12
-
-
-def _least_shared(k: int = SKETCH, share: float = 0.75, miss: float = MISS) -> int:
-    """Retained values that a pair of similarity ``share`` has in common but for a chance ``miss``
-    (binomial tail; the true, hypergeometric one is lighter)."""
-    tail, m = 0.0, 0
-    while True:
-        tail += math.comb(k, m) * share**m * (1 - share) ** (k - m)
+MISS = 1e-9
+
+
+def _least_shared(n: int, k: int, share: float = 0.75, miss: float = MISS) -> int:
+    """Retained values that a set of n items, more than a sketch of k holds of some partner, has in common with any set of
+    similarity ``share`` but for a chance ``miss``: the lower tail of k draws from the largest possible union
+    (n / share items, n of them common)."""
+    union = int(n / share)
+    common = int(share * union)
+    log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    tail, m = 0.0, max(0, k - (union - common))
+    while m < k:
+        tail += math.exp(log(common, m) + log(union - common, k - m) - log(union, k))
         if tail > miss:
-            return m
+            break
         m += 1
+    return m
+
+
+#: set sizes from here on count as this one (the tail of an endless union is hardly lighter)
+LARGE = 2048
+
+
+def shared_bounds(k: int = SKETCH) -> list[int]:
+    """For set sizes 0 to LARGE: how many retained values a linked pair surely (but for MISS) shares."""
+    exact = [math.ceil(0.75 * n) for n in range(LARGE + 1)]
+    return [need if need <= int(0.75 * k) else min(_least_shared(n, k), need) for n, need in enumerate(exact)]
+
+
+BOUNDS = shared_bounds()
+LEAST_SHARED = BOUNDS[-1]
 
 
-LEAST_SHARED = _least_shared()
+def least_shared(n: Column, k: int = SKETCH) -> Column:
+    """How many retained values a set of size n surely shares with any linked partner."""
+    bounds = BOUNDS if k == SKETCH else shared_bounds(k)
+    return F.element_at(F.array(*map(F.lit, bounds)), F.least(n, F.lit(LARGE)) + 1)
 
 
-def prefix_size(n: Column, k: int = SKETCH) -> Column:
-    """How many of its rarest retained values a set of size n must be listed under.  Sets that lie in
-    their sketch whole, as their partners do, follow the exact bound; others the sampled one."""
-    need = F.ceil(n * 0.75).cast("int")
-    kept = F.least(n, F.lit(k))
-    return F.when(need <= int(0.75 * k), n - need + 1).otherwise(kept - LEAST_SHARED + 1)
+def can_meet(a: str, b: str, k: int = SKETCH) -> Column:
+    """Whether two sets (columns a_n, a_at, a_least and those of b: size, place of a common retained value in
+    the set's rarest-first order, ``least_shared``) can be linked and have that value as the first that they share: behind it, both must
+    hold enough values.  Linked sets that lie in their sketches whole share 3/7 of their sizes' sum."""
+    n = lambda s: F.col(f"{s}_n")
+    whole = (n(a) <= k) & (n(b) <= k)
+    need = F.when(whole, F.ceil((n(a) + n(b)) * 3 / 7 - 1e-9)).otherwise(F.greatest(f"{a}_least", f"{b}_least"))
+    room = lambda s: F.least(n(s), F.lit(k)) - F.col(f"{s}_at") + 1
+    return (4 * F.least(n(a), n(b)) >= 3 * F.greatest(n(a), n(b))) & (room(a) >= need) & (room(b) >= need)
 
 
 def _sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -147,7 +172,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
     common = F.size(F.array_intersect(union, F.array_intersect("sa", "sb")))
     size = F.size(union)
     whole = (F.col("na") <= k) & (F.col("nb") <= k) & (F.size(F.array_union("sa", "sb")) <= k)
-    near = F.when(whole, common * 4 >= size * 3).otherwise(common >= F.least(F.lit(LEAST_SHARED), F.ceil(size * 0.5)))
+    near = F.when(whole, common * 4 >= size * 3).otherwise(common >= LEAST_SHARED)
     left = cut_lineage(both.where(near).select("a", "b", "na", "nb", "da", "db"))
     ends = cut_lineage(left.select(F.col("a").alias("node"), F.col("da").alias("digest")).unionByName(
         left.select(F.col("b").alias("node"), F.col("db").alias("digest"))).distinct())
@@ -179,31 +204,36 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     shared = (listed.join(frequent, "value").groupBy("node")
               .agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v")))
     single = F.least("n", F.lit(k)) - F.size("v")  # values no other document retains come first
-    room = F.greatest(prefix_size(F.col("n"), k) - single, F.lit(0)).cast("int")
-    lists = cut_lineage(shared.select("node", "n", F.explode(F.slice("v", F.lit(1), room)).alias("e"))
-                        .select("node", "n", F.col("e.value").alias("value")))
+    least = least_shared(F.col("n"), k)
+    room = F.greatest(F.least("n", F.lit(k)) - least + 1 - single, F.lit(0)).cast("int")
+    lists = cut_lineage(
+        shared.select("node", "n", least.alias("least"), single.alias("s"), F.posexplode(F.slice("v", F.lit(1), room)).alias("i", "e"))
+        .select("node", "n", "least", (F.col("s") + F.col("i") + 1).alias("at"), F.col("e.value").alias("value")))
     links, labels, hubs = None, None, 1
     while True:
         here = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(
             labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = here.groupBy("value").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y")
+        split = here.groupBy("value").agg(
+            F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"),
+            F.bit_xor(F.xxhash64("node", "at")).alias("h"), F.bit_xor(F.xxhash64("node", "at", F.lit(1))).alias("i")).where("x < y")
+        split = split.groupBy("x", "y", "n", "h", "i").agg(F.min("value").alias("value"))  # of equal lists, one
         here = cut_lineage(here.join(split.select("value"), "value"))
         if here.isEmpty():
             break
+        # the member with the fewest rare values is the likeliest to be what the others were copied from
         chosen = here.groupBy("value", F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("turn")).agg(
-            F.min(F.struct("node", "n", "comp")).alias("hub"))
-        chosen = cut_lineage(chosen.select("value", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"),
-                                           F.col("hub.comp").alias("hub_comp")))
-        pairs = (here.join(chosen, "value")
-                 .where("comp <> hub_comp and 4 * least(n, hub_n) >= 3 * greatest(n, hub_n)")
-                 .select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct())
+            F.min(F.struct("at", "node", "n", "least", "comp")).alias("h"))
+        chosen = cut_lineage(chosen.select("value", *(F.col(f"h.{c}").alias(f"hub_{c}") for c in ("node", "n", "least", "at", "comp"))))
+        own = here.select("value", F.col("node").alias("own_node"), F.col("n").alias("own_n"), F.col("least").alias("own_least"),
+                          F.col("at").alias("own_at"), F.col("comp").alias("own_comp"))
+        pairs = (own.join(chosen, "value").where("own_comp <> hub_comp").where(can_meet("own", "hub", k))
+                 .select(F.least("own_node", "hub_node").alias("a"), F.greatest("own_node", "hub_node").alias("b")).distinct())
         found = cut_lineage(_confirmed(pairs, classes, docs, k))
         if not found.isEmpty():
             links = found if links is None else labels.select(
                 F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
             labels = cut_lineage(components(links))
-        lists = here.join(chosen.select("value", F.col("hub").alias("node")), ["value", "node"], "left_anti").select(
-            "node", "n", "value")
+        lists = here.join(chosen.select("value", F.col("hub_node").alias("node")), ["value", "node"], "left_anti").drop("comp")
         hubs = 16 if hubs == 1 else hubs * 4
     member = classes.select("digest", F.col("node").alias("own"))
     out = rows.select("doc_id", "n", "digest").join(member, "digest", "left")
