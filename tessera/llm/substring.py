@@ -22,7 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.text import Words, as_long, checked_broadcast, row_key, text_chunks
@@ -82,29 +82,25 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
     def run(batches):
         for part, texts in text_chunks(batches):
             words = Words(texts)
-            keys, starts, owners, weights, hashes = [], [], [], [], []
-            for i, opened in enumerate(part.column(2).to_pylist()):
-                for p in opened:
-                    s = np.arange(p["a"], p["b"] + 1)
-                    at = s + words.first[i]
-                    keys.append(np.full(len(s), part.column(0)[i].as_py(), np.int64))
-                    starts.append(s)
-                    owners.append(np.full(len(s), p["owner"], np.int64))
-                    weights.append(np.full(len(s), 2 if p["whole"] else 1, np.int64))
-                    hashes.append(words.runs(at, at + window))
-            if keys:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys)), pa.array(np.concatenate(starts).astype(np.int32)),
-                     pa.array(np.concatenate(owners)), pa.array(np.concatenate(weights)),
-                     as_long(np.concatenate(hashes))], names=["key", "a", "owner", "weight", "hash"])
+            own = [(i, p["a"], p["b"], p["owner"], 2 if p["whole"] else 1)
+                   for i, opened in enumerate(part.column(2).to_pylist()) for p in opened]
+            doc, a, b, owner, weight = np.array(own, np.int64).reshape(-1, 5).T
+            each = b - a + 1
+            start = np.repeat(a - np.cumsum(each) + each, each) + np.arange(each.sum())
+            at = start + words.first[np.repeat(doc, each)]
+            key = np.asarray(part.column(0))[np.repeat(doc, each)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(start.astype(np.int32)), pa.array(np.repeat(owner, each)),
+                 pa.array(np.repeat(weight, each)), as_long(words.runs(at, at + window))],
+                names=["key", "a", "owner", "weight", "hash"])
 
     return docs.select("key", "text", "opened").mapInArrow(
         run, "key long, a int, owner long, weight long, hash long")
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) -> DataFrame:
-    """key and spans (array of structs a, e: words a to e - 1 lie in repeated windows; spans may overlap) for
-    each row of ``docs`` (key, text) that has any.  A row's spans number at most its windows."""
+    """key and spans (array of structs a, e: words a to e - 1 lie in repeated windows) for each row of ``docs``
+    (key, text) that has any.  Overlapping spans of a row are joined, so they are few."""
     every = cut_lineage(paths(docs, window, owner))
     met = every.groupBy("owner").agg(F.count("*").alias("met")).where("met > 1").select("owner")
     every = cut_lineage(every.join(met, "owner"))
@@ -118,14 +114,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) ->
         F.collect_list(F.struct(F.col("at.a").alias("a"), F.col("at.b").alias("b"), "owner",
                                 (F.col("times") > 1).alias("whole"))).alias("opened")))
     # repeated rows share a key: their paths repeat as a whole, one of them stands for all
-    single = cut_lineage(_windows(docs.join(checked_broadcast(opened), "key").dropDuplicates(["key"])
-                                  if _has_repeats(every, docs) else docs.join(checked_broadcast(opened), "key"),
+    single = cut_lineage(_windows(docs.join(checked_broadcast(opened, items="opened"), "key").dropDuplicates(["key"])
+                                  if _has_repeats(every, docs) else docs.join(checked_broadcast(opened, items="opened"), "key"),
                                   window))
     again = single.groupBy("owner", "hash").agg(F.sum("weight").alias("w")).where("w > 1").select("owner", "hash")
     partial = single.where("weight = 1").join(again, ["owner", "hash"]).select(
         "key", "a", (F.col("a") + window).alias("e"))
-    return (whole.unionByName(partial).distinct().groupBy("key")
-            .agg(F.array_sort(F.collect_list(F.struct("a", "e"))).alias("spans")))
+    order = Window.partitionBy("key").orderBy("a", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    runs = (whole.unionByName(partial).withColumn("new", F.when(F.col("a") <= reach, 0).otherwise(1))
+            .withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+            .groupBy("key", "run").agg(F.min("a").alias("a"), F.max("e").alias("e")))
+    return runs.groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
 
 
 def _has_repeats(every: DataFrame, docs: DataFrame) -> bool:
@@ -154,7 +154,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> Da
     are copies of each other and lose every window.  Other columns are ignored."""
     keyed = docs.select("doc_id", "text", row_key().alias("key"))
     spans = cut_lineage(repeated_spans(keyed.select("key", "text"), window))
-    joined = keyed.join(checked_broadcast(spans, 100_000), "key", "left").select("doc_id", "text", "spans")
+    joined = keyed.join(checked_broadcast(spans, items="spans"), "key", "left").select("doc_id", "text", "spans")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts
 
     def run(batches):
