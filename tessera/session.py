@@ -72,4 +72,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = checkpoint_dir(spark).rstrip("/") + "/tables/" + uuid.uuid4().hex
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out._written_path = path
+    return out
+
+
+def release(*frames: DataFrame | None) -> None:
+    """Delete the tables behind frames that ``cut_lineage`` returned, once nothing reads them any
+    more (frames that it did not return are left alone)."""
+    for df in frames:
+        path = getattr(df, "_written_path", None)
+        if path is not None:
+            jvm = df.sparkSession._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+            df._written_path = None
