@@ -12,9 +12,11 @@ How work stays linear in groups of copies, without losing a link between differe
 * a document is listed only under its rarest retained values: two sets with similarity of 3/4 share so
   many retained values that their rarest ones cannot all differ (``least_shared``, ``can_meet``), hence
   values of passages that many unrelated documents share make no candidates;
-* inside a list no pairs are enumerated: one hub is tested against every member (then 16, 64, ...
-  hubs a round), confirmed links merge components, a hub leaves its lists after its round,
-  and a list ends as soon as its members lie in one component.
+* inside a list no pairs are enumerated: one hub is tested against every member, confirmed links merge
+  components, a hub leaves its lists after its round, and a list ends as soon as its members lie in one
+  component;
+* documents of the lists that remain go on with whole sets instead of sketches, whose bounds are
+  exact, so texts that share much, but not enough, seldom meet again (16, 64, ... hubs a round).
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import Words, checked_broadcast, text_chunks
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, release
 
 WORDS = 5
-SKETCH = 192
+SKETCH = 128
 #: chance that a linked pair shares fewer retained values than the candidate search counts on
 MISS = 1e-9
 
@@ -52,6 +54,8 @@ def _least_shared(n: int, k: int, share: float = 0.75, miss: float = MISS) -> in
     return m
 
 
+#: as a sketch size: sets are kept whole
+WHOLE = 1 << 30
 #: set sizes from here on count as this one (the tail of an endless union is hardly lighter)
 LARGE = 2048
 
@@ -68,6 +72,8 @@ LEAST_SHARED = BOUNDS[-1]
 
 def least_shared(n: Column, k: int = SKETCH) -> Column:
     """How many retained values a set of size n surely shares with any linked partner."""
+    if k >= WHOLE:
+        return F.ceil(n * 3 / 4 - 1e-9).cast("int")
     bounds = BOUNDS if k == SKETCH else shared_bounds(k)
     return F.element_at(F.array(*map(F.lit, bounds)), F.least(n, F.lit(LARGE)) + 1)
 
@@ -163,6 +169,33 @@ def components(edges: DataFrame) -> DataFrame:
         links.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
 
 
+def _sets_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, digest, items (the full set) of the given classes (node, digest)."""
+    nodes = cut_lineage(nodes.distinct())
+    wanted = docs.select("doc_id", "text").join(
+        checked_broadcast(nodes.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi")
+    full = cut_lineage(_full_sets(wanted).join(checked_broadcast(nodes), ["node", "digest"], "left_semi")
+                       .dropDuplicates(["node", "digest"]))
+    release(nodes)
+    return full
+
+
+def _listed(sets: DataFrame, k: int) -> DataFrame:
+    """Inverted lists of sets (node, n, items; of which ``k`` are retained): value, node, n, least (see
+    ``least_shared``) and at (place in the set's rarest-first order), for the values that a
+    linked partner can be met under."""
+    rows = sets.select("node", "n", F.explode("items").alias("value"))
+    frequent = rows.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
+    shared = (rows.join(frequent, "value").groupBy("node")
+              .agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v")))
+    single = F.least("n", F.lit(k)) - F.size("v")  # values no other document retains come first
+    least = least_shared(F.col("n"), k)
+    room = F.greatest(F.least("n", F.lit(k)) - least + 1 - single, F.lit(0)).cast("int")
+    return (shared.select("node", "n", least.alias("least"), single.alias("s"),
+                          F.posexplode(F.slice("v", F.lit(1), room)).alias("i", "e"))
+            .select("node", "n", "least", (F.col("s") + F.col("i") + 1).alias("at"), F.col("e.value").alias("value")))
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose similarity is 0.75 or more."""
     side = lambda s: classes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"),
@@ -174,17 +207,27 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int) ->
     whole = (F.col("na") <= k) & (F.col("nb") <= k) & (F.size(F.array_union("sa", "sb")) <= k)
     near = F.when(whole, common * 4 >= size * 3).otherwise(common >= LEAST_SHARED)
     left = cut_lineage(both.where(near).select("a", "b", "na", "nb", "da", "db"))
-    ends = cut_lineage(left.select(F.col("a").alias("node"), F.col("da").alias("digest")).unionByName(
-        left.select(F.col("b").alias("node"), F.col("db").alias("digest"))).distinct())
-    wanted = docs.select("doc_id", "text").join(
-        checked_broadcast(ends.select(F.col("node").alias("doc_id")).distinct()), "doc_id", "left_semi")
-    full = cut_lineage(_full_sets(wanted).dropDuplicates(["node", "digest"]))
+    full = _sets_of(left.select(F.col("a").alias("node"), F.col("da").alias("digest")).unionByName(
+        left.select(F.col("b").alias("node"), F.col("db").alias("digest"))), docs)
     pick = lambda s: full.select(F.col("node").alias(s), F.col("digest").alias(f"d{s}"),
                                  F.col("items").alias(f"i{s}"))
     shared = F.size(F.array_intersect("ia", "ib"))
-    return (left.join(pick("b"), ["b", "db"]).join(pick("a"), ["a", "da"])
-            .select("a", "b", "na", "nb", shared.alias("shared"))
-            .where("100 * shared >= 75 * (na + nb - shared)").select("a", "b"))
+    out = cut_lineage(left.join(pick("b"), ["b", "db"]).join(pick("a"), ["a", "da"])
+                      .select("a", "b", "na", "nb", shared.alias("shared"))
+                      .where("100 * shared >= 75 * (na + nb - shared)").select("a", "b"))
+    release(left, full)
+    return out
+
+
+def _undecided(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``lists`` with each node's component, without those that lie in one component; of lists with equal rows, one."""
+    here = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(
+        labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = here.groupBy("value").agg(
+        F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("node", "at")).alias("h"), F.bit_xor(F.xxhash64("node", "at", F.lit(1))).alias("i")).where("x < y")
+    split = split.groupBy("x", "y", "n", "h", "i").agg(F.min("value").alias("value"))
+    return cut_lineage(here.join(split.select("value"), "value"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SKETCH) -> DataFrame:
@@ -195,45 +238,43 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     Null or wordless texts have n_shingles 0 and their own component; a text of fewer than five words is
     one shingle.  Repeated rows come back repeated; rows that share an id but not a text are treated as
     separate texts.  A null doc_id takes no part: component_id null, kept true.  Other columns are ignored."""
-    rows = cut_lineage(sketches(docs, k))
+    sketched = cut_lineage(sketches(docs, k))
     classes = cut_lineage(
-        rows.where("digest is not null and doc_id is not null").groupBy("digest")
+        sketched.where("digest is not null and doc_id is not null").groupBy("digest")
         .agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    listed = classes.select("node", "n", F.explode("sketch").alias("value"))
-    frequent = listed.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
-    shared = (listed.join(frequent, "value").groupBy("node")
-              .agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("df", "value"))).alias("v")))
-    single = F.least("n", F.lit(k)) - F.size("v")  # values no other document retains come first
-    least = least_shared(F.col("n"), k)
-    room = F.greatest(F.least("n", F.lit(k)) - least + 1 - single, F.lit(0)).cast("int")
-    lists = cut_lineage(
-        shared.select("node", "n", least.alias("least"), single.alias("s"), F.posexplode(F.slice("v", F.lit(1), room)).alias("i", "e"))
-        .select("node", "n", "least", (F.col("s") + F.col("i") + 1).alias("at"), F.col("e.value").alias("value")))
-    links, labels, hubs = None, None, 1
+    rows = cut_lineage(sketched.select("doc_id", "n", "digest"))
+    release(sketched)
+    lists = cut_lineage(_listed(classes.withColumnRenamed("sketch", "items"), k))
+    labels, hubs, kept = None, 1, k
     while True:
-        here = lists.withColumn("comp", F.col("node")) if labels is None else lists.join(
-            labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        split = here.groupBy("value").agg(
-            F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"),
-            F.bit_xor(F.xxhash64("node", "at")).alias("h"), F.bit_xor(F.xxhash64("node", "at", F.lit(1))).alias("i")).where("x < y")
-        split = split.groupBy("x", "y", "n", "h", "i").agg(F.min("value").alias("value"))  # of equal lists, one
-        here = cut_lineage(here.join(split.select("value"), "value"))
+        here = _undecided(lists, labels)
+        release(lists)
         if here.isEmpty():
             break
+        if hubs == 1 << 4:
+            # what one hub a list did not settle goes on with whole sets, whose bounds are exact
+            full = _sets_of(here.select("node").distinct().join(classes.select("node", "digest"), "node"), docs)
+            lists = cut_lineage(_listed(full.select("node", F.size("items").alias("n"), "items"), kept := WHOLE))
+            release(here, full)
+            here = _undecided(lists, labels)
+            release(lists)
         # the member with the fewest rare values is the likeliest to be what the others were copied from
         chosen = here.groupBy("value", F.pmod(F.xxhash64("node"), F.lit(hubs)).alias("turn")).agg(
             F.min(F.struct("at", "node", "n", "least", "comp")).alias("h"))
         chosen = cut_lineage(chosen.select("value", *(F.col(f"h.{c}").alias(f"hub_{c}") for c in ("node", "n", "least", "at", "comp"))))
         own = here.select("value", F.col("node").alias("own_node"), F.col("n").alias("own_n"), F.col("least").alias("own_least"),
                           F.col("at").alias("own_at"), F.col("comp").alias("own_comp"))
-        pairs = (own.join(chosen, "value").where("own_comp <> hub_comp").where(can_meet("own", "hub", k))
+        pairs = (own.join(chosen, "value").where("own_comp <> hub_comp").where(can_meet("own", "hub", kept))
                  .select(F.least("own_node", "hub_node").alias("a"), F.greatest("own_node", "hub_node").alias("b")).distinct())
-        found = cut_lineage(_confirmed(pairs, classes, docs, k))
+        found = _confirmed(pairs, classes, docs, k)
         if not found.isEmpty():
-            links = found if links is None else labels.select(
-                F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)
-            labels = cut_lineage(components(links))
-        lists = here.join(chosen.select("value", F.col("hub_node").alias("node")), ["value", "node"], "left_anti").drop("comp")
+            old = labels
+            labels = cut_lineage(components(found if old is None else old.select(
+                F.col("node").alias("a"), F.col("comp").alias("b")).unionByName(found)))
+            release(old)
+        lists = cut_lineage(here.join(chosen.select("value", F.col("hub_node").alias("node")), ["value", "node"],
+                                      "left_anti").drop("comp"))
+        release(here, chosen, found)
         hubs = 16 if hubs == 1 else hubs * 4
     member = classes.select("digest", F.col("node").alias("own"))
     out = rows.select("doc_id", "n", "digest").join(member, "digest", "left")
