@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.text import Words, as_long, checked_broadcast, row_key, text_chunks
-from tessera.session import cut_lineage
+from tessera.llm.text import Words, as_long, row_key, text_chunks
+from tessera.session import cut_lineage, release
 
 WINDOW = 35
 OWNER = 8
@@ -103,7 +103,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) ->
     (key, text) that has any.  Overlapping spans of a row are joined, so they are few."""
     every = cut_lineage(paths(docs, window, owner))
     met = every.groupBy("owner").agg(F.count("*").alias("met")).where("met > 1").select("owner")
-    every = cut_lineage(every.join(met, "owner"))
+    single, every = every, cut_lineage(every.join(met, "owner"))
+    release(single)
     distinct = cut_lineage(every.groupBy("owner", "path").agg(
         F.count("*").alias("times"), F.min(F.struct("key", "a", "b")).alias("at")))
     whole = every.join(distinct.where("times > 1").select("owner", "path"), ["owner", "path"]).select(
@@ -114,8 +115,8 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) ->
         F.collect_list(F.struct(F.col("at.a").alias("a"), F.col("at.b").alias("b"), "owner",
                                 (F.col("times") > 1).alias("whole"))).alias("opened")))
     # repeated rows share a key: their paths repeat as a whole, one of them stands for all
-    single = cut_lineage(_windows(docs.join(checked_broadcast(opened, items="opened"), "key").dropDuplicates(["key"])
-                                  if _has_repeats(every, docs) else docs.join(checked_broadcast(opened, items="opened"), "key"),
+    single = cut_lineage(_windows(docs.join(opened, "key").dropDuplicates(["key"])
+                                  if _has_repeats(every, docs) else docs.join(opened, "key"),
                                   window))
     again = single.groupBy("owner", "hash").agg(F.sum("weight").alias("w")).where("w > 1").select("owner", "hash")
     partial = single.where("weight = 1").join(again, ["owner", "hash"]).select(
@@ -154,7 +155,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> Da
     are copies of each other and lose every window.  Other columns are ignored."""
     keyed = docs.select("doc_id", "text", row_key().alias("key"))
     spans = cut_lineage(repeated_spans(keyed.select("key", "text"), window))
-    joined = keyed.join(checked_broadcast(spans, items="spans"), "key", "left").select("doc_id", "text", "spans")
+    joined = keyed.join(spans, "key", "left").select("doc_id", "text", "spans")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts
 
     def run(batches):
