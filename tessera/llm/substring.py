@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.text import Words, as_long, row_key, text_chunks
+from tessera.llm.text import Words, as_long, checked_broadcast, row_key, text_chunks
 from tessera.session import cut_lineage, release
 
 WINDOW = 35
@@ -115,9 +115,11 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) ->
         F.collect_list(F.struct(F.col("at.a").alias("a"), F.col("at.b").alias("b"), "owner",
                                 (F.col("times") > 1).alias("whole"))).alias("opened")))
     # repeated rows share a key: their paths repeat as a whole, one of them stands for all
-    single = cut_lineage(_windows(docs.join(opened, "key").dropDuplicates(["key"])
-                                  if _has_repeats(every, docs) else docs.join(opened, "key"),
-                                  window))
+    sources = docs.join(_small(opened, "opened"), "key")
+    if _has_repeats(every):
+        sources = sources.dropDuplicates(["key"])
+    single = cut_lineage(_windows(sources, window))
+    release(opened)
     again = single.groupBy("owner", "hash").agg(F.sum("weight").alias("w")).where("w > 1").select("owner", "hash")
     partial = single.where("weight = 1").join(again, ["owner", "hash"]).select(
         "key", "a", (F.col("a") + window).alias("e"))
@@ -129,7 +131,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) ->
     return runs.groupBy("key").agg(F.collect_list(F.struct("a", "e")).alias("spans"))
 
 
-def _has_repeats(every: DataFrame, docs: DataFrame) -> bool:
+def _small(df: DataFrame, items: str) -> DataFrame:
+    """The small side of a join with texts: broadcast below a checked size, else the hash side of a shuffled join,
+    which sorts no texts."""
+    marked = checked_broadcast(df, items=items)
+    return marked if marked is not df else df.hint("shuffle_hash")
+
+
+def _has_repeats(every: DataFrame) -> bool:
     """Whether any key has the same path twice, which only repeated rows do."""
     return not every.groupBy("key", "a").count().where("count > 1").limit(1).isEmpty()
 
@@ -155,7 +164,7 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, texts: bool = True) -> Da
     are copies of each other and lose every window.  Other columns are ignored."""
     keyed = docs.select("doc_id", "text", row_key().alias("key"))
     spans = cut_lineage(repeated_spans(keyed.select("key", "text"), window))
-    joined = keyed.join(spans, "key", "left").select("doc_id", "text", "spans")
+    joined = keyed.join(_small(spans, "spans"), "key", "left").select("doc_id", "text", "spans")
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text"] * texts
 
     def run(batches):

@@ -114,12 +114,12 @@ def as_long(x: np.ndarray) -> pa.Array:
 
 
 def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, items: str | None = None) -> DataFrame:
-    """``df`` marked for broadcast if it has at most ``rows`` (narrow) rows, and at most twice as many
-    elements in the array column ``items``; else unchanged, so that the join shuffles.  ``df`` should read a written
+    """``df`` marked for broadcast if it has at most ``rows`` (narrow) rows, and at most five times as
+    many elements in the array column ``items``; else unchanged, so that the join shuffles.  ``df`` should read a written
     table, as it is counted first."""
     size = F.sum(F.size(items)) if items else F.lit(0)
     n, elements = df.agg(F.count(F.lit(1)), size).first()
-    return F.broadcast(df) if n <= rows and (elements or 0) <= 2 * rows else df
+    return F.broadcast(df) if n <= rows and (elements or 0) <= 5 * rows else df
 
 
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
