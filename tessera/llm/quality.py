@@ -142,7 +142,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column, sample
     def counted(batches):
         total = np.zeros((2, 1 << bits), np.int64)
         rows = np.zeros(2, np.int64)
-        for part, texts in text_chunks(batches):
+        for part, texts in text_chunks(batches, rows=256):
             y = np.asarray(part.column(2))
             x = indicators(texts, bits)
             for c in (0, 1):
@@ -170,7 +170,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, training: Column, sample
     chosen = used.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(take * (1 << 30)))
 
     def packed(batches):
-        for part, texts in text_chunks(batches):
+        for part, texts in text_chunks(batches, rows=256):
             x = indicators(texts, bits)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(
                 [np.flatnonzero(r).astype("<u2").tobytes() for r in x], pa.binary())], names=["doc_id", "y", "x"])
@@ -197,7 +197,7 @@ def score(docs: DataFrame, model: Model, threshold: float, bits: int = BITS) ->
     texts score as empty ones; other columns are ignored."""
 
     def run(batches):
-        for part, texts in text_chunks(batches):
+        for part, texts in text_chunks(batches, rows=256):
             s = model.score(indicators(texts, bits)).astype(np.float64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                                              names=["doc_id", "score", "predicted"])

@@ -16,7 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+CHUNK_ROWS = 1024
 BROADCAST_ROWS = 200_000
 
 _rng = np.random.default_rng(20240607)
@@ -92,21 +93,20 @@ class Words:
         return at, self.runs(at, at + k)
 
 
-def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text",
-                size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Cut Arrow batches into pieces of about ``size`` bytes of text (one text at least); a null
-    text reads as empty."""
-    for batch in batches:
-        col = batch.column(batch.schema.get_field_index(column))
-        lengths = np.asarray(pc.fill_null(pc.binary_length(col.cast(pa.binary())), 0))
-        if not len(lengths):
-            continue
-        piece = np.cumsum(lengths, dtype=np.int64) // size
-        for lo, hi in zip(starts := np.flatnonzero(np.diff(piece, prepend=-1)), [*starts[1:], len(lengths)],
-                          strict=True):
-            part = batch.slice(lo, hi - lo)
-            values = part.column(batch.schema.get_field_index(column)).cast(pa.binary()).to_pylist()
-            yield part, [v or b"" for v in values]
+def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES,
+                rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Cut Arrow batches into pieces of about ``size`` bytes of text (one text at least) and at most
+    ``rows`` rows; a null text reads as empty."""
+    for whole in batches:
+        at = whole.schema.get_field_index(column)
+        for first in range(0, whole.num_rows, rows):
+            batch = whole.slice(first, rows)
+            lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(at).cast(pa.binary())), 0))
+            piece = np.cumsum(lengths, dtype=np.int64) // size
+            starts = np.flatnonzero(np.diff(piece, prepend=-1))
+            for lo, hi in zip(starts, [*starts[1:], len(lengths)], strict=True):
+                part = batch.slice(lo, hi - lo)
+                yield part, [v or b"" for v in part.column(at).cast(pa.binary()).to_pylist()]
 
 
 def as_long(x: np.ndarray) -> pa.Array:
