@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 CHUNK_ROWS = 1024
+BATCH_ROWS = 1000
 BROADCAST_ROWS = 200_000
 
 _rng = np.random.default_rng(20240607)
@@ -97,6 +98,7 @@ def text_chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: i
                 rows: int = CHUNK_ROWS) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Cut Arrow batches into pieces of about ``size`` bytes of text (one text at least) and at most
     ``rows`` rows; a null text reads as empty."""
+    pa.set_memory_pool(pa.system_memory_pool())  # gives freed buffers back, unlike the pooling ones
     for whole in batches:
         at = whole.schema.get_field_index(column)
         for first in range(0, whole.num_rows, rows):
@@ -128,8 +130,11 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 
 def ship(spark) -> None:
-    """Give executors this package, once per application (an installed package needs no shipping)."""
+    """Give executors this package, once per application (an installed package needs no shipping), and have Spark
+    hand texts to Python in batches that fit: the default of 10,000 rows is meant for narrow ones."""
     context = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if getattr(context, "_tessera_shipped", False):
         return
     import os
