@@ -148,9 +148,11 @@ def span_string(spans: str) -> Column:
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans
     become one, named by the first."""
-    spans = find(docs).where(F.size("spans") > 0).select("key", "spans").dropDuplicates(["key"])
+    spans = find(docs).where(F.size("spans") > 0).select(
+        F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    by_start = F.array_sort(F.transform("spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    by_start = F.array_sort(F.transform("_spans", lambda x: F.struct(
+        x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
 
     def add(acc, x):
         outside = x["s"] >= acc["at"]
@@ -163,5 +165,5 @@ def mask(docs: DataFrame) -> DataFrame:
 
     masked = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, finish)
     return (docs.withColumn("_key", row_key()).join(
-        checked_broadcast(cut_lineage(spans.withColumnRenamed("key", "_key"))), "_key", "left")
-        .withColumn("text", F.when(F.col("spans").isNotNull(), masked).otherwise(F.col("text"))).select(*docs.columns))
+        checked_broadcast(cut_lineage(spans)), "_key", "left")
+        .withColumn("text", F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text"))).select(*docs.columns))
