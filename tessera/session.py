@@ -28,13 +28,24 @@ DEFAULTS = {
 }
 
 
+def _submitted() -> set[str]:
+    """Names of the settings that spark-submit hands to the application."""
+    from pyspark import SparkConf, SparkContext
+    if SparkContext._gateway is None and "PYSPARK_GATEWAY_PORT" not in os.environ:
+        return set()  # a plain Python program: nothing was submitted
+    return {key for key, _ in SparkConf().getAll()}
+
+
 def get_session(master: str | None = None, app: str = "tessera",
                 shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     active = SparkSession.getActiveSession()
     if active is not None:
         return active
-    cpus = os.environ.get("BENCH_CPUS", "*")
-    builder = SparkSession.builder.appName(app).master(master or f"local[{cpus}]")
+    builder = SparkSession.builder.appName(app)
+    if master is None and "spark.master" not in _submitted():
+        master = f"local[{os.environ.get('BENCH_CPUS', '*')}]"
+    if master is not None:  # otherwise the one that the application was submitted with holds
+        builder = builder.master(master)
     conf = dict(DEFAULTS)
     conf["spark.driver.memory"] = os.environ.get("TESSERA_DRIVER_MEMORY", "16g")
     if shuffle_partitions is not None:
@@ -59,6 +70,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="tessera-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
