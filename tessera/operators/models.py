@@ -306,7 +306,9 @@ def search_configs(base: ModelConfig, space: dict, method: str = "random", trial
             raise ValueError("Grid exceeds the trial budget")
         combos = list(itertools.product(*[space[k] for k in keys]))
     else:
-        n = min(trials, total, max_trials)
+        if trials > max_trials:
+            raise ValueError(f"{trials} trials asked for, at most {max_trials} allowed")
+        n = min(trials, total)
         picks = random.Random(seed).sample(range(total), n)
         combos = []
         for idx in picks:

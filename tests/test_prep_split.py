@@ -180,3 +180,12 @@ def test_open_dataset_folder_glob_list_and_recipe_file(spark):
     assert FittedRecipe.load(spark, base + "/recipe.json").to_dict() == fitted.to_dict()
     with pytest.raises(FileExistsError):
         fitted.save(spark, base + "/recipe.json")
+
+
+def test_values_that_an_integer_column_cannot_hold(spark):
+    from tessera.operators.transforms import build_step
+    df = spark.createDataFrame([(1,), (None,)], "n int")
+    step = build_step("find_replace", {"columns": ["n"], "find": 1.5, "replace": 2})
+    assert {r.n for r in step.apply(df).collect()} == {1, None}
+    with pytest.raises(ValueError):
+        build_step("find_replace", {"columns": ["n"], "find": 1, "replace": 2.7}).apply(df)
