@@ -1,14 +1,15 @@
 """Associations between columns.
 
-All pairs of one kind are computed together: Pearson for every numeric pair in one ``agg``;
-Cramér's V for every category pair from one unpivoted ``groupBy(pair, a, b)``; correlation
-ratio from one ``groupBy(pair, category)``.  Only the contingency cells that occur are touched.
+All pairs of one kind are computed together from one unpivoted scan: Pearson from
+``groupBy(pair)``, Cramér's V from ``groupBy(pair, a, b)``, the correlation ratio from
+``groupBy(pair, category)``.  Only the contingency cells that occur are formed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations, islice
+from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,85 +17,77 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import is_finite, is_missing
 from tessera.functions.ranking import average_rank
 
-SCHEMA_COLS = ["x", "y", "method", "value", "rows", "status"]
+def _pairs_frame(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """(pair, x, y): one row per requested pair, so a pair without complete rows is reported too."""
+    return df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)],
+                                           "pair int, x string, y string")
 
 
-def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """Pearson r over pairwise-complete finite rows; NULL when n < 2 or a side is constant;
-    clipped to [-1, 1].  One aggregate for all pairs."""
-    aggs = []
-    for i, (a, b) in enumerate(pairs):
-        ok = is_finite(a) & is_finite(b)
-        xa, xb = F.when(ok, F.col(a).cast("double")), F.when(ok, F.col(b).cast("double"))
-        aggs += [F.corr(xa, xb).alias(f"r{i}"), F.count(xa).alias(f"n{i}"),
-                 F.var_pop(xa).alias(f"va{i}"), F.var_pop(xb).alias(f"vb{i}")]
-    wide = df.agg(*aggs)
-    entries = []
-    for i, (a, b) in enumerate(pairs):
-        valid = (F.col(f"n{i}") >= 2) & (F.col(f"va{i}") > 0) & (F.col(f"vb{i}") > 0)
-        r = F.when(valid, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col(f"r{i}"))))
-        entries.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.lit("pearson").alias("method"),
-                                r.alias("value"), F.col(f"n{i}").cast("bigint").alias("rows"),
-                                F.when(valid, "ok").otherwise("undefined").alias("status")))
-    return wide.select(F.inline(F.array(*entries)))
+def _pair_rows(df: DataFrame, pairs: Sequence[tuple[str, str]], first: str, second: str) -> DataFrame:
+    """(pair, a, b) over the pairwise-complete rows of all pairs.  ``first`` and ``second`` give the
+    kind of each side: 'number' (finite, as double) or 'text' (not missing, as string)."""
 
+    def side(c: str, kind: str):
+        if kind == "number":
+            return is_finite(c), F.col(c).cast("double")
+        return ~is_missing(c, df.schema[c].dataType), F.col(c).cast("string")
 
-def _pair_long(df: DataFrame, pairs: Sequence[tuple[str, str]], cast_b: str = "string") -> DataFrame:
-    """(pair, a, b) over pairwise-complete rows for all pairs; categories as text."""
     entries = []
     for i, (a, b) in enumerate(pairs):
-        ok = ~is_missing(a, df.schema[a].dataType) & ~is_missing(b, df.schema[b].dataType)
-        entries.append(F.when(ok, F.struct(F.lit(i).alias("pair"), F.col(a).cast("string").alias("a"),
-                                           F.col(b).cast(cast_b).alias("b"))))
+        (ok_a, va), (ok_b, vb) = side(a, first), side(b, second)
+        entries.append(F.when(ok_a & ok_b, F.struct(F.lit(i).alias("pair"), va.alias("a"), vb.alias("b"))))
     return df.select(F.explode(F.filter(F.array(*entries), lambda s: s.isNotNull())).alias("s")).select("s.*")
 
 
-def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]], max_categories: int = 50) -> DataFrame:
-    """Uncorrected Cramér's V on pairwise-complete rows, chi2 = n (sum n_ij^2/(r_i c_j) - 1).
-    NULL when a side has fewer than 2 levels; ``skipped`` above ``max_categories`` levels."""
-    cells = _pair_long(df, pairs).groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("nij"))
-    rows_t = cells.groupBy("pair", "a").agg(F.sum("nij").alias("ri"))
-    cols_t = cells.groupBy("pair", "b").agg(F.sum("nij").alias("cj"))
-    joined = cells.join(rows_t, ["pair", "a"]).join(cols_t, ["pair", "b"])
-    stat = joined.groupBy("pair").agg(
-        F.sum(F.col("nij") * F.col("nij") / (F.col("ri") * F.col("cj"))).alias("s"),
-        F.sum("nij").alias("n"), F.countDistinct("a").alias("ka"), F.countDistinct("b").alias("kb"))
+def _report(df: DataFrame, pairs: Sequence[tuple[str, str]], method: str, stats: DataFrame) -> DataFrame:
+    """One row per pair from ``stats`` (pair, value, rows); a NULL value is 'undefined'."""
+    return _pairs_frame(df, pairs).join(F.broadcast(stats), "pair", "left").select(  # one row per pair
+        "x", "y", F.lit(method).alias("method"), "value",
+        F.coalesce("rows", F.lit(0)).cast("bigint").alias("rows"),
+        F.when(F.col("value").isNull(), "undefined").otherwise("ok").alias("status"))
+
+
+def pearson(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Pearson r over pairwise-complete finite rows; NULL when n < 2 or a side is constant;
+    clipped to [-1, 1].  One scan and one aggregate keyed by pair, with partial sums in each task."""
+    moments = _pair_rows(df, pairs, "number", "number").groupBy("pair").agg(
+        F.corr("a", "b").alias("r"), F.count(F.lit(1)).alias("rows"),
+        F.var_pop("a").alias("va"), F.var_pop("b").alias("vb"))
+    valid = (F.col("rows") >= 2) & (F.col("va") > 0) & (F.col("vb") > 0)
+    r = F.when(valid, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r"))))
+    return _report(df, pairs, "pearson", moments.select("pair", r.alias("value"), "rows"))
+
+
+def cramers_v(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
+    """Uncorrected Cramér's V on pairwise-complete rows, chi2 = n (sum n_ij^2/(r_i c_j) - 1), for any
+    number of levels; NULL when a side has fewer than 2.  Only cells that occur are formed.  The shares
+    n_ij/r_i of a level add up to 1, so their sum counts the levels without a distinct aggregate."""
+    cells = _pair_rows(df, pairs, "text", "text").groupBy("pair", "a", "b").agg(F.count(F.lit(1)).alias("nij"))
+    by_a = cells.groupBy("pair", "a").agg(F.sum("nij").alias("ri"))
+    by_b = cells.groupBy("pair", "b").agg(F.sum("nij").alias("cj"))
+    n, nij = F.col("rows"), F.col("nij")
+    sums = cells.join(by_a, ["pair", "a"]).join(by_b, ["pair", "b"]).groupBy("pair").agg(
+        F.sum((nij / F.col("ri")) * (nij / F.col("cj"))).alias("s"), F.sum("nij").alias("rows"),
+        F.round(F.sum(nij / F.col("ri"))).alias("ka"), F.round(F.sum(nij / F.col("cj"))).alias("kb"))
     k = F.least("ka", "kb")
-    chi2 = F.col("n") * (F.col("s") - 1)
-    ok = (k >= 2) & (F.greatest("ka", "kb") <= max_categories)
-    v = F.when(ok, F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), chi2) / (F.col("n") * (k - 1)))))
-    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, x string, y string")
-    status = F.when(F.greatest("ka", "kb") > max_categories, "skipped").when(k < 2, "undefined").otherwise("ok")
-    return F.broadcast(names).join(stat, "pair", "left").select(
-        "x", "y", F.lit("cramers_v").alias("method"), v.alias("value"),
-        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("rows"),
-        F.coalesce(status, F.lit("undefined")).alias("status"))
+    v = F.when(k >= 2, F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), n * (F.col("s") - 1)) / (n * (k - 1)))))
+    return _report(df, pairs, "cramers_v", sums.select("pair", v.alias("value"), "rows"))
 
 
 def correlation_ratio(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """eta = sqrt(between-group SS / total SS) for (category, numeric) pairs over
-    pairwise-complete finite rows; NULL when total SS is 0 or fewer than 2 groups."""
-    entries = []
-    for i, (cat, num) in enumerate(pairs):
-        ok = ~is_missing(cat, df.schema[cat].dataType) & is_finite(num)
-        entries.append(F.when(ok, F.struct(F.lit(i).alias("pair"), F.col(cat).cast("string").alias("g"),
-                                           F.col(num).cast("double").alias("v"))))
-    long = df.select(F.explode(F.filter(F.array(*entries), lambda s: s.isNotNull())).alias("s")).select("s.*")
-    groups = long.groupBy("pair", "g").agg(F.count(F.lit(1)).alias("ng"), F.sum("v").alias("sg"))
-    tot = long.groupBy("pair").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"),
-                                   F.var_pop("v").alias("vp"))
-    between = groups.join(tot.select("pair", "m"), "pair").groupBy("pair").agg(
-        F.sum(F.col("ng") * F.pow(F.col("sg") / F.col("ng") - F.col("m"), 2)).alias("ssb"),
-        F.count(F.lit(1)).alias("k"))
-    names = df.sparkSession.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "pair int, x string, y string")
-    st = tot.join(between, "pair")
-    sst = F.col("vp") * F.col("n")
-    ok = (sst > 0) & (F.col("k") >= 2)
-    return F.broadcast(names).join(st, "pair", "left").select(
-        "x", "y", F.lit("correlation_ratio").alias("method"),
-        F.when(ok, F.sqrt(F.least(F.lit(1.0), F.col("ssb") / sst))).alias("value"),
-        F.coalesce(F.col("n"), F.lit(0)).cast("bigint").alias("rows"),
-        F.when(ok, "ok").otherwise("undefined").alias("status"))
+    pairwise-complete finite rows; NULL when total SS is 0 or fewer than 2 groups.  Totals come from
+    the group sums: the rows are read once."""
+    groups = _pair_rows(df, pairs, "text", "number").groupBy("pair", "a").agg(
+        F.count(F.lit(1)).alias("ng"), F.avg("b").alias("mg"), F.var_pop("b").alias("vg"))
+    total = groups.groupBy("pair").agg(F.sum("ng").alias("rows"), F.count(F.lit(1)).alias("k"),
+                                       (F.sum(F.col("ng") * F.col("mg")) / F.sum("ng")).alias("m"))
+    off = F.col("mg") - F.col("m")
+    parts = groups.join(F.broadcast(total), "pair").groupBy("pair", "rows", "k").agg(  # total: one row per pair
+        F.sum(F.col("ng") * off * off).alias("ssb"), F.sum(F.col("ng") * F.col("vg")).alias("ssw"))
+    sst = F.col("ssb") + F.col("ssw")
+    eta = F.when((sst > 0) & (F.col("k") >= 2), F.sqrt(F.least(F.lit(1.0), F.col("ssb") / sst)))
+    return _report(df, pairs, "correlation_ratio", parts.select("pair", eta.alias("value"), "rows"))
 
 
 def spearman(df: DataFrame, x: str, y: str, partitions: int | None = None) -> DataFrame:
@@ -118,39 +111,30 @@ def least_squares(df: DataFrame, x: str, y: str) -> DataFrame:
                   F.regr_count(ys, xs).alias("rows"))
 
 
-def select_pairs(roles: dict[str, str], columns: Sequence[str], max_pairs: int = 100):
-    """Pairs of numeric/category columns in column order, first ``max_pairs``; returns
-    (pairs, omitted)."""
-    eligible = [c for c in columns if roles.get(c) in ("numeric", "category")]
-    total = len(eligible) * (len(eligible) - 1) // 2
-    pairs = list(islice(combinations(eligible, 2), max_pairs))
-    return pairs, max(0, total - len(pairs))
-
-
-def association_table(df: DataFrame, roles: dict[str, str], pairs: Sequence[tuple[str, str]],
-                      max_categories: int = 50) -> DataFrame:
-    """One row per pair: Pearson (numeric x numeric), Cramér's V (category x category),
-    correlation ratio (category x numeric)."""
-    num, cat, mixed = [], [], []
-    for a, b in pairs:
-        ra, rb = roles[a], roles[b]
-        if ra == rb == "numeric":
-            num.append((a, b))
-        elif ra == rb == "category":
-            cat.append((a, b))
-        else:
-            mixed.append((a, b) if ra == "category" else (b, a))
-    parts = []
-    if num:
-        parts.append(pearson(df, num))
-    if cat:
-        parts.append(cramers_v(df, cat, max_categories))
-    if mixed:
-        parts.append(correlation_ratio(df, mixed))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+METHODS = {("numeric", "numeric"): pearson, ("category", "category"): cramers_v,
+           ("category", "numeric"): correlation_ratio}
+
+
+def role_pairs(roles: dict[str, str], columns: Sequence[str]) -> dict[tuple[str, str], list[tuple[str, str]]]:
+    """Every pair of numeric and category columns, by the roles of its sides (category first)."""
+    found: dict = {kinds: [] for kinds in METHODS}
+    for x, y in combinations(columns, 2):
+        kinds = (roles.get(x), roles.get(y))
+        if kinds in found:
+            found[kinds].append((x, y))
+        elif kinds[::-1] in found:
+            found[kinds[::-1]].append((y, x))
+    return found
+
+
+def association_table(df: DataFrame, roles: dict[str, str], columns: Sequence[str] | None = None) -> DataFrame:
+    """One row per pair of ``columns`` (default: all): Pearson (numeric x numeric), Cramér's V
+    (category x category), correlation ratio (category x numeric).  No pair is left out."""
+    found = role_pairs(roles, columns or df.columns)
+    parts = [METHODS[kinds](df, pairs) for kinds, pairs in found.items() if pairs]
+    if not parts:
+        return pearson(df, [])
+    return reduce(DataFrame.unionByName, parts)
 
 
 def strongest(assoc: DataFrame, k: int = 3) -> DataFrame:

@@ -1,8 +1,8 @@
 """Distribution operators: the data behind the charts (D01-D15, G23-G32).  Drawing is not built.
 
-Every operator takes finite, complete rows of the named columns; with a ``group`` column only the
-``max_groups`` most frequent groups are kept (ties by group text) and the omitted rows are
-reported by ``omitted_groups``.  Large work is expressed as aggregates over distinct values:
+Every operator takes finite, complete rows of the named columns and covers every group, category,
+column and pattern.  A caller may ask for the n most frequent (ties by text); the rest is then one
+row or group labelled ``REST``, never dropped.  Large work is expressed as aggregates over distinct values:
 KDE and ECDF first collapse to ``(value, count)``, so repeated values cost nothing extra.
 """
 
@@ -16,40 +16,40 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import is_finite, is_missing
 from tessera.functions.ranking import cumulative, exact_quantiles, value_counts
-from tessera.operators.profile import histogram, top_k
+from tessera.operators.profile import histogram
 
 GRID = 256
+REST = "[remaining categories]"
 SQRT_2PI = math.sqrt(2 * math.pi)
 
 
-def finite_rows(df: DataFrame, x: str, group: str | None = None, max_groups: int = 8) -> DataFrame:
-    """(group?, x double) over finite x (and non-missing group); the top ``max_groups`` groups by
-    row count, ties by group text.  The group list is a #groups-bounded broadcast semi-join."""
+def _label_rest(base: DataFrame, column: str, n: int | None) -> DataFrame:
+    """``base`` with all but the ``n`` most frequent values of ``column`` (ties by text) labelled
+    ``REST``; unchanged without ``n``.  The list that is broadcast has ``n`` rows."""
+    if n is None:
+        return base
+    top = base.groupBy(column).count().orderBy(F.col("count").desc(), F.col(column)).limit(n)
+    kept = F.broadcast(top.select(column, F.lit(True).alias("_kept")))
+    return base.join(kept, column, "left").withColumn(
+        column, F.when(F.col("_kept"), F.col(column)).otherwise(F.lit(REST))).drop("_kept")
+
+
+def finite_rows(df: DataFrame, x: str, group: str | None = None, max_groups: int | None = None) -> DataFrame:
+    """(group?, x double) over finite x (and non-missing group, as text), for all groups; with
+    ``max_groups`` the smaller groups together form the group ``REST``."""
     cond = is_finite(x)
     cols = [F.col(x).cast("double").alias(x)]
     if group:
         cond = cond & ~is_missing(group, df.schema[group].dataType)
         cols = [F.col(group).cast("string").alias(group)] + cols
     base = df.where(cond).select(*cols)
-    if not group:
-        return base
-    top = base.groupBy(group).count().orderBy(F.col("count").desc(), F.col(group)).limit(max_groups)
-    return base.join(F.broadcast(top.select(group)), group, "left_semi")
-
-
-def omitted_groups(df: DataFrame, x: str, group: str, max_groups: int = 8) -> DataFrame:
-    """Rows and groups left out by the ``max_groups`` rule."""
-    base = df.where(is_finite(x) & F.col(group).isNotNull()).groupBy(group).count()
-    ranked = top_k(base.withColumn("_k", F.lit(0)), ["_k"], [F.col("count").desc(), F.col(group).cast("string")],
-                   10 ** 9)
-    return ranked.where(F.col("rank") > max_groups).agg(
-        F.count(F.lit(1)).alias("omitted_groups"), F.coalesce(F.sum("count"), F.lit(0)).alias("omitted_rows"))
+    return _label_rest(base, group, max_groups) if group else base
 
 
 # ---------------------------------------------------------------- D01 histogram by group
 
 def grouped_histogram(df: DataFrame, x: str, group: str | None = None, bins: int = 30,
-                      density: bool = False, max_groups: int = 8) -> DataFrame:
+                      density: bool = False, max_groups: int | None = None) -> DataFrame:
     """Histogram on edges common to all groups; ``density`` = n / (N_group * width)."""
     base = finite_rows(df, x, group, max_groups)
     h = histogram(base, [x], bins=bins, group=group)
@@ -63,7 +63,7 @@ def grouped_histogram(df: DataFrame, x: str, group: str | None = None, bins: int
 # ---------------------------------------------------------------- D02 / D05 kernel density
 
 def kde(df: DataFrame, x: str, group: str | None = None, bandwidth: float | None = None,
-        max_groups: int = 8, scale_to_max: bool = False) -> DataFrame:
+        max_groups: int | None = None, scale_to_max: bool = False) -> DataFrame:
     """Gaussian KDE on 256 points over [min - 3h, max + 3h], h = 1.06 s n^-0.2 (Silverman,
     sample std) unless given; none for fewer than 2 rows or a constant group.
 
@@ -94,7 +94,7 @@ def kde(df: DataFrame, x: str, group: str | None = None, bandwidth: float | None
 
 # ---------------------------------------------------------------- D03 ECDF
 
-def ecdf(df: DataFrame, x: str, group: str | None = None, max_groups: int = 8) -> DataFrame:
+def ecdf(df: DataFrame, x: str, group: str | None = None, max_groups: int | None = None) -> DataFrame:
     """Fraction of rows at or below each distinct value, per group."""
     keys = [group] if group else []
     base = finite_rows(df, x, group, max_groups)
@@ -105,7 +105,7 @@ def ecdf(df: DataFrame, x: str, group: str | None = None, max_groups: int = 8) -
 
 # ---------------------------------------------------------------- D04 box / D08 outliers
 
-def box_stats(df: DataFrame, x: str, group: str | None = None, max_groups: int = 8) -> DataFrame:
+def box_stats(df: DataFrame, x: str, group: str | None = None, max_groups: int | None = None) -> DataFrame:
     """Median, Q1, Q3, whiskers at the extreme values within 1.5 IQR, outlier count."""
     keys = [group] if group else []
     base = finite_rows(df, x, group, max_groups)
@@ -202,22 +202,33 @@ def qq_points(df: DataFrame, x: str) -> DataFrame:
     return rows.select(F.col("i").cast("bigint").alias("i"), F.col(x).alias("value"), inv_norm(p).alias("theoretical"))
 
 
+def qq_line(df: DataFrame, x: str) -> DataFrame:
+    """The reference line through the quartiles: slope and intercept of sample quartile against
+    normal quartile."""
+    base = df.where(is_finite(x)).select(F.col(x).cast("double").alias(x))
+    q = exact_quantiles(base, x, [0.25, 0.75])
+    slope = (F.max("q") - F.min("q")) / (inv_norm(F.lit(0.75)) - inv_norm(F.lit(0.25)))
+    return q.agg(slope.alias("slope"), ((F.max("q") + F.min("q")) / 2).alias("intercept"))  # the normal is symmetric
+
+
 # ---------------------------------------------------------------- D09-D12
 
 def scatter_points(df: DataFrame, x: str, y: str, size: str | None = None, seed: int = 42,
                    n: int = 5000, key: Sequence[str] | None = None) -> DataFrame:
     """A uniform priority sample of complete finite rows; bubble area = size / max * 250
-    (sizes must be >= 0; the maximum is over all complete rows, not just the sample)."""
+    (sizes must be >= 0; the maximum is over all complete rows, not just the sample).  Key columns
+    come first."""
     cond = is_finite(x) & is_finite(y)
     if size:
         cond = cond & is_finite(size)
-    base = df.where(cond)
+    keys = list(key or [])
+    base = df.where(cond).select(*dict.fromkeys([*keys, x, y, *([size] if size else [])]))
     from tessera.operators.sampling import priority_sample
-    pts = priority_sample(base, n, seed, key or base.columns)
+    pts = priority_sample(base, n, seed, keys or base.columns)
     if not size:
-        return pts.select(x, y)
+        return pts
     mx = base.agg(F.max(size).alias("_m"))
-    return pts.crossJoin(mx).select(x, y, size, F.when(F.col("_m") > 0, F.col(size) / F.col("_m") * 250)
+    return pts.crossJoin(mx).select(*base.columns, F.when(F.col("_m") > 0, F.col(size) / F.col("_m") * 250)
                                     .otherwise(0.0).alias("area"))
 
 
@@ -242,24 +253,39 @@ def grid_counts(df: DataFrame, x: str, y: str, bins: int = 30, dense: bool = Tru
 
 
 def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 30) -> DataFrame:
-    """Hexagonal bins from two offset rectangular lattices; each point goes to the nearer
-    lattice centre (scaled coordinates), then ``groupBy`` -- pure column math."""
+    """Hexagonal bins on two rectangular lattices of ``gridsize`` x ``int(gridsize / sqrt 3)``
+    cells, the second shifted by half a cell both ways.  The range is widened by 1e-9 of itself (a
+    constant axis by a tenth of its value); a point goes to the first lattice only where its centre is
+    strictly nearer (height counts three times), and halves round to even -- pure column math and one
+    ``groupBy``.  Only occupied bins are returned."""
     base = df.where(is_finite(x) & is_finite(y)).select(F.col(x).cast("double").alias("_x"),
                                                          F.col(y).cast("double").alias("_y"))
     r = base.agg(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1"))
-    sx = F.when(F.col("x1") > F.col("x0"), (F.col("x1") - F.col("x0")) / gridsize).otherwise(F.lit(1.0))
-    sy = F.when(F.col("y1") > F.col("y0"), (F.col("y1") - F.col("y0")) / gridsize).otherwise(F.lit(1.0)) * math.sqrt(3)
-    u = (F.col("_x") - F.col("x0")) / sx
-    v = (F.col("_y") - F.col("y0")) / sy
-    i1, j1 = F.round(u), F.round(v)
-    i2, j2 = F.floor(u) + 0.5, F.floor(v) + 0.5
-    d1 = (u - i1) * (u - i1) + 3 * (v - j1) * (v - j1)
-    d2 = (u - i2) * (u - i2) + 3 * (v - j2) * (v - j2)
-    first = d1 <= d2
-    cx = F.when(first, i1).otherwise(i2) * sx + F.col("x0")
-    cy = F.when(first, j1).otherwise(j2) * sy + F.col("y0")
-    return base.crossJoin(F.broadcast(r)).groupBy(cx.alias("center_x"), cy.alias("center_y")) \
-        .agg(F.count(F.lit(1)).alias("count"))
+
+    def axis(value, low, high, cells):
+        lo, hi = F.col(low), F.col(high)
+        spread = F.when(lo == 0, F.lit(0.1)).otherwise(F.abs(lo) * 0.1)
+        lo, hi = F.when(hi > lo, lo).otherwise(lo - spread), F.when(hi > lo, hi).otherwise(hi + spread)
+        pad = (hi - lo) * 1e-9
+        start, step = lo - pad, ((hi + pad) - (lo - pad)) / cells
+        return (F.col(value) - start) / step, start, step
+
+    u, u0, du = axis("_x", "x0", "x1", gridsize)
+    v, v0, dv = axis("_y", "y0", "y1", int(gridsize / math.sqrt(3)))
+    at = base.crossJoin(F.broadcast(r)).select(u.alias("u"), v.alias("v"), u0.alias("u0"), du.alias("du"),
+                                               v0.alias("v0"), dv.alias("dv"))  # r: one row
+
+    def off(lu, lv):
+        return (F.col("u") - lu) * (F.col("u") - lu) + 3 * (F.col("v") - lv) * (F.col("v") - lv)
+
+    even = (F.rint("u"), F.rint("v"))
+    odd = (F.floor("u") + 0.5, F.floor("v") + 0.5)
+    first = off(*even) < off(*odd)
+    cells = at.select(F.when(first, even[0]).otherwise(odd[0]).alias("cu"),
+                      F.when(first, even[1]).otherwise(odd[1]).alias("cv"), "u0", "du", "v0", "dv")
+    return cells.groupBy("cu", "cv", "u0", "du", "v0", "dv").agg(F.count(F.lit(1)).alias("count")).select(
+        (F.col("cu") * F.col("du") + F.col("u0")).alias("center_x"),
+        (F.col("cv") * F.col("dv") + F.col("v0")).alias("center_y"), "count")
 
 
 def text_length_histogram(df: DataFrame, column: str, bins: int = 30) -> DataFrame:
@@ -287,59 +313,67 @@ def parallel_coordinates(df: DataFrame, columns: Sequence[str], n: int = 500, se
 
 # ---------------------------------------------------------------- G23-G32: category and time views
 
-def missing_ranking(df: DataFrame, top: int = 12) -> DataFrame:
-    """Per-column missing count and share, highest first (ties by column), top 12."""
+def missing_ranking(df: DataFrame, top: int | None = None) -> DataFrame:
+    """Per-column missing count and share, highest first (ties by column), for every column;
+    ``top`` keeps the first ones."""
     fields = df.schema.fields
     wide = df.agg(F.count(F.lit(1)).alias("_n"),
                   *[F.count_if(is_missing(f.name, f.dataType)).alias(f"m{i}") for i, f in enumerate(fields)])
     long = wide.select("_n", F.inline(F.array(*[F.struct(F.lit(f.name).alias("column"), F.col(f"m{i}").alias("missing"))
                                                 for i, f in enumerate(fields)])))
-    return long.select("column", F.col("missing").cast("bigint").alias("missing"),
-                       (F.col("missing") / F.col("_n")).alias("share")) \
-        .orderBy(F.col("missing").desc(), "column").limit(top)
+    out = long.select("column", F.col("missing").cast("bigint").alias("missing"),
+                      (F.col("missing") / F.col("_n")).alias("share")).orderBy(F.col("missing").desc(), "column")
+    return out if top is None else out.limit(top)
 
 
-def missing_patterns(df: DataFrame, columns: Sequence[str], top: int = 10) -> DataFrame:
-    """Most frequent combinations of missing flags over <= 8 columns."""
-    if len(columns) > 8:
-        raise ValueError("At most 8 columns for missingness patterns")
-    flags = F.concat_ws("", *[F.when(is_missing(c, df.schema[c].dataType), "1").otherwise("0") for c in columns])
+def missing_patterns(df: DataFrame, columns: Sequence[str] | None = None, top: int | None = None) -> DataFrame:
+    """Combinations of missing flags (one character per column) with their row counts, all of
+    them; with ``top`` the rarer ones are one ``REST`` row."""
+    flags = F.concat_ws("", *[F.when(is_missing(c, df.schema[c].dataType), "1").otherwise("0")
+                              for c in (columns or df.columns)])
     counts = df.groupBy(flags.alias("pattern")).agg(F.count(F.lit(1)).alias("count"))
-    return counts.orderBy(F.col("count").desc(), "pattern").limit(top)
+    if top is None:
+        return counts
+    head = counts.orderBy(F.col("count").desc(), "pattern").limit(top)
+    return head.unionByName(_rest_of(counts, head, "pattern"))
 
 
-def top_categories(df: DataFrame, column: str, k: int) -> DataFrame:
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("_v")).count()
-    return counts.orderBy(F.col("count").desc(), "_v").limit(k).select(F.col("_v").alias(column))
+def _rest_of(counts: DataFrame, head: DataFrame, column: str) -> DataFrame:
+    """The rows of ``counts`` outside ``head`` (a top-n list, broadcast) added up as one ``REST`` row."""
+    return counts.join(F.broadcast(head.select(column)), column, "left_anti").agg(
+        F.sum("count").cast("bigint").alias("count")).where("count is not null").select(F.lit(REST).alias(column), "count")
 
 
-def contingency(df: DataFrame, x: str, y: str, k: int = 8, normalize: str | None = None) -> DataFrame:
-    """Counts of the top-k x top-k categories (others omitted); ``normalize``:
-    'row' = share within x (stacked bar), 'group' = share within y (grouped bar)."""
+def contingency(df: DataFrame, x: str, y: str, k: int | None = None, normalize: str | None = None) -> DataFrame:
+    """Row counts of all category pairs that occur; with ``k`` the categories past the
+    k most frequent of each side are counted under ``REST``.  ``normalize``: 'row' = share within x
+    (stacked bar), 'group' = share within y (grouped bar), from grouped sums."""
     base = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()) \
         .select(F.col(x).cast("string").alias(x), F.col(y).cast("string").alias(y))
-    tx, ty = top_categories(base, x, k), top_categories(base, y, k)
-    kept = base.join(F.broadcast(tx), x, "left_semi").join(F.broadcast(ty), y, "left_semi")
-    cells = kept.groupBy(x, y).agg(F.count(F.lit(1)).alias("count"))
-    if normalize == "row":
-        cells = cells.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(x)))
-    elif normalize == "group":
-        cells = cells.withColumn("share", F.col("count") / F.sum("count").over(Window.partitionBy(y)))
-    return cells
-
-
-def category_counts(df: DataFrame, x: str, top: int = 10, remaining: bool = False) -> DataFrame:
-    """Top categories by count (ties by text); pie/donut add one '[remaining categories]'
-    row with the rest."""
+    cells = _label_rest(_label_rest(base, x, k), y, k).groupBy(x, y).agg(F.count(F.lit(1)).alias("count"))
+    if normalize is None:
+        return cells
+    side = {"row": x, "group": y}[normalize]
+    total = cells.groupBy(side).agg(F.sum("count").alias("_t"))
+    return cells.join(total, side).select(x, y, "count", (F.col("count") / F.col("_t")).alias("share"))
+
+
+def category_counts(df: DataFrame, x: str, top: int | None = None, remaining: bool = False) -> DataFrame:
+    """Categories ranked by count (ties by text).  Without ``top`` every category, ranked by the
+    distributed rank core; with it the first ``top`` (kept per task, then merged), and with
+    ``remaining`` (pie/donut) one ``REST`` row with the others."""
     counts = df.where(F.col(x).isNotNull()).groupBy(F.col(x).cast("string").alias(x)) \
         .agg(F.count(F.lit(1)).alias("count"))
-    ranked = top_k(counts.withColumn("_k", F.lit(0)), ["_k"], [F.col("count").desc(), F.col(x)], 10 ** 12,
-                   salt_of=x).drop("_k")
+    order = [F.col("count").desc(), F.col(x)]
+    if top is None:
+        ranked = cumulative(counts.withColumn("_one", F.lit(1)), [], order, weight="_one")
+        return ranked.select((F.col("before") + 1).alias("rank"), x, "count")
+    head = counts.orderBy(*order).limit(top)
+    ranked = head.select(F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("rank"), x, "count")  # top rows
     if not remaining:
-        return ranked.where(F.col("rank") <= top).select("rank", x, "count")
-    label = F.when(F.col("rank") <= top, F.col(x)).otherwise(F.lit("[remaining categories]"))
-    return ranked.groupBy(label.alias(x)).agg(F.sum("count").alias("count"), F.min("rank").alias("rank")) \
-        .select("rank", x, F.col("count").cast("bigint").alias("count"))
+        return ranked
+    rest = _rest_of(counts, head, x).select(F.lit(top + 1).cast("bigint").alias("rank"), x, "count")
+    return ranked.unionByName(rest)
 
 
 def line_values(df: DataFrame, x: str, y: str, agg: str = "mean") -> DataFrame:
@@ -395,33 +429,35 @@ def missing_matrix(df: DataFrame, columns: Sequence[str], n: int = 1000, seed: i
 
 
 def strip_points(df: DataFrame, x: str, group: str, n: int = 400, seed: int = 42,
-                 key: Sequence[str] | None = None, max_groups: int = 8) -> DataFrame:
+                 key: Sequence[str] | None = None, max_groups: int | None = None) -> DataFrame:
     """Up to ``n`` sampled finite points per group (raincloud / strip); pair with
     ``box_stats`` for the summary glyph."""
     from tessera.operators.sampling import per_group_sample
     cond = is_finite(x) & ~is_missing(group, df.schema[group].dataType)
-    base = df.where(cond)
-    top = base.groupBy(group).count().orderBy(F.col("count").desc(), F.col(group)).limit(max_groups)
-    base = base.join(F.broadcast(top.select(group)), group, "left_semi")
-    return per_group_sample(base.select(*(key or []), group, x), group, n, seed, key)
+    base = _label_rest(df.where(cond).select(*(key or []), group, x), group, max_groups)
+    return per_group_sample(base, group, n, seed, key)
 
 
-def summary_plan(overview: list[dict], strongest_pairs: list[tuple[str, str]], limit: int = 10) -> list[dict]:
+def summary_plan(overview: list[dict], strongest_pairs: list[tuple[str, str]]) -> list[dict]:
     """Which distribution operators to compute for a profile: a missing-value view when
     anything is missing, the strongest pairs by role, then one view per column by role."""
     plan = []
     if any(r["num_missing"] for r in overview):
         plan.append({"operator": "G23", "args": {}})
-        plan.append({"operator": "G25", "args": {"columns": [r["column"] for r in overview if r["num_missing"]][:8]}})
+        plan.append({"operator": "G25", "args": {"columns": [r["column"] for r in overview if r["num_missing"]]}})
     roles = {r["column"]: r["role"] for r in overview}
     for a, b in strongest_pairs:
         kind = "D09" if roles[a] == roles[b] == "numeric" else "G26" if roles[a] == roles[b] == "category" else "D04"
-        plan.append({"operator": kind, "args": {"x": a, "y": b}})
+        if kind == "D04":  # values of the numeric side by the categories of the other
+            x, group = (a, b) if roles[a] == "numeric" else (b, a)
+            plan.append({"operator": kind, "args": {"x": x, "group": group}})
+        else:
+            plan.append({"operator": kind, "args": {"x": a, "y": b}})
     for r in overview:
         op = {"numeric": "D01", "category": "G29", "text": "D12", "datetime": "G32"}.get(r["role"])
         if op and not r["all_missing"]:
             plan.append({"operator": op, "args": {"x": r["column"]}})
-    return plan[:limit]
+    return plan
 
 
 def pair_matrix(df: DataFrame, columns: Sequence[str], bins: int = 20, n: int = 2000, seed: int = 42,

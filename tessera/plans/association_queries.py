@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import associations as A
-from tessera.operators.profile import column_overview
 from tessera.plans.registry import LINEITEM_NULLS_SQL, lineitem_with_nulls, register, rounded
 
 SRC = LINEITEM_NULLS_SQL
@@ -20,13 +19,13 @@ def pearson_sql(src: str, a: str, b: str) -> str:
             f"count({xa}) AS rows, CASE WHEN {valid} THEN 'ok' ELSE 'undefined' END AS status FROM {src} t")
 
 
-def cramers_sql(src: str, a: str, b: str, max_categories: int = 50) -> str:
+def cramers_sql(src: str, a: str, b: str) -> str:
     return f"""SELECT '{a}' AS x, '{b}' AS y, 'cramers_v' AS method,
-  round(CASE WHEN least(ka, kb) >= 2 AND greatest(ka, kb) <= {max_categories}
+  round(CASE WHEN least(ka, kb) >= 2
         THEN least(1.0, sqrt(greatest(0.0, n * (s - 1)) / (n * (least(ka, kb) - 1)))) END, 8) AS value,
   CAST(n AS BIGINT) AS rows,
-  CASE WHEN greatest(ka, kb) > {max_categories} THEN 'skipped' WHEN least(ka, kb) < 2 THEN 'undefined' ELSE 'ok' END AS status
-FROM (SELECT sum(nij * nij / (ri * cj)) AS s, sum(nij) AS n, count(DISTINCT a) AS ka, count(DISTINCT b) AS kb
+  CASE WHEN least(ka, kb) < 2 THEN 'undefined' ELSE 'ok' END AS status
+FROM (SELECT sum((nij / ri) * (nij / cj)) AS s, sum(nij) AS n, count(DISTINCT a) AS ka, count(DISTINCT b) AS kb
       FROM (SELECT a, b, nij, sum(nij) OVER (PARTITION BY a) AS ri, sum(nij) OVER (PARTITION BY b) AS cj
             FROM (SELECT CAST({a} AS VARCHAR) AS a, CAST({b} AS VARCHAR) AS b, count(*) AS nij FROM {src} t
                   WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY 1, 2) c) j) z"""
@@ -64,33 +63,29 @@ def q_eta(spark, d):
     return rounded(A.correlation_ratio(lineitem_with_nulls(spark, d), ETA_PAIRS), {"value": 8})
 
 
-AT_COLS = ["l_quantity", "l_extendedprice", "l_returnflag", "l_linestatus", "l_tax"]
-# roles follow the full-data rule: l_tax has 9 distinct values -> category; flags are text with
-# <= 10 values -> category
-AT_ROLES = {"l_quantity": "numeric", "l_extendedprice": "numeric", "l_returnflag": "category",
-            "l_linestatus": "category", "l_tax": "category"}
+# Every column of lineitem and four derived ones: 105 pairs; the roles follow the full-data rule (a number with
+# more than 10 distinct values is numeric), ``l_shipmonth`` has more than 50 levels.
+AT_ROLES = {"l_orderkey": "numeric", "l_partkey": "numeric", "l_suppkey": "numeric", "l_linenumber": "category",
+            "l_quantity": "numeric", "l_extendedprice": "numeric", "l_discount": "numeric", "l_tax": "category",
+            "l_returnflag": "category", "l_linestatus": "category", "l_net": "numeric", "l_charge": "numeric",
+            "l_unit": "numeric", "l_shipmonth": "category", "l_shipyear": "category"}
+AT_SQL = f"""(SELECT * EXCLUDE (l_shipdate), l_extendedprice * (1 - l_discount) AS l_net, l_extendedprice * (1 + l_tax) AS l_charge,
+  l_extendedprice / l_quantity AS l_unit, strftime(l_shipdate, '%Y-%m') AS l_shipmonth, year(l_shipdate) AS l_shipyear FROM {SRC} s)"""
 
 
 def _assoc_sql() -> str:
-    pairs, _ = A.select_pairs(AT_ROLES, AT_COLS)
-    parts = []
-    for a, b in pairs:
-        ra, rb = AT_ROLES[a], AT_ROLES[b]
-        if ra == rb == "numeric":
-            parts.append(pearson_sql(SRC, a, b))
-        elif ra == rb == "category":
-            parts.append(cramers_sql(SRC, a, b))
-        else:
-            parts.append(eta_sql(SRC, a, b) if ra == "category" else eta_sql(SRC, b, a))
+    text = {("numeric", "numeric"): pearson_sql, ("category", "category"): cramers_sql, ("category", "numeric"): eta_sql}
+    parts = [text[kinds](AT_SQL, a, b) for kinds, pairs in A.role_pairs(AT_ROLES, list(AT_ROLES)).items() for a, b in pairs]
     return " UNION ALL ".join(f"({p})" for p in parts)
 
 
 def _assoc_spark(spark, d):
-    df = lineitem_with_nulls(spark, d).select(*AT_COLS)
-    # roles from the full-data overview: a #columns-row result on the driver
-    roles = {r["column"]: r["role"] for r in column_overview(df).select("column", "role").collect()}
-    pairs, _ = A.select_pairs(roles, AT_COLS)
-    return A.association_table(df, roles, pairs)
+    price = F.col("l_extendedprice")
+    df = lineitem_with_nulls(spark, d).withColumns({
+        "l_net": price * (1 - F.col("l_discount")), "l_charge": price * (1 + F.col("l_tax")),
+        "l_unit": price / F.col("l_quantity"), "l_shipmonth": F.date_format("l_shipdate", "yyyy-MM"),
+        "l_shipyear": F.year("l_shipdate")})
+    return A.association_table(df, AT_ROLES, list(AT_ROLES))
 
 
 @register("A04_association_table", _assoc_sql())

@@ -89,6 +89,13 @@ def q_qq(spark, d):
     return rounded(D.qq_points(table(spark, d, "events"), "value"), {"theoretical": 8})
 
 
+@register("D07_normal_qq_line", f"""
+WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events WHERE isfinite(value))
+SELECT round((q3 - q1) / (2 * {D.inv_norm_sql('0.75::DOUBLE')}), 8) AS slope, round((q1 + q3) / 2, 8) AS intercept FROM q""")
+def q_qq_line(spark, d):
+    return rounded(D.qq_line(table(spark, d, "events"), "value"), {"slope": 8, "intercept": 8})
+
+
 @register("D08_outlier_rows", """
 WITH q AS (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM orders)
 SELECT o_orderkey, o_totalprice, round(q1 - 1.5 * (q3 - q1), 6) AS lower, round(q3 + 1.5 * (q3 - q1), 6) AS upper,
@@ -109,13 +116,8 @@ m AS (SELECT max(l_discount) AS mx FROM lineitem)
 SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount,
        round(CASE WHEN mx > 0 THEN l_discount / mx * 250 ELSE 0.0 END, 8) AS area FROM s, m""")
 def q_bubble(spark, d):
-    from tessera.operators.sampling import priority_sample
-    li = table(spark, d, "lineitem")
-    base = li.select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount")
-    pts = priority_sample(base, 2000, 42, ["l_orderkey", "l_linenumber"])
-    mx = li.agg(F.max("l_discount").alias("_m"))
-    out = pts.crossJoin(mx).withColumn("area", F.when(F.col("_m") > 0, F.col("l_discount") / F.col("_m") * 250)
-                                       .otherwise(0.0)).drop("_m")
+    out = D.scatter_points(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice", "l_discount", 42, 2000,
+                           ["l_orderkey", "l_linenumber"])
     return rounded(out, {"area": 8})
 
 
@@ -132,19 +134,19 @@ def q_grid(spark, d):
 
 
 @register("D11_hexbin", f"""
-WITH r AS (SELECT min(l_extendedprice) AS x0, max(l_extendedprice) AS x1, min(l_discount) AS y0, max(l_discount) AS y1
-           FROM lineitem),
-p AS (SELECT x0, y0, (x1 - x0) / 20 AS sx, (y1 - y0) / 20 * {math.sqrt(3)!r} AS sy,
-             (l_extendedprice - x0) / ((x1 - x0) / 20) AS u, (l_discount - y0) / ((y1 - y0) / 20 * {math.sqrt(3)!r}) AS v
-      FROM lineitem, r),
-h AS (SELECT *, round(u) AS i1, round(v) AS j1, floor(u) + 0.5 AS i2, floor(v) + 0.5 AS j2 FROM p),
-c AS (SELECT *, (u - i1) * (u - i1) + 3 * (v - j1) * (v - j1) <= (u - i2) * (u - i2) + 3 * (v - j2) * (v - j2) AS f FROM h)
-SELECT round(CASE WHEN f THEN i1 ELSE i2 END * sx + x0, 6) AS center_x,
-       round(CASE WHEN f THEN j1 ELSE j2 END * sy + y0, 8) AS center_y, count(*) AS count FROM c GROUP BY ALL""")
+WITH r AS (SELECT min(l_extendedprice) AS xa, max(l_extendedprice) AS xb, min(l_discount) AS ya, max(l_discount) AS yb FROM lineitem),
+w AS (SELECT xa - (xb - xa) * 1e-9 AS x0, (xb - xa) * (1 + 2e-9) / 20 AS sx,
+             ya - (yb - ya) * 1e-9 AS y0, (yb - ya) * (1 + 2e-9) / {int(20 / math.sqrt(3))} AS sy FROM r),
+p AS (SELECT x0, sx, y0, sy, (l_extendedprice - x0) / sx AS u, (l_discount - y0) / sy AS v FROM lineitem, w),
+e AS (SELECT *, round_even(u, 0) AS ue, round_even(v, 0) AS ve, floor(u) + 0.5 AS uo, floor(v) + 0.5 AS vo FROM p),
+c AS (SELECT *, pow(u - ue, 2) + 3 * pow(v - ve, 2) < pow(u - uo, 2) + 3 * pow(v - vo, 2) AS near FROM e)
+SELECT round(if(near, ue, uo) * sx + x0, 4) AS center_x,
+       CASE WHEN abs(if(near, ve, vo) * sy + y0) < 5e-7 THEN 0 ELSE round(if(near, ve, vo) * sy + y0, 6) END AS center_y,
+       count(*) AS count FROM c GROUP BY ALL""")
 def q_hexbin(spark, d):
     out = D.hexbin(table(spark, d, "lineitem"), "l_extendedprice", "l_discount", gridsize=20)
-    out = out.select(F.round("center_x", 6).alias("center_x"), F.round("center_y", 8).alias("center_y"), "count")
-    return out.groupBy("center_x", "center_y").agg(F.sum("count").alias("count"))
+    out = rounded(out, {"center_x": 4, "center_y": 6})
+    return out.withColumn("center_y", F.when(F.col("center_y") == 0, 0.0).otherwise(F.col("center_y")))  # no -0.0
 
 
 @register("D12_text_length", """
@@ -188,14 +190,14 @@ WITH m AS (SELECT 'l_quantity' AS "column", count(*) FILTER (WHERE l_quantity IS
   UNION ALL SELECT 'l_extendedprice', 0, count(*) FROM lineitem UNION ALL SELECT 'l_discount', 0, count(*) FROM lineitem
   UNION ALL SELECT 'l_tax', 0, count(*) FROM lineitem UNION ALL SELECT 'l_returnflag', 0, count(*) FROM lineitem
   UNION ALL SELECT 'l_shipdate', 0, count(*) FROM lineitem)
-SELECT "column", missing, round(missing / n, 10) AS share FROM m ORDER BY missing DESC, "column" LIMIT 12""")
+SELECT "column", missing, round(missing / n, 10) AS share FROM m""")
 def q_missing_rank(spark, d):
     return rounded(D.missing_ranking(lineitem_with_nulls(spark, d)), {"share": 10})
 
 
 @register("G24_missing_patterns", f"""
 SELECT (l_quantity IS NULL)::INT::VARCHAR || (l_linestatus IS NULL)::INT::VARCHAR || (l_tax IS NULL)::INT::VARCHAR AS pattern,
-       count(*) AS count FROM {LI} t GROUP BY 1 ORDER BY count DESC, pattern LIMIT 10""")
+       count(*) AS count FROM {LI} t GROUP BY 1""")
 def q_patterns(spark, d):
     return D.missing_patterns(lineitem_with_nulls(spark, d), ["l_quantity", "l_linestatus", "l_tax"])
 
@@ -207,10 +209,7 @@ def _contingency_sql(normalize: str | None) -> str:
     elif normalize == "group":
         share = ", round(count / sum(count) OVER (PARTITION BY p_brand), 10) AS share"
     return f"""
-WITH tx AS (SELECT p_type FROM part GROUP BY 1 ORDER BY count(*) DESC, p_type LIMIT 8),
-ty AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 8),
-c AS (SELECT p_type, p_brand, count(*) AS count FROM part WHERE p_type IN (SELECT * FROM tx)
-      AND p_brand IN (SELECT * FROM ty) GROUP BY ALL)
+WITH c AS (SELECT p_type, p_brand, count(*) AS count FROM part GROUP BY ALL)
 SELECT *{share} FROM c"""
 
 
@@ -229,6 +228,22 @@ def q_stacked(spark, d):
     return rounded(D.contingency(table(spark, d, "part"), "p_type", "p_brand", normalize="row"), {"share": 10})
 
 
+@register("G26_contingency_rest", """
+WITH tx AS (SELECT p_type FROM part GROUP BY 1 ORDER BY count(*) DESC, p_type LIMIT 8),
+l AS (SELECT CASE WHEN p_type IN (SELECT * FROM tx) THEN p_type ELSE '[remaining categories]' END AS p_type, p_brand FROM part),
+ty AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 8)
+SELECT p_type, CASE WHEN p_brand IN (SELECT * FROM ty) THEN p_brand ELSE '[remaining categories]' END AS p_brand,
+       count(*) AS count FROM l GROUP BY ALL""")
+def q_cont_rest(spark, d):
+    return D.contingency(table(spark, d, "part"), "p_type", "p_brand", k=8)
+
+
+@register("G29_category_counts", """
+SELECT row_number() OVER (ORDER BY count(*) DESC, p_name) AS rank, p_name, count(*) AS count FROM part GROUP BY p_name""")
+def q_cat_all(spark, d):
+    return D.category_counts(table(spark, d, "part"), "p_name")
+
+
 @register("G29_category_counts_remaining", """
 WITH c AS (SELECT p_brand, count(*) AS count FROM part GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY count DESC, p_brand) AS rank FROM c)
@@ -247,7 +262,7 @@ def q_line(spark, d):
 
 
 PERIOD_SQL = """
-WITH b AS (SELECT date_trunc('hour', ts) AS period, value FROM events WHERE event_type = 'error'),
+WITH b AS (SELECT date_trunc('hour', ts) AS period, value FROM events),
 spine AS (SELECT unnest(generate_series(min(period), max(period), INTERVAL 1 HOUR)) AS period FROM b),
 v AS (SELECT period, {agg} AS value FROM b GROUP BY 1)
 SELECT CAST(spine.period AS TIMESTAMP) AS period, {out} AS value FROM spine LEFT JOIN v USING (period)"""
@@ -255,13 +270,13 @@ SELECT CAST(spine.period AS TIMESTAMP) AS period, {out} AS value FROM spine LEFT
 
 @register("G31_period_mean", PERIOD_SQL.format(agg="avg(value)", out="round(value, 8)"))
 def q_period_mean(spark, d):
-    ev = table(spark, d, "events").where(F.col("event_type") == "error")
+    ev = table(spark, d, "events")
     return rounded(D.period_aggregate(ev, "ts", "value", "H", "mean"), {"value": 8})
 
 
 @register("G32_period_counts", PERIOD_SQL.format(agg="count(*)", out="coalesce(value, 0)"))
 def q_period_counts(spark, d):
-    ev = table(spark, d, "events").where(F.col("event_type") == "error")
+    ev = table(spark, d, "events")
     return D.period_aggregate(ev, "ts", None, "H", "count")
 
 
@@ -368,16 +383,51 @@ def q_pair_matrix(spark, d):
     return rounded(diagonal, {"lower": 6, "upper": 6})
 
 
+@register("D15_pair_matrix_points", f"""SELECT l_orderkey, l_linenumber, l_quantity, l_extendedprice, l_discount FROM lineitem
+  ORDER BY {LI_PRIORITY}, l_quantity, l_extendedprice, l_discount LIMIT 2000""")
+def q_pair_points(spark, d):
+    """The sample that all panels off the diagonal share: 2,000 rows, the operator's own size."""
+    _, shared = D.pair_matrix(table(spark, d, "lineitem"), ["l_quantity", "l_extendedprice", "l_discount"],
+                              key=["l_orderkey", "l_linenumber"])
+    return shared
+
+
+@register("D01_histogram_all_groups", """
+WITH b AS (SELECT p_brand AS g, p_retailprice AS x FROM part),
+r AS (SELECT min(x) AS lo, max(x) AS hi FROM b),
+c AS (SELECT g, CAST(least(floor((x - lo) / (hi - lo) * 20), 19) AS INTEGER) AS bin, count(*) AS n FROM b, r GROUP BY ALL)
+SELECT s.g AS p_brand, 'p_retailprice' AS "column", CAST(i AS INTEGER) AS bin, round(lo + i * (hi - lo) / 20, 6) AS lower,
+       round(CASE WHEN i = 19 THEN hi ELSE lo + (i + 1) * (hi - lo) / 20 END, 6) AS upper, coalesce(n, 0) AS count
+FROM (SELECT DISTINCT g FROM b) s CROSS JOIN r CROSS JOIN range(0, 20) t(i) LEFT JOIN c ON c.g = s.g AND c.bin = i""")
+def q_hist_all(spark, d):
+    """Every one of the 25 brands."""
+    out = D.grouped_histogram(table(spark, d, "part"), "p_retailprice", "p_brand", bins=20)
+    return rounded(out, {"lower": 6, "upper": 6})
+
+
+@register("D04_box_groups_rest", """
+WITH t AS (SELECT p_brand FROM part GROUP BY 1 ORDER BY count(*) DESC, p_brand LIMIT 8),
+b AS (SELECT CASE WHEN p_brand IN (SELECT * FROM t) THEN p_brand ELSE '[remaining categories]' END AS p_brand, p_retailprice AS x FROM part),
+q AS (SELECT p_brand, quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3 FROM b GROUP BY 1)
+SELECT p_brand, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,
+  min(x) FILTER (WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_low,
+  max(x) FILTER (WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS whisker_high,
+  count(*) FILTER (WHERE NOT x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1)) AS outliers, count(*) AS n
+FROM b JOIN q USING (p_brand) GROUP BY p_brand, q1, median, q3""")
+def q_box_rest(spark, d):
+    """Eight brands by name, the other seventeen as one labelled group."""
+    return rounded(D.box_stats(table(spark, d, "part"), "p_retailprice", "p_brand", max_groups=8),
+                   {"q1": 6, "median": 6, "q3": 6})
+
+
 @register("D16_summary_plan")
 def q_summary_plan(spark, d):
-    from tessera.operators.associations import association_table, select_pairs, strongest
+    from tessera.operators.associations import association_table, strongest
     from tessera.operators.profile import column_overview
-    df = lineitem_with_nulls(spark, d).select("l_quantity", "l_extendedprice", "l_discount", "l_returnflag",
-                                              "l_linestatus", "l_shipdate")
+    df = lineitem_with_nulls(spark, d)
     ov = [r.asDict() for r in column_overview(df).collect()]  # one row per column
     roles = {r["column"]: r["role"] for r in ov}
-    pairs, _ = select_pairs(roles, df.columns)
-    top = [(r["x"], r["y"]) for r in strongest(association_table(df, roles, pairs), 3).collect()]
+    top = [(r["x"], r["y"]) for r in strongest(association_table(df, roles), 3).collect()]
     plan = D.summary_plan(ov, top)
     import json
     return spark.createDataFrame([(i, p["operator"], json.dumps(p["args"], sort_keys=True)) for i, p in enumerate(plan)],

@@ -3,16 +3,60 @@ from pyspark.sql import functions as F
 
 from tessera.operators import transforms as X
 from tessera.operators.sampling import filter_ranges, parse_ranges, priority_sample
-from tessera.operators.splitting import SplitConfig, allocate, split_assign
+from tessera.operators.splitting import SplitConfig, allocate, check_splits, split_assign, with_allocation
 from tessera.plans.prepare import TaskConfig, prepare_task
 from tessera.plans.recipe import Recipe
 
 
-def test_allocate():
-    assert allocate(120, (0.7, 0.15, 0.15)) == [84, 18, 18]
-    assert sum(allocate(7, (0.5, 0.25, 0.25))) == 7
+def _seats(n, shares):
+    """Largest remainder written out: fill whole quotas, deal the rest by remainder, then feed empty splits."""
+    import math
+    active = [i for i in range(3) if shares[i] > 0]
+    seats = {i: math.floor(n * shares[i]) for i in active}
+    by_remainder = sorted(active, key=lambda i: (seats[i] - n * shares[i], i))
+    for i in by_remainder[:n - sum(seats.values())]:
+        seats[i] += 1
+    for i in active:
+        if not seats[i]:
+            rich = max((j for j in active if seats[j] > 1), key=lambda j: (seats[j] - n * shares[j], -j))
+            seats[rich] -= 1
+            seats[i] = 1
+    return [seats.get(i, 0) for i in range(3)]
+
+
+@pytest.mark.parametrize("shares", [(0.7, 0.15, 0.15), (0.5, 0.25, 0.25), (0.8, 0.2, 0.0), (0.98, 0.01, 0.01),
+                                    (0.01, 0.98, 0.01), (1.0, 0.0, 0.0)])
+def test_allocation(spark, shares):
+    totals = spark.range(3, 160).withColumnRenamed("id", "total")
+    got = {r["total"]: [r["n_0"], r["n_1"], r["n_2"]] for r in with_allocation(totals, shares).collect()}
+    assert got == {n: _seats(n, shares) for n in range(3, 160)}
+
+
+def test_allocation_needs_enough_rows(spark):
+    assert allocate(spark, 120, (0.7, 0.15, 0.15)) == [84, 18, 18]
     with pytest.raises(ValueError):
-        allocate(2, (0.7, 0.15, 0.15))
+        allocate(spark, 2, (0.7, 0.15, 0.15))
+
+
+def test_every_strategy_refuses_an_empty_split(spark):
+    one = spark.createDataFrame([(i, "g", 1, "a" if i else "b") for i in range(20)], "row_id long, g string, t long, y string")
+    for cfg in (SplitConfig("group", group_column="g"), SplitConfig("chronological", time_column="t")):
+        with pytest.raises(ValueError):
+            split_assign(one, cfg, "row_id")
+    with pytest.raises(ValueError):  # class b has one row for three splits
+        split_assign(one, SplitConfig("stratified"), "row_id", target="y")
+    with pytest.raises(ValueError):
+        split_assign(one.limit(2), SplitConfig("random"), "row_id")
+
+
+def test_check_splits_counts_once(spark):
+    rows = [(i, "train" if i < 6 else "validation" if i < 8 else "test", "ab"[i % 2]) for i in range(10)]
+    df = spark.createDataFrame(rows, "row_id long, split string, y string")
+    assert check_splits(df, SplitConfig(), "y") == {"train": 6, "validation": 2, "test": 2, "excluded": 0}
+    with pytest.raises(ValueError):  # class c is never trained
+        check_splits(df.withColumn("y", F.when(F.col("row_id") == 9, "c").otherwise(F.col("y"))), SplitConfig(), "y")
+    with pytest.raises(ValueError):
+        check_splits(df.where("split != 'test'"), SplitConfig(), "y")
 
 
 def base(spark):
