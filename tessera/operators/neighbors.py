@@ -36,7 +36,6 @@ def knn(train: DataFrame, query: DataFrame, k: int, vec: str = "vec", tid: str =
     piv = t.withColumn("_pr", priority(seed, F.col("_tid").cast("string"))).orderBy("_pr", "_tid") \
         .limit(pivots).select("_v").collect()  # P x dim values, bounded by ``pivots``
     plist = F.array(*[F.array(*[F.lit(float(x)) for x in r["_v"]]) for r in piv])
-    n_piv = len(piv)
     pd = F.transform(plist, lambda p: _dist(F.col("_v"), p))
     t = t.withColumn("_pd", pd).withColumn("_cell", F.array_position("_pd", F.array_min("_pd")).cast("int") - 1) \
         .withColumn("_r", F.array_min("_pd")).drop("_pd")
@@ -66,7 +65,6 @@ def knn(train: DataFrame, query: DataFrame, k: int, vec: str = "vec", tid: str =
         .drop("_bound")
     allp = d1.unionByName(pairs(second.select(*first.columns)))
     ranked = allp.withColumn("rank", F.row_number().over(Window.partitionBy("_qid").orderBy("distance", "_tid")))
-    del n_piv
     return ranked.where(F.col("rank") <= k).select(F.col("_qid").alias(qid), F.col("_tid").alias("neighbor"),
                                                    "distance", F.col("rank").cast("int").alias("rank"))
 
@@ -86,3 +84,16 @@ def knn_predict(train: DataFrame, query: DataFrame, k: int, label: str, weights:
     best = votes.withColumn("_r", F.row_number().over(Window.partitionBy(qid).orderBy(F.col("_w").desc(), "_lab"))) \
         .where(F.col("_r") == 1)
     return best.select(qid, F.col("_lab").alias("prediction"), F.col("_w").alias("votes"))
+
+
+def knn_regress(train: DataFrame, query: DataFrame, k: int, label: str, weights: str = "uniform",
+                vec: str = "vec", tid: str = "id", qid: str = "qid", pivots: int = 32) -> DataFrame:
+    """M10 for values: the mean of the k nearest labels, or with ``weights='distance'`` the mean weighted by
+    inverse distance, where exact matches alone count."""
+    nb = knn(train, query, k, vec, tid, qid, pivots)
+    near = nb.join(train.select(F.col(tid).alias("neighbor"), F.col(label).cast("double").alias("_lab")), "neighbor")
+    if weights == "uniform":
+        return near.groupBy(qid).agg(F.avg("_lab").alias("prediction"))
+    exact = F.col("distance") == 0
+    weighted = F.sum(F.col("_lab") / F.nullif(F.col("distance"), F.lit(0.0))) / F.sum(1 / F.nullif(F.col("distance"), F.lit(0.0)))
+    return near.groupBy(qid).agg(F.coalesce(F.avg(F.when(exact, F.col("_lab"))), weighted).alias("prediction"))

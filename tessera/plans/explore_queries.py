@@ -10,7 +10,7 @@ from tessera.operators import models as M
 from tessera.operators import scoring as Y
 from tessera.operators import series as Z
 from tessera.plans.recipe import Recipe, fit_recipe
-from tessera.plans.registry import register, rounded, table
+from tessera.plans.registry import lineitem_with_nulls, register, rounded, table
 
 
 def _embeddings(spark, d):
@@ -46,11 +46,70 @@ def q_pca(spark, d):
     return out.select("vec_id", "label", "scores").withColumn("explained_variance", F.array(*[F.lit(r) for r in ratio]))
 
 
-@register("X06_silhouette")
+@register("X06_silhouette", """
+WITH s AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+           ORDER BY sha256('42' || chr(0) || CAST(vec_id AS VARCHAR)), CAST(vec_id AS VARCHAR) LIMIT 2000),
+n AS (SELECT label, count(*) AS n FROM s GROUP BY 1),
+d AS (SELECT p.vec_id, p.label AS own, q.label, sum(list_distance(p.x, q.x)) AS away FROM s p, s q GROUP BY ALL),
+m AS (SELECT vec_id, max(away) FILTER (WHERE own = label) / max(greatest(n - 1, 1)) FILTER (WHERE own = label) AS a,
+             max(n) FILTER (WHERE own = label) AS mine, min(away / n) FILTER (WHERE own <> label) AS b
+      FROM d JOIN n USING (label) GROUP BY vec_id)
+SELECT round(avg(CASE WHEN mine > 1 THEN (b - a) / greatest(a, b) ELSE 0 END), 6) AS silhouette,
+       (SELECT count(*) FROM s) AS sampled, (SELECT count(*) FROM embeddings) AS rows FROM m""")
 def q_silhouette(spark, d):
-    emb = _embeddings(spark, d)
-    s = X.silhouette(emb.withColumn("cluster", F.col("label")))
-    return spark.createDataFrame([(s,)], "silhouette double")
+    got = X.silhouette(_embeddings(spark, d).withColumn("cluster", F.col("label")), ["vec_id"])
+    out = spark.createDataFrame([(got["silhouette"], got["sampled"], got["rows"])],
+                                "silhouette double, sampled long, rows long")
+    return rounded(out, {"silhouette": 6})
+
+
+MIXED = ["l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus"]  # two hold missing values
+
+
+def _covered(out, ok):
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.count_if(ok).alias("answered"))
+
+
+ALL_ROWS = "SELECT count(*) AS rows, count(*) AS answered FROM {}"
+
+
+@register("X01_kmeans_mixed_table", ALL_ROWS.format("lineitem"))
+def q_kmeans_mixed(spark, d):
+    """Every row of a mixed table with missing values gets one of the four clusters."""
+    _, out = X.kmeans(X.as_vectors(lineitem_with_nulls(spark, d), MIXED), k=4, n_init=1)
+    return _covered(out, F.col("cluster").between(0, 3))
+
+
+@register("X02_gaussian_mixture_checks", ALL_ROWS.format("embeddings"))
+def q_gmm_checks(spark, d):
+    """Memberships of every row add up to 1 and the cluster is the likeliest."""
+    p = F.col("probability")
+    total = F.aggregate(p, F.lit(0.0), lambda a, b: a + b)
+    return _covered(q_gmm(spark, d), (F.abs(total - 1) < 1e-6) & (F.element_at(p, F.col("cluster") + 1) == F.array_max(p)))
+
+
+@register("X04_pca_checks", "SELECT count(*) AS rows, true AS centred, true AS uncorrelated, true AS ordered FROM embeddings")
+def q_pca_checks(spark, d):
+    """Scores have mean 0, are uncorrelated, and their variances fall."""
+    a, b = F.col("scores")[0], F.col("scores")[1]
+    return q_pca(spark, d).agg(
+        F.count(F.lit(1)).alias("rows"), (F.abs(F.avg(a)) < 1e-6).alias("centred"),
+        (F.abs(F.corr(a, b)) < 1e-6).alias("uncorrelated"), (F.var_pop(a) >= F.var_pop(b)).alias("ordered"))
+
+
+@register("X07_bisecting_checks", "SELECT count(*) AS rows, 6 AS clusters FROM embeddings")
+def q_bisect_checks(spark, d):
+    return q_bisect(spark, d).agg(F.sum("size").alias("rows"), F.count(F.lit(1)).cast("int").alias("clusters"))
+
+
+@register("X05_isolation_forest_checks", ALL_ROWS.format("lineitem"))
+def q_iforest_checks(spark, d):
+    """Rows with missing values are scored too."""
+    from tessera.operators.anomaly import fit_isolation_forest, score_isolation_forest
+    li = lineitem_with_nulls(spark, d).select("l_orderkey", "l_linenumber", *MIXED[:3])
+    model = fit_isolation_forest(li, MIXED[:3], n_estimators=20, key=["l_orderkey", "l_linenumber"])
+    out = score_isolation_forest(li, model)
+    return _covered(out, F.col("anomaly_score").between(0, 1) & (F.col("is_anomaly") == (F.col("anomaly_score") > 0.5)))
 
 
 @register("X07_bisecting_kmeans")

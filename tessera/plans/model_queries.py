@@ -208,10 +208,27 @@ def _model_rows(algorithm: str, task: str = "classification", params: dict | Non
         m = M.fit_model(M.ModelConfig("sklearn" if algorithm != "mlp" else "pytorch", algorithm, params or {}),
                         train, task, n_classes=2)
         pred = m.predict(data)
-        return pred.select("doc_id", "split", "prediction", F.element_at("probability", 2).alias("p1"))
+        p1 = F.element_at("probability", 2) if "probability" in pred.columns else F.lit(None).cast("double")
+        return pred.select("doc_id", "split", "prediction", p1.alias("p1"))
     return run
 
 
+def _model_checks(rows, probabilities: bool):
+    """Of the rows a model query returns: rows per split, how many are predicted as a class, and how many
+    have a probability in [0, 1] on the side of the prediction."""
+    def run(spark, d):
+        at = F.col("p1")
+        fits = at.isNotNull() & at.between(0, 1) & ((F.col("prediction") == 1) == (at > 0.5)) | (F.abs(at - 0.5) < 1e-9)
+        return rows(spark, d).groupBy("split").agg(
+            F.count(F.lit(1)).alias("rows"), F.count_if(F.col("prediction").isin(0.0, 1.0)).alias("predicted"),
+            (F.count_if(fits) if probabilities else F.count_if(at.isNull())).alias("consistent"))
+    return run
+
+
+MODEL_CHECK_SQL = f"""SELECT split, count(*) AS rows, count(*) AS predicted, count(*) AS consistent
+FROM ({_rank_split_sql(DOCS_LABELED, "doc_id", "CAST(quality AS VARCHAR)")}) s GROUP BY split"""
+
+
 @register("V12_class_view", f"""
 WITH t AS (SELECT doc_id, n_chars, lang, quality, (n_chars > 1000)::INT AS p FROM {DOCS_LABELED} x),
 s AS (SELECT * FROM t ORDER BY sha256('42' || chr(0) || CAST(doc_id AS VARCHAR)), CAST(doc_id AS VARCHAR),
@@ -247,7 +264,9 @@ for _qid, _algo, _params in [
         ("M12_voting", "voting", {"n_estimators": 10}),
         ("M13_stacking", "stacking", {"cv": 3}),
         ("M14_mlp", "mlp", {"hidden_sizes": [8], "epochs": 30})]:
-    register(_qid)(_model_rows(_algo, params=_params))
+    _rows = _model_rows(_algo, params=_params)
+    register(_qid)(_rows)
+    register(f"{_qid}_checks", MODEL_CHECK_SQL)(_model_checks(_rows, _algo != "svm"))
 
 
 @register("M15_candidate_comparison")

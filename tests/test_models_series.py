@@ -10,15 +10,90 @@ from tessera.operators import series as Z
 from tessera.operators.neighbors import knn
 
 
-def test_search_configs_distinct_and_repeatable():
-    base = M.ModelConfig("sklearn", "random_forest")
-    space = {"max_depth": [2, 4, 6], "n_estimators": [3, 5]}
-    a = M.search_configs(base, space, "random", trials=4, seed=1)
-    b = M.search_configs(base, space, "random", trials=4, seed=1)
-    assert [c.params for c in a] == [c.params for c in b]
-    assert len({tuple(sorted(c.params.items())) for c in a}) == 4
-    with pytest.raises(ValueError):
-        M.search_configs(base, space, "grid", max_trials=5)
+def test_search_draws_different_points_of_the_space():
+    base = M.ModelConfig("sklearn", "ridge", seed=9)
+    space = {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]}
+    for trials in (1, 3, 5, 50):
+        found = [c.params["alpha"] for c in M.search_configs(base, space, trials=trials, seed=2)]
+        assert found == [c.params["alpha"] for c in M.search_configs(base, space, trials=trials, seed=2)]
+        assert len(found) == len(set(found)) == min(trials, 5) and set(found) <= set(space["alpha"])
+    assert [c.params["alpha"] for c in M.search_configs(base, space, "grid")] == space["alpha"]
+    assert all(c.seed == 9 for c in M.search_configs(base, space))
+    for method, kw in (("grid", {"max_trials": 4}), ("random", {"trials": 500})):
+        with pytest.raises(ValueError):
+            M.search_configs(base, space, method, **kw)
+
+
+def test_parameters_follow_the_catalog():
+    assert M.parameters(M.ModelConfig("catboost", "boosted_trees", {"iterations": 7})) == {
+        "iterations": 7, "depth": 6, "learning_rate": 0.1}
+    assert M._depth({"num_leaves": 31}) == 5 and M._depth({"max_depth": None}) == M.MAX_DEPTH
+    for odd in (M.ModelConfig("lightgbm", "boosted_trees", {"iterations": 7}), M.ModelConfig("sklearn", "ridge", {"C": 1})):
+        with pytest.raises(ValueError):
+            M.parameters(odd)
+
+
+def _labelled(spark, n=90, seed=4):
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(seed)
+    x = rng.normal(0.0, 1.5, (n, 2))
+    y = (x @ [1.2, -0.7] + rng.normal(0, 1.0, n) > 0.3).astype(float)
+    rows = [(i, float(a), float(b), float(c)) for i, ((a, b), c) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id long, a double, b double, label double")
+    return x, y, VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+
+
+def test_logistic_regression_minimises_the_stated_objective(spark):
+    x, y, df = _labelled(spark)
+    for c in (0.05, 1.0):
+        m = M.fit_model(M.ModelConfig("sklearn", "logistic_regression", {"C": c}), df, "classification", 2).model
+        w, p = m.coefficients.toArray(), 1 / (1 + np.exp(-(x @ m.coefficients.toArray() + m.intercept)))
+        gradient = np.append(c * (x.T @ (p - y)) + w, c * (p - y).sum())  # of C sum(loss) + |w|^2 / 2
+        assert np.abs(gradient).max() < 1e-3
+
+
+def test_linear_svm_minimises_the_stated_objective(spark):
+    x, y, df = _labelled(spark)
+    m = M.fit_model(M.ModelConfig("sklearn", "svm", {"C": 1.0}), df, "classification", 2)
+    assert "probability" not in m.predict(df).columns
+
+    def cost(w, b):
+        return np.maximum(0, 1 - (2 * y - 1) * (x @ w + b)).sum() + 0.5 * w @ w
+    w, b = m.model.coefficients.toArray(), m.model.intercept
+    rng = np.random.default_rng(1)
+    near = min(cost(w + d[:2], b + d[2]) for d in rng.normal(0, 0.05, (400, 3)))
+    assert cost(w, b) <= near + 0.05
+
+
+def test_models_take_any_values_and_come_back_from_disk(spark):
+    import uuid
+
+    from tessera.session import checkpoint_dir
+    _, _, df = _labelled(spark, 60)
+    top = checkpoint_dir(spark).rstrip("/") + "/models-" + uuid.uuid4().hex
+    small = {"voting": {"n_estimators": 3}, "adaboost": {"n_estimators": 3}, "random_forest": {"n_estimators": 3}}
+    kinds = [("classification", a) for a in ("dummy", "linear", "bernoulli_nb", "adaboost", "voting", "random_forest")]
+    kinds += [("regression", a) for a in ("linear", "adaboost", "voting")]
+    for task, algorithm in kinds:
+        m = M.fit_model(M.ModelConfig("sklearn", algorithm, small.get(algorithm, {})), df, task, 2)
+        m.save(f"{top}/{task}-{algorithm}")
+        back = M.TrainedModel.load(f"{top}/{task}-{algorithm}")
+        assert back.config == m.config and M.same_predictions(m, back, df, "id")
+        out = m.predict(df)
+        assert out.where("prediction is null").count() == 0 and ("probability" in out.columns) == (task == "classification")
+
+
+def test_exploration_returns_every_row(spark):
+    from tessera.operators import exploration as X
+    from tessera.operators.anomaly import fit_isolation_forest, score_isolation_forest
+    rows = [(i, None if i % 5 == 0 else float(i % 11), None if i % 7 == 0 else "uvw"[i % 3]) for i in range(70)]
+    df = spark.createDataFrame(rows, "id long, x double, c string")
+    out = X.kmeans(X.as_vectors(df, ["x", "c"]), k=3, n_init=1)[1]
+    assert out.where("cluster is not null").count() == 70
+    scored = score_isolation_forest(df, fit_isolation_forest(df, ["x"], n_estimators=5, key=["id"]))
+    assert scored.where("anomaly_score between 0 and 1").count() == 70
+    one = df.withColumn("cluster", F.lit(0))
+    assert X.silhouette(X.as_vectors(one, ["x"]), ["id"]) == {"silhouette": None, "sampled": 70, "rows": 70}
 
 
 def test_winner_by_direction():
@@ -28,11 +103,10 @@ def test_winner_by_direction():
 
 def test_irregular_series_rejected(spark):
     import datetime as dt
-    base = dt.datetime(2025, 1, 1)
-    ok = spark.createDataFrame([(base + dt.timedelta(days=i), math.sin(i / 4) + 0.02 * i) for i in range(60)],
-                               "ts timestamp_ntz, v double")
+    hours = [dt.datetime(2024, 3, 5, 8) + dt.timedelta(hours=3 * i) for i in range(25)]
+    ok = spark.createDataFrame([(h, float(i * i % 13)) for i, h in enumerate(hours)], "ts timestamp_ntz, v double")
     Z.validate_series(ok, "ts", "v")
-    bad = ok.union(spark.createDataFrame([(base + dt.timedelta(days=61, hours=3), 1.0)], "ts timestamp_ntz, v double"))
+    bad = ok.where(F.col("ts") != hours[9])  # one step is missing
     with pytest.raises(ValueError):
         Z.validate_series(bad, "ts", "v")
 
@@ -60,19 +134,18 @@ def test_ar1_recovers_coefficient(spark):
 
 
 def test_recommendation_protocol(spark):
-    rows = [(u, i, 1.0) for u in range(8) for i in range(10) if (u + i) % 3 != 0]
-    rows += [rows[0], rows[1]]
-    df = spark.createDataFrame(rows, "u long, i long, w double")
+    held = [(1, 30, 2.0), (1, 31, 1.0), (2, 30, 5.0), (9, 32, 1.0)]  # user 9 and item 32 are new
+    seen = [(1, 10, 1.0), (1, 11, 1.0), (2, 10, 1.0), (3, 30, 1.0), (3, 31, 1.0), (3, 31, 0.5)]
+    df = spark.createDataFrame(seen + held, "u long, i long, w double")
     inter = N.interactions(df, "u", "i", "w")
-    assert inter.count() == len(rows) - 2
-    assert inter.where("weight = 2.0").count() == 2
-    train = inter.where(F.col("user") < 6)
-    val = inter.where(F.col("user") >= 5)
+    assert inter.count() == 9 and inter.where("weight = 1.5").count() == 1  # the repeated pair is added up
+    val = inter.where("(user in (1, 2) and item >= 30) or user = 9")
+    train = inter.join(val, ["user", "item"], "left_anti")
     cold = N.cold_start(train, val).first()
-    assert cold["cold_user_rows"] == inter.where("user >= 6").count()
+    assert cold["cold_user_rows"] == 1
     rec = N.popularity_recall(train, val).first()
-    # user 5's held-out items were all seen in training: evaluated, but every one is a miss
-    assert rec["evaluated_users"] == 1 and rec["recall_at_10"] == 0.0
+    # users 1 and 2 find their held-out items among the unseen popular ones; user 9 has no history
+    assert rec["evaluated_users"] == 2 and rec["recall_at_10"] == 1.0
 
 
 def test_knn_exact_matches_brute_force(spark):
