@@ -8,6 +8,7 @@ then one merge of ``partitions x n`` rows), never a global sort.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -131,37 +132,33 @@ def lags(df: DataFrame, ts: str, value: str, window: int, series: str | None = N
     return lag_features(df, ts, value, window, series).drop("pos")
 
 
+ROW_RANGE = re.compile(r"([0-9]+)(?:\s*-\s*([0-9]+))?", re.ASCII)
+
+
 def parse_ranges(text: str) -> list[tuple[int, int]]:
-    """P20: '1, 3-10' -> [(1, 1), (3, 10)] (1-based, inclusive); ranges are never expanded."""
-    if not isinstance(text, str) or not text.strip():
-        raise ValueError("Row ranges must be nonempty text")
+    """P20: '1, 3-10' -> [(1, 1), (3, 10)] (1-based, inclusive); ranges are never expanded and blank
+    parts are passed over."""
     out = []
-    for part in text.split(","):
-        part = part.strip()
-        if "-" in part:
-            a, b = part.split("-", 1)
-            if not a.strip().isdigit() or not b.strip().isdigit():
-                raise ValueError(f"Invalid row range {part!r}")
-            lo, hi = int(a), int(b)
-        else:
-            if not part.isdigit():
-                raise ValueError(f"Invalid row number {part!r}")
-            lo = hi = int(part)
-        if lo < 1 or hi < lo:
-            raise ValueError(f"Invalid row range {part!r}")
-        out.append((lo, hi))
+    for part in filter(None, map(str.strip, text.split(","))):
+        found = ROW_RANGE.fullmatch(part)
+        first, last = (int(found[1]), int(found[2] or found[1])) if found else (0, 0)
+        if not 1 <= first <= last:
+            raise ValueError(f"{part!r} is neither a row number from 1 nor a range of them")
+        out.append((first, last))
+    if not out:
+        raise ValueError("No row numbers are given")
     return out
 
 
 def filter_ranges(df: DataFrame, row_number: Column, include: str | None = None, exclude: str | None = None,
                   total: int | None = None) -> DataFrame:
     """P20: keep 1-based row numbers in ``include`` then drop those in ``exclude``; a range
-    starting past the end is an error when ``total`` is given."""
+    that reaches past the end is an error when ``total`` (the number of rows) is given."""
     def cond(text):
         c = None
         for lo, hi in parse_ranges(text):
-            if total is not None and lo > total:
-                raise ValueError(f"Row {lo} is past the end ({total} rows)")
+            if total is not None and hi > total:
+                raise ValueError(f"Row {hi} is past the end ({total} rows)")
             part = row_number.between(lo, hi)
             c = part if c is None else c | part
         return c

@@ -313,9 +313,9 @@ g AS (SELECT *, coalesce(sum(cand::INT) OVER (ORDER BY ci ROWS BETWEEN UNBOUNDED
 s AS (SELECT ci, 0 AS si, 'drop_columns' AS operator, {js} || '}}' AS params, 'constant' AS reason FROM g WHERE dropped
       UNION ALL SELECT ci, 1, 'normalize_categories', {js} || ', "strip": true}}', 'edge whitespace'
       FROM g WHERE NOT dropped AND base = 'text' AND e > 0
-      UNION ALL SELECT ci, 2, 'fill_missing', {js} || ', "strategy": "' || CASE WHEN role = 'numeric' THEN 'median'
+      UNION ALL SELECT ci, 2, 'fill_missing', {js} || ', "strategy": "' || CASE WHEN role = 'numeric' THEN 'mean'
       ELSE 'mode' END || '"}}', CASE WHEN role = 'numeric' THEN 'numeric missing' ELSE 'category missing' END
-      FROM g WHERE NOT dropped AND m > 0)
+      FROM g WHERE NOT dropped AND m > 0 AND role IN ('numeric', 'category'))
 SELECT CAST(row_number() OVER (ORDER BY ci, si) - 1 AS INTEGER) AS step, operator, params, reason FROM s"""
 
 

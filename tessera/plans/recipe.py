@@ -170,11 +170,16 @@ def change_report(before: DataFrame, after: DataFrame) -> DataFrame:
         .withColumn("rows_removed", F.lit(int(b["rows"]) - int(a["rows"])))
 
 
-def suggest_recipe(df: DataFrame, protected: tuple[str, ...] = (), overview: DataFrame | None = None) -> Recipe:
+def suggest_recipe(df: DataFrame, protected: tuple[str, ...] = (), overview: DataFrame | None = None,
+                   numeric_missing: str = "mean", drop_constant: bool = True, trim: bool = True) -> Recipe:
     """Suggestions from the full-data profile: drop a constant non-missing column; strip
     text when some value has edge whitespace (full scan ``count_if(c != strip(c))``); impute
-    numeric by mean (median when skewed) and categories by mode; never touch protected or
-    all-missing columns; keep at least one column."""
+    numeric columns by ``numeric_missing`` (mean or median) and categories by mode, nothing for text
+    and dates; never touch protected or all-missing columns; keep at least one column."""
+    if numeric_missing not in ("mean", "median"):
+        raise ValueError(f"Numbers are imputed by mean or median, not {numeric_missing!r}")
+    if set(protected) - set(df.columns):
+        raise ValueError(f"Protected columns {sorted(set(protected) - set(df.columns))} are not in the table")
     from tessera.operators.profile import column_overview
     ov = {r["column"]: r for r in (overview or column_overview(df)).collect()}  # one row per column
     text_cols = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
@@ -187,16 +192,16 @@ def suggest_recipe(df: DataFrame, protected: tuple[str, ...] = (), overview: Dat
         r = ov[c]
         if r["all_missing"]:
             continue
-        if r["is_constant"] and r["num_missing"] == 0 and len(df.columns) - len(dropped) > 1:
+        if drop_constant and r["is_constant"] and r["num_missing"] == 0 and len(df.columns) - len(dropped) > 1:
             dropped.append(c)
             recipe.add("drop_columns", columns=[c]).reason = "constant"
             continue
-        if c in text_cols and edge[c]:
+        if trim and c in text_cols and edge[c]:
             recipe.add("normalize_categories", columns=[c], strip=True).reason = "edge whitespace"
         if r["num_missing"]:
             if r["role"] == "numeric":
-                recipe.add("fill_missing", columns=[c], strategy="median").reason = "numeric missing"
-            else:
+                recipe.add("fill_missing", columns=[c], strategy=numeric_missing).reason = "numeric missing"
+            elif r["role"] == "category":
                 recipe.add("fill_missing", columns=[c], strategy="mode").reason = "category missing"
     return recipe
 

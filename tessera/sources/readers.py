@@ -84,8 +84,12 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
     return max(counts, key=lambda s: (counts[s], s == ","))
 
 
+def _type(name) -> T.DataType:
+    return name if isinstance(name, T.DataType) else T.DataType.fromDDL(name)
+
+
 def _read_one(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None, csv_options: dict,
-              multiline_json: bool) -> DataFrame:
+              multiline_json: bool, dtype: dict | None = None) -> DataFrame:
     reader = spark.read
     if schema is not None:
         reader = reader.schema(schema)
@@ -94,7 +98,12 @@ def _read_one(spark: SparkSession, path: str, fmt: str, schema: T.StructType | N
         if schema is None:
             opts["inferSchema"] = True
         opts.update(csv_options or {})
-        return reader.options(**opts).csv(path)
+        found = reader.options(**opts).csv(path)
+        if not dtype or schema is not None:
+            return found
+        # declared types go into the read: text as written ('001'), not what inference made of it
+        declared = T.StructType([T.StructField(f.name, _type(dtype[f.name])) if f.name in dtype else f for f in found.schema])
+        return spark.read.options(**{**opts, "inferSchema": False}).schema(declared).csv(path)
     if fmt == "json":
         return reader.option("multiLine", multiline_json).json(path)
     return reader.format(fmt).load(path)
@@ -110,7 +119,7 @@ def open_dataset(spark: SparkSession, source, fmt: str | None = None, dtype: dic
         kind = fmt or SUPPORTED.get(os.path.splitext(p)[1].lower())
         if kind is None:
             raise ValueError(f"Unsupported file type: {p}")
-        frames.append(_read_one(spark, p, kind, schema, csv_options or {}, multiline_json))
+        frames.append(_read_one(spark, p, kind, schema, csv_options or {}, multiline_json, dtype))
     first = frames[0]
     names = set(first.columns)
     for p, f in zip(paths[1:], frames[1:]):
@@ -131,7 +140,8 @@ def check_columns(df: DataFrame) -> None:
 
 
 def apply_dtypes(df: DataFrame, dtype: dict) -> DataFrame:
-    """Per-column type overrides as casts (strings keep leading zeros)."""
+    """Per-column type overrides as casts; CSV files were already read with them, so texts keep
+    their leading zeros."""
     unknown = set(dtype) - set(df.columns)
     if unknown:
         raise ValueError(f"Unknown dtype columns: {sorted(unknown)}")

@@ -5,9 +5,9 @@
 * T04: counts / aggregates per period with an event-time watermark (lateness bound chosen by
   the caller; the reference has none).
 
-``run_available`` drives a stream with ``trigger(availableNow=True)`` through ``foreachBatch``
-into a Parquet folder under the shared checkpoint directory, with the stream checkpoint beside
-it (so a restarted driver resumes), and returns the result as a batch frame.
+``run_available`` drives a stream with ``trigger(availableNow=True)`` into a Parquet folder under the
+shared checkpoint directory, with the stream checkpoint beside it (so a restarted driver resumes),
+and returns the result as a batch frame.  A batch that is run again leaves the same output.
 """
 
 from __future__ import annotations
@@ -36,24 +36,27 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType, max_files:
 
 
 def run_available(stream: DataFrame, mode: str = "append", name: str | None = None) -> DataFrame:
-    """Run to completion over the data available now; ``complete`` mode overwrites the output
-    with each batch's full result table, ``append``/``update`` append batch outputs."""
+    """Run to completion over the data available now.  ``append`` writes through Spark's file sink, whose
+    log admits each batch once; ``complete`` overwrites the output with each batch's result table;
+    ``update`` overwrites one folder per batch and adds the column ``_batch`` to the result."""
     spark = stream.sparkSession
     base = checkpoint_dir(spark).rstrip("/") + "/streams/" + (name or uuid.uuid4().hex)
     out_path, ckpt = base + "/data", base + "/checkpoint"
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out_path)
+        batch.write.mode("overwrite").parquet(out_path if mode == "complete" else f"{out_path}/_batch={batch_id}")
 
-    q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", ckpt) \
-        .trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
+    q = writer.format("parquet").start(out_path) if mode == "append" else writer.foreachBatch(sink).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     from tessera.sources.readers import _hadoop_path
     fs, p = _hadoop_path(spark, out_path)
-    return spark.read.schema(stream.schema).parquet(out_path) if fs.exists(p) \
-        else spark.createDataFrame([], stream.schema)
+    schema = stream.schema
+    if mode == "update":  # ``_batch=N`` is a partition folder, which Spark reads (files named ``_x`` it skips)
+        schema = T.StructType([*schema.fields, T.StructField("_batch", T.IntegerType())])
+    return spark.read.schema(schema).parquet(out_path) if fs.exists(p) else spark.createDataFrame([], schema)
 
 
 def apply_recipe_stream(stream: DataFrame, fitted, carried: list[str] | None = None) -> DataFrame:

@@ -233,3 +233,90 @@ def test_values_that_an_integer_column_cannot_hold(spark):
     assert {r.n for r in step.apply(df).collect()} == {1, None}
     with pytest.raises(ValueError):
         build_step("find_replace", {"columns": ["n"], "find": 1, "replace": 2.7}).apply(df)
+
+
+def test_map_categories_types(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (None, None)], "n int, s string")
+
+    def run(column, pairs, unknown="keep"):
+        out = X.MapCategories([column], [{"from": k, "to": v} for k, v in pairs], unknown).apply(df).select(column)
+        return out.dtypes[0][1], [r[0] for r in out.collect()]
+    assert run("n", [(1, 7)]) == ("int", [7, 2, None])
+    assert run("n", [(1, 0.5)]) == ("double", [0.5, 2.0, None])
+    assert run("n", [(1, "x")], "missing") == ("string", ["x", None, None])
+    assert run("s", [("a", True), ("b", False)], "error") == ("boolean", [True, False, None])
+    assert run("n", [("a", 3), (2, 9)]) == ("int", [1, 9, None])  # a text is no number: matches nothing
+    for column, pairs, unknown in [("n", [(1, "x")], "keep"), ("s", [("a", 1), ("b", "y")], "missing"),
+                                   ("s", [("a", "z")], "error")]:
+        with pytest.raises(ValueError):
+            run(column, pairs, unknown)
+
+
+def test_fills_that_do_not_fit(spark):
+    df = spark.createDataFrame([(1, "a"), (None, None)], "n int, s string")
+    for column, value in (("n", 0.5), ("n", "x"), ("s", 3), ("n", None), ("n", float("nan"))):
+        with pytest.raises(ValueError):
+            X.FillMissing([column], value=value).apply(df)
+    assert [r["n"] for r in X.FillMissing(["n"], value=2.0).apply(df).collect()] == [1, 2]
+
+
+def test_datetime_with_and_without_zone(spark):
+    df = spark.createDataFrame([("2024-02-29T23:05:06",)], "t string")
+    for utc, kind in ((True, "timestamp"), (False, "timestamp_ntz")):
+        step = X.ConvertType(["t"], "datetime", format="%Y-%m-%dT%H:%M:%S", utc=utc)
+        assert step.apply(df).dtypes == [("t", kind)] and X.build_step(step.name, step.params()).utc == utc
+
+
+def test_row_ranges_past_the_end_and_blank_parts(spark):
+    df = spark.range(1, 6)
+    assert parse_ranges("1,, 3 - 4 ,") == [(1, 1), (3, 4)]
+    assert filter_ranges(df, F.col("id"), "2-5", total=5).count() == 4
+    with pytest.raises(ValueError):
+        filter_ranges(df, F.col("id"), "2-9", total=5)
+    with pytest.raises(ValueError):
+        parse_ranges(" , ")
+
+
+def test_declared_types_are_read_as_written(spark):
+    import uuid
+
+    from tessera.session import checkpoint_dir
+    from tessera.sources.readers import open_dataset
+    path = checkpoint_dir(spark).rstrip("/") + f"/typed-{uuid.uuid4().hex}"
+    spark.createDataFrame([("001", 1), ("1e3", 2)], "code string, n int").coalesce(1).write.option("header", True).csv(path)
+    out = open_dataset(spark, path, dtype={"code": "string", "n": "double"})
+    assert sorted(map(tuple, out.collect())) == [("001", 1.0), ("1e3", 2.0)]
+
+
+def test_suggestions_leave_text_and_dates(spark):
+    import datetime as dt
+
+    from tessera.plans.recipe import suggest_recipe
+    rows = [(None if i == 3 else float(i), None if i == 4 else f"words {i}", None if i == 5 else dt.date(2024, 1, 1 + i),
+             None if i == 6 else "ab"[i % 2]) for i in range(25)]
+    df = spark.createDataFrame(rows, "x double, t string, d date, c string")
+    found = {s.params["columns"][0]: s.params["strategy"] for s in suggest_recipe(df).steps}
+    assert found == {"x": "mean", "c": "mode"}
+    assert suggest_recipe(df, numeric_missing="median").steps[0].params["strategy"] == "median"
+    with pytest.raises(ValueError):
+        suggest_recipe(df, protected=("nowhere",))
+
+
+def test_update_stream_drops_late_rows(spark):
+    import datetime as dt
+    import uuid
+
+    from tessera.session import checkpoint_dir
+    from tessera.streaming import streams as S
+    path = checkpoint_dir(spark).rstrip("/") + f"/late-{uuid.uuid4().hex}"
+    day = dt.datetime(2024, 5, 1)
+    # batches in order of writing: day 1, day 10 twice (Spark drops by the watermark of the batch before), then
+    # day 1 again, nine days late
+    for at in (day, day + dt.timedelta(days=9), day + dt.timedelta(days=9), day):
+        spark.createDataFrame([(at,)], "ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    stream = S.read_stream(spark, path, spark.read.parquet(path).schema, max_files=1)
+    out = S.run_available(S.period_counts_stream(stream, "ts", "1 day", "1 hour"), "update")
+    last = {}
+    for r in sorted(out.collect(), key=lambda r: r["_batch"]):
+        last[r["period"]] = r["count"]
+    assert sorted(last.values()) == [1, 2]
