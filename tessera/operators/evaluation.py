@@ -24,7 +24,7 @@ def validate_metric(metric: str, task_type: str) -> str:
     """Metric direction, after checking it fits the task."""
     allowed = REGRESSION if task_type == "regression" else set(DIRECTIONS) - REGRESSION
     if metric not in allowed:
-        raise ValueError(f"Metric {metric!r} is incompatible with {task_type}")
+        raise ValueError(f"A {task_type} task is not measured by {metric!r}")
     return DIRECTIONS[metric]
 
 
@@ -116,7 +116,7 @@ def check_probabilities(df: DataFrame, prob: str, n_classes: int) -> None:
                             F.exists(prob, lambda v: v.isNull() | F.isnan(v) | (v < 0) | (F.abs(v) == float("inf"))) |
                             (F.abs(F.aggregate(prob, F.lit(0.0), lambda a, v: a + v) - 1) > 1e-5)).alias("n")).first()
     if bad["n"]:
-        raise ValueError("Invalid class probabilities")
+        raise ValueError("Class probabilities must lie in [0, 1] and add up to 1")
 
 
 def learning_curve(model, frames: dict[str, DataFrame], features: str = "features", label: str = "label") -> DataFrame:
@@ -151,7 +151,7 @@ def class_view(scored: DataFrame, axes: list[str], classes: list, n: int = 2000,
 
     from tessera.operators.sampling import priority_sample
     if not 1 <= len(axes) <= 2 or len(set(axes)) != len(axes):
-        raise ValueError("Choose one or two distinct feature columns.")
+        raise ValueError(f"The class view has one or two different axes, not {axes}")
     sample = priority_sample(scored, n, seed, key)  # at most n rows from here on
     valid = F.col(prediction).isNotNull()
     coords = []
@@ -164,8 +164,7 @@ def class_view(scored: DataFrame, axes: list[str], classes: list, n: int = 2000,
             text = F.col(a).cast("string")
             n_labels = sample.where(text.isNotNull()).select(text).distinct().count()  # <= n
             if n_labels > max_categories:
-                raise ValueError(f"Choose a categorical axis with at most {max_categories} sampled categories, "
-                                 "or a numeric column.")
+                raise ValueError(f"{n_labels} sampled values do not fit on an axis for {max_categories}")
             code_w = Window.partitionBy(text.isNull()).orderBy(text)  # the sample is bounded by n
             coords.append((F.dense_rank().over(code_w) - 1).cast("double"))
             valid = valid & text.isNotNull()

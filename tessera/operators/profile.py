@@ -91,13 +91,12 @@ def table_summary(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- G02-G07: one wide agg
 
-def moment_shifts(df: DataFrame, columns: Sequence[str], rows: int = 1000) -> dict:
-    """Per-column shift for stable moments: the mean of the finite values among the first
-    ``rows`` rows (a limit-pushed job that reads only the first splits), 0 when none."""
+def moment_shifts(df: DataFrame, columns: Sequence[str]) -> dict:
+    """Per-column shift for stable moments: the mean of all finite values (one column-pruned aggregate),
+    0 when there are none."""
     if not columns:
         return {}
-    head = df.select(*[finite_or_null(c).alias(f"s{i}") for i, c in enumerate(columns)]).limit(rows)
-    got = head.agg(*[F.avg(f"s{i}").alias(f"s{i}") for i in range(len(columns))]).first()
+    got = df.agg(*[F.avg(finite_or_null(c)).alias(f"s{i}") for i, c in enumerate(columns)]).first()
     return {c: float(got[f"s{i}"] or 0.0) for i, c in enumerate(columns)}
 
 
@@ -349,13 +348,13 @@ def quality_warnings(df: DataFrame, categorical_threshold: int = 10) -> DataFram
         ov = ov.withColumn("num_infinity", F.lit(None).cast("bigint"))
     rules = [
         ("missing", F.col("num_missing") > 0,
-         F.format_string("%d missing values (%.2f%%)", F.col("num_missing"), F.col("pct_missing") * 100)),
-        ("all_missing", F.col("all_missing"), F.lit("All values are missing")),
-        ("constant", F.col("is_constant"), F.lit("One distinct nonmissing value")),
+         F.format_string("%d values missing, %.2f%% of rows", F.col("num_missing"), F.col("pct_missing") * 100)),
+        ("all_missing", F.col("all_missing"), F.lit("no value present")),
+        ("constant", F.col("is_constant"), F.lit("the same value wherever one is present")),
         ("unique", F.col("possible_id"),
-         F.lit("Every row has a distinct value; inspect whether this is an identifier")),
+         F.lit("no value occurs twice: possibly an identifier")),
         ("infinity", F.coalesce(F.col("num_infinity"), F.lit(0)) > 0,
-         F.lit("Infinite values excluded from numeric statistics")),
+         F.lit("infinite values, left out of the statistics")),
     ]
     found = F.array(*[F.when(cond, F.struct(F.lit(code).alias("code"), msg.alias("message")))
                       for code, cond, msg in rules])

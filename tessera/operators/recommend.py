@@ -13,14 +13,21 @@ from pyspark.ml.recommendation import ALS
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import is_finite
 from tessera.functions.ranking import cumulative
 from tessera.session import cut_lineage
 
 
 def interactions(df: DataFrame, user: str, item: str, weight: str | None = None) -> DataFrame:
-    """Duplicates merged -- weights summed, or distinct pairs with weight 1."""
+    """Duplicates merged -- weights summed, or distinct pairs with weight 1.  Rows without a user
+    or item, and weights that are not positive finite numbers, are an error that gives their counts."""
+    no_id = F.col(user).isNull() | F.col(item).isNull()
+    odd = ~F.coalesce(is_finite(weight) & (F.col(weight) > 0), F.lit(False)) if weight else F.lit(False)
+    bad = df.agg(F.count_if(no_id).alias("ids"), F.count_if(odd).alias("weights")).first()
+    if bad["ids"] or bad["weights"]:
+        raise ValueError(f"{bad['ids']} rows lack {user} or {item}, {bad['weights']} have no positive finite {weight}")
     w = F.sum(F.col(weight).cast("double")) if weight else F.lit(1.0)
-    out = df.where(F.col(user).isNotNull() & F.col(item).isNotNull()).groupBy(
+    out = df.groupBy(
         F.col(user).alias("user"), F.col(item).alias("item"))
     return out.agg(w.alias("weight")) if weight else out.agg(F.count(F.lit(1))).select("user", "item", w.alias("weight"))
 
@@ -164,7 +171,7 @@ def truncated_svd(train: DataFrame, factors: int, iterations: int = 20, oversamp
     a = train.select("user", "item", F.col("weight").cast("double"))
     counts = a.agg(F.count_distinct("user").alias("u"), F.count_distinct("item").alias("i")).first()
     if not 1 <= factors < min(counts["u"], counts["i"]):
-        raise ValueError("factors must be positive and smaller than both the training user and item counts")
+        raise ValueError(f"{factors} factors do not fit {counts['u']} users x {counts['i']} items: 1 or more, fewer than either")
     r = min(factors + (factors if oversample is None else oversample), counts["u"], counts["i"])
     cols = [f"c{j}" for j in range(r)]
     # deterministic start block: a hash of (seed, item, column), centred on 0

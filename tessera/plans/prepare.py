@@ -24,22 +24,22 @@ class TaskConfig:
 
     def __post_init__(self):
         if self.task_type not in ("classification", "regression"):
-            raise ValueError("task_type must be classification or regression")
+            raise ValueError(f"There is no {self.task_type!r} task, only classification and regression")
         if self.missing_target not in ("exclude", "error"):
-            raise ValueError("missing_target must be exclude or error")
+            raise ValueError(f"missing_target={self.missing_target!r}: 'exclude' and 'error' exist")
 
 
 def feature_columns(columns, task: TaskConfig, controls=()) -> list[str]:
     """Every column minus target, excluded and split-control columns."""
     if task.target not in columns:
-        raise ValueError(f"Unknown target {task.target!r}")
+        raise ValueError(f"The table has no target column {task.target!r}")
     unknown = set(task.excluded) - set(columns)
     if unknown:
-        raise ValueError(f"Unknown excluded columns {sorted(unknown)}")
+        raise ValueError(f"Columns to leave out are not in the table: {sorted(unknown)}")
     drop = {task.target, *task.excluded, *[c for c in controls if c]}
     feats = [c for c in columns if c not in drop]
     if not feats:
-        raise ValueError("No feature columns remain")
+        raise ValueError("Target, excluded and split columns leave no feature")
     return feats
 
 

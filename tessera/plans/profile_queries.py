@@ -188,10 +188,10 @@ WITH o AS (SELECT 'l_quantity' AS "column", count(*) FILTER (WHERE l_quantity IS
                   count(DISTINCT l_linestatus) FROM {LINEITEM_NULLS_SQL} b
            UNION ALL SELECT 'l_orderkey', 0, count(*), count(DISTINCT l_orderkey) FROM lineitem
            UNION ALL SELECT 'l_returnflag', 0, count(*), count(DISTINCT l_returnflag) FROM lineitem)
-SELECT "column", 'missing' AS code, printf('%d missing values (%.2f%%)', m, m * 100.0 / n) AS message FROM o WHERE m > 0
-UNION ALL SELECT "column", 'all_missing', 'All values are missing' FROM o WHERE m = n AND n > 0
-UNION ALL SELECT "column", 'constant', 'One distinct nonmissing value' FROM o WHERE u = 1
-UNION ALL SELECT "column", 'unique', 'Every row has a distinct value; inspect whether this is an identifier'
+SELECT "column", 'missing' AS code, printf('%d values missing, %.2f%% of rows', m, m * 100.0 / n) AS message FROM o WHERE m > 0
+UNION ALL SELECT "column", 'all_missing', 'no value present' FROM o WHERE m = n AND n > 0
+UNION ALL SELECT "column", 'constant', 'the same value wherever one is present' FROM o WHERE u = 1
+UNION ALL SELECT "column", 'unique', 'no value occurs twice: possibly an identifier'
           FROM o WHERE u = n AND n > 0""")
 def q_warnings(spark, d):
     df = lineitem_with_nulls(spark, d).select("l_quantity", "l_linestatus", "l_orderkey", "l_returnflag")

@@ -241,3 +241,20 @@ def test_recommend_top_unseen_matches_brute_force(spark):
         # equal scores may come in either order; compare the score sequence and the item set above ties
         assert [round(scores[i], 4) for i in mine] == [round(scores[i], 4) for i in want]
     assert {r["fallback"] for r in got if r["user"] == 99} == {True}
+
+
+def test_interactions_refuse_missing_ids_and_odd_weights(spark):
+    for row in ((None, 1, 1.0), (1, None, 1.0), (1, 1, 0.0), (1, 1, float("nan")), (1, 1, None)):
+        df = spark.createDataFrame([(1, 2, 1.0), row], "u long, i long, w double")
+        with pytest.raises(ValueError):
+            N.interactions(df, "u", "i", "w")
+
+
+def test_knn_regression_weights(spark):
+    from tessera.operators.neighbors import knn_regress
+    train = spark.createDataFrame([(i, [float(i)], 10.0 * i) for i in range(6)], "id long, vec array<double>, y double")
+    query = spark.createDataFrame([(0, [2.0]), (1, [3.25])], "qid long, vec array<double>")
+    mean = {r["qid"]: r["prediction"] for r in knn_regress(train, query, 3, "y").collect()}
+    near = {r["qid"]: r["prediction"] for r in knn_regress(train, query, 2, "y", "distance").collect()}
+    assert mean == {0: 20.0, 1: 30.0}
+    assert near[0] == 20.0 and abs(near[1] - (30 / 0.25 + 40 / 0.75) / (1 / 0.25 + 1 / 0.75)) < 1e-9
