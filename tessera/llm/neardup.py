@@ -38,32 +38,43 @@ SKETCH = 128
 MISS = 1e-9
 
 
-def _least_shared(n: int, k: int, share: float = 0.75, miss: float = MISS) -> int:
-    """Retained values that a set of n items, more than a sketch of k holds of some partner, has in common with any set of
-    similarity ``share`` but for a chance ``miss``: the lower tail of k draws from the largest possible union
-    (n / share items, n of them common)."""
-    union = int(n / share)
-    common = int(share * union)
+def _least_drawn(items: int, common: int, k: int, miss: float = MISS) -> int:
+    """How many of ``common`` among ``items`` values are surely, but for a chance ``miss``, under the k smallest: the
+    lower tail of k draws."""
     log = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
-    tail, m = 0.0, max(0, k - (union - common))
-    while m < k:
-        tail += math.exp(log(common, m) + log(union - common, k - m) - log(union, k))
+    tail, m = 0.0, max(0, k - (items - common))
+    while m < min(k, common):
+        tail += math.exp(log(common, m) + log(items - common, k - m) - log(items, k))
         if tail > miss:
             break
         m += 1
     return m
 
 
+def _least_shared(n: int, k: int, share: float = 0.75) -> int:
+    """Retained values that a set of n items has in common with any set of similarity ``share``.
+
+    A set larger than its sketch: draws from the largest possible union (n / share items, n of them common).  One that its
+    sketch holds whole: exact if the partner is held whole too, but of a partner of up to n / share items that is not, only
+    k are drawn, and the common ones among these count."""
+    if n > k:
+        union = int(n / share)
+        return _least_drawn(union, int(share * union), k)
+    common = lambda m: math.ceil(share / (1 + share) * (n + m) - 1e-9)
+    partners = range(k + 1, int(n / share + 1e-9) + 1)
+    return min([math.ceil(share * n), *(_least_drawn(m, common(m), k) for m in partners)])
+
+
 #: as a sketch size: sets are kept whole
 WHOLE = 1 << 30
-#: set sizes from here on count as this one (the tail of an endless union is hardly lighter)
+#: set sizes from here on count as endless
 LARGE = 2048
+ENDLESS = 1 << 24
 
 
 def shared_bounds(k: int = SKETCH) -> list[int]:
     """For set sizes 0 to LARGE: how many retained values a linked pair surely (but for MISS) shares."""
-    exact = [math.ceil(0.75 * n) for n in range(LARGE + 1)]
-    return [need if need <= int(0.75 * k) else min(_least_shared(n, k), need) for n, need in enumerate(exact)]
+    return [_least_shared(n if n < LARGE else ENDLESS, k) for n in range(LARGE + 1)]
 
 
 BOUNDS = shared_bounds()
@@ -110,8 +121,9 @@ def _digest(values: np.ndarray) -> bytes | None:
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Arrays of signed numbers in the order of the unsigned ones, so that Spark's sort finds the k smallest."""
     offsets = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
-    flat = np.concatenate([*arrays, np.zeros(0, np.uint64)]).view(np.int64)
+    flat = (np.concatenate([*arrays, np.zeros(0, np.uint64)]) ^ np.uint64(1 << 63)).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
 
 

@@ -137,6 +137,19 @@ def test_near_duplicates_of_one_large_group(spark):
     assert got == dict(enumerate(comp))
 
 
+def test_near_duplicates_across_the_sketch_size(spark):
+    """Pairs at the limit, one set held whole by its sketch and the other not, whose other values are the rarest."""
+    texts, sizes = [], [(118, 150), (118, 157), (122, 162), (126, 168), (128, 170)]
+    for i in range(40):
+        for j, (n, m) in enumerate(sizes):
+            w = [f"p{i}x{j}x{at}" for at in range(m + 4)]
+            pair = 2 * (i * len(sizes) + j)
+            texts += [(pair, " ".join(w[:n + 4])), (pair + 1, " ".join(w))]
+    ship(spark)
+    got = {r["doc_id"]: r["component_id"] for r in rows(neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string")))}
+    assert got == {d: d - d % 2 for d, _ in texts}
+
+
 def test_substring_against_brute_force(docs, empty):
     got = rows(substring.deduplicate(docs))
     seen = {}
