@@ -25,7 +25,7 @@ from tessera.session import cut_lineage
 SHARD_NODES = 4096
 BLOCK_QUERIES = 1024
 LINKS = 16
-BEAM = 64
+BEAM = 96
 
 
 # -- graph -------------------------------------------------------------------------------------
