@@ -1,9 +1,10 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Base spans (email, ip, card, phone) are found by fixed patterns.  They are the seeds of a graph between lexical
-patterns (the one and the two words before a token) and instances (tokens that hold a digit):
+patterns (the one and the two words of the text before it) and instances (the base spans, tokens that hold a digit,
+runs of neighbouring numbers, and what looks like an address, also spelled with "(at)" or "at" and "dot"):
 a pattern's confidence for a kind is the smoothed share of its instances' confidence, an instance's confidence
-is that of the independent patterns it stands in; Spark iterates both by joins and grouped sums.  Tokens behind
+is that of the independent patterns it stands in; Spark iterates both by joins and grouped sums.  Instances behind
 patterns of high confidence that are not base spans become spans of that kind.
 
 Positions come from the pieces between matches.  The patterns below are rewritten without
@@ -28,16 +29,24 @@ PATTERNS = {
 }
 #: what a text must contain for a pattern to match
 HINTS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9]", "phone": r"\+[0-9]"}
-TOKEN = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+#: a number of digits, brackets and signs; it ends its token but for punctuation
+_NUMBER = r"\(?+[0-9]++(?:[()./-]++[0-9]++)*+\)?+(?=[^A-Za-z0-9\s]*+(?:\s|\z))"
+_DOT = r"\x20?[\[({<]dot[\])}>]\x20?"
+#: addresses, also with the at sign written out
+ADDRESS = (r"(?:[^\s@]*+@\S*+|(?i:[a-z0-9._%+-]++(?:"
+           rf"\x20?[\[({{<]at[\])}}>]\x20?[a-z0-9-]++(?:(?:\.|{_DOT}|\x20dot\x20)[a-z][a-z0-9-]*+)*+"
+           rf"|\x20at\x20[a-z0-9-]++(?:(?:{_DOT}|\x20dot\x20)[a-z][a-z0-9-]*+)++))(?!\S*@))")
+#: instances: an address, neighbouring numbers, any other token with a digit
+TOKEN = (rf"(?<!\S)(?:{ADDRESS}|\+?+{_NUMBER}(?:\x20(?![0-9]++\.[0-9]++\.[0-9]++\.){_NUMBER})*+|[^\s0-9]*+[0-9]\S*+)")
 ROUNDS = 3
 SUPPORT = 5
 CONFIDENT = 0.8
 
-_SPAN = "array<struct<s:int,e:int,v:string,before:string>>"
+_SPAN = "array<struct<s:int,e:int,v:string,before:array<string>>>"
 
 
 def _matches(text: Column, pattern: str, hint: str) -> Column:
-    """All matches of ``pattern``: start and end in code points, the match, the text since the match before."""
+    """All matches of ``pattern``: start and end in code points, the match, the last words before it (the nearest first)."""
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)).alias("p"), hits.alias("m"))
     none = F.array().cast(_SPAN)
@@ -45,10 +54,12 @@ def _matches(text: Column, pattern: str, hint: str) -> Column:
     def add(acc, x):
         start = acc["at"] + F.char_length(x["p"])
         end = start + F.char_length(x["m"])
-        found = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("v"), F.substring(x["p"], -80, 80).alias("before"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+        near = F.slice(F.reverse(F.split(F.concat(acc["tail"], x["p"]), r"\s+", -1)), 1, 3)
+        return F.transform(F.array(near), lambda w: F.struct(
+            end.alias("at"), F.concat(F.array_join(F.reverse(w), " "), x["m"]).alias("tail"),
+            F.concat(acc["out"], F.array(F.struct(start.alias("s"), end.alias("e"), x["m"].alias("v"), w.alias("before")))).alias("out")))[0]
 
-    walked = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), none.alias("out")), add)["out"]
+    walked = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"), none.alias("out")), add)["out"]
     return F.when(text.rlike(hint), walked).otherwise(none)
 
 
@@ -69,35 +80,39 @@ def _valid(kind: str):
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, key, base (array of kind number, s, e, v by kind, then start) and tokens (those with a
-    digit) of each row."""
+    """doc_id, key, base (array of kind number, s, e, v, before by kind, then start) and tokens (see TOKEN) of each row."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), row_key().alias("key"))
     for kind in KINDS:
         rows = rows.withColumn(kind, F.filter(_matches(F.col("text"), PATTERNS[kind], HINTS[kind]), _valid(kind)))
-    rows = rows.withColumn("tokens", _matches(F.col("text"), TOKEN, "[0-9]"))
+    rows = rows.withColumn("tokens", _matches(F.col("text"), TOKEN, r"[0-9@]|(?i:\bat\b)"))
 
     def numbered(i):
-        return lambda x: F.struct(F.lit(i).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"))
+        return lambda x: F.struct(F.lit(i).alias("kind"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"),
+                                  x["before"].alias("before"))
 
     parts = [F.transform(kind, numbered(i)) for i, kind in enumerate(KINDS)]
     return rows.select("doc_id", "key", F.concat(*parts).alias("base"), "tokens")
 
 
 def instances(found: DataFrame) -> DataFrame:
-    """One row per token occurrence and pattern: key, s, e, value, kind (null if no base span begins in the token),
-    inside (lies in a base span that began earlier), pattern."""
-    rows = found.select("key", "base", F.explode("tokens").alias("t"))
-    value = F.regexp_replace("t.v", r"[.,;:!?)\]\"']++$", "")
-    over = F.filter("base", lambda b: (b["s"] < F.col("t.e")) & (b["e"] > F.col("t.s")))
-    words = F.split(F.lower(F.trim(F.regexp_replace("t.before", r"\s++", " "))), " ")
-    rows = rows.select("key", F.col("t.s").alias("s"), (F.col("t.s") + F.char_length(value)).alias("e"),
-                       F.coalesce(F.get(over, 0)["v"], value).alias("value"),
-                       F.get(over, 0)["kind"].alias("kind"), F.coalesce(F.get(over, 0)["s"] < F.col("t.s"), F.lit(False)).alias("inside"),
-                       F.slice(F.array_compact(F.transform(F.reverse(words), lambda w: F.when(w != "", w))), 1, 2).alias("w"))
+    """One row per instance and pattern: key, s, e, value, kind (of a base span, else null), pattern.  A base span that
+    begins in another one is left out, and so are tokens that overlap base spans."""
+    def first(b):
+        return ~F.exists("base", lambda o: (o["e"] > b["s"]) & ((o["s"] < b["s"]) | ((o["s"] == b["s"]) & (o["kind"] < b["kind"]))))
+
+    def row(x, value, kind):
+        return F.struct(x["s"].alias("s"), (x["s"] + F.char_length(value)).alias("e"), value.alias("value"), kind.alias("kind"),
+                        x["before"].alias("before"))
+
+    seeds = F.transform(F.filter("base", first), lambda b: row(b, b["v"], b["kind"]))
+    free = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["s"] < t["e"]) & (b["e"] > t["s"])))
+    rest = F.transform(free, lambda t: row(t, F.regexp_replace(t["v"], r"[.,;:!?)\]\"']++$", ""), F.lit(None).cast("int")))
+    words = F.filter(F.transform("i.before", lambda w: F.regexp_replace(F.lower(w), r"[(<\[{\"']++$", "")), lambda w: w != "")
+    rows = found.select("key", F.explode(F.concat(seeds, rest)).alias("i")).select("key", "i.*", F.slice(words, 1, 2).alias("w"))
     pattern = F.explode(F.when(F.size("w") >= 2, F.array(F.col("w")[0], F.concat_ws(" ", F.col("w")[1], F.col("w")[0])))
                         .when(F.size("w") == 1, F.array(F.col("w")[0])).otherwise(F.array().cast("array<string>")))
-    return rows.select("key", "s", "e", "value", "kind", "inside", pattern.alias("pattern"))
+    return rows.select("key", "s", "e", "value", "kind", pattern.alias("pattern"))
 
 
 def confident_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT,
@@ -127,10 +142,11 @@ def find(docs: DataFrame) -> DataFrame:
     ``spans`` has the base ones and those that patterns of high confidence discover outside them.  Null texts read
     as empty and have none; repeated rows have equal spans; a null doc_id is kept.  Other columns are ignored."""
     found = cut_lineage(base_spans(docs))
-    seen = cut_lineage(instances(found.where(F.size("tokens") > 0).dropDuplicates(["key"])).where("not inside"))
+    seen = cut_lineage(instances(found.where(F.size("tokens") > 0).dropDuplicates(["key"])))
     trusted = confident_patterns(seen.select("pattern", "value", "kind"))
-    new = (seen.where("kind is null").drop("kind").join(checked_broadcast(trusted), "pattern")
-           .where(F.col("value").rlike("[0-9].*[0-9].*[0-9].*[0-9]"))
+    alike = F.col("value").rlike("[0-9].*[0-9].*[0-9].*[0-9]") | (
+        (F.col("kind") == KINDS.index("email")) & F.col("value").rlike(rf"^{ADDRESS}$"))
+    new = (seen.where("kind is null").drop("kind").join(checked_broadcast(trusted), "pattern").where(alike)
            .groupBy("key", "s", "e").agg(F.max(F.struct("confidence", (-F.col("kind")).alias("k"))).alias("best"))
            .groupBy("key").agg(F.collect_list(F.struct((-F.col("best.k")).alias("kind"), "s", "e")).alias("more")))
     slim = F.transform("base", lambda b: F.struct(b["kind"].alias("kind"), b["s"].alias("s"), b["e"].alias("e")))

@@ -187,6 +187,27 @@ def test_pii_base_spans_and_discovery(spark, docs, empty):
     assert rows(pii.find(empty)) == [] and rows(pii.mask(empty)) == []
 
 
+def test_pii_discovers_runs_addresses_and_words_after_numbers(spark):
+    ship(spark)
+    names = [a + b for a in ("ann", "bob", "cy", "dee", "eve", "flo") for b in ("ko", "li", "mo")]
+    cards = []
+    for i in range(400):
+        digits = f"41111111111{i:04d}"
+        odd = sum(sum(divmod(2 * int(c), 10)) if j % 2 == 0 else int(c) for j, c in enumerate(digits))
+        cards.append(digits + str(-odd % 10))
+    known = [(i, f"please call me at +1 (988) 555-{1000 + i} today") for i in range(20)]
+    known += [(100 + i, "my card is " + " ".join(cards[i][j:j + 4] for j in range(0, 16, 4)) + " ok") for i in range(20)]
+    known += [(200 + i, f"kindly write to {n}@example.org now") for i, n in enumerate(names)]
+    known += [(300 + i, f"reach line no. 1: +1 988 555 {1000 + i} today") for i in range(20)]
+    new = {900: ("call me at (988) 555-2001 soon", "(988) 555-2001", "phone"), 901: ("my card is 4111 1111 1111 1112 ok", "4111 1111 1111 1112", "card"),
+           902: ("write to zoe(at)example.org now", "zoe(at)example.org", "email"), 903: ("write to zoe at example dot org now", "zoe at example dot org", "email"),
+           904: ("see line no. 1: 988-555-2001, now", "988-555-2001", "phone"), 905: ("write to nobody at home", None, None)}
+    table = spark.createDataFrame(known + [(d, t) for d, (t, _, _) in new.items()], "doc_id long, text string")
+    got = {r["doc_id"]: r["s"] for r in rows(pii.find(table).select("doc_id", pii.span_string("spans").alias("s")))}
+    for d, (text, part, kind) in new.items():
+        assert got[d] == (f"{kind}:{text.index(part)}:{text.index(part) + len(part)}" if part else ""), (d, got[d])
+
+
 def test_fingerprints(docs, empty):
     got = rows(merkle.fingerprints(docs))
     order = sorted(((d, t or "") for d, t in TEXTS if d is not None))
