@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, hnsw, merkle, neardup, packing, pii, quality, substring, toxicity
+from tessera.llm import bpe, chat, hnsw, manifest, merkle, neardup, packing, pii, quality, substring, toxicity
 from tessera.llm.text import ship
 
 
@@ -75,6 +75,12 @@ def hnsw_query(spark, sf_dir):
     return hnsw.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def manifest_query(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    rows = manifest.verify(docs, manifest.without_line_ends(docs))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 NEARDUP_SQL = f"""
@@ -126,9 +132,58 @@ SELECT conv_id, count(*) AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+MANIFEST_SQL = f"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))) AS t),
+d AS (
+  SELECT *, coalesce('s' || source, '') AS tree, {_LEAF.format(text="text")} AS h, xor(list_reduce(
+      list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 2 = 0 AS even
+  FROM documents, crc),
+e AS (SELECT *, CASE WHEN even THEN replace(text, chr(10), '') ELSE text END AS changed FROM d),
+leaf AS (
+  SELECT doc_id, tree, h, {_LEAF.format(text="changed")} AS other,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+  FROM e),
+lv(tree, l, pos, h, n) AS (
+  SELECT tree, 0, pos, h, n FROM leaf
+  UNION ALL
+  SELECT tree, l + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM lv WHERE n > 1
+  GROUP BY tree, l, pos // 3),
+sub AS (SELECT tree, h, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM lv WHERE n = 1),
+tv(l, pos, h, n) AS (
+  SELECT 0, pos, h, n FROM sub
+  UNION ALL
+  SELECT l + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (any_value(n) + 2) // 3 FROM tv WHERE n > 1
+  GROUP BY l, pos // 3),
+node AS (SELECT * FROM lv WHERE n > 1 UNION ALL SELECT 't', * FROM tv WHERE n > 1),
+side AS (
+  SELECT a.tree, a.l, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS lh,
+    coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS rh, any_value((a.n + 2) // 3) AS n
+  FROM node a JOIN node b ON a.tree = b.tree AND a.l = b.l AND a.pos // 3 = b.pos // 3 GROUP BY a.tree, a.l, a.pos),
+up AS (
+  SELECT side.*, CASE WHEN side.n = 1 AND side.tree <> 't' THEN 't' ELSE side.tree END AS t2,
+    CASE WHEN side.n = 1 AND side.tree <> 't' THEN 0 ELSE l + 1 END AS l2,
+    CASE WHEN side.n = 1 AND side.tree <> 't' THEN sub.pos ELSE side.pos // 3 END AS p2
+  FROM side LEFT JOIN sub ON side.tree = sub.tree),
+climb(doc_id, leaf, own, tree, l, pos, proof, f) AS (
+  SELECT doc_id, leaf.h, leaf.tree, CASE WHEN leaf.n = 1 THEN 't' ELSE leaf.tree END, 0, CASE WHEN leaf.n = 1 THEN sub.pos ELSE leaf.pos END,
+    '', other
+  FROM leaf JOIN sub ON leaf.tree = sub.tree
+  UNION ALL
+  SELECT doc_id, leaf, own, t2, l2, p2, proof || lh || rh, sha256(lh || f || rh)
+  FROM climb JOIN up ON climb.tree = up.tree AND climb.l = up.l AND climb.pos = up.pos),
+root AS (SELECT h, l FROM tv WHERE n = 1)
+SELECT doc_id, leaf, sub.h AS subroot, root.h AS root, sha256(proof) AS proof_sha256, f AS folded_root, f = root.h AS verified
+FROM climb JOIN root ON climb.tree = 't' AND climb.l = root.l JOIN sub ON climb.own = sub.tree"""
+
 QUERIES = {
     "op1_bpe": (bpe_query, None), "op2_toxicity": (toxicity_query, None), "op3_packing": (packing_query, None),
     "op4_neardup": (neardup_query, NEARDUP_SQL), "op5_quality": (quality_query, None), "op6_pii": (pii_query, None),
     "op7_substring": (substring_query, SUBSTRING_SQL), "op8_fingerprint": (merkle_query, None),
     "op9_chat": (chat_query, CHAT_SQL), "op10_neighbours": (hnsw_query, None),
+    "op12_manifest": (manifest_query, MANIFEST_SQL),
 }
