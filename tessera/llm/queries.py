@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, chat, hnsw, manifest, merkle, neardup, packing, pii, quality, substring, toxicity
+from tessera.llm import bpe, chat, collocations, hnsw, manifest, merkle, neardup, packing, pii, quality, substring, toxicity, warc
 from tessera.llm.text import ship
 
 
@@ -75,6 +75,14 @@ def hnsw_query(spark, sf_dir):
     return hnsw.nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def warc_query(spark, sf_dir):
+    return warc.archived(_read(spark, sf_dir, "pages"))
+
+
+def collocations_query(spark, sf_dir):
+    return collocations.mine(_read(spark, sf_dir, "documents"))
+
+
 def manifest_query(spark, sf_dir):
     docs = _read(spark, sf_dir, "documents")
     rows = manifest.verify(docs, manifest.without_line_ends(docs))
@@ -132,6 +140,35 @@ SELECT conv_id, count(*) AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
+COLLOCATION_SQL = r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+piece AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS p FROM t),
+w AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS a FROM piece),
+g AS (
+  SELECT lang, array_to_string(list_slice(a, i, i + k - 1), ' ') AS phrase, k
+  FROM (SELECT lang, a, k, unnest(range(1, len(a) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k))),
+f AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM g GROUP BY lang, phrase),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS s FROM f WHERE k >= 2 AND f >= 30),
+cut AS (SELECT lang, phrase, a, s, unnest(range(1, k)) AS i FROM c),
+scored AS (
+  SELECT cut.lang, cut.phrase, a, i, x.f AS l, y.f AS r, (2000000::HUGEINT * a // (x.f + y.f))::BIGINT AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(s[:i], ' ')
+    JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(s[i + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+around AS (
+  SELECT lang, array_to_string(list_slice(s, i, i + m - 1), ' ') AS phrase, max(a) AS a
+  FROM (SELECT lang, s, a, m, unnest(range(1, len(s) - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < len(s))
+  GROUP BY ALL),
+whole AS (
+  SELECT best.* FROM best LEFT JOIN around ON best.lang = around.lang AND best.phrase = around.phrase
+  WHERE coalesce(100::HUGEINT * around.a < 80::HUGEINT * best.a, true)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM whole)
+SELECT ranked.lang, rank, phrase, a, l, r, n.n, score FROM ranked JOIN n ON ranked.lang = n.lang WHERE rank <= 2000"""
+
 _FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}::VARCHAR, '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
 
@@ -185,5 +222,6 @@ QUERIES = {
     "op4_neardup": (neardup_query, NEARDUP_SQL), "op5_quality": (quality_query, None), "op6_pii": (pii_query, None),
     "op7_substring": (substring_query, SUBSTRING_SQL), "op8_fingerprint": (merkle_query, None),
     "op9_chat": (chat_query, CHAT_SQL), "op10_neighbours": (hnsw_query, None),
+    "op11_warc": (warc_query, None), "op13_collocations": (collocations_query, COLLOCATION_SQL),
     "op12_manifest": (manifest_query, MANIFEST_SQL),
 }
