@@ -140,6 +140,17 @@ SELECT conv_id, count(*) AS n_turns,
   sum(chars)::BIGINT AS formatted_chars
 FROM e GROUP BY conv_id"""
 
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (
+  SELECT *, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first, list_transform(range(32), lambda i: 5 * i // 4 + 1) AS digit,
+    '0123456789abcdef' AS hex FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, array_to_string(list_transform(digit, lambda k, i: substr(
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((((strpos(hex, x[k]) - 1) * 16 + strpos(hex, x[k + 1]) - 1) >> (3 - 5 * (i - 1) % 4)) & 31) + 1, 1)),
+    '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM d"""
+
 COLLOCATION_SQL = r"""
 WITH t AS (
   SELECT coalesce(lang, 'und') AS lang, doc_id,
@@ -222,6 +233,6 @@ QUERIES = {
     "op4_neardup": (neardup_query, NEARDUP_SQL), "op5_quality": (quality_query, None), "op6_pii": (pii_query, None),
     "op7_substring": (substring_query, SUBSTRING_SQL), "op8_fingerprint": (merkle_query, None),
     "op9_chat": (chat_query, CHAT_SQL), "op10_neighbours": (hnsw_query, None),
-    "op11_warc": (warc_query, None), "op13_collocations": (collocations_query, COLLOCATION_SQL),
+    "op11_warc": (warc_query, WARC_SQL), "op13_collocations": (collocations_query, COLLOCATION_SQL),
     "op12_manifest": (manifest_query, MANIFEST_SQL),
 }
