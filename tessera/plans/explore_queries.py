@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from tessera.operators import density
 from tessera.operators import encoding as E
 from tessera.operators import exploration as X
 from tessera.operators import models as M
 from tessera.operators import scoring as Y
 from tessera.operators import series as Z
+from tessera.operators.assignments import open_assignments, store_assignments
 from tessera.plans.recipe import Recipe, fit_recipe
 from tessera.plans.registry import lineitem_with_nulls, register, rounded, table
+from tessera.session import checkpoint_dir
 
 
 def _embeddings(spark, d):
@@ -97,6 +102,53 @@ def q_pca_checks(spark, d):
         (F.abs(F.corr(a, b)) < 1e-6).alias("uncorrelated"), (F.var_pop(a) >= F.var_pop(b)).alias("ordered"))
 
 
+DBSCAN_SQL = """
+WITH RECURSIVE p AS ({points}),
+pair AS (SELECT a.k AS a, b.k AS b FROM p a JOIN p b ON {near}),
+core AS (SELECT a AS k FROM pair GROUP BY a HAVING count(*) >= {least}),
+edge AS (SELECT a, b FROM pair JOIN core x ON a = x.k JOIN core y ON b = y.k WHERE a <> b),
+cc(k, root) USING KEY (k) AS (
+  SELECT k, k FROM core
+  UNION
+  SELECT e.b, min(cc.root) FROM cc JOIN edge e ON cc.k = e.a JOIN recurring.cc AS old ON old.k = e.b
+  WHERE cc.root < old.root GROUP BY e.b),
+named AS (SELECT k, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM cc),
+border AS (SELECT a AS k, min(cluster) AS cluster FROM pair JOIN named ON b = named.k WHERE a NOT IN (SELECT k FROM core) GROUP BY a)
+SELECT p.k AS {key}, coalesce(named.cluster, border.cluster, -1)::BIGINT AS cluster, named.k IS NOT NULL AS core{more}
+FROM p LEFT JOIN named ON p.k = named.k LEFT JOIN border ON p.k = border.k"""
+NEAR_2D = "(a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {0} * {0} AND b.x BETWEEN a.x - {0} AND a.x + {0}"
+NEAR_VECTORS = "list_distance(a.x, b.x) <= {0}"
+EVENT_POINTS = "SELECT event_id AS k, epoch_us(ts) / 86400000000.0 AS x, value / 100 AS y FROM events"
+VECTOR_POINTS = "SELECT vec_id AS k, CAST(embedding AS DOUBLE[]) AS x FROM embeddings"
+
+
+def _event_points(spark, d):
+    events = table(spark, d, "events")
+    days = F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(86_400_000_000.0)
+    return events.select("event_id", F.array(days, F.col("value") / F.lit(100)).alias("point"))
+
+
+@register("X03_dbscan_events", DBSCAN_SQL.format(points=EVENT_POINTS, near=NEAR_2D.format("0.06"), least=5, key="event_id", more=""))
+def q_dbscan_events(spark, d):
+    """Every event by its day and value: a dense band of small values, and a sparse tail."""
+    return density.dbscan(_event_points(spark, d), "event_id", "point", 0.06, 5)
+
+
+@register("X03_dbscan_vectors", DBSCAN_SQL.format(points=VECTOR_POINTS, near=NEAR_VECTORS.format("1.17"), least=5, key="vec_id", more=""))
+def q_dbscan_vectors(spark, d):
+    return density.dbscan(table(spark, d, "embeddings"), "vec_id", "embedding", 1.17, 5)
+
+
+@register("Y05_stored_assignments", DBSCAN_SQL.format(
+    points=VECTOR_POINTS, near=NEAR_VECTORS.format("1.17"), least=5, key="vec_id", more=", 'assigned' AS status, p.k % 7 AS note"))
+def q_stored_assignments(spark, d):
+    """Clusters of the vectors, stored, opened again against their source and looked up by row."""
+    vectors = table(spark, d, "embeddings")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/assignments/{uuid.uuid4().hex}"
+    store_assignments(q_dbscan_vectors(spark, d), "vec_id", vectors, path)
+    return open_assignments(spark, path, vectors).lookup(vectors.select("vec_id", (F.col("vec_id") % 7).alias("note")))
+
+
 @register("X07_bisecting_checks", "SELECT count(*) AS rows, 6 AS clusters FROM embeddings")
 def q_bisect_checks(spark, d):
     return q_bisect(spark, d).agg(F.sum("size").alias("rows"), F.count(F.lit(1)).cast("int").alias("clusters"))
