@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.operators import encoding as E
 from tessera.operators import evaluation as V
 from tessera.operators import models as M
+from tessera.operators.dictionary import with_slots
 from tessera.operators.splitting import SplitConfig, split_assign
 from tessera.plans.prep_queries import ORDERS_NULLS_SQL, _rank_split_sql, orders_with_nulls
 from tessera.plans.registry import register, rounded, table
@@ -54,6 +55,36 @@ def q_one_hot(spark, d):
                       F.lit(enc.width).cast("bigint").alias("width"))
 
 
+@register("E04_dictionary_slots", """
+WITH tok AS (
+  SELECT DISTINCT 0 AS c, 'value:' || l_orderkey AS t FROM lineitem WHERE l_orderkey % 3 <> 0
+  UNION ALL SELECT DISTINCT 1, 'value:' || l_returnflag FROM lineitem WHERE l_orderkey % 3 <> 0),
+idx AS (SELECT c, t, CAST(row_number() OVER (ORDER BY c, t) AS INTEGER) AS slot FROM tok)
+SELECT l_orderkey, l_linenumber, l_returnflag, a.slot AS order_slot, b.slot AS flag_slot, (SELECT count(*) + 1 FROM tok)::BIGINT AS width
+FROM lineitem LEFT JOIN idx a ON a.c = 0 AND a.t = 'value:' || l_orderkey LEFT JOIN idx b ON b.c = 1 AND b.t = 'value:' || l_returnflag""")
+def q_dictionary_slots(spark, d):
+    """One-hot slots of a key with many tokens beside a few, numbered in a distributed dictionary fitted on two thirds of the keys."""
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity")
+    schema = {"l_quantity": "numeric", "l_orderkey": "categorical", "l_returnflag": "categorical"}
+    enc = E.fit_encoder(li.where("l_orderkey % 3 <> 0"), schema, literal_slots=1_000)
+    out = with_slots(enc.prepare(li), enc.slots, {c: f"_tok_{c}" for c in enc.slots.columns})
+    edge = enc.slots.first + enc.slots.sizes["l_orderkey"]
+    return out.select("l_orderkey", "l_linenumber", "l_returnflag",
+                      F.get(F.filter("slots", lambda s: s < edge), 0).alias("order_slot"),
+                      F.get(F.filter("slots", lambda s: s >= edge), 0).alias("flag_slot"), F.lit(enc.width).cast("bigint").alias("width"))
+
+
+@register("E07_many_classes", """
+WITH k AS (SELECT DISTINCT CAST(o_custkey AS VARCHAR) AS t FROM orders WHERE o_custkey % 5 <> 0),
+idx AS (SELECT t, CAST(row_number() OVER (ORDER BY t) - 1 AS DOUBLE) AS label FROM k)
+SELECT o_orderkey, label FROM orders LEFT JOIN idx ON t = CAST(o_custkey AS VARCHAR)""")
+def q_many_classes(spark, d):
+    """Classes numbered in a table, in text order (10 before 2); classes that were not fitted have no label."""
+    orders = table(spark, d, "orders")
+    classes = E.target_classes(orders.where("o_custkey % 5 <> 0"), "o_custkey", literal_classes=100)
+    return E.encode_target(orders, "o_custkey", classes).select("o_orderkey", "label")
+
+
 DOCS_LABELED = "(SELECT d.doc_id, d.n_chars, d.lang, l.quality FROM documents d JOIN labels l USING (doc_id))"
 
 
