@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import is_finite
 from tessera.functions.ranking import cumulative
+from tessera.operators.topk import top_items
 from tessera.session import cut_lineage
 
 
@@ -88,7 +89,11 @@ def popularity_recall(train: DataFrame, val: DataFrame, k: int = 10) -> DataFram
 def index_ids(values: DataFrame, col: str, name: str) -> DataFrame:
     """Dense 0-based integer ids in value order (ALS needs int ids), distributed."""
     d = values.select(col).distinct().withColumn("_one", F.lit(1))
-    return cumulative(d, [], [col], weight="_one", before=name, total="_n").select(col, F.col(name).cast("int"))
+    found = cut_lineage(cumulative(d, [], [col], weight="_one", before=name, total="_n").select(col, name))
+    n = found.agg(F.max(name)).first()[0]
+    if n is not None and n >= 2**31 - 1:
+        raise ValueError(f"{n + 1} values of {col}: ALS takes fewer than 2^31")
+    return found.select(col, F.col(name).cast("int"))
 
 
 def fit_als(train: DataFrame, factors: int = 8, iterations: int = 10, regularization: float = 0.01,
@@ -194,8 +199,7 @@ def truncated_svd(train: DataFrame, factors: int, iterations: int = 20, oversamp
 
 
 def factor_model(user_factors: DataFrame, item_factors: DataFrame, ui: DataFrame, ii: DataFrame):
-    """An MLlib ``ALSModel`` over given factor tables (``f0 ..`` columns), so its blocked top-k
-    scoring ranks them; ids are the dense indices of ``index_ids``."""
+    """An MLlib ``ALSModel`` over given factor tables (``f0 ..`` columns); ids are the dense indices of ``index_ids``."""
     from pyspark.ml.recommendation import ALSModel
     fcols = sorted((c for c in user_factors.columns if c.startswith("f")), key=lambda c: int(c[1:]))
     arr = F.array(*[F.col(c).cast("float") for c in fcols])
@@ -206,47 +210,31 @@ def factor_model(user_factors: DataFrame, item_factors: DataFrame, ui: DataFrame
     return ALSModel(jm.setUserCol("uid").setItemCol("iid").setPredictionCol("prediction"))
 
 
-def ranked_candidates(model, ui: DataFrame, train: DataFrame, users: DataFrame, k: int) -> DataFrame:
-    """Top (k + seen) items per user by model score, as (user, uid, iid, score, pos): enough to hold
-    each user's top k unseen items exactly, with no cap.  MLlib's blocked
-    ``recommendForUserSubset`` takes one list length per call, so users are batched by
-    power-of-two seen counts (at most ~40 batches); a user fetches < k + 2 * seen items, so a hot
-    user with a huge history does not lengthen every other user's list."""
-    seen_n = train.groupBy("user").agg(F.count(F.lit(1)).alias("_seen_n"))
-    u = users.select("user").distinct().join(ui, "user").join(seen_n, "user", "left").fillna(0, ["_seen_n"]) \
-        .withColumn("_b", F.ceil(F.log2(F.col("_seen_n") + 1)).cast("int"))
-    u = cut_lineage(u)  # read once per batch
-    parts = None
-    for (b,) in sorted(u.select("_b").distinct().collect()):  # bounded by log2(max seen) + 1
-        top = model.recommendForUserSubset(u.where(F.col("_b") == b).select("uid"), int(k + 2 ** b - 1))
-        flat = top.select("uid", F.posexplode("recommendations").alias("pos", "r")) \
-            .select("uid", F.col("r.iid").alias("iid"), F.col("r.rating").alias("score"), "pos")
-        parts = flat if parts is None else parts.unionByName(flat)
-    if parts is None:
-        return u.sparkSession.createDataFrame([], "user long, uid int, iid int, score float, pos int")
-    return parts.join(u.select("user", "uid"), "uid")
+def ranked_unseen(model, ui: DataFrame, ii: DataFrame, train: DataFrame, users: DataFrame, k: int) -> tuple[DataFrame, dict]:
+    """(user, item, score, rank) of each known user's k best unseen items, exactly, and what it took (``topk.top_items``)."""
+    known = users.select("user").distinct().join(ui, "user")
+    asked = known.join(model.userFactors.withColumnRenamed("id", "uid"), "uid").select("user", F.col("features").alias("x"))
+    offered = ii.join(model.itemFactors.withColumnRenamed("id", "iid"), "iid").select("item", F.col("features").alias("x"))
+    return top_items(asked, offered, k, train.join(known.select("user"), "user", "left_semi").select("user", "item"))
 
 
 def als_recall(train: DataFrame, val: DataFrame, model, ui: DataFrame, ii: DataFrame, k: int = 10) -> DataFrame:
-    """recall@k of model scores (ALS, or the SVD factors via ``factor_model``).  Every
-    (user, item) score is needed to rank exactly; the blocked top lists of
-    ``ranked_candidates`` always contain each evaluated user's top k unseen items."""
+    """recall@k of model scores (ALS, or the SVD factors via ``factor_model``), from each evaluated user's exact top k
+    unseen items."""
     users = val.join(train.select("user").distinct(), "user", "left_semi").select("user")
-    flat = ranked_candidates(model, ui, train, users, k)
-    ranks = flat.join(ii, "iid").select("user", "item", F.col("pos").cast("long").alias("grank"))
-    return recall_from_ranks(train, val, ranks, k, per_user_rank=True)
+    top, _ = ranked_unseen(model, ui, ii, train, users, k)
+    return recall_from_ranks(train, val, top.select("user", "item", (F.col("rank") - 1).alias("grank")), k, per_user_rank=True)
 
 
 def recommend(model, ui: DataFrame, ii: DataFrame, train: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:
     """Top-k unseen items for the given users; unknown users get the popularity top-k
     (seen items are not removed there, as nothing is known about them)."""
-    flat = ranked_candidates(model, ui, train, users, k).join(ii, "iid")
-    unseen = flat.join(train.select("user", "item"), ["user", "item"], "left_anti")
-    from tessera.operators.profile import top_k
-    best = top_k(unseen, ["user"], [F.col("pos")], k, salt_of="item", rank_name="rank").select("user", "item", "score", "rank",
-                                                                                 F.lit(False).alias("fallback"))
+    best, _ = ranked_unseen(model, ui, ii, train, users, k)
+    best = best.withColumn("fallback", F.lit(False))
     unknown = users.join(ui, "user", "left_anti")
-    top_pop = popularity(train).where(F.col("grank") < k).collect()  # k <= 1000 rows
+    top_pop = popularity(train).where(F.col("grank") < k).collect()  # k rows
+    if not top_pop:
+        return best
     entries = F.array(*[F.struct(F.lit(r["item"]).alias("item"), F.lit(float(r["popularity"])).alias("score"),
                                  F.lit(int(r["grank"]) + 1).cast("bigint").alias("rank")) for r in top_pop])
     fb = unknown.select("user", F.inline(entries)).withColumn("fallback", F.lit(True))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import recommend as N
 from tessera.operators.splitting import SplitConfig, split_assign
+from tessera.operators.topk import top_items
 from tessera.plans.prep_queries import _alloc_sql
 from tessera.plans.registry import register, rounded, table
 from tessera.session import cut_lineage
@@ -112,3 +113,22 @@ def q_recommend(spark, d):
     model, ui, ii = N.fit_als(train, factors=8, iterations=5)
     users = val.select("user").distinct()
     return N.recommend(model, ui, ii, train, users, k=5)
+
+
+VECTOR_TOP_SQL = """
+WITH p AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+s AS (
+  SELECT u.vec_id AS "user", i.vec_id AS item, list_inner_product(u.x, i.x) AS score,
+    row_number() OVER (PARTITION BY u.vec_id ORDER BY list_inner_product(u.x, i.x) DESC) AS rank
+  FROM p u JOIN p i ON u.label <> i.label)
+SELECT "user", item, round(score, 9) AS score, rank FROM s WHERE rank <= 5"""
+
+
+@register("N06_top_inner_products", VECTOR_TOP_SQL)
+def q_top_inner_products(spark, d):
+    """Each vector's five best of another label: the exact search of N03 and N06 on factors that the tables hold."""
+    vectors = table(spark, d, "embeddings")
+    own = vectors.select("label", F.col("vec_id").alias("user")).join(vectors.select("label", F.col("vec_id").alias("item")), "label")
+    top, _ = top_items(vectors.select(F.col("vec_id").alias("user"), F.col("embedding").alias("x")),
+                       vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("x")), 5, own, first=64, block=48)
+    return rounded(top, {"score": 9})
