@@ -8,16 +8,20 @@ and the share of common leaves tells how alike two texts are.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
+import math
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.text import checked_broadcast
+from tessera.session import cut_lineage
 
 LEAF = r"\s*+\S++(?:\s++\S++){0,3}+|\s++"
 SECTION = 8
 SLICE_ROWS = 5_000
 MOST_SLICES = 10_000
+#: bytes of the texts after the slices that are broadcast; beyond, they are joined by shuffle
+BROADCAST_BYTES = 8 << 20
 
 
 def leaves(text: Column) -> Column:
@@ -53,6 +57,17 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, F.lit(1.0)).when(union == 0, F.lit(0.0)).otherwise(both / union)
 
 
+def slice_of(c: Column, starts: list[int]) -> Column:
+    """Number of the last of the ascending ``starts`` that is not above ``c`` (compared as integers: a double
+    would round ids beyond 2^53); the starts are looked up in groups, so a row takes twice the root of their number."""
+    step = max(1, math.isqrt(len(starts)))
+    groups = [np.array(starts[i:i + step], np.int64) for i in range(0, len(starts), step)]
+    heads = F.lit(np.array([g[0] for g in groups], np.int64))
+    at = F.greatest(F.size(F.filter(heads, lambda s: s <= c)), F.lit(1)) - 1
+    group = F.get(F.array(*(F.lit(g) for g in groups)), at)
+    return at * step + F.greatest(F.size(F.filter(group, lambda s: s <= c)), F.lit(1)) - 1
+
+
 def with_next(docs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """doc_id, text (null: empty), next_text: that of the next row by doc_id; after the last, the first.
 
@@ -65,21 +80,19 @@ def with_next(docs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     if stats["n"] == 0:
         return docs.withColumn("next_text", F.lit(""))
     cuts = docs.agg(F.percentile_approx("doc_id", [i / slices for i in range(1, slices)] or [0.5], 20_000).alias("q")).first()["q"]
-    starts = sorted({stats["low"], *cuts})
+    rough = sorted({stats["low"], *cuts})  # approximate, rounded to doubles: the ids that open their slices are exact
+    opened = docs.where("doc_id is not null").groupBy(slice_of(F.col("doc_id"), rough).alias("s")).agg(F.min("doc_id").alias("first"))
+    starts = sorted(r["first"] for r in opened.collect())  # at most MOST_SLICES
     firsts = docs.sparkSession.createDataFrame([(i, s) for i, s in enumerate(starts)], "after int, doc_id long")
-    after = (docs.join(F.broadcast(firsts), "doc_id").groupBy("after").agg(F.min("text").alias("after_text"))
-             .withColumn("slice", F.pmod(F.col("after") - 1, F.lit(len(starts)))).drop("after"))
-    splits = [-float("inf"), *map(float, starts[1:]), float("inf")]
-    if len(starts) > 1:
-        dealt = Bucketizer(splits=splits, inputCol="_id", outputCol="_slice", handleInvalid="keep").transform(
-            docs.withColumn("_id", F.col("doc_id").cast("double")))
-        dealt = dealt.withColumn("slice", F.when(F.col("doc_id").isNotNull(), F.col("_slice").cast("int")).otherwise(-1)).drop("_id", "_slice")
-    else:
-        dealt = docs.withColumn("slice", F.when(F.col("doc_id").isNotNull(), 0).otherwise(-1))
+    after = cut_lineage(docs.join(F.broadcast(firsts), "doc_id").groupBy("after").agg(F.min("text").alias("after_text"))
+                        .withColumn("slice", F.pmod(F.col("after") - 1, F.lit(len(starts)))).drop("after"))
+    if (after.agg(F.sum(F.octet_length("after_text"))).first()[0] or 0) <= BROADCAST_BYTES:
+        after = F.broadcast(after)
+    dealt = docs.withColumn("slice", F.when(F.col("doc_id").isNotNull(), slice_of(F.col("doc_id"), starts)).otherwise(-1))
     own = Window.partitionBy("slice").orderBy("doc_id", "text")
     nulls = dealt.where("slice = -1").select("doc_id", "text", F.lit("").alias("next_text"))
     rows = dealt.where("slice >= 0").repartitionByRange(len(starts), "slice").withColumn("inner", F.lead("text").over(own))
-    last = rows.join(checked_broadcast(after), "slice", "left")
+    last = rows.join(after, "slice", "left")
     return last.select("doc_id", "text", F.coalesce("inner", "after_text").alias("next_text")).unionByName(nulls)
 
 

@@ -226,6 +226,43 @@ def test_fingerprints(docs, empty):
     assert rows(merkle.fingerprints(empty)) == []
 
 
+@pytest.mark.parametrize("kind", ["far", "random", "dense"])
+def test_fingerprints_of_ids_beyond_doubles(spark, kind):
+    """The next document is found by integers, in many slices, whatever the ids."""
+    ship(spark)
+    rng = np.random.default_rng(9)
+    ids = {"far": [2**60 + 1000 * i for i in range(80)], "random": rng.integers(-2**63, 2**63 - 1, 80).tolist(),
+           "dense": [2**62 + i for i in range(80)]}[kind]
+    table = [(d, f"text {i} " * int(rng.integers(1, 30))) for i, d in enumerate(ids)]
+    got = rows(merkle.with_next(spark.createDataFrame(table, "doc_id long, text string").repartition(5), slice_rows=4))
+    order = sorted(table)
+    assert sorted((r["doc_id"], r["text"], r["next_text"]) for r in got) == [
+        (d, t, order[(i + 1) % len(order)][1]) for i, (d, t) in enumerate(order)]
+
+
+def test_slices_by_integers(spark):
+    starts = [-5, 0, 7, 8, 2**60, 2**60 + 1, 2**63 - 2]
+    values = [*starts, -9, 6, 9, 2**60 + 2, 2**63 - 1]
+    got = {r["v"]: r["s"] for r in rows(spark.createDataFrame([(v,) for v in values], "v long").select(
+        "v", merkle.slice_of(F.col("v"), starts).alias("s")))}
+    assert got == {v: max([i for i, s in enumerate(starts) if s <= v], default=0) for v in values}
+
+
+def test_likeness_and_located_edits(spark):
+    """Likeness is the share of common leaves; an edit is located in its section and paragraph."""
+    ship(spark)
+    words = [[f"w{i}x{j}" for j in range(12)] for i in range(20)]
+    a = "\n".join(" ".join(p) for p in words)
+    words[11][5] = "changed"
+    b = "\n".join(" ".join(p) for p in words)
+    made = spark.createDataFrame([(a, b), (a, a), ("", ""), (a, ""), ("x y", "z")], "a string, b string").select(
+        "*", merkle.leaves(F.col("a")).alias("x"), merkle.leaves(F.col("b")).alias("y"))
+    got = rows(made.select(merkle.likeness(F.col("x"), F.col("y")).alias("l"),
+                           merkle.first_difference(merkle.paragraphs(F.col("x")), merkle.paragraphs(F.col("y"))).alias("p"),
+                           merkle.first_difference(merkle.sections(merkle.paragraphs(F.col("x"))), merkle.sections(merkle.paragraphs(F.col("y")))).alias("s")))
+    assert [(round(r["l"], 9), r["p"], r["s"]) for r in got] == [(round(59 / 61, 9), 11, 1), (1, None, None), (1, None, None), (0, 0, 0), (0, 0, 0)]
+
+
 @pytest.mark.parametrize("module,label", [(quality, "quality"), (toxicity, "toxic")])
 def test_classifiers(spark, docs, empty, module, label):
     rng = np.random.default_rng(2)
