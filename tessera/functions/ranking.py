@@ -131,3 +131,39 @@ def average_rank(df: DataFrame, value: str, keys: Sequence[str] = (), name: str
     ranked = cumulative(counts, keys, [value], partitions=partitions)
     return ranked.select(*keys, value, "cnt", "total",
                          (F.col("before") + (F.col("cnt") + 1) / 2.0).alias(name))
+
+
+def lagged(df: DataFrame, keys: Sequence[str], order: Sequence[str], lags: dict[str, tuple[str, int]], before: str | None = None,
+           partitions: int | None = None) -> DataFrame:
+    """``df`` with the columns ``lags`` (name -> (column, distance): its value that many rows earlier in ``order`` within ``keys``,
+    null where there are fewer) and, if named, ``before`` (rows earlier).
+
+    Range slices as in ``cumulative``; lags are taken inside a slice, and the first rows of a slice find theirs in its
+    halo: the last rows of the slices before, one array per (key, slice) of at most as many rows as the largest distance.  Nothing is joined by
+    position and no row is sent more than once.  A null key is a key; ties in ``order`` must not occur."""
+    keys, width = list(keys), max(d for _, d in lags.values())
+    columns = list(dict.fromkeys(c for c, _ in lags.values()))
+    order_cols = [F.col(o) for o in order]
+    ranged = cut_lineage(df.repartitionByRange(_partitions(df, partitions), *[F.col(k) for k in keys], *order_cols)
+                         .withColumn(PID, F.spark_partition_id()))
+    local = Window.partitionBy(*keys, PID).orderBy(*order_cols)
+    numbered = ranged.withColumn("_rk_at", F.row_number().over(local))
+    values = F.struct("_rk_at", *[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)])
+    ends = numbered.withColumn("_rk_n", F.count(F.lit(1)).over(Window.partitionBy(*keys, PID))).where(
+        F.col("_rk_at") > F.col("_rk_n") - width).groupBy(*keys, PID).agg(
+        F.max("_rk_n").alias("_rk_n"), F.sort_array(F.collect_list(values), asc=False).alias("_rk_end"))
+    earlier = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(PID)
+    halo = ends.select(
+        *[F.col(k).alias(f"_rk_k{i}") for i, k in enumerate(keys)], F.col(PID).alias("_rk_slice"),
+        F.coalesce(F.sum("_rk_n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_rk_before"),
+        F.slice(F.flatten(F.reverse(F.collect_list("_rk_end").over(earlier.rowsBetween(-width, -1)))), 1, width).alias("_rk_halo"))
+    same = F.col(PID) == F.col("_rk_slice")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_rk_k{i}"))
+    inside = {name: F.lag(c, d).over(local) for name, (c, d) in lags.items()}
+    joined = numbered.withColumns(inside).join(halo, same)
+    found = {name: F.when(F.col("_rk_at") > d, F.col(name)).otherwise(
+        F.get("_rk_halo", F.lit(d) - F.col("_rk_at"))[f"c{columns.index(c)}"]) for name, (c, d) in lags.items()}
+    if before:
+        found[before] = (F.col("_rk_before") + F.col("_rk_at") - 1).cast("bigint")
+    return joined.withColumns(found).drop(PID, "_rk_at", "_rk_slice", "_rk_before", "_rk_halo", *[f"_rk_k{i}" for i in range(len(keys))])

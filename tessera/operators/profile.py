@@ -367,17 +367,14 @@ def quality_warnings(df: DataFrame, categorical_threshold: int = 10) -> DataFram
 def monotonicity(df: DataFrame, column: str, order: str) -> DataFrame:
     """Constant / increasing / decreasing / none / undefined over finite values in ``order``.
 
-    Each row is compared with its predecessor among finite rows; the predecessor comes from a
-    window over ``order`` split into range slices (see ranking), and the verdict is one agg."""
+    Each row is compared with its predecessor among finite rows, found inside range slices with a halo (see ranking), and the
+    verdict is one agg."""
     base = df.where(is_finite(column)).select(F.col(order).alias("_o"), F.col(column).cast("double").alias("_v"))
-    # neighbour by exact rank: rank via the distributed rank core, then self-join rank -> rank+1
-    from tessera.functions.ranking import cumulative
-    ranked = cumulative(base.withColumn("cnt", F.lit(1)), [], ["_o"]).select("_o", "_v", "before")
-    nxt = ranked.select((F.col("before") - 1).alias("before"), F.col("_v").alias("_next"))
-    pairs = ranked.join(nxt, "before", "left")
+    from tessera.functions.ranking import lagged
+    pairs = lagged(base, [], ["_o"], {"_last": ("_v", 1)})
     agg = pairs.agg(F.count(F.lit(1)).alias("n"),
-                    F.count_if(F.col("_next") < F.col("_v")).alias("dec"),
-                    F.count_if(F.col("_next") > F.col("_v")).alias("inc"))
+                    F.count_if(F.col("_v") < F.col("_last")).alias("dec"),
+                    F.count_if(F.col("_v") > F.col("_last")).alias("inc"))
     verdict = (F.when(F.col("n") == 0, "undefined")
                .when((F.col("dec") == 0) & (F.col("inc") == 0), "constant")
                .when(F.col("dec") == 0, "increasing").when(F.col("inc") == 0, "decreasing")

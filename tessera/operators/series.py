@@ -1,9 +1,8 @@
 """Time series operators.
 
-A series is ``(series key?, ts, value)``.  Positions come from the distributed rank core, and
-lag features are built by sending each row forward to the ``w`` positions that need it and
-aggregating on the (series, position) key -- every group there has at most ``w`` rows, so a
-single very long series is still spread over all tasks (no ``Window.partitionBy(series)``).
+A series is ``(series key?, ts, value)``.  Positions come from the distributed rank core, and lags
+from its range slices with a halo of the rows before each (``ranking.lagged``), so a
+single very long series is still spread over all tasks (no ``Window.partitionBy(series)``) and no row is sent twice.
 The AR fit (Z04) reduces to the normal equations: (p+1)^2 sums per series in one aggregate,
 solved per series on a one-row-per-series table.
 """
@@ -18,17 +17,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import is_finite
-from tessera.functions.ranking import cumulative
+from tessera.functions.ranking import cumulative, lagged
 
 
 def regularity(df: DataFrame, ts: str, series: str | None = None) -> DataFrame:
     """Successive differences; a series is regular when every step is equal and positive.
     Returns steps, distinct step count and the smallest step in seconds."""
-    pos = positions(df.select(*([series] if series else []), ts), ts, series)
     keys = [series] if series else []
-    nxt = pos.select(*keys, (F.col("pos") - 1).alias("pos"), F.col(ts).alias("_next"))
-    pairs = pos.join(nxt, [*keys, "pos"])
-    step = (F.unix_micros(F.col("_next").cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp")))
+    pairs = lagged(df.select(*keys, ts), keys, [ts], {"_last": (ts, 1)}).where(F.col("_last").isNotNull())
+    step = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("_last").cast("timestamp")))
     out = pairs.groupBy(*keys).agg(F.count(step).alias("steps"), F.countDistinct(step).alias("distinct_steps"),
                                    (F.min(step) / 1_000_000).cast("bigint").alias("min_step_seconds"))
     return out
@@ -58,12 +55,7 @@ def validate_series(df: DataFrame, ts: str, value: str, series: str | None = Non
 def lag_features(df: DataFrame, ts: str, value: str, window: int, series: str | None = None) -> DataFrame:
     """``value_lag_1 .. value_lag_w`` (NULL where history is shorter)."""
     keys = [series] if series else []
-    pos = positions(df, ts, series)
-    sent = pos.select(*keys, F.explode(F.sequence(F.lit(1), F.lit(window))).alias("_i"), "pos",
-                      F.col(value).alias("_v")).select(*keys, (F.col("pos") + F.col("_i")).alias("pos"), "_i", "_v")
-    lagged = sent.groupBy(*keys, "pos").agg(*[F.max(F.when(F.col("_i") == i, F.col("_v"))).alias(f"{value}_lag_{i}")
-                                              for i in range(1, window + 1)])
-    return pos.join(lagged, [*keys, "pos"], "left")
+    return lagged(df, keys, [ts], {f"{value}_lag_{i}": (value, i) for i in range(1, window + 1)}, before="pos")
 
 
 def chronological_cut(df: DataFrame, ts: str, fractions: Sequence[float], series: str | None = None) -> DataFrame:
