@@ -32,7 +32,7 @@ DEPTH = 4
 FIRST = 2000
 SHARE = 80
 #: pointers that a task combines at once, and pointers in a task that sorts, on average
-POINTERS = 2_000_000
+POINTERS = 1_000_000
 #: log2 of the bits of a bitmap, at most (16 MB), and bits for each entry below that
 MOST_BITS = 27
 ROOM = 16
