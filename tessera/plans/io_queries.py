@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from tessera.operators.drift import drift, file_profiles
 from tessera.operators.splitting import SplitConfig, presplit
 from tessera.plans.prep_queries import _alloc_sql
 from tessera.plans.recipe import Recipe, fit_recipe
@@ -81,11 +82,32 @@ def q_fingerprint(spark, d):
     return spark.createDataFrame([(fp["rows"], fp["hash_sum"], fp["schema"])], "rows long, hash_sum string, schema string")
 
 
+@register("S09_unified_types", """
+SELECT o_orderkey::BIGINT AS o_orderkey, (CASE WHEN o_orderkey % 3 = 0 THEN trunc(o_totalprice) ELSE o_totalprice END)::DOUBLE AS amount,
+  CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE o_orderstatus END AS status, true AS one_scan_each FROM orders""")
+def q_unified(spark, d):
+    """Orders in files of three schemas (whole, fractional and float amounts, one without statuses, columns in other orders),
+    landed as one table of joined types; the scans are as many as the schemas, not the files."""
+    path, o = _scratch(spark, "orders-kinds"), table(spark, d, "orders").repartition(6)
+    part = lambda i, *c: o.where(F.col("o_orderkey") % 3 == i).select(*c).write.parquet(f"{path}/{i}")
+    part(0, F.col("o_orderkey").cast("int"), F.floor("o_totalprice").cast("int").alias("amount"), F.col("o_orderstatus").alias("status"))
+    part(1, F.col("o_orderstatus").alias("status"), "o_orderkey", F.col("o_totalprice").alias("amount"))
+    part(2, F.col("o_totalprice").alias("amount"), F.lit(None).cast("void").cast("string").alias("status"), "o_orderkey")
+    S.write_unified(spark, f"{path}/*/*.parquet", f"{path}-landed")
+    scans = S.open_dataset(spark, f"{path}/*/*.parquet")._jdf.queryExecution().sparkPlan().toString().count("FileScan")
+    landed = spark.read.parquet(f"{path}-landed")
+    return landed.select("o_orderkey", "amount", "status").withColumn("one_scan_each", F.lit(scans == 3))
+
+
 @register("U01_union_by_name", """SELECT n_nationkey, n_name, n_regionkey FROM nation
-UNION ALL SELECT n_nationkey, n_name, n_regionkey FROM nation""")
+UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier""")
 def q_union(spark, d):
-    n = table(spark, d, "nation")
-    return n.unionByName(n.select("n_regionkey", "n_name", "n_nationkey"))
+    """Two tables with their columns in different orders, opened as one dataset by name."""
+    path = _scratch(spark, "union")
+    table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").write.parquet(f"{path}/a")
+    table(spark, d, "supplier").select(F.col("s_nationkey").alias("n_regionkey"), F.col("s_name").alias("n_name"),
+                                       F.col("s_suppkey").alias("n_nationkey")).write.parquet(f"{path}/b")
+    return S.open_dataset(spark, f"{path}/*/*.parquet").select("n_nationkey", "n_name", "n_regionkey")
 
 
 @register("U02_drop_duplicates", """SELECT count(*) AS rows, count(DISTINCT text) AS distinct_texts,
@@ -157,3 +179,49 @@ def q_stream_score(spark, d):
     stream = _events_stream(spark, d).withColumn("hour", F.hour("ts").cast("double"))
     scored = model.predict(enc.transform(stream)).select("event_id", "value", "prediction")
     return T.run_available(scored, "append")
+
+
+@register("G21_file_drift", """
+WITH p AS (SELECT o_orderkey % 4 AS part, o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders),
+q AS (SELECT part, o_orderkey, CASE WHEN part = 3 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey,
+        CASE WHEN part = 3 AND o_orderkey % 8 = 3 THEN NULL ELSE o_orderstatus END AS o_orderstatus FROM p),
+s AS (SELECT 100.0 * count(*) FILTER (part = 3 AND o_orderstatus IS NULL) / count(*) FILTER (part = 3) AS own FROM q)
+SELECT 3::BIGINT AS part, 'o_totalprice' AS "column", 'dtype_drift' AS code, 'string' AS own, 'double' AS others
+UNION ALL SELECT 3, 'o_orderstatus', 'missing_drift', printf('%.2f%%', own), '0.00%' FROM s
+UNION ALL SELECT 3, 'o_custkey', 'range_drift', (SELECT min(o_custkey)::DOUBLE || '..' || max(o_custkey)::DOUBLE FROM q WHERE part = 3),
+  (SELECT min(o_custkey)::DOUBLE || '..' || max(o_custkey)::DOUBLE FROM q WHERE part < 3)""")
+def q_drift(spark, d):
+    """Orders in four files, the last with amounts as text, keys in another range and half of its statuses missing."""
+    path, o = _scratch(spark, "drift"), table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus")
+    for i in range(4):
+        part = o.where(F.col("o_orderkey") % 4 == i).repartition(1)
+        if i == 3:
+            part = part.withColumns({"o_totalprice": F.col("o_totalprice").cast("string"), "o_custkey": F.col("o_custkey") + 1_000_000,
+                                     "o_orderstatus": F.when(F.col("o_orderkey") % 8 != 3, F.col("o_orderstatus"))})
+        part.write.parquet(f"{path}/part={i}")
+    found = drift(file_profiles(spark, f"{path}/*/*.parquet"))
+    return found.select(F.regexp_extract("file", "part=([0-9])", 1).cast("long").alias("part"), "column", "code", "own", "others")
+
+
+V10_SQL = """
+WITH c AS (
+  SELECT o_orderpriority AS candidate, o_orderstatus AS run, avg(o_totalprice) AS score FROM orders GROUP BY ALL),
+r AS (
+  SELECT 'a' AS preparation, CASE run WHEN 'P' THEN 'training' WHEN 'F' THEN 'validation' ELSE 'test' END AS basis, run, candidate, score FROM c
+  UNION ALL SELECT 'b', 'test', run, candidate, -score FROM c)
+SELECT 'orders' AS dataset, 'price' AS task, preparation, basis, run, candidate, round(score, 4) AS score,
+  row_number() OVER (PARTITION BY preparation, basis ORDER BY score DESC, run, candidate) AS rank, basis = 'training' AS fallback FROM r"""
+
+
+@register("V10_comparison_cohorts", V10_SQL)
+def q_cohorts(spark, d):
+    """Runs with scores taken from the orders, recorded in a ledger on two preparations, some with training scores alone."""
+    from tessera.operators.ledger import Ledger, Run, cohorts
+    found = table(spark, d, "orders").groupBy("o_orderstatus", "o_orderpriority").agg(F.avg("o_totalprice").alias("score")).collect()
+    ledger = Ledger(spark, _scratch(spark, "ledger"))
+    basis = {"P": ["training"], "F": ["validation", "training"], "O": ["test", "validation"]}
+    for status in sorted({r["o_orderstatus"] for r in found}):
+        own = {r["o_orderpriority"]: {"r2": r["score"], "mae": 0.0} for r in found if r["o_orderstatus"] == status}
+        ledger.record(Run(status, "orders", "price", "a", {b: own for b in basis[status]}))
+        ledger.record(Run(status, "orders", "price", "b", {"test": {c: {"r2": -m["r2"]} for c, m in own.items()}}))
+    return rounded(cohorts(ledger.runs(), "r2", "max"), {"score": 4})

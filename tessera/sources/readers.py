@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.sources.census import Group, groups_of, json_names, separator_of, united
+
 SUPPORTED = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".parquet": "parquet", ".json": "json",
              ".jsonl": "json", ".ndjson": "json", ".orc": "orc"}
 
@@ -71,64 +73,62 @@ def resolve_paths(spark: SparkSession, source: str | Sequence[str]) -> list[str]
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """S02: ',' for .csv, tab for .tsv, otherwise the most frequent of , tab ; | in the first
-    line (read with ``limit(1)``: one split is touched)."""
-    ext = os.path.splitext(path)[1].lower()
-    if ext == ".csv":
-        return ","
-    if ext == ".tsv":
-        return "\t"
+    """The separator of one file (``census.separator_of`` its first line; ``limit(1)`` touches one split)."""
     first = spark.read.text(path).limit(1).collect()
-    line = first[0][0] if first else ""
-    counts = {sep: line.count(sep) for sep in (",", "\t", ";", "|")}
-    return max(counts, key=lambda s: (counts[s], s == ","))
+    return separator_of(path, first[0][0] if first else "")
 
 
 def _type(name) -> T.DataType:
     return name if isinstance(name, T.DataType) else T.DataType.fromDDL(name)
 
 
-def _read_one(spark: SparkSession, path: str, fmt: str, schema: T.StructType | None, csv_options: dict,
-              multiline_json: bool, dtype: dict | None = None) -> DataFrame:
+def _read_group(spark: SparkSession, group: Group, schema: T.StructType | None, csv_options: dict,
+                multiline_json: bool, dtype: dict | None = None) -> DataFrame:
+    """One scan of all files of a group."""
     reader = spark.read
+    if group.kind == "json":
+        reader = reader if schema is None else reader.schema(schema)
+        return reader.option("multiLine", multiline_json).json(group.paths)
+    if group.kind != "csv":
+        return (reader if schema is None else reader.schema(schema)).format(group.kind).load(group.paths)
+    opts = {"header": True, "sep": group.sep or sniff_separator(spark, group.paths[0]), **(csv_options or {})}
     if schema is not None:
-        reader = reader.schema(schema)
-    if fmt == "csv":
-        opts = {"header": True, "sep": sniff_separator(spark, path)}
-        if schema is None:
-            opts["inferSchema"] = True
-        opts.update(csv_options or {})
-        found = reader.options(**opts).csv(path)
-        if not dtype or schema is not None:
-            return found
-        # declared types go into the read: text as written ('001'), not what inference made of it
-        declared = T.StructType([T.StructField(f.name, _type(dtype[f.name])) if f.name in dtype else f for f in found.schema])
-        return spark.read.options(**{**opts, "inferSchema": False}).schema(declared).csv(path)
-    if fmt == "json":
-        return reader.option("multiLine", multiline_json).json(path)
-    return reader.format(fmt).load(path)
+        return reader.options(**opts).schema(schema).csv(group.paths)
+    if group.names and dtype and set(group.names) <= set(dtype):
+        inferred = T.StructType([T.StructField(n, _type(dtype[n])) for n in group.names])
+    else:
+        inferred = reader.options(**{"inferSchema": True, **opts}).csv(group.paths).schema
+    # declared types go into the read: text as written ('001'), not what inference made of it
+    declared = T.StructType([T.StructField(f.name, _type(dtype[f.name])) if f.name in (dtype or {}) else f for f in inferred])
+    return spark.read.options(**{**opts, "inferSchema": False}).schema(declared).csv(group.paths)
 
 
 def open_dataset(spark: SparkSession, source, fmt: str | None = None, dtype: dict | None = None,
                  csv_options: dict | None = None, schema: T.StructType | None = None,
                  multiline_json: bool = False) -> DataFrame:
-    """Lazy frame over one or more files with a checked common column set."""
+    """Lazy frame over one or more files with a checked common column set.
+
+    A census reads the schemas of all files in one job; files of one schema are one scan, and types that differ are
+    joined (``census.joined_schema``).  Columns stand in the first file's order."""
     paths = resolve_paths(spark, source)
-    frames = []
+    kinds = []
     for p in paths:
         kind = fmt or SUPPORTED.get(os.path.splitext(p)[1].lower())
         if kind is None:
             raise ValueError(f"Unsupported file type: {p}")
-        frames.append(_read_one(spark, p, kind, schema, csv_options or {}, multiline_json, dtype))
-    first = frames[0]
-    names = set(first.columns)
-    for p, f in zip(paths[1:], frames[1:]):
-        if set(f.columns) != names:
-            raise ValueError(f"{p}: column names differ from {paths[0]}")
-    out = first
-    for f in frames[1:]:
-        out = out.unionByName(f.select(*first.columns))  # U01: union by name, first file's order
-    return apply_dtypes(out, dtype or {})
+        kinds.append((p, kind))
+    if len(paths) == 1:
+        groups = [Group(kinds[0][1], None, (), paths)]
+    else:
+        groups = groups_of(spark, kinds, csv_options or {}, multiline_json)
+    for g in groups:
+        if g.kind == "json" and len(g.paths) > 1 and schema is None:
+            by_file = json_names(spark, g.paths, multiline_json)
+            for p, names in by_file.items():
+                if names != (first := next(iter(by_file.values()))):
+                    raise ValueError(f"{p}: column names differ, {sorted(set(names) ^ set(first))}")
+    frames = [(_read_group(spark, g, schema, csv_options or {}, multiline_json, dtype), g.paths[0]) for g in groups]
+    return apply_dtypes(united(frames, list(dtype or {})), dtype or {})  # U01: union by name
 
 
 def check_columns(df: DataFrame) -> None:
@@ -187,6 +187,13 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     return int(df.sparkSession.read.parquet(path).count())
 
 
+def write_unified(spark: SparkSession, source, path: str, **how) -> dict:
+    """S09 over many inputs: their types are joined first (footers and headers only), then one scan and one write land them.
+    Returns the rows written and the joined schema; ``how`` goes to ``open_dataset``."""
+    df = open_dataset(spark, source, **how)
+    return {"rows": write_parquet(df, path), "schema": dict(schema_report(df))}
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """CSV with header into a new folder of part files."""
     df.write.mode("errorifexists").option("header", True).csv(path)
