@@ -9,6 +9,7 @@ from tessera.operators import encoding as E
 from tessera.operators import evaluation as V
 from tessera.operators import models as M
 from tessera.operators.dictionary import with_slots
+from tessera.operators.search import fit_validated, race
 from tessera.operators.splitting import SplitConfig, split_assign
 from tessera.plans.prep_queries import ORDERS_NULLS_SQL, _rank_split_sql, orders_with_nulls
 from tessera.plans.registry import register, rounded, table
@@ -284,6 +285,47 @@ def q_learning_curve(spark, d):
     return rounded(V.learning_curve(m.model, frames), {"loss": 8})
 
 
+@register("K05_validated_boosting_checks", """
+SELECT true AS chosen_is_least, true AS trees_kept, true AS predicts_as_prefix, 12 AS rounds, (SELECT count(*) FROM part)::BIGINT AS rows""")
+def q_validated(spark, d):
+    """Boosting on part keeps the round of least validation loss; its loss is that of the curve at that round."""
+    p = table(spark, d, "part")
+    data = split_assign(p, SplitConfig("random"), "p_partkey")
+    enc = E.fit_encoder(data.where("split = 'train'"), {"p_size": "numeric", "p_partkey": "numeric"})
+    data = enc.transform(data).withColumn("label", F.col("p_retailprice") + F.pmod(F.col("p_partkey") * 7919, F.lit(500)))
+    train, val = data.where("split = 'train'"), data.where("split = 'validation'")
+    config = M.ModelConfig("sklearn", "gradient_boosting", {"n_estimators": 12, "learning_rate": 0.9})
+    model, told = fit_validated(config, train, val, "regression")
+    err = F.col("prediction") - F.col("label")
+    loss = model.predict(val).agg(F.avg(err * err)).first()[0]
+    least = min(told["losses"])
+    rows = model.predict(data).count()
+    return spark.createDataFrame([(told["losses"].index(least) + 1 == told["chosen"], model.model.getNumTrees == told["chosen"],
+                                   abs(loss - least) <= 1e-9 * least, told["rounds"], rows)],
+                                 "chosen_is_least boolean, trees_kept boolean, predicts_as_prefix boolean, rounds int, rows long")
+
+
+@register("M16_racing_search", """
+WITH n AS (SELECT floor(count(*) * 0.8)::BIGINT AS n FROM part),
+r(rung, candidates) AS (VALUES (0, 9), (1, 3), (2, 1))
+SELECT rung::INTEGER AS rung, candidates::BIGINT AS candidates, least(n, (6 * n // 3) // candidates)::BIGINT AS rows,
+  CASE WHEN rung = 2 THEN 1 ELSE candidates // 3 END::BIGINT AS kept, true AS within_budget FROM r, n""")
+def q_race(spark, d):
+    """Nine settings of a tree race for the price of part within six times the training rows: rungs, rows and survivors."""
+    p = table(spark, d, "part")
+    enc = E.fit_encoder(p, {"p_size": "numeric", "p_partkey": "numeric"})
+    data = split_assign(enc.transform(p).withColumn("label", F.col("p_retailprice")), SplitConfig("random", 0.8, 0.2, 0.0), "p_partkey")
+    train, val = data.where("split = 'train'"), data.where("split = 'validation'")
+    space = {"max_depth": [1, 3, 6], "min_samples_leaf": [1, 20, 200]}
+    configs = M.search_configs(M.ModelConfig("sklearn", "decision_tree"), space, "grid")
+    err = F.col("prediction") - F.col("label")
+    budget = 6 * train.count()
+    out = race(configs, train, val, "p_partkey", lambda s: s.agg(F.sqrt(F.avg(err * err))).first()[0], "min", budget, "regression")
+    return out.table(spark).groupBy("rung").agg(
+        F.count(F.lit(1)).alias("candidates"), F.max("rows").alias("rows"), F.count_if("kept").alias("kept"),
+        F.lit(out.rows <= budget).alias("within_budget"))
+
+
 for _qid, _algo, _params in [
         ("M04_logistic_regression", "logistic_regression", {"C": 1.0}),
         ("M05_decision_tree", "decision_tree", {"max_depth": 4}),
