@@ -191,13 +191,21 @@ def inv_norm_sql(p: str) -> str:
     return f"(CASE WHEN abs({q}) <= 0.425 THEN {central} WHEN {q} < 0 THEN -{tail} ELSE {tail} END)"
 
 
+#: ranks that one row of tied values expands to at most
+TIED_PIECE = 10_000
+
+
 def qq_points(df: DataFrame, x: str) -> DataFrame:
     """I-th sorted value against Phi^-1((i + 1/2) / n).  Ranks come from the distributed rank
-    core over distinct values; tied values expand to their consecutive ranks."""
+    core over distinct values; tied values expand to their consecutive ranks, in pieces dealt to all tasks, so a
+    value that a third of the rows have is no row of that length and no task of its own."""
     base = df.where(is_finite(x)).select(F.col(x).cast("double").alias(x))
     ranked = cumulative(value_counts(base, [], [x]), [], [x])
-    rows = ranked.select(x, "total", F.explode(F.sequence(F.col("before"), F.col("before") + F.col("cnt") - 1))
-                         .alias("i"))
+    piece = F.call_function("div", F.col("cnt") - 1, F.lit(TIED_PIECE))
+    pieces = ranked.select(x, "total", "before", "cnt", F.explode(F.sequence(F.lit(0).cast("long"), piece)).alias("piece"))
+    first = F.col("before") + F.col("piece") * TIED_PIECE
+    last = F.least(first + TIED_PIECE, F.col("before") + F.col("cnt")) - 1
+    rows = pieces.repartition(x, "piece").select(x, "total", F.explode(F.sequence(first, last)).alias("i"))
     p = (F.col("i") + 0.5) / F.col("total")
     return rows.select(F.col("i").cast("bigint").alias("i"), F.col(x).alias("value"), inv_norm(p).alias("theoretical"))
 

@@ -67,6 +67,9 @@ def long_values(df: DataFrame, columns: Sequence[str], finite_only: bool = True)
 
 # ---------------------------------------------------------------- G01, G18: table summary
 
+DIGESTED = (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)
+
+
 def table_summary(df: DataFrame) -> DataFrame:
     """G01 + G18: rows, columns, missing cells, missing share, duplicate rows (NULL = NULL,
     NaN treated as missing)."""
@@ -74,10 +77,14 @@ def table_summary(df: DataFrame) -> DataFrame:
     miss = [F.when(is_missing(f.name, f.dataType), 1).otherwise(0) for f in fields]
     total_missing = miss[0] if len(miss) == 1 else sum(miss[1:], miss[0])
     summary = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(total_missing).cast("bigint").alias("missing_cells"))
-    # duplicates: rows - distinct rows; NaN -> NULL first so NaN rows compare equal like pandas
-    normalised = df.select(*[(F.when(~F.isnan(f.name), F.col(f.name)) if is_float(f.dataType) else F.col(f.name))
+    # duplicates: rows - distinct rows; NaN -> NULL first so NaN rows compare equal like pandas, -0.0 -> 0.0
+    normalised = df.select(*[(F.when(~F.isnan(f.name), F.col(f.name) + F.lit(0.0)) if is_float(f.dataType) else F.col(f.name))
                              .alias(f.name) for f in fields])
-    dup = normalised.groupBy(*[f.name for f in fields]).count() \
+    names = [f.name for f in fields]
+    if all(isinstance(f.dataType, DIGESTED) for f in fields):  # a digest travels in place of the row, long texts included
+        normalised = normalised.select(F.unhex(F.sha2(F.to_json(F.struct(*names)), 256)).alias("row"))
+        names = ["row"]
+    dup = normalised.groupBy(*names).count() \
         .agg(F.sum(F.col("count") - 1).cast("bigint").alias("duplicate_rows"))
     ncols = len(fields)
     return summary.crossJoin(dup).select(

@@ -89,13 +89,13 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """Zero-based ordinal over files in sorted path order, then row order in each file.
 
     For Parquet sources: ``_metadata.file_path`` + ``_metadata.row_index`` and per-file row
-    counts (one row per file: a bounded broadcast) -- no sort of the data.  ``df`` must be a
-    plain Parquet scan (so ``_metadata`` is available)."""
+    counts, summed by the rank core over files -- no sort of the data, and no window or broadcast that grows with the
+    files.  ``df`` must be a plain Parquet scan (so ``_metadata`` is available)."""
+    from tessera.functions.ranking import cumulative
     meta = df.select("*", F.col("_metadata.file_path").alias("_fp"), F.col("_metadata.row_index").alias("_ri"))
     files = meta.groupBy("_fp").agg(F.count(F.lit(1)).alias("_n"))
-    offs = files.select("_fp", F.coalesce(F.sum("_n").over(Window.orderBy("_fp").rowsBetween(
-        Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
-    return meta.join(F.broadcast(offs), "_fp").withColumn(name, (F.col("_off") + F.col("_ri")).cast("bigint")) \
+    offs = cumulative(files, [], ["_fp"], weight="_n", before="_off").select("_fp", "_off")
+    return meta.join(offs, "_fp").withColumn(name, (F.col("_off") + F.col("_ri")).cast("bigint")) \
         .drop("_fp", "_ri", "_off")
 
 

@@ -99,6 +99,22 @@ def q_unified(spark, d):
     return landed.select("o_orderkey", "amount", "status").withColumn("one_scan_each", F.lit(scans == 3))
 
 
+@register("S14_fingerprint_checks", "SELECT count(*) AS rows, true AS same_in_any_order, false AS same_without_a_row, "
+          "false AS same_with_another_value, false AS same_with_another_type FROM lineitem")
+def q_fingerprint_checks(spark, d):
+    """The digest of lineitem ignores order and partitions and changes with any row, value or type."""
+    li = table(spark, d, "lineitem")
+    own = S.fingerprint(li)
+    same = lambda df: S.fingerprint(df)["digest"] == own["digest"]
+    last = li.agg(F.max(F.struct("l_orderkey", "l_linenumber"))).first()[0]
+    one = (F.col("l_orderkey") == last[0]) & (F.col("l_linenumber") == last[1])
+    return spark.createDataFrame([(own["rows"], same(li.repartition(7).orderBy("l_partkey")), same(li.where(~one)),
+                                   same(li.withColumn("l_tax", F.when(one, F.col("l_tax") + 1).otherwise(F.col("l_tax")))),
+                                   same(li.withColumn("l_linenumber", F.col("l_linenumber").cast("string"))))],
+                                 "rows long, same_in_any_order boolean, same_without_a_row boolean, "
+                                 "same_with_another_value boolean, same_with_another_type boolean")
+
+
 @register("U01_union_by_name", """SELECT n_nationkey, n_name, n_regionkey FROM nation
 UNION ALL SELECT s_suppkey, s_name, s_nationkey FROM supplier""")
 def q_union(spark, d):
@@ -119,14 +135,13 @@ def q_dedupe(spark, d):
     return spark.createDataFrame([(total, kept, total - kept)], "rows long, distinct_texts long, duplicates_removed long")
 
 
-@register("U04_train_class_coverage", """WITH s AS (SELECT DISTINCT o_orderstatus FROM orders)
-SELECT o_orderstatus FROM s WHERE o_orderstatus NOT IN (SELECT o_orderstatus FROM orders)""")
+@register("U04_train_class_coverage", """
+SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 8 <> 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 8 = 0)""")
 def q_coverage(spark, d):
+    """Customers (as classes) of seven eighths of the orders that the other eighth, taken for training, does not have."""
     from tessera.operators.encoding import unseen_classes
-    from tessera.operators.splitting import split_assign
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus")
-    s = split_assign(o, SplitConfig("stratified"), "o_orderkey", target="o_orderstatus")
-    return unseen_classes(s, s.where(F.col("split") == "train"), "o_orderstatus")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return unseen_classes(o.where("o_orderkey % 8 <> 0"), o.where("o_orderkey % 8 = 0"), "o_custkey")
 
 
 def _events_stream(spark, d):
