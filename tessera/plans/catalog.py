@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tessera.plans import (association_queries, component_queries, distribution_queries, explore_queries,  # noqa: F401
+from tessera.plans import (association_queries, component_queries, contract_queries, distribution_queries,  # noqa: F401
+                           explore_queries,
                            io_queries, model_queries,
                            prep_queries, profile_queries, recommend_queries)
 from tessera.plans.registry import REGISTRY
