@@ -181,7 +181,9 @@ def q_stream_periods(spark, d):
     return rounded(out, {"mean": 8}).withColumn("period", F.col("period").cast("timestamp_ntz"))
 
 
-@register("T02_score_stream")
+@register("T02_score_stream", """
+WITH m AS (SELECT regr_slope(value, hour(ts)) AS a, regr_intercept(value, hour(ts)) AS b FROM events)
+SELECT event_id, value, round(a * hour(ts) + b, 6) AS prediction FROM events, m""")
 def q_stream_score(spark, d):
     """A model fitted on batch events scores the event stream (regression of value on the
     hour of day, MLlib linear regression)."""
@@ -193,7 +195,7 @@ def q_stream_score(spark, d):
                         "regression")
     stream = _events_stream(spark, d).withColumn("hour", F.hour("ts").cast("double"))
     scored = model.predict(enc.transform(stream)).select("event_id", "value", "prediction")
-    return T.run_available(scored, "append")
+    return rounded(T.run_available(scored, "append"), {"prediction": 6})
 
 
 @register("G21_file_drift", """
