@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from tessera.operators import density
@@ -37,6 +38,25 @@ def q_assign_new(spark, d):
     return X.predict_new(model, "kmeans", emb.where(F.col("split") == "validation")).select("vec_id", "cluster")
 
 
+@register("X08_assign_new_rows_checks", """
+SELECT round(count(*) * 0.2)::BIGINT AS rows, round(count(*) * 0.2)::BIGINT AS nearest, true AS refuses_transductive FROM embeddings""")
+def q_assign_new_checks(spark, d):
+    """Every held-out row goes to the nearest centre of the model that was fitted without it."""
+    from tessera.operators.splitting import SplitConfig, split_assign
+    emb = split_assign(_embeddings(spark, d), SplitConfig("random", 0.8, 0.2, 0.0), "vec_id")
+    model, _ = X.kmeans(emb.where(F.col("split") == "train"), k=10, n_init=2)
+    held = emb.where(F.col("split") == "validation")
+    away = [F.aggregate(F.zip_with("x", F.lit(c), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v) for c in model.clusterCenters()]
+    out = X.predict_new(model, "kmeans", held).withColumn("x", vector_to_array("features")).withColumn("away", F.array(*away))
+    try:
+        X.predict_new(model, "dbscan", held)
+        refused = False
+    except ValueError:
+        refused = True
+    nearest = F.get("away", F.col("cluster")) <= F.array_min("away") + 1e-9
+    return out.agg(F.count(F.lit(1)).alias("rows"), F.count_if(nearest).alias("nearest")).withColumn("refuses_transductive", F.lit(refused))
+
+
 @register("X02_gaussian_mixture")
 def q_gmm(spark, d):
     emb = table(spark, d, "embeddings")

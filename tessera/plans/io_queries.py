@@ -129,10 +129,10 @@ def q_union(spark, d):
 @register("U02_drop_duplicates", """SELECT count(*) AS rows, count(DISTINCT text) AS distinct_texts,
   count(*) - count(DISTINCT text) AS duplicates_removed FROM documents""")
 def q_dedupe(spark, d):
-    docs = table(spark, d, "documents")
-    kept = docs.dropDuplicates(["text"]).count()
-    total = docs.count()
-    return spark.createDataFrame([(total, kept, total - kept)], "rows long, distinct_texts long, duplicates_removed long")
+    """One grouped count over digests of the texts: rows, and what is left when each text is kept once."""
+    texts = table(spark, d, "documents").groupBy(F.unhex(F.sha2("text", 256)).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), F.count(F.lit(1)).alias("distinct_texts"))
+    return total.withColumn("duplicates_removed", F.col("rows") - F.col("distinct_texts"))
 
 
 @register("U04_train_class_coverage", """

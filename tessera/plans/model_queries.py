@@ -326,6 +326,21 @@ def q_race(spark, d):
         F.lit(out.rows <= budget).alias("within_budget"))
 
 
+@register("V11_learning_curve_checks", """
+SELECT unnest(['train_loss', 'validation_loss']) AS series, 10::BIGINT AS rounds, true AS last_is_the_models_loss""")
+def q_learning_curve_checks(spark, d):
+    """Ten rounds for each split, and the last loss is that of the model's probabilities (twice their log loss)."""
+    data = _doc_features(spark, d)
+    train = data.where(F.col("split") == "train")
+    m = M.fit_model(M.ModelConfig("sklearn", "gradient_boosting", {"n_estimators": 10}), train, "classification", n_classes=2)
+    frames = {s: data.where(F.col("split") == s) for s in ("train", "validation")}
+    curve = V.learning_curve(m.model, frames).groupBy("series").agg(F.count(F.lit(1)).alias("rounds"), F.max_by("loss", "round").alias("last")).collect()
+    own = F.get("probability", F.col("label").cast("int"))
+    loss = {f"{s}_loss": m.predict(df).agg(F.avg(-2 * F.log(own))).first()[0] for s, df in frames.items()}
+    return spark.createDataFrame([(r["series"], r["rounds"], abs(r["last"] - loss[r["series"]]) < 1e-6) for r in curve],
+                                 "series string, rounds long, last_is_the_models_loss boolean")
+
+
 for _qid, _algo, _params in [
         ("M04_logistic_regression", "logistic_regression", {"C": 1.0}),
         ("M05_decision_tree", "decision_tree", {"max_depth": 4}),
@@ -362,6 +377,21 @@ def q_compare(spark, d):
                                        "roc_auc double, winner boolean")
 
 
+@register("M15_candidate_comparison_checks", f"""
+WITH s AS (SELECT x.doc_id, x.split, l.quality FROM ({_rank_split_sql(DOCS_LABELED, "doc_id", "CAST(quality AS VARCHAR)")}) x
+  JOIN {DOCS_LABELED} l ON x.doc_id = l.doc_id),
+m AS (SELECT quality FROM s WHERE split = 'train' GROUP BY quality ORDER BY count(*) DESC, quality LIMIT 1)
+SELECT 3::BIGINT AS candidates, 1::BIGINT AS winners, true AS winner_is_best, round(avg((s.quality = m.quality)::INT), 9) AS baseline_accuracy
+FROM s, m WHERE split = 'validation'""")
+def q_compare_checks(spark, d):
+    """One winner, which none of the candidates beats, and the baseline's accuracy is the share of the commonest class."""
+    rows = q_compare(spark, d)
+    best = F.max("f1_macro") == F.max(F.when(F.col("winner"), F.col("f1_macro")))
+    base = F.max(F.when(F.col("candidate") == "dummy", F.col("accuracy")))
+    return rows.agg(F.count(F.lit(1)).alias("candidates"), F.count_if("winner").alias("winners"), best.alias("winner_is_best"),
+                    F.round(base, 9).alias("baseline_accuracy"))
+
+
 @register("V09_test_evaluation")
 def q_test_eval(spark, d):
     """The chosen candidate evaluated once on the held-out test split."""
