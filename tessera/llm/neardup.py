@@ -248,8 +248,8 @@ def near_duplicates(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     Documents are linked at a Jaccard similarity of 0.75 or more of their sets of five-word
     shingles (A-Z lower-cased); component_id is the smallest doc_id reachable over links.
     Null or wordless texts have n_shingles 0 and their own component; a text of fewer than five words is
-    one shingle.  Repeated rows come back repeated; rows that share an id but not a text are treated as
-    separate texts.  A null doc_id takes no part: component_id null, kept true.  Other columns are ignored."""
+    one shingle.  Repeated rows come back repeated; texts that share a doc_id are one document, so number them
+    first if they are not.  A null doc_id takes no part: component_id null, kept true.  Other columns are ignored."""
     sketched = cut_lineage(sketches(docs, k))
     classes = cut_lineage(
         sketched.where("digest is not null and doc_id is not null").groupBy("digest")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import checked_broadcast, row_key
+from tessera.llm.text import checked_broadcast, row_key, unused
 from tessera.session import cut_lineage
 
 KINDS = ("email", "ip", "card", "phone")
@@ -163,11 +163,12 @@ def span_string(spans: str) -> Column:
 
 def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; overlapping spans
-    become one, named by the first."""
+    become one, named by the first.  Other columns are returned as they are, whatever their names."""
+    key, own = unused(docs, "key"), unused(docs, "spans")
     spans = find(docs).where(F.size("spans") > 0).select(
-        F.col("key").alias("_key"), F.col("spans").alias("_spans")).dropDuplicates(["_key"])
+        F.col("key").alias(key), F.col("spans").alias(own)).dropDuplicates([key])
     names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    by_start = F.array_sort(F.transform("_spans", lambda x: F.struct(
+    by_start = F.array_sort(F.transform(own, lambda x: F.struct(
         x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
 
     def add(acc, x):
@@ -180,6 +181,6 @@ def mask(docs: DataFrame) -> DataFrame:
         return F.concat(acc["out"], F.col("text").substr(acc["at"] + 1, F.char_length("text")))
 
     masked = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, finish)
-    return (docs.withColumn("_key", row_key()).join(
-        checked_broadcast(cut_lineage(spans)), "_key", "left")
-        .withColumn("text", F.when(F.col("_spans").isNotNull(), masked).otherwise(F.col("text"))).select(*docs.columns))
+    return (docs.withColumn(key, row_key()).join(
+        checked_broadcast(cut_lineage(spans)), key, "left")
+        .withColumn("text", F.when(F.col(own).isNotNull(), masked).otherwise(F.col("text"))).select(*docs.columns))

@@ -2,17 +2,21 @@
 
 Edges are the windows of 35 consecutive words.  Each window is owned by the first smallest (by
 hash) of its 8-word k-mers, so equal windows have equal owners, and consecutive windows with the
-same owner occurrence form a nonbranching path that is compacted at once, in its document (about one path for 14 words):
+same owner occurrence form a nonbranching path, which its task writes as one row (about one for 14 words):
 
-1. paths travel as (owner k-mer, hash of the path's words, source coordinates);
+1. paths travel as (owner k-mer, hash of the path's words, hashes of the paths before and behind, source coordinates);
 2. an owner seen once cannot carry a repeated window: a grouped count and a join drop it;
-3. paths with equal words repeat as a whole: grouped counts with map-side combine find them;
-4. where an owner has a path that occurs once beside others, paths diverge inside it: those are
+3. paths with equal words repeat as a whole: grouped counts with map-side combine find them and their neighbours;
+4. a join of repeated paths with themselves links those that always follow each other.  All paths of such a nonbranching
+   run have their first occurrence in one document, side by side, so the source coordinates number the runs, and each
+   compacts to its first path and its length in words: a document has one row per passage;
+5. where an owner has a path that occurs once beside others, paths diverge inside it: those are
    opened at their source coordinates, window by window, against one occurrence of each other
    path of that owner, and again counted by grouping.
 
 Every step is a grouped count or an equi-join; a passage that a third of all documents share is
-combined before it is shuffled and never gathered.  Window and path hashes have 64 bits and are compared within one owner
+combined before it is shuffled and never gathered, and keys that hold many rows are joined apart (``_join_hot``).  Window and path
+hashes have 64 bits and are compared within one owner
 k-mer (another 64 bits) only.
 """
 
@@ -30,6 +34,8 @@ from tessera.session import cut_lineage, release
 
 WINDOW = 35
 OWNER = 8
+#: keys that hold more than one in HOT of all rows are joined by broadcast: there are fewer than HOT of them
+HOT = 100_000
 
 
 def _owners(words: Words, window: int, owner: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -58,8 +64,9 @@ def _owners(words: Words, window: int, owner: int) -> tuple[np.ndarray, np.ndarr
 
 
 def paths(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) -> DataFrame:
-    """The compacted paths of all documents: key (see ``row_key``), a and b (first and last window
-    start, in words from the document's start), owner, path (hashes)."""
+    """The paths of all documents: key (see ``row_key``), a and b (first and last window
+    start, in words from the document's start), owner, path (hashes), prv and nxt (hashes of the
+    paths before and behind it in its document, 0 at the ends)."""
 
     def run(batches):
         for part, texts in text_chunks(batches):
@@ -68,12 +75,42 @@ def paths(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) -> DataFram
             hashes = words.runs(a, b + window) ^ (at - a).astype(np.uint64)
             doc = words.doc[a] if len(a) else a
             base = words.first[doc]
+            prv, nxt = np.zeros_like(hashes), np.zeros_like(hashes)
+            same = np.flatnonzero(doc[1:] == doc[:-1])
+            nxt[same], prv[same + 1] = hashes[same + 1], hashes[same]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0).take(pa.array(doc)), pa.array((a - base).astype(np.int32)),
-                 pa.array((b - base).astype(np.int32)), as_long(own), as_long(hashes)],
-                names=["key", "a", "b", "owner", "path"])
+                 pa.array((b - base).astype(np.int32)), as_long(own), as_long(hashes), as_long(prv), as_long(nxt)],
+                names=["key", "a", "b", "owner", "path", "prv", "nxt"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, a int, b int, owner long, path long")
+    return docs.select("key", "text").mapInArrow(
+        run, "key long, a int, b int, owner long, path long, prv long, nxt long")
+
+
+def unitigs(distinct: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The maximal nonbranching runs of repeated paths: owner and path of the first one, times, size (words).
+
+    distinct: owner, path, times, at (first occurrence: key, a, b), and the least and greatest prv and nxt
+    of each repeated path.  Two paths are linked if each occurrence of the one is followed by the other, and each of the other
+    follows the one."""
+    one_behind = distinct.where("least_nxt = most_nxt").select(
+        F.col("path").alias("least_prv"), F.col("least_nxt").alias("path"), F.lit(1).alias("linked")).distinct()
+    nodes = distinct.join(one_behind, ["least_prv", "path"], "left").select(
+        "owner", "path", "times", F.col("at.key").alias("key"), F.col("at.a").alias("a"), F.col("at.b").alias("b"),
+        F.when((F.col("linked") == 1) & (F.col("least_prv") == F.col("most_prv")), 0).otherwise(1).alias("first"))
+    run = F.sum("first").over(Window.partitionBy("key").orderBy("a", "owner", "path"))
+    return (nodes.withColumn("run", run).groupBy("key", "run")
+            .agg(F.min(F.struct("a", "owner", "path", "times")).alias("head"), F.max("b").alias("b"))
+            .select("head.owner", "head.path", "head.times", (F.col("b") - F.col("head.a") + window).alias("size")))
+
+
+def _join_hot(rows: DataFrame, keys: DataFrame, on: list[str], times: str, total: int) -> DataFrame:
+    """``rows`` joined with ``keys`` (unique ``on``; ``times``: how many rows a key has).  Keys with more than one in HOT
+    of ``total`` rows are fewer than HOT and broadcast, so none of them fills a task; the others are shuffled."""
+    hot = keys.where(F.col(times) * HOT > total).drop(times)
+    cold = keys.where(F.col(times) * HOT <= total).drop(times)
+    met = rows.join(F.broadcast(hot), on)
+    return met.unionByName(rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(cold, on).select(*met.columns))
 
 
 def _windows(docs: DataFrame, window: int) -> DataFrame:
@@ -101,19 +138,24 @@ def _windows(docs: DataFrame, window: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) -> DataFrame:
     """key and spans (array of structs a, e: words a to e - 1 lie in repeated windows) for each row of ``docs``
     (key, text) that has any.  Overlapping spans of a row are joined, so they are few."""
-    every = cut_lineage(paths(docs, window, owner))
-    met = every.groupBy("owner").agg(F.count("*").alias("met")).where("met > 1").select("owner")
-    single, every = every, cut_lineage(every.join(met, "owner"))
-    release(single)
+    first = cut_lineage(paths(docs, window, owner))
+    met = cut_lineage(first.groupBy("owner").agg(F.count("*").alias("met")).where("met > 1"))
+    total = first.count()
+    every = cut_lineage(_join_hot(first, met, ["owner"], "met", total))
+    release(first, met)
     distinct = cut_lineage(every.groupBy("owner", "path").agg(
-        F.count("*").alias("times"), F.min(F.struct("key", "a", "b")).alias("at")))
-    whole = every.join(distinct.where("times > 1").select("owner", "path"), ["owner", "path"]).select(
-        "key", "a", (F.col("b") + window).alias("e"))
-    forks = distinct.groupBy("owner").agg(F.count("*").alias("n"), F.min("times").alias("least")).where(
-        "n > 1 and least = 1").select("owner")
-    opened = cut_lineage(distinct.join(forks, "owner").groupBy(F.col("at.key").alias("key")).agg(
+        F.count("*").alias("times"), F.min(F.struct("key", "a", "b")).alias("at"), F.min("prv").alias("least_prv"),
+        F.max("prv").alias("most_prv"), F.min("nxt").alias("least_nxt"), F.max("nxt").alias("most_nxt")))
+    heads = cut_lineage(unitigs(distinct.where("times > 1"), window))
+    whole = _join_hot(every.select("key", "a", "owner", "path"), heads, ["owner", "path"], "times", total).select(
+        "key", "a", (F.col("a") + F.col("size")).alias("e"))
+    forks = cut_lineage(distinct.groupBy("owner").agg(F.count("*").alias("n"), F.min("times").alias("least")).where(
+        "n > 1 and least = 1").select("owner", "n"))
+    opened = cut_lineage(_join_hot(distinct.select("owner", "path", "times", "at"), forks, ["owner"], "n", total).groupBy(
+        F.col("at.key").alias("key")).agg(
         F.collect_list(F.struct(F.col("at.a").alias("a"), F.col("at.b").alias("b"), "owner",
                                 (F.col("times") > 1).alias("whole"))).alias("opened")))
+    release(forks)
     # repeated rows share a key: their paths repeat as a whole, one of them stands for all
     sources = docs.join(_small(opened, "opened"), "key")
     if _has_repeats(every):

@@ -129,6 +129,14 @@ def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def ship(spark) -> None:
     """Give executors this package, once per application (an installed package needs no shipping), and have Spark
     hand texts to Python in batches that fit: the default of 10,000 rows is meant for narrow ones."""

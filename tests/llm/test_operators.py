@@ -170,6 +170,53 @@ def test_substring_against_brute_force(docs, empty):
     assert rows(substring.deduplicate(empty)) == []
 
 
+def removed_words(texts, window=35):
+    """(n_words, n_removed, kept_sha256) of each text, by comparing all windows."""
+    seen = {}
+    for t in texts:
+        w = words(t)
+        for i in range(len(w) - window + 1):
+            seen[tuple(w[i:i + window])] = seen.get(tuple(w[i:i + window]), 0) + 1
+    out = []
+    for t in texts:
+        w = words(t)
+        gone = set()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i:i + window])] > 1:
+                gone.update(range(i, i + window))
+        kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("hot", [10, 100_000])
+def test_substring_passages_forks_and_hot_owners(spark, monkeypatch, hot):
+    monkeypatch.setattr(substring, "HOT", hot)
+    rng = np.random.default_rng(3)
+    plain = lambda n: " ".join(map(str, rng.integers(0, 10**9, n)))
+    shared, fork, phrase = plain(200), plain(90), plain(8)
+    texts = [f"{plain(30)} {shared} {plain(rng.integers(1, 50))}" for _ in range(60)]
+    texts += [f"{fork} {plain(40)}" for _ in range(6)] + [" ".join(fork.split()[i:i + 60]) for i in range(0, 30, 7)]
+    texts += [f"{plain(28)} {phrase} {plain(28)}" for _ in range(80)] + [plain(300), "a b " * 60, shared, shared, None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.deduplicate(table).collect()}
+    assert got == dict(enumerate(removed_words(texts)))
+
+
+def test_passages_compact_to_one_row(spark):
+    rng = np.random.default_rng(4)
+    plain = lambda n: " ".join(map(str, rng.integers(0, 10**9, n)))
+    shared = plain(500)
+    table = spark.createDataFrame([(i, f"{plain(40)} {shared} {plain(40)}") for i in range(20)], "key long, text string")
+    every = substring.paths(table)
+    distinct = every.groupBy("owner", "path").agg(
+        F.count("*").alias("times"), F.min(F.struct("key", "a", "b")).alias("at"), F.min("prv").alias("least_prv"),
+        F.max("prv").alias("most_prv"), F.min("nxt").alias("least_nxt"), F.max("nxt").alias("most_nxt")).where("times > 1")
+    assert distinct.count() > 20
+    found = substring.unitigs(distinct).collect()
+    assert len(found) == 1 and found[0]["times"] == 20 and 480 <= found[0]["size"] <= 500
+
+
 def test_pii_base_spans_and_discovery(spark, docs, empty):
     got = {r["doc_id"]: r for r in rows(pii.find(docs).select("doc_id", pii.span_string("base").alias("b")))}
     text = dict((d, t) for d, t in TEXTS)[10]
