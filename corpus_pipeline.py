@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm import neardup, packing, pii, quality, substring
 from tessera.llm.queries import quality_model
-from tessera.llm.text import checked_broadcast, row_key, ship
+from tessera.llm.text import checked_broadcast, row_key, ship, unused
+from tessera.operators.sampling import row_number_by
 from tessera.session import checkpoint_dir, cut_lineage
 
 
@@ -22,34 +23,45 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Rows that the quality classifier accepts (score of 0.7 or more)."""
     ship(spark)
     model = quality_model(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    keyed = docs.withColumn("_key", row_key())
-    scored = quality.score(keyed.select(F.col("_key").alias("doc_id"), "text"), model, 0.7)
-    bad = cut_lineage(scored.where("predicted = 0").select(F.col("doc_id").alias("_key")).distinct())
-    return keyed.join(checked_broadcast(bad), "_key", "left_anti").select(*docs.columns)
+    key = unused(docs, "key")
+    keyed = docs.withColumn(key, row_key())
+    scored = quality.score(keyed.select(F.col(key).alias("doc_id"), "text"), model, 0.7)
+    bad = cut_lineage(scored.where("predicted = 0").select(F.col("doc_id").alias(key)).distinct())
+    return keyed.join(checked_broadcast(bad), key, "left_anti").select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of near duplicates: the one with the smallest doc_id (one of repeated rows)."""
+    """One row of each group of near duplicates: the one with the smallest doc_id (one of rows equal in id and text).
+    Rows that share a doc_id, but not a text, are different documents; rows without doc_id stay."""
     ship(spark)
-    groups = neardup.near_duplicates(docs.select("doc_id", "text"))
-    gone = cut_lineage(groups.where("not kept").select("doc_id").distinct())
-    kept = docs.join(checked_broadcast(gone), "doc_id", "left_anti").select(*docs.columns)
-    twice = cut_lineage(kept.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if twice.isEmpty():
-        return kept
-    twice = checked_broadcast(twice)
+    key, number = unused(docs, "key"), unused(docs, "number")
+    keyed = docs.withColumn(key, row_key())
+    named = keyed.where("doc_id is not null")
+    texts = cut_lineage(named.groupBy("doc_id").agg(
+        F.min(key).alias("least"), F.max(key).alias("most"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    if texts.where("least <> most").isEmpty():
+        keyed = keyed.withColumn(number, F.col("doc_id"))
+    else:  # ids of their own for different rows, in the order of doc_id
+        ranked = cut_lineage(row_number_by(named.select("doc_id", F.col(key).alias("row")).distinct(), ["doc_id", "row"], "number"))
+        keyed = keyed.join(ranked.select(F.col("row").alias(key), F.col("number").alias(number)), key, "left")
+    groups = neardup.near_duplicates(keyed.select(F.col(number).alias("doc_id"), "text"))
+    gone = cut_lineage(groups.where("not kept").select(F.col("doc_id").alias(number)).distinct())
+    kept = keyed.join(checked_broadcast(gone), number, "left_anti")
+    if texts.isEmpty():
+        return kept.select(*docs.columns)
+    twice = checked_broadcast(texts.select("doc_id"))
     return kept.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(
-        kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns))
+        kept.join(twice, "doc_id", "left_semi").dropDuplicates([key]).select(*docs.columns))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that lie in repeated windows of 35 words."""
     ship(spark)
-    keyed = docs.withColumn("_key", row_key())
-    cut = substring.deduplicate(keyed.select(F.col("_key").alias("doc_id"), "text"))
-    cut = cut_lineage(cut.where("n_removed > 0").select(F.col("doc_id").alias("_key"), "kept_text").dropDuplicates(["_key"]))
-    text = F.coalesce("kept_text", "text")
-    return _with_text(keyed.join(cut, "_key", "left").withColumn("text", text), docs.columns)
+    key, kept = unused(docs, "key"), unused(docs, "kept")
+    keyed = docs.withColumn(key, row_key())
+    cut = substring.deduplicate(keyed.select(F.col(key).alias("doc_id"), "text"))
+    cut = cut_lineage(cut.where("n_removed > 0").select(F.col("doc_id").alias(key), F.col("kept_text").alias(kept)).dropDuplicates([key]))
+    return _with_text(keyed.join(cut, key, "left").withColumn("text", F.coalesce(kept, "text")), docs.columns)
 
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
