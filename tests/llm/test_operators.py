@@ -212,9 +212,28 @@ def test_passages_compact_to_one_row(spark):
     distinct = every.groupBy("owner", "path").agg(
         F.count("*").alias("times"), F.min(F.struct("key", "a", "b")).alias("at"), F.min("prv").alias("least_prv"),
         F.max("prv").alias("most_prv"), F.min("nxt").alias("least_nxt"), F.max("nxt").alias("most_nxt")).where("times > 1")
-    assert distinct.count() > 20
-    found = substring.unitigs(distinct).collect()
-    assert len(found) == 1 and found[0]["times"] == 20 and 480 <= found[0]["size"] <= 500
+    found = {(r["path"], r["times"], r["size"]) for r in substring.unitigs(distinct).collect()}
+    places = {}
+    for r in every.collect():
+        places.setdefault(r["path"], []).append(r)
+    places = {p: rs for p, rs in places.items() if len(rs) > 1}
+    after = {}
+    for p, rs in places.items():
+        before = {r["prv"] for r in rs}
+        if len(before) == 1 and all(r["nxt"] == p for r in places.get(min(before), [])) and min(before) in places:
+            after[min(before)] = p
+    want = set()
+    for p in places.keys() - set(after.values()):
+        end, size = p, 34
+        while True:
+            size += places[end][0]["b"] - places[end][0]["a"] + 1
+            if end not in after:
+                break
+            end = after[end]
+        want.add((p, len(places[p]), size))
+    assert found == want and len(places) > 20
+    # edges of the passage end where other words own a window, by chance alike in some documents; its inside is one run
+    assert sum(times == 20 for _, times, _ in found) == 1
 
 
 def test_pii_base_spans_and_discovery(spark, docs, empty):
