@@ -320,3 +320,15 @@ def test_update_stream_drops_late_rows(spark):
     for r in sorted(out.collect(), key=lambda r: r["_batch"]):
         last[r["period"]] = r["count"]
     assert sorted(last.values()) == [1, 2]
+
+
+def test_class_coverage_splits_all_orders(spark, tmp_path):
+    """U04 splits every order by class; classes that training lacks are found, but a stratified split leaves none."""
+    from tessera.operators.encoding import unseen_classes
+    from tessera.plans.io_queries import q_coverage
+    rows = [(i, i, "A" if i < 30 else "B" if i < 35 else None) for i in range(40)]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = q_coverage(spark, str(tmp_path))
+    assert found.columns == ["o_orderstatus"] and found.collect() == []
+    assert [r[0] for r in unseen_classes(orders.dropna(), orders.where("o_orderstatus <> 'B'"), "o_orderstatus").collect()] == ["B"]
