@@ -12,6 +12,9 @@ points.  Nothing compares all pairs of a dense region:
   whole are linked, and only the rest send the points near the other zone, which are measured there;
 * units and links are a graph whose connected components (by Spark joins) are the clusters;
 * points that are not core look for core points in the zones within eps: each has fewer than ``min_samples`` neighbours.
+
+Boxes of wide points overlap nearly all others.  From ``WIDE`` columns on, points meet all near boxes at once by a matrix product, and
+pairs that its rounding leaves open are measured as narrow ones are.
 """
 
 from __future__ import annotations
@@ -32,6 +35,9 @@ ZONE = 20_000
 MOST_ZONES = 16_384
 SAMPLE = 32
 LEAF = 64
+WIDE = 8
+#: points of a zone that meet its others in one matrix product
+ROWS = 256
 NOISE = -1
 
 _LEAVES = "zone int, leaf int, sure boolean, pid array<long>, w array<long>, x array<double>"
@@ -126,6 +132,29 @@ def _points2(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _within(a: np.ndarray, b: np.ndarray, e2: float) -> np.ndarray:
+    """``_points2(a, b) <= e2``.  Wide points by a matrix product; pairs within its rounding of ``e2`` are measured."""
+    width = a.shape[1]
+    if width < WIDE:
+        return _points2(a, b) <= e2
+    a2, b2 = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    d2 = a @ b.T
+    d2 *= -2
+    d2 += a2[:, None]
+    d2 += b2[None, :]
+    most = float(a2.max(initial=0)) + float(b2.max(initial=0)) + e2
+    slack = 16 * (width + 8) * np.finfo(float).eps * most
+    near = d2 <= e2 - slack
+    i, j = np.nonzero(~(near | (d2 > e2 + slack)))  # also where the product is not a number
+    for lo in range(0, len(i), 65_536):
+        p, q = i[lo:lo + 65_536], j[lo:lo + 65_536]
+        exact = np.zeros(len(p))
+        for d in range(width):
+            exact += np.square(a[p, d] - b[q, d])
+        near[p, q] = exact <= e2
+    return near
+
+
 def _diagonal2(x: np.ndarray) -> float:
     return float(np.square(x.max(axis=0) - x.min(axis=0)).sum()) if len(x) else 0.0
 
@@ -149,6 +178,21 @@ class _Union:
         return np.array([self.find(i) for i in range(len(self.up))], np.int64)
 
 
+def _joined(x: np.ndarray, e2: float) -> np.ndarray:
+    """The first point of each point's chain of neighbours: ``ROWS`` points meet all later ones at a time."""
+    tree = _Union(len(x))
+    root = tree.up.copy()
+    for lo in range(0, len(x), ROWS):
+        near = _within(x[lo:lo + ROWS], x[lo:], e2)
+        later = root[lo:]
+        own = root[lo:lo + ROWS]
+        for u in np.unique(own):
+            for v in np.unique(later[near[own == u].any(axis=0)]):
+                tree.join(int(u), int(v))
+        root = tree.roots()
+    return root
+
+
 class _Boxes:
     """Rows of the table of leaves: their points one after the other, and their boxes."""
 
@@ -164,10 +208,23 @@ class _Boxes:
             self.lo, self.hi = (f.reduceat(self.x, self.start[:-1], axis=0) for f in (np.minimum, np.maximum))
         else:
             self.lo = self.hi = np.zeros((0, width))
+        self._named = None
 
     def part(self, i: int) -> slice:
         return slice(self.start[i], self.start[i + 1])
 
+    def rows_of(self, boxes: np.ndarray) -> np.ndarray | slice:
+        """Places of the points of ``boxes`` (rising)."""
+        if len(boxes) == len(self.rows):
+            return slice(None)
+        return np.concatenate([np.arange(self.start[i], self.start[i + 1]) for i in boxes]) if len(boxes) else np.zeros(0, np.int64)
+
+    def named(self) -> tuple[np.ndarray, np.ndarray]:
+        """The units, rising, and for each point the place of its own."""
+        if self._named is None:
+            self._named = np.unique(self.unit, return_inverse=True)
+        return self._named
+
 
 def _zone_boxes(leaves: DataFrame, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Zone numbers and their boxes from a table with zone and x (flat, with width): at most ``MOST_ZONES`` rows."""
@@ -283,8 +340,21 @@ def _meet(leaves: DataFrame, sent: DataFrame, width: int, parts: int, fn, schema
 
 def _counter(eps: float, width: int):
     """Neighbours of the sent points in the zone, whole boxes at once."""
+    def wide(boxes: _Boxes, r: dict, x: np.ndarray):
+        lo, hi = x.min(axis=0)[None], x.max(axis=0)[None]
+        near = _nearest2(lo, hi, boxes.lo, boxes.hi)[0] <= eps * eps
+        whole = near & (_farthest2(lo, hi, boxes.lo, boxes.hi)[0] <= eps * eps)
+        rows = boxes.rows_of(np.flatnonzero(near & ~whole))
+        n = _within(x, boxes.x[rows], eps * eps) @ boxes.w[rows] + boxes.w[boxes.rows_of(np.flatnonzero(whole))].sum()
+        for p, c in zip(r["pid"], n, strict=True):
+            if c:
+                yield {"zone": r["from_zone"], "leaf": r["leaf"], "pid": p, "n": int(c)}
+
     def count(boxes: _Boxes, r: dict):
         x = np.asarray(r["x"], float).reshape(-1, width)
+        if width >= WIDE:
+            yield from wide(boxes, r, x)
+            return
         near = _nearest2(x, x, boxes.lo, boxes.hi) <= eps * eps
         whole = near & (_farthest2(x, x, boxes.lo, boxes.hi) <= eps * eps)
         weight = np.add.reduceat(boxes.w, boxes.start[:-1]) if len(boxes.rows) else np.zeros(0, np.int64)
@@ -305,6 +375,13 @@ def _linker(eps: float, width: int):
         x, unit = np.asarray(r["x"], float).reshape(-1, width), np.asarray(r["unit"], np.int64)
         close = np.flatnonzero(_nearest2(x.min(axis=0)[None], x.max(axis=0)[None], boxes.lo, boxes.hi)[0] <= eps * eps)
         found = set()
+        if width >= WIDE:
+            rows = boxes.rows_of(close)
+            names, at = boxes.named()
+            near = _within(x, boxes.x[rows], eps * eps)
+            for u in np.unique(unit):
+                found |= {(int(u), int(v)) for v in names[np.unique(at[rows][near[unit == u].any(axis=0)])]}
+            close = ()
         for i in close:
             part = boxes.part(i)
             mine, theirs = set(unit.tolist()), set(boxes.unit[part].tolist())
@@ -321,6 +398,13 @@ def _border(eps: float, width: int):
     """Units whose core points lie within eps of the sent points."""
     def look(boxes: _Boxes, r: dict):
         x = np.asarray(r["x"], float).reshape(-1, width)
+        if width >= WIDE:
+            rows = boxes.rows_of(np.flatnonzero(_nearest2(x.min(axis=0)[None], x.max(axis=0)[None], boxes.lo, boxes.hi)[0] <= eps * eps))
+            names, at = boxes.named()
+            for p, near in zip(r["pid"], _within(x, boxes.x[rows], eps * eps), strict=True):
+                for u in names[np.unique(at[rows][near])]:
+                    yield {"pid": p, "unit": int(u)}
+            return
         near = _nearest2(x, x, boxes.lo, boxes.hi) <= eps * eps
         found = set()
         for i in np.flatnonzero(near.any(axis=0)):
@@ -342,6 +426,9 @@ def _units(core: DataFrame, width: int, eps: float, parts: int) -> DataFrame:
         n = len(boxes.rows)
         if not n:
             return
+        if width >= WIDE:
+            yield from named(boxes, _joined(boxes.x, e2))
+            return
         tree = _Union(len(boxes.pid))
         first = boxes.start[:-1]
         tight = np.zeros(n, bool)  # one unit inside
@@ -369,7 +456,9 @@ def _units(core: DataFrame, width: int, eps: float, parts: int) -> DataFrame:
                 a, b = np.nonzero(_points2(boxes.x[boxes.part(i)], boxes.x[boxes.part(j)]) <= e2)
                 for p, q in zip(a, b, strict=True):
                     tree.join(int(first[i] + p), int(first[j] + q))
-        root = tree.roots()
+        yield from named(boxes, tree.roots())
+
+    def named(boxes: _Boxes, root: np.ndarray):
         least = np.full(len(root), np.iinfo(np.int64).max)
         np.minimum.at(least, root, boxes.pid)
         unit = least[root]
@@ -472,7 +561,10 @@ def dbscan(df: DataFrame, key: str, features: str, eps: float, min_samples: int
     same = rows.groupBy("x").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("w")).withColumn("one", F.lit(1).cast("long"))
     points = cut_lineage(cumulative(same, [], ["key", "x"], weight="one", before="pid").select("pid", "w", "x"))
     n = points.count()
-    zones = min(MOST_ZONES, -(-n // zone))
+    zones = -(-n // zone)
+    if width >= WIDE:  # boxes spare wide points little: at least a zone for every core that has ROWS points to work on
+        zones = max(zones, min(-(-n // ROWS), df.sparkSession.sparkContext.defaultParallelism))
+    zones = min(MOST_ZONES, zones)
     sample = np.zeros((0, width))
     if zones > 1:
         part = points.select("x") if n <= SAMPLE * zones else points.select("x").sample(False, SAMPLE * zones / n, 42)

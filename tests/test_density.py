@@ -53,6 +53,24 @@ def test_chain_across_zones_and_ties_at_eps(spark):
     assert set(clusters(spark, chain, .2, 3, zone=15)) == {0}
 
 
+def test_wide_points_meet_by_matrix_products(spark, monkeypatch):
+    """Wide points overlap all boxes: they are not measured pair by pair, and pairs at eps exactly are still decided as measured."""
+    rng = np.random.default_rng(4)
+    sites = rng.normal(0, 1, (9, 16))
+    x = np.concatenate([sites[rng.integers(0, 9, 500)] + rng.normal(0, .25, (500, 16)), rng.normal(0, 1, (60, 16)), np.repeat(sites[:1], 7, 0)])
+    assert len(set(clusters(spark, x, 1.2, 5, zone=90, leaf=16))) > 3
+    lattice = np.array([[i // 2 ** k % 2 / 4 for k in range(9)] + [1e3] * 3 for i in range(512)])[rng.permutation(512)[:300]]
+    clusters(spark, lattice, .25, 4, zone=70)
+    measured = density._points2(x, x)
+    assert (density._within(x, x, float(measured[3, 9])) == (measured <= measured[3, 9])).all()
+
+    def pairwise(a, b):
+        raise AssertionError("measured pair by pair")
+    monkeypatch.setattr(density, "_points2", pairwise)
+    root = density._joined(x, 1.44)
+    assert len(set(root.tolist())) < len(x) and density._within(x, x, 1.44).any()
+
+
 def test_odd_tables(spark):
     clusters(spark, [[1., 2.]], .1, 2)
     assert set(clusters(spark, [[0., -0.]] * 7, .1, 7)) == {0}
