@@ -258,3 +258,28 @@ def test_knn_regression_weights(spark):
     near = {r["qid"]: r["prediction"] for r in knn_regress(train, query, 2, "y", "distance").collect()}
     assert mean == {0: 20.0, 1: 30.0}
     assert near[0] == 20.0 and abs(near[1] - (30 / 0.25 + 40 / 0.75) / (1 / 0.25 + 1 / 0.75)) < 1e-9
+
+
+def test_knn_parts_send_no_more_than_k_rows(spark, monkeypatch):
+    """Cells in many parts and queries in slices; pairs are not measured by a row expression, ties go to the smaller id."""
+    import numpy as np
+
+    from tessera.operators import neighbors
+    monkeypatch.setattr(neighbors, "PART", 20)
+    monkeypatch.setattr(neighbors, "SLICE", 7)
+    rng = np.random.default_rng(5)
+    v = np.concatenate([rng.normal(size=(150, 10)), np.repeat(rng.normal(size=(1, 10)), 30, 0)])
+    q = np.concatenate([rng.normal(size=(20, 10)), v[-1:]])
+    train = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "id long, vec array<double>")
+    query = spark.createDataFrame([(f"q{i}", [float(x) for x in r]) for i, r in enumerate(q)], "qid string, vec array<double>")
+    got = {}
+    for r in neighbors.knn(train, query, 4, pivots=5).orderBy("rank").collect():
+        got.setdefault(r["qid"], []).append((r["neighbor"], r["distance"]))
+    for i, x in enumerate(q):
+        d2 = np.zeros(len(v))
+        for d in range(10):
+            d2 += np.square(x[d] - v[:, d])
+        want = sorted(zip(np.sqrt(d2).tolist(), range(len(v))))[:4]
+        assert got[f"q{i}"] == [(t, d) for d, t in want]
+    rows, at, dist = neighbors._first(q, v, 3)
+    assert np.bincount(rows).tolist() == [3] * len(q) and at[-3:].tolist() == [150, 151, 152] and dist[-1] == 0
