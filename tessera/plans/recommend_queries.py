@@ -127,8 +127,7 @@ SELECT "user", item, round(score, 9) AS score, rank FROM s WHERE rank <= 5"""
 @register("N06_top_inner_products", VECTOR_TOP_SQL)
 def q_top_inner_products(spark, d):
     """Each vector's five best of another label: the exact search of N03 and N06 on factors that the tables hold."""
-    vectors = table(spark, d, "embeddings")
-    own = vectors.select("label", F.col("vec_id").alias("user")).join(vectors.select("label", F.col("vec_id").alias("item")), "label")
-    top, _ = top_items(vectors.select(F.col("vec_id").alias("user"), F.col("embedding").alias("x")),
-                       vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("x")), 5, own, first=64, block=48)
+    vectors = table(spark, d, "embeddings").withColumn("x", F.col("embedding"))
+    top, _ = top_items(vectors.select(F.col("vec_id").alias("user"), "x", "label"), vectors.select(F.col("vec_id").alias("item"), "x", "label"),
+                       5, first=64, block=48, apart="label")
     return rounded(top, {"score": 9})
