@@ -3,7 +3,8 @@
 Tokens are numbered in sorted order by the rank core, so the numbers are those a sorted list would give; the dictionary is
 a written table and nothing of it reaches the driver.  A frame meets it by token: its (row, column, token) triples join the
 dictionary, the slots of a row come together by row, and sparse vectors are assembled from them.  A token that a third of all
-rows have is one dictionary row against many, which AQE splits.
+rows have is one dictionary row against many, which AQE splits.  Columns of few tokens stay out of it: their dictionaries go to
+the rows, which are not sorted for them.
 """
 
 from __future__ import annotations
@@ -19,6 +20,11 @@ from tessera.functions.ranking import cumulative
 from tessera.session import cut_lineage
 
 
+#: tokens of a column whose dictionary goes to the rows, and how many such columns do
+FEW = 1_000
+NARROW = 16
+
+
 def numbered(tokens: DataFrame, keys: Sequence[str], token: str, name: str) -> DataFrame:
     """Distinct (keys, token) with ``name``, the token's place from 0 in sorted order within its keys; a written table."""
     one = tokens.select(*keys, token).where(F.col(token).isNotNull()).distinct().withColumn("_one", F.lit(1).cast("long"))
@@ -57,9 +63,22 @@ def with_slots(df: DataFrame, slots: TokenSlots, token_of: dict[str, str]) -> Da
     while name in df.columns:
         name += "_"
     rows = cut_lineage(df.withColumn(name, F.monotonically_increasing_id()))
-    found = slots.of(rows, name, token_of)
     none = F.array().cast("array<int>")
-    return rows.join(found, name, "left").withColumn("slots", F.coalesce("slots", none)).drop(name)
+    few = [c for c in token_of if slots.sizes.get(c, 0) <= FEW][:NARROW]
+    many = {c: t for c, t in token_of.items() if c not in few}
+    out, own = rows, []
+    if many:
+        out = rows.join(slots.of(rows, name, many), name, "left").withColumn("slots", F.coalesce("slots", none))
+    else:
+        out = rows.withColumn("slots", none)
+    for i, c in enumerate(few):
+        own.append(f"{name}{i}")
+        tokens = slots.table.where(F.col("column") == c).select(F.col("token").alias(f"{name}t"), F.col("slot").alias(own[-1]))
+        out = out.join(F.broadcast(tokens), F.col(token_of[c]) == F.col(f"{name}t"), "left").drop(f"{name}t")
+    if own:
+        met = F.filter(F.array(*[F.col(c) for c in own]), lambda s: s.isNotNull())
+        out = out.withColumn("slots", F.sort_array(F.concat("slots", met)))
+    return out.drop(name, *own)
 
 
 def sparse_vectors(df: DataFrame, numbers: Sequence[str], width: int, output: str) -> DataFrame:

@@ -60,3 +60,16 @@ def test_a_million_tokens(spark):
     got = with_slots(rows, slots, {"t": "t"}).select("id", F.col("slots")[0].alias("s"), F.size("slots").alias("k"))
     want = F.when(F.col("id") % 3 == 0, 5 + kept).otherwise(5 + F.col("id") - F.floor((F.col("id") + 2) / 3))
     assert got.where((F.col("k") == 1) & (F.col("s") == want)).count() == n
+
+
+def test_columns_of_few_tokens_are_not_met_row_by_row(spark, monkeypatch):
+    from tessera.operators import dictionary
+    monkeypatch.setattr(dictionary, "FEW", 4)
+    rows = spark.createDataFrame([(i, f"t{i % 40:02d}", "xyz"[i % 3] if i % 5 else None) for i in range(400)], "id long, big string, small string")
+    long = rows.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("token")) for c in ("big", "small")])))
+    slots, asked, of = TokenSlots(long, ["big", "small"], 2), [], TokenSlots.of
+    monkeypatch.setattr(TokenSlots, "of", lambda self, df, row, token_of: asked.append(list(token_of)) or of(self, df, row, token_of))
+    new = rows.union(spark.createDataFrame([(1000, "new", "z"), (1001, "new", None)], rows.schema))
+    got = {r["id"]: r["slots"] for r in with_slots(new, slots, {"big": "big", "small": "small"}).collect()}
+    assert asked == [["big"]]
+    assert got == {i: [2 + i % 40] + ([42 + i % 3] if i % 5 else []) for i in range(400)} | {1000: [44], 1001: []}
