@@ -328,7 +328,7 @@ def test_class_coverage_splits_all_orders(spark, tmp_path):
     from tessera.plans.io_queries import q_coverage
     rows = [(i, i, "A" if i < 30 else "B" if i < 35 else None) for i in range(40)]
     orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string")
-    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    orders.union(orders).write.parquet(f"{tmp_path}/orders.parquet")  # keys repeat
     found = q_coverage(spark, str(tmp_path))
     assert found.columns == ["o_orderstatus"] and found.collect() == []
     assert [r[0] for r in unseen_classes(orders.dropna(), orders.where("o_orderstatus <> 'B'"), "o_orderstatus").collect()] == ["B"]
