@@ -2,7 +2,8 @@
 
 Edges are the windows of 35 consecutive words.  Each window is owned by the first smallest (by
 hash) of its 8-word k-mers, so equal windows have equal owners, and consecutive windows with the
-same owner occurrence form a nonbranching path, which its task writes as one row (about one for 14 words):
+same owner occurrence form a nonbranching path, which its task writes as one row (about one for 14 words).  A path
+that follows itself, as in a short line written many times over, is one row for all of them:
 
 1. paths travel as (owner k-mer, hash of the path's words, hashes of the paths before and behind, source coordinates);
 2. an owner seen once cannot carry a repeated window: a grouped count and a join drop it;
@@ -65,8 +66,9 @@ def _owners(words: Words, window: int, owner: int) -> tuple[np.ndarray, np.ndarr
 
 def paths(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) -> DataFrame:
     """The paths of all documents: key (see ``row_key``), a and b (first and last window
-    start, in words from the document's start), owner, path (hashes), prv and nxt (hashes of the
-    paths before and behind it in its document, 0 at the ends)."""
+    start, in words from the document's start), n (how often it stands there, each time right behind
+    itself), last (b of the last of them), owner, path (hashes), prv and nxt (hashes of the
+    other paths before and behind them in their document, 0 at the ends)."""
 
     def run(batches):
         for part, texts in text_chunks(batches):
@@ -78,13 +80,18 @@ def paths(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) -> DataFram
             prv, nxt = np.zeros_like(hashes), np.zeros_like(hashes)
             same = np.flatnonzero(doc[1:] == doc[:-1])
             nxt[same], prv[same + 1] = hashes[same + 1], hashes[same]
+            new = np.ones(len(hashes), bool)
+            new[same + 1] = (hashes[same + 1] != hashes[same]) | (own[same + 1] != own[same])
+            at = np.flatnonzero(new)
+            end = np.append(at[1:], len(hashes))[:len(at)] - 1
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(pa.array(doc)), pa.array((a - base).astype(np.int32)),
-                 pa.array((b - base).astype(np.int32)), as_long(own), as_long(hashes), as_long(prv), as_long(nxt)],
-                names=["key", "a", "b", "owner", "path", "prv", "nxt"])
+                [part.column(0).take(pa.array(doc[at])), pa.array((a - base)[at].astype(np.int32)),
+                 pa.array((b - base)[at].astype(np.int32)), pa.array((end - at + 1).astype(np.int32)),
+                 pa.array((b - base)[end].astype(np.int32)), as_long(own[at]), as_long(hashes[at]), as_long(prv[at]), as_long(nxt[end])],
+                names=["key", "a", "b", "n", "last", "owner", "path", "prv", "nxt"])
 
     return docs.select("key", "text").mapInArrow(
-        run, "key long, a int, b int, owner long, path long, prv long, nxt long")
+        run, "key long, a int, b int, n int, last int, owner long, path long, prv long, nxt long")
 
 
 def unitigs(distinct: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -139,16 +146,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, owner: int = OWNER) ->
     """key and spans (array of structs a, e: words a to e - 1 lie in repeated windows) for each row of ``docs``
     (key, text) that has any.  Overlapping spans of a row are joined, so they are few."""
     first = cut_lineage(paths(docs, window, owner))
-    met = cut_lineage(first.groupBy("owner").agg(F.count("*").alias("met")).where("met > 1"))
-    total = first.count()
+    met = cut_lineage(first.groupBy("owner").agg(F.sum("n").alias("met")).where("met > 1"))
+    total = first.agg(F.sum("n")).first()[0] or 0
     every = cut_lineage(_join_hot(first, met, ["owner"], "met", total))
     release(first, met)
+    itself = F.when(F.col("n") > 1, F.col("path"))  # stands before and behind it as well
     distinct = cut_lineage(every.groupBy("owner", "path").agg(
-        F.count("*").alias("times"), F.min(F.struct("key", "a", "b")).alias("at"), F.min("prv").alias("least_prv"),
-        F.max("prv").alias("most_prv"), F.min("nxt").alias("least_nxt"), F.max("nxt").alias("most_nxt")))
+        F.sum("n").alias("times"), F.min(F.struct("key", "a", "b")).alias("at"), F.min(F.least("prv", itself)).alias("least_prv"),
+        F.max(F.greatest("prv", itself)).alias("most_prv"), F.min(F.least("nxt", itself)).alias("least_nxt"),
+        F.max(F.greatest("nxt", itself)).alias("most_nxt")))
     heads = cut_lineage(unitigs(distinct.where("times > 1"), window))
-    whole = _join_hot(every.select("key", "a", "owner", "path"), heads, ["owner", "path"], "times", total).select(
-        "key", "a", (F.col("a") + F.col("size")).alias("e"))
+    whole = _join_hot(every.select("key", "a", "last", "owner", "path"), heads, ["owner", "path"], "times", total).select(
+        "key", "a", F.greatest(F.col("a") + F.col("size"), F.col("last") + window).alias("e"))
     forks = cut_lineage(distinct.groupBy("owner").agg(F.count("*").alias("n"), F.min("times").alias("least")).where(
         "n > 1 and least = 1").select("owner", "n"))
     opened = cut_lineage(_join_hot(distinct.select("owner", "path", "times", "at"), forks, ["owner"], "n", total).groupBy(

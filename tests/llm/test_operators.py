@@ -1,8 +1,10 @@
 """The training-data operators on a small table of odd rows, against brute force."""
 
 import hashlib
+import itertools
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -203,6 +205,27 @@ def test_substring_passages_forks_and_hot_owners(spark, monkeypatch, hot):
     assert got == dict(enumerate(removed_words(texts)))
 
 
+def test_lines_written_many_times_are_one_row(spark):
+    """A document's rows do not grow with the times that it repeats a line, and what is removed stays the same."""
+    rng = np.random.default_rng(6)
+    plain = lambda n: " ".join(map(str, rng.integers(0, 10**9, n)))
+    texts = [f"{plain(40)} {'Is onhe. ' * m}{plain(tail)}" for m, tail in [(300, 0), (280, 30), (41, 0), (18, 50), (17, 40), (1, 60)] * 3]
+    texts += ["x " * m for m in (34, 35, 36, 37, 200)] + ["Is onhe. " * 17 + "Is", "onhe. Is " * 60, f"{plain(9)} " * 30 + plain(50)]
+    line = plain(33)
+    texts += [f"{line} " * 9 + plain(45), plain(45) + f" {line}" * 2, line, "", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every = substring.paths(table.select(F.col("doc_id").alias("key"), "text")).collect()
+    assert not [r for r in every if r["path"] in (r["prv"], r["nxt"])]
+    assert max(Counter((r["key"], r["path"]) for r in every if r["key"] < 18).values()) == 1
+    for one, each in itertools.groupby(sorted(every, key=lambda r: (r["key"], r["a"])), key=lambda r: r["key"]):
+        each = list(each)
+        assert each[0]["a"] == 0 and each[-1]["last"] == len(words(texts[one])) - 35
+        assert all(r["last"] - r["a"] + 1 >= r["n"] >= 1 and (r["n"] > 1 or r["last"] == r["b"]) for r in each)
+        assert all(s["a"] == r["last"] + 1 for r, s in itertools.pairwise(each))
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substring.deduplicate(table).collect()}
+    assert got == dict(enumerate(removed_words(texts)))
+
+
 def test_passages_compact_to_one_row(spark):
     rng = np.random.default_rng(4)
     plain = lambda n: " ".join(map(str, rng.integers(0, 10**9, n)))
