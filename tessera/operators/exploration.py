@@ -24,6 +24,8 @@ from tessera.operators.encoding import fit_encoder, infer_feature_schema
 from tessera.operators.sampling import priority_sample
 
 TRANSDUCTIVE = {"dbscan", "tsne", "agglomerative"}
+#: rows of a part that iterations hold and read again as a whole
+HELD_ROWS = 250_000
 
 
 def as_vectors(df: DataFrame, columns: Sequence[str] | str, output: str = "features") -> DataFrame:
@@ -38,9 +40,9 @@ def as_vectors(df: DataFrame, columns: Sequence[str] | str, output: str = "featu
 def kmeans(df: DataFrame, k: int = 8, n_init: int = 10, seed: int = 42, max_iter: int = 20):
     """Best of ``n_init`` seeded k-means|| fits (lowest training cost); returns
     (model, assignments with ``cluster``)."""
-    best = None
+    best, held = None, _in_parts(df)
     for i in range(n_init):
-        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, predictionCol="cluster").fit(df)
+        m = KMeans(k=k, seed=seed + i, maxIter=max_iter, predictionCol="cluster").fit(held)
         cost = m.summary.trainingCost
         if best is None or cost < best[0]:
             best = (cost, m)
@@ -48,6 +50,16 @@ def kmeans(df: DataFrame, k: int = 8, n_init: int = 10, seed: int = 42, max_iter
     return model, model.transform(df)
 
 
+def _in_parts(df: DataFrame, features: str = "features") -> DataFrame:
+    """The vectors of ``df`` for a fit that keeps its parts in memory: a table of many rows, whose files Spark may read as few
+    large parts, is dealt into parts of ``HELD_ROWS`` rows on average, as many as there are cores at least."""
+    rows = df.count()
+    if rows <= HELD_ROWS:
+        return df
+    parts = max(-(-rows // HELD_ROWS), df.sparkSession.sparkContext.defaultParallelism)
+    return df.select(features).repartition(parts)
+
+
 def cluster_sizes(assigned: DataFrame, col: str = "cluster") -> DataFrame:
     return assigned.groupBy(col).agg(F.count(F.lit(1)).alias("size"))
 

@@ -96,6 +96,18 @@ def test_exploration_returns_every_row(spark):
     assert X.silhouette(X.as_vectors(one, ["x"]), ["id"]) == {"silhouette": None, "sampled": 70, "rows": 70}
 
 
+def test_kmeans_holds_many_rows_in_parts(spark, monkeypatch):
+    from tessera.operators import exploration as X
+    df = X.as_vectors(spark.range(0, 900, 1, 1).select("id", F.array((F.col("id") % 3 * 10).cast("double")).alias("v")), "v")
+    assert X._in_parts(df) is df
+    monkeypatch.setattr(X, "HELD_ROWS", 100)
+    held = X._in_parts(df)
+    sizes = [len(part) for part in held.rdd.glom().collect()]
+    assert len(sizes) == 9 and sum(sizes) == 900 and max(sizes) <= 150 and held.columns == ["features"]
+    out = X.kmeans(df, k=3, n_init=1)[1]
+    assert out.count() == 900 and out.groupBy("cluster").agg(F.count_distinct("features").alias("n")).where("n = 1").count() == 3
+
+
 def test_winner_by_direction():
     rows = [{"candidate": "b", "rmse": 2.0}, {"candidate": "a", "rmse": 2.0}, {"candidate": "c", "rmse": None}]
     assert M.choose_winner(rows, "rmse", "min")["candidate"] == "a"
