@@ -333,8 +333,11 @@ def _fit_stacking(config, train, task_type, n_classes, features, label):
     training rows."""
     cv = int(parameters(config)["cv"])
     from pyspark.ml.functions import vector_to_array as v2a
+
+    from tessera.session import cut_lineage
     fold = F.pmod(F.xxhash64(v2a(features), F.col(label)), F.lit(cv))
-    data = train.withColumn("_fold", fold)
+    # every fit passes over its rows several times: what they are derived from is computed once
+    data = cut_lineage(train.select(features, label, fold.alias("_fold")))
     oof = None
     for k in range(cv):
         members = [fit_model(c, data.where(F.col("_fold") != k), task_type, n_classes, features, label)
@@ -342,8 +345,8 @@ def _fit_stacking(config, train, task_type, n_classes, features, label):
         part = _stack_features(members, data.where(F.col("_fold") == k), features, task_type)
         oof = part if oof is None else oof.unionByName(part)
     meta_cfg = ModelConfig("sklearn", "logistic_regression" if task_type == "classification" else "linear_regression")
-    meta = fit_model(meta_cfg, oof, task_type, n_classes, "_meta", label)
-    members = [fit_model(c, train, task_type, n_classes, features, label) for c in _base_configs(task_type, config.seed)]
+    meta = fit_model(meta_cfg, cut_lineage(oof.select("_meta", label)), task_type, n_classes, "_meta", label)
+    members = [fit_model(c, data, task_type, n_classes, features, label) for c in _base_configs(task_type, config.seed)]
     return TrainedModel(config, task_type, n_classes, extra={"members": members, "meta": meta})
 
 
