@@ -24,13 +24,14 @@ def interactions(df: DataFrame, user: str, item: str, weight: str | None = None)
     or item, and weights that are not positive finite numbers, are an error that gives their counts."""
     no_id = F.col(user).isNull() | F.col(item).isNull()
     odd = ~F.coalesce(is_finite(weight) & (F.col(weight) > 0), F.lit(False)) if weight else F.lit(False)
-    bad = df.agg(F.count_if(no_id).alias("ids"), F.count_if(odd).alias("weights")).first()
-    if bad["ids"] or bad["weights"]:
+    w = F.sum(F.when(~odd, F.col(weight).cast("double"))) if weight else F.lit(1.0)
+    merged = df.groupBy(F.col(user).alias("user"), F.col(item).alias("item")).agg(
+        F.count_if(no_id | odd).alias("_bad"), *([w.alias("weight")] if weight else []))
+    merged = cut_lineage(merged)  # the rows are read once: they are merged and checked in one pass
+    if not merged.where(F.col("_bad") > 0).isEmpty():
+        bad = df.agg(F.count_if(no_id).alias("ids"), F.count_if(odd).alias("weights")).first()
         raise ValueError(f"{bad['ids']} rows lack {user} or {item}, {bad['weights']} have no positive finite {weight}")
-    w = F.sum(F.col(weight).cast("double")) if weight else F.lit(1.0)
-    out = df.groupBy(
-        F.col(user).alias("user"), F.col(item).alias("item"))
-    return out.agg(w.alias("weight")) if weight else out.agg(F.count(F.lit(1))).select("user", "item", w.alias("weight"))
+    return merged.select("user", "item", "weight" if weight else w.alias("weight"))
 
 
 def popularity(train: DataFrame) -> DataFrame:
@@ -52,28 +53,43 @@ def cold_start(train: DataFrame, val: DataFrame) -> DataFrame:
 
 
 def recall_from_ranks(train: DataFrame, val: DataFrame, item_rank: DataFrame, k: int = 10,
-                      per_user_rank: bool = False) -> DataFrame:
+                      per_user_rank: bool = False, unseen: bool = False) -> DataFrame:
     """Mean recall@k given item ranks (``grank`` per item, or per (user, item) when
-    ``per_user_rank``).  Returns recall_at_k and evaluated users."""
+    ``per_user_rank``; ``unseen``: those ranks are of unseen items only).  Returns recall_at_k and evaluated users."""
     n_items = train.select("item").distinct().count()
     kk = min(k, n_items)
     users = train.select("user").distinct()
     items = train.select("item").distinct()
-    relevant = val.join(users, "user", "left_semi").join(items, "item", "left_semi").select("user", "item").distinct()
+    relevant = cut_lineage(
+        val.join(users, "user", "left_semi").join(items, "item", "left_semi").select("user", "item").distinct())
     seen = train.select("user", "item").distinct()
     keys = ["user", "item"] if per_user_rank else ["item"]
     seen_n = seen.groupBy("user").agg(F.count(F.lit(1)).alias("_seen_n"))
     rel_n = relevant.groupBy("user").agg(F.count(F.lit(1)).alias("_rel_n"))
-    evaluated = rel_n.join(seen_n, "user", "left").fillna(0, ["_seen_n"]) \
-        .withColumn("_count", F.least(F.lit(kk), F.lit(n_items) - F.col("_seen_n"))).where(F.col("_count") > 0)
+    evaluated = cut_lineage(
+        rel_n.join(seen_n, "user", "left").fillna(0, ["_seen_n"])
+        .withColumn("_count", F.least(F.lit(kk), F.lit(n_items) - F.col("_seen_n"))).where(F.col("_count") > 0))
     # a held-out item the user already saw is relevant but excluded from the ranking: always a
-    # miss (it stays in the denominator); only unseen relevant items can be hits
-    rows = relevant.join(seen, ["user", "item"], "left_anti").withColumn("_seen", F.lit(0)).unionByName(
-        seen.join(evaluated.select("user"), "user", "left_semi").withColumn("_seen", F.lit(1)))
-    # items without a rank (outside a scored list) cannot precede ranked ones: they are misses
-    rows = rows.join(item_rank.select(*keys, "grank"), keys)
-    ranked = cumulative(rows, ["user"], ["grank"], weight="_seen", before="_seen_before", total="_seen_listed")
-    hits = ranked.where(F.col("_seen") == 0).join(evaluated, "user") \
+    # miss (it stays in the denominator); only unseen relevant items can be hits.
+    # Items without a rank (outside a scored list) cannot precede ranked ones: they are misses
+    if unseen:
+        ranked = relevant.join(item_rank.select(*keys, "grank"), keys).withColumn("_seen_before", F.lit(0))
+    else:
+        # no more than ``_seen_n`` items of a rank are seen: one at or beyond ``_count + _seen_n`` is no hit and precedes none
+        reach = evaluated.select("user", (F.col("_count") + F.col("_seen_n")).alias("_reach"))
+        most = reach.agg(F.max("_reach")).first()[0] or 0
+        ahead = item_rank.where(F.col("grank") < F.lit(most)).select(*keys, "grank")
+
+        def near(pairs):
+            return pairs.join(ahead, keys).join(reach, "user").where(F.col("grank") < F.col("_reach")) \
+                .select("user", "item", "grank")
+
+        passed = cut_lineage(near(train.select("user", "item")).distinct())
+        rows = near(relevant).join(passed, ["user", "item"], "left_anti").withColumn("_seen", F.lit(0)).unionByName(
+            passed.withColumn("_seen", F.lit(1)))
+        ranked = cumulative(rows, ["user"], ["grank"], weight="_seen", before="_seen_before", total="_seen_listed") \
+            .where(F.col("_seen") == 0)
+    hits = ranked.join(evaluated, "user") \
         .where(F.col("grank") - F.col("_seen_before") < F.col("_count")) \
         .groupBy("user").agg(F.count(F.lit(1)).alias("_hits"))
     per_user = evaluated.join(hits, "user", "left").select(
@@ -223,7 +239,8 @@ def als_recall(train: DataFrame, val: DataFrame, model, ui: DataFrame, ii: DataF
     unseen items."""
     users = val.join(train.select("user").distinct(), "user", "left_semi").select("user")
     top, _ = ranked_unseen(model, ui, ii, train, users, k)
-    return recall_from_ranks(train, val, top.select("user", "item", (F.col("rank") - 1).alias("grank")), k, per_user_rank=True)
+    return recall_from_ranks(train, val, top.select("user", "item", (F.col("rank") - 1).alias("grank")), k, per_user_rank=True,
+                             unseen=True)
 
 
 def recommend(model, ui: DataFrame, ii: DataFrame, train: DataFrame, users: DataFrame, k: int = 10) -> DataFrame:

@@ -28,8 +28,8 @@ def split_interactions(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     li = table(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     joined = li.join(o, li.l_orderkey == o.o_orderkey)
-    # the derived pair table feeds three passes of the split: materialise it once
-    inter = cut_lineage(N.interactions(joined, "o_custkey", "l_partkey", "l_quantity"))
+    # the derived pair table feeds three passes of the split: ``interactions`` has written it
+    inter = N.interactions(joined, "o_custkey", "l_partkey", "l_quantity")
     s = split_assign(inter, SplitConfig("random", 0.8, 0.2, 0.0), ["user", "item"])
     # the split pairs feed ALS iterations, ranks and several counts: materialise them once
     s = cut_lineage(s)

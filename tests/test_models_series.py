@@ -295,3 +295,66 @@ def test_knn_parts_send_no_more_than_k_rows(spark, monkeypatch):
         assert got[f"q{i}"] == [(t, d) for d, t in want]
     rows, at, dist = neighbors._first(q, v, 3)
     assert np.bincount(rows).tolist() == [3] * len(q) and at[-3:].tolist() == [150, 151, 152] and dist[-1] == 0
+
+
+def test_interactions_read_their_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.range(60).selectExpr("id % 7 as u", "id % 5 as i", "id + 1.0D as w").mapInPandas(seen, "u long, i long, w double")
+    got = N.interactions(df, "u", "i", "w").collect()
+    assert len(got) == 35 and sum(r["weight"] for r in got) == 60 * 61 / 2
+    assert read.value == 60
+
+
+def test_popularity_recall_ranks_only_what_can_matter(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    train = sorted({(int(u), int(i)) for u, i in zip(rng.integers(0, 12, 400), rng.integers(0, 300, 400) * rng.integers(0, 2, 400), strict=True)}
+                   | {(99, i) for i in range(300)})  # 99 has seen everything
+    val = [(int(u), int(i)) for u, i in zip(rng.integers(0, 14, 200), rng.integers(0, 320, 200) * rng.integers(0, 2, 200), strict=True)]
+    val += [(0, i) for i in range(25)] + [(99, 1)]
+    ranked = []
+    plain = N.cumulative
+
+    def counted(df, keys, *rest, **kw):
+        if keys:
+            ranked.append(df.count())
+        return plain(df, keys, *rest, **kw)
+
+    monkeypatch.setattr(N, "cumulative", counted)
+    frame = [spark.createDataFrame([(u, i, 1.0) for u, i in rows], "user long, item long, weight double") for rows in (train, val)]
+    got = N.popularity_recall(*frame, k=10).first()
+    items = {i for _, i in train}
+    sells = {i: sum(j == i for _, j in train) for i in items}
+    order = sorted(items, key=lambda i: (-sells[i], i))
+    recalls = []
+    reach = 0
+    for u in {u for u, _ in train}:
+        own = {i for v, i in train if v == u}
+        relevant = {i for v, i in val if v == u and i in items}
+        first = [i for i in order if i not in own][:10]
+        if relevant and first:
+            recalls.append(len(relevant & set(first)) / len(relevant))
+            reach += 2 * (10 + len(own))
+    assert got["evaluated_users"] == len(recalls) and abs(got["recall_at_10"] - np.mean(recalls)) < 1e-12
+    assert 0 < ranked[0] <= reach and ranked[0] < len(train)
+
+
+def test_stacking_derives_its_rows_once(spark):
+    from pyspark.ml.functions import array_to_vector
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def label(x):
+        read.add(1)
+        return float(x > 30)
+
+    train = spark.range(60).select(array_to_vector(F.array(F.col("id").cast("double"), F.col("id") % 3.0)).alias("features"),
+                                   label.asNondeterministic()("id").alias("label"))
+    model = M.fit_model(M.ModelConfig("sklearn", "stacking", {"cv": 2}), train, "classification", n_classes=2)
+    assert read.value == 60
+    assert model.predict(train).where("prediction = label").count() >= 55
