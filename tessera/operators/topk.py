@@ -121,7 +121,7 @@ def top_items(users: DataFrame, items: DataFrame, k: int, seen: DataFrame | None
     met["users"] = open_.count()
     places = None
     if seen is not None:
-        places = cut_lineage(seen.select("user", "item").distinct().join(ranked.select("item", "pos"), "item").select("user", "pos"))
+        places = cut_lineage(seen.select("user", "item").join(ranked.select("item", "pos"), "item").select("user", "pos"))
     none = F.array().cast("array<long>")
     most = max(1, HELD // width)
     start, size = 0, first

@@ -332,3 +332,17 @@ def test_class_coverage_splits_all_orders(spark, tmp_path):
     found = q_coverage(spark, str(tmp_path))
     assert found.columns == ["o_orderstatus"] and found.collect() == []
     assert [r[0] for r in unseen_classes(orders.dropna(), orders.where("o_orderstatus <> 'B'"), "o_orderstatus").collect()] == ["B"]
+
+
+def test_random_split_passes_over_its_rows_three_times(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.range(500).mapInPandas(seen, "id long")
+    got = split_assign(df, SplitConfig("random", 0.8, 0.2, 0.0), "id").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in got} == {"train": 400, "validation": 100}
+    assert read.value == 1500  # buckets, cuts and the split itself
