@@ -416,6 +416,68 @@ def _border(eps: float, width: int):
     return look
 
 
+def _chained(near: np.ndarray) -> np.ndarray:
+    """The first point of each point's chain, from the matrix of neighbours of a few points."""
+    own = np.arange(len(near))
+    while True:
+        least = np.where(near, own[None, :], len(near)).min(axis=1)
+        least = least[least]
+        if (least == own).all():
+            return own
+        own = least
+
+
+def _linked(boxes: _Boxes, e2: float) -> np.ndarray:
+    """The first point of each point's chain of neighbours.  Boxes that are neighbours as a whole are linked first, each pair by one
+    step; only pairs that these links leave apart are measured, and linked once for each pair of units."""
+    tree = _Union(len(boxes.pid))
+    n, first = len(boxes.rows), boxes.start[:-1]
+    tight = np.zeros(n, bool)  # one unit inside
+
+    def tighten(i):
+        if not tight[i]:
+            for p in range(boxes.start[i] + 1, boxes.start[i + 1]):
+                tree.join(int(first[i]), p)
+            tight[i] = True
+
+    def ends(i):  # the units of a box's points, as linked so far
+        if tight[i]:
+            return np.full(boxes.size[i], tree.find(int(first[i])))
+        return np.array([tree.find(p) for p in range(boxes.start[i], boxes.start[i + 1])])
+
+    def pairs(i):  # one row of box pairs at a time
+        later, own = slice(i + 1, n), slice(i, i + 1)
+        near = _nearest2(boxes.lo[own], boxes.hi[own], boxes.lo[later], boxes.hi[later])[0] <= e2
+        return near, _farthest2(boxes.lo[own], boxes.hi[own], boxes.lo[later], boxes.hi[later])[0] <= e2
+
+    for i in range(n):
+        part = boxes.part(i)
+        if _diagonal2(boxes.x[part]) <= e2:
+            tighten(i)
+        else:
+            for p, q in enumerate(_chained(_points2(boxes.x[part], boxes.x[part]) <= e2)):
+                if p != q:
+                    tree.join(int(first[i] + p), int(first[i] + q))
+    for i in range(n):
+        near, whole = pairs(i)
+        for j in np.flatnonzero(near & whole) + i + 1:  # every point of both is a neighbour of every other's
+            tighten(i)
+            tighten(j)
+            tree.join(int(first[i]), int(first[j]))
+    for i in range(n):
+        near, whole = pairs(i)
+        for j in np.flatnonzero(near & ~whole) + i + 1:
+            if tight[i] and tight[j] and tree.find(int(first[i])) == tree.find(int(first[j])):
+                continue
+            a, b = ends(i), ends(j)
+            if (a == a[0]).all() and (b == a[0]).all():
+                continue
+            p, q = np.nonzero(_points2(boxes.x[boxes.part(i)], boxes.x[boxes.part(j)]) <= e2)
+            for u, v in set(zip(a[p].tolist(), b[q].tolist(), strict=True)):
+                tree.join(u, v)
+    return tree.roots()
+
+
 def _units(core: DataFrame, width: int, eps: float, parts: int) -> DataFrame:
     """zone, leaf, pid, x and unit (smallest point linked inside the zone) of the core points."""
     schema = "zone int, leaf int, pid array<long>, x array<double>, unit array<long>"
@@ -423,40 +485,12 @@ def _units(core: DataFrame, width: int, eps: float, parts: int) -> DataFrame:
 
     def solve(rows: list[dict]):
         boxes = _Boxes(rows, width)
-        n = len(boxes.rows)
-        if not n:
+        if not boxes.rows:
             return
         if width >= WIDE:
             yield from named(boxes, _joined(boxes.x, e2))
             return
-        tree = _Union(len(boxes.pid))
-        first = boxes.start[:-1]
-        tight = np.zeros(n, bool)  # one unit inside
-        for i in range(n):
-            part = boxes.part(i)
-            tight[i] = _diagonal2(boxes.x[part]) <= e2
-            a, b = (np.zeros(boxes.size[i], int), np.arange(boxes.size[i])) if tight[i] else np.nonzero(
-                np.triu(_points2(boxes.x[part], boxes.x[part]) <= e2, 1))
-            for p, q in zip(a, b, strict=True):
-                tree.join(int(first[i] + p), int(first[i] + q))
-        for i in range(n):  # one row of box pairs at a time
-            later = slice(i + 1, n)
-            own = slice(i, i + 1)
-            near = _nearest2(boxes.lo[own], boxes.hi[own], boxes.lo[later], boxes.hi[later])[0] <= e2
-            far = _farthest2(boxes.lo[own], boxes.hi[own], boxes.lo[later], boxes.hi[later])[0]
-            for j in np.flatnonzero(near & (far <= e2)) + i + 1:  # every point of both is a neighbour of every other's
-                for p in range(boxes.start[i], boxes.start[i + 1]):
-                    tree.join(int(first[j]), p)
-                for p in range(boxes.start[j], boxes.start[j + 1]):
-                    tree.join(int(first[i]), p)
-                tight[i] = tight[j] = True
-            for j in np.flatnonzero(near & (far > e2)) + i + 1:
-                if tight[i] and tight[j] and tree.find(int(first[i])) == tree.find(int(first[j])):
-                    continue
-                a, b = np.nonzero(_points2(boxes.x[boxes.part(i)], boxes.x[boxes.part(j)]) <= e2)
-                for p, q in zip(a, b, strict=True):
-                    tree.join(int(first[i] + p), int(first[j] + q))
-        yield from named(boxes, tree.roots())
+        yield from named(boxes, _linked(boxes, e2))
 
     def named(boxes: _Boxes, root: np.ndarray):
         least = np.full(len(root), np.iinfo(np.int64).max)

@@ -143,3 +143,25 @@ def test_stored_assignments(spark):
     for bad in (assigned.union(assigned), assigned.limit(4), assigned.withColumn("k", F.lit(None).cast("long"))):
         with pytest.raises(ValueError):
             store_assignments(bad, "k", source, path + "_bad")
+
+
+def test_dense_boxes_are_linked_by_one_step(monkeypatch):
+    rng = np.random.default_rng(5)
+    for x, eps in ((rng.random((1_500, 2)) * 0.7, 1.0), (rng.random((700, 2)), 0.03), (rng.random((700, 2)), 0.2)):
+        rows = [{"pid": own, "x": x[own].ravel()} for own in density._leaves(x, 50)]
+        boxes = density._Boxes(rows, 2)
+        steps = []
+        plain = density._Union.join
+        monkeypatch.setattr(density._Union, "join", lambda self, i, j, plain=plain: (steps.append(1), plain(self, i, j)))
+        root = density._linked(boxes, eps * eps)
+        monkeypatch.setattr(density._Union, "join", plain)
+        want = np.arange(len(x))
+        near = density._points2(boxes.x, boxes.x) <= eps * eps
+        while True:
+            least = np.where(near, want[None, :], len(x)).min(axis=1)
+            if (least == want).all():
+                break
+            want = least
+        assert (root == want).all()
+        if eps == 1.0:
+            assert len(steps) <= len(x) + len(rows) ** 2
