@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import is_finite
 from tessera.functions.ranking import cumulative
 from tessera.operators.topk import top_items
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, release
 
 
 def interactions(df: DataFrame, user: str, item: str, weight: str | None = None) -> DataFrame:
@@ -123,28 +123,114 @@ def fit_als(train: DataFrame, factors: int = 8, iterations: int = 10, regulariza
     return als.fit(data), ui, ii
 
 
-def _weighted_products(a: DataFrame, block: DataFrame, on: str, by: str, cols: list[str]) -> DataFrame:
-    """Sparse matrix times a k-wide block: ``a`` (user, item, weight) joined with the block on
-    ``on`` and summed per ``by``.  A hot key is one block row against many pair rows, which AQE's
-    skew join splits; the sums combine map-side."""
-    return a.join(block, on).groupBy(by).agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in cols])
+#: most ids and, on average, pairs of a block, which a task holds; most ids of a slice and pairs of a tile, which a row holds
+BLOCK_IDS, BLOCK_PAIRS, SLICE_IDS, TILE_PAIRS = 1 << 19, 1 << 23, 1 << 13, 1 << 16
+#: passes after which the item factors are written
+WRITE_EVERY = 5
 
 
-def _gram(block: DataFrame, cols: list[str]):
-    """``block^T block`` (r x r): each task adds X^T X over its Arrow batches (numpy), Spark sums
-    the per-task matrices element-wise, and only the r*r sums reach the driver."""
+def _layout(n: int, pairs: int, cores: int) -> tuple[int, int, int]:
+    """(blocks, slices of a block, ids of a slice) for ``n`` dense ids: enough blocks for every core."""
+    blocks = max(-(-n // BLOCK_IDS), -(-pairs // BLOCK_PAIRS), min(cores, -(-n // 256)))
+    blocks = -(-blocks // cores) * cores if blocks > cores else blocks
+    width = -(-n // blocks)
+    slices = -(-width // SLICE_IDS)
+    return blocks, slices, -(-width // slices)
+
+
+def _tiles(pairs: DataFrame, by: str, on: str, by_layout: tuple[int, int, int], on_layout: tuple[int, int, int]) -> DataFrame:
+    """``pairs`` (uid, iid, weight) as rows of ``TILE_PAIRS`` at most, each of one block of ``by`` and one slice of ``on``;
+    a block is a partition, so that its products with a factor table need no exchange."""
+    import numpy as np
+    import pandas as pd
+    blocks, slices, ids = by_layout
+    block = F.col(by) / F.lit(slices * ids)
+    laid = pairs.select(F.floor(block).cast("int").alias("block"), F.floor(F.col(on) / F.lit(on_layout[2])).cast("int").alias("slice"),
+                        F.pmod(F.col(by), F.lit(slices * ids)).alias("row"), F.pmod(F.col(on), F.lit(on_layout[2])).alias("col"),
+                        F.col("weight"))
+    laid = laid.repartitionById(blocks, F.col("block")).sortWithinPartitions("block", "slice", "row")
+
+    def pack(batches):
+        held, size = [], 0
+
+        def rows(df):
+            ends = np.flatnonzero(np.diff(df["slice"].to_numpy()) | np.diff(df["block"].to_numpy())) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(df)]):
+                for at in range(lo, hi, TILE_PAIRS):
+                    part = df.iloc[at:min(at + TILE_PAIRS, hi)]
+                    yield (part["block"].iat[0], part["slice"].iat[0], part["row"].to_numpy("<i4").tobytes(),
+                           part["col"].to_numpy("<i4").tobytes(), part["weight"].to_numpy("<f8").tobytes())
+
+        def out(found):
+            return pd.DataFrame(found, columns=["block", "slice", "rows", "cols", "weights"])
+
+        for b in batches:
+            held.append(b)
+            size += len(b)
+            if size >= 4 * TILE_PAIRS:  # the last tile may go on in the next batch
+                *found, _ = rows(df := pd.concat(held, ignore_index=True))
+                if found:
+                    yield out(found)
+                rest = sum(len(f[2]) // 4 for f in found)
+                held, size = [df.iloc[rest:]], len(df) - rest
+        if size:
+            yield out(list(rows(pd.concat(held, ignore_index=True))))
+
+    return laid.mapInPandas(pack, "block int, slice int, rows binary, cols binary, weights binary")
+
+
+def _times(tiles: DataFrame, factors: DataFrame, m, layout: tuple[int, int, int]) -> DataFrame:
+    """Sparse matrix times ``factors @ m``: (slice, data) rows of the blocks of ``layout``.
+
+    Every task holds the tiles of one block and its sums, and reads all slices of the factor table, one after another:
+    nothing is exchanged, and no sum leaves its task before it is whole."""
+    import numpy as np
+    import pandas as pd
+    _, slices, ids = layout
+    r, k = m.shape
+
+    def run(batches):
+        block, total, last, x = None, None, None, None
+
+        def out():
+            return pd.DataFrame({"slice": np.arange(block * slices, (block + 1) * slices, dtype=np.int32),
+                                 "data": [total[i * ids:(i + 1) * ids].tobytes() for i in range(slices)]})
+
+        for b in batches:
+            for own, at, data, rows, cols, weights in b.itertuples(index=False):
+                if own != block:  # a partition holds one block
+                    if block is not None:
+                        raise ValueError(f"blocks {block} and {own} in one partition")
+                    block, total = own, np.zeros((slices * ids, k))
+                if at != last:
+                    last, x = at, np.frombuffer(data, "<f8").reshape(-1, r) @ m
+                rows = np.frombuffer(rows, "<i4")  # rising
+                starts = np.flatnonzero(np.diff(rows, prepend=-1))
+                terms = x[np.frombuffer(cols, "<i4")] * np.frombuffer(weights, "<f8")[:, None]
+                total[rows[starts]] += np.add.reduceat(terms, starts, axis=0)
+        if block is not None:
+            yield out()
+
+    # a nested loop over partitions: one stream of all factors against the tiles of each block, which stay where they are
+    met = factors.coalesce(1).join(tiles.hint("shuffle_replicate_nl"), "slice")
+    return met.select("block", "slice", "data", "rows", "cols", "weights").mapInPandas(run, "slice int, data binary")
+
+
+def _gram(factors: DataFrame, r: int):
+    """``X^T X`` (r x r) of a factor table: each task adds up its slices (numpy), Spark sums the per-task matrices
+    element-wise, and only the r*r sums reach the driver."""
     import numpy as np
     import pandas as pd
-    r = len(cols)
 
     def partial(batches):
         g = np.zeros((r, r))
         for b in batches:
-            x = b[cols].to_numpy(dtype=float)
-            g += x.T @ x
+            for data in b["data"]:
+                x = np.frombuffer(data, "<f8").reshape(-1, r)
+                g += x.T @ x
         yield pd.DataFrame({"g": [g.ravel()]})
 
-    parts = block.select(*cols).mapInPandas(partial, "g array<double>")
+    parts = factors.select("data").mapInPandas(partial, "g array<double>")
     sums = parts.select(F.posexplode("g").alias("pos", "v")).groupBy("pos").agg(F.sum("v").alias("v")).collect()
     g = np.zeros(r * r)
     for row in sums:  # r * r rows
@@ -152,65 +238,122 @@ def _gram(block: DataFrame, cols: list[str]):
     return g.reshape(r, r)
 
 
-def _combine(block: DataFrame, key: str, cols: list[str], m, prefix: str = "c") -> tuple[DataFrame, list[str]]:
-    """``block @ m`` as a narrow projection with the (small) matrix entries as literals."""
-    out = [f"{prefix}{j}" for j in range(m.shape[1])]
-    exprs = []
-    for j, name in enumerate(out):
-        e = None
-        for i, c in enumerate(cols):
-            t = F.col(c) * F.lit(float(m[i, j]))
-            e = t if e is None else e + t
-        exprs.append(e.alias(name))
-    return block.select(key, *exprs), out
-
-
-def _orthonormal(block: DataFrame, key: str, cols: list[str]) -> tuple[DataFrame, list[str]]:
-    """Orthonormal basis of the block's column space: Q = Y E diag(lambda)^-1/2 from the
+def _orthonormal(factors: DataFrame, r: int):
+    """The matrix that takes a factor table to an orthonormal basis of its column space: E diag(lambda)^-1/2 from the
     eigen-decomposition of the Gram matrix (directions with no weight are dropped)."""
     import numpy as np
-    block = cut_lineage(block)  # read twice: Gram matrix, then the projection
-    lam, e = np.linalg.eigh(_gram(block, cols))
+    lam, e = np.linalg.eigh(_gram(factors, r))
     keep = lam > max(lam.max(), 0.0) * 1e-12
     if not keep.any():
         raise ValueError("the interaction matrix has no weight")
-    return _combine(block, key, cols, e[:, keep] / np.sqrt(lam[keep]))
+    return e[:, keep] / np.sqrt(lam[keep])
+
+
+def _sliced(values: DataFrame, id: str, cols: list[str], layout: tuple[int, int, int]) -> DataFrame:
+    """Rows of ``cols`` by dense ``id`` as a factor table."""
+    import numpy as np
+    import pandas as pd
+    blocks, slices, ids = layout
+    rows = values.select(F.floor(F.col(id) / F.lit(slices * ids)).cast("int").alias("_block"), id, *cols) \
+        .repartitionById(blocks, F.col("_block")).sortWithinPartitions(id)
+
+    def pack(batches):
+        at, x = None, None
+        for b in batches:
+            slice_of = b[id].to_numpy() // ids
+            for s in np.unique(slice_of):
+                if s != at:
+                    if at is not None:
+                        yield pd.DataFrame({"slice": [at], "data": [x.tobytes()]})
+                    at, x = s, np.zeros((ids, len(cols)))
+                own = slice_of == s
+                x[b[id].to_numpy()[own] % ids] = b.loc[own, cols].to_numpy(float)
+        if at is not None:
+            yield pd.DataFrame({"slice": [at], "data": [x.tobytes()]})
+
+    return rows.mapInPandas(pack, "slice int, data binary")
+
+
+def _unsliced(factors: DataFrame, m, key: str, id: str, index: DataFrame, layout: tuple[int, int, int]) -> DataFrame:
+    """``factors @ m`` as rows (key, f0, f1, ...)."""
+    import numpy as np
+    import pandas as pd
+    ids = layout[2]
+    names = [f"f{j}" for j in range(m.shape[1])]
+
+    def unpack(batches):
+        for b in batches:
+            for at, data in zip(b["slice"], b["data"]):
+                x = np.frombuffer(data, "<f8").reshape(-1, m.shape[0]) @ m
+                out = pd.DataFrame(x, columns=names)
+                out.insert(0, id, np.arange(at * ids, at * ids + len(x), dtype=np.int64))
+                yield out
+
+    rows = factors.mapInPandas(unpack, f"{id} long, " + ", ".join(f"{c} double" for c in names))
+    return rows.join(index.select(key, id), id).select(key, *names)
 
 
 def truncated_svd(train: DataFrame, factors: int, iterations: int = 20, oversample: int | None = None,
-                  seed: int = 42):
+                  seed: int = 42, ui: DataFrame | None = None, ii: DataFrame | None = None):
     """The ``factors`` largest singular triplets of the user x item weight matrix by block
     subspace iteration (randomised range finder with power iterations, V <- orth(A^T A V)).
 
-    Every pass is two sparse products (join + grouped sum) and one orthonormalisation whose
-    only driver-side object is an r x r Gram matrix (r = factors + oversample, default
-    2 x factors); the user and item blocks stay distributed and the item block is written to
-    the checkpoint folder once per pass, so lineage stays one pass long.  Returns (user factors
-    = U * s, item factors = V, singular values), the factor tables holding ``f0 .. f{k-1}``."""
+    The pairs are laid out twice, by blocks of users and by blocks of items, and stay on the executors' disks.  Every
+    pass is two sparse products, in which a task reads the factors that its block meets, and one orthonormalisation whose
+    only driver-side object is an r x r Gram matrix (r = factors + oversample, default 2 x factors).  A pass exchanges
+    nothing: its factors are kept by the executors, and written to the checkpoint folder after every ``WRITE_EVERY`` passes,
+    so lineage stays that long.  ``ui`` and ``ii`` are the ``index_ids`` of the users and items, if the caller has them; pairs without a user or
+    item count for nothing.  Returns (user factors = U * s, item factors = V, singular values), the factor tables holding
+    ``f0 .. f{k-1}``."""
     import numpy as np
+    from pyspark import StorageLevel
     from tessera.functions.columns import hash_unit, priority
-    a = train.select("user", "item", F.col("weight").cast("double"))
-    counts = a.agg(F.count_distinct("user").alias("u"), F.count_distinct("item").alias("i")).first()
-    if not 1 <= factors < min(counts["u"], counts["i"]):
-        raise ValueError(f"{factors} factors do not fit {counts['u']} users x {counts['i']} items: 1 or more, fewer than either")
-    r = min(factors + (factors if oversample is None else oversample), counts["u"], counts["i"])
+    a = train.select("user", "item", F.coalesce(F.col("weight").cast("double"), F.lit(0.0)).alias("weight")) \
+        .where(F.col("user").isNotNull() & F.col("item").isNotNull())
+    spark = a.sparkSession
+    ui = index_ids(a, "user", "uid") if ui is None else ui
+    ii = index_ids(a, "item", "iid") if ii is None else ii
+    n_users, n_items = ui.count(), ii.count()
+    if not 1 <= factors < min(n_users, n_items):
+        raise ValueError(f"{factors} factors do not fit {n_users} users x {n_items} items: 1 or more, fewer than either")
+    r = min(factors + (factors if oversample is None else oversample), n_users, n_items)
     cols = [f"c{j}" for j in range(r)]
+    pairs = cut_lineage(a.join(ui, "user").join(ii, "item").select("uid", "iid", "weight"))
+    n, cores = pairs.count(), spark.sparkContext.defaultParallelism
+    by_user, by_item = _layout(n_users, n, cores), _layout(n_items, n, cores)
+    user_tiles = _tiles(pairs, "uid", "iid", by_user, by_item).persist(StorageLevel.DISK_ONLY)
+    item_tiles = _tiles(pairs, "iid", "uid", by_item, by_user).persist(StorageLevel.DISK_ONLY)
     # deterministic start block: a hash of (seed, item, column), centred on 0
-    v = a.select("item").distinct().select("item", *[
+    z = cut_lineage(_sliced(ii.select("iid", *[
         (hash_unit(priority(seed, F.concat_ws("#", F.col("item").cast("string"), F.lit(str(j))))) - 0.5).alias(c)
-        for j, c in enumerate(cols)])
-    for _ in range(max(1, iterations)):
-        y = _weighted_products(a, v, "item", "user", cols)  # A V
-        v, cols = _orthonormal(_weighted_products(a, y, "user", "item", cols), "item", cols)  # orth(A^T A V)
-    q, cols = _orthonormal(_weighted_products(a, v, "item", "user", cols), "user", cols)
-    z = cut_lineage(_weighted_products(a, q, "user", "item", cols))  # B^T = A^T Q
-    lam, w = np.linalg.eigh(_gram(z, cols))  # B B^T = W S^2 W^T
+        for j, c in enumerate(cols)]), "iid", cols, by_item))
+    m, written, passes = np.eye(r), z, max(1, iterations)
+    for step in range(1, passes + 1):
+        y = _times(user_tiles, z, m, by_user).persist(StorageLevel.MEMORY_AND_DISK)  # A V
+        before, z = z, _times(item_tiles, y, np.eye(m.shape[1]), by_item)  # A^T A V
+        keep = step % WRITE_EVERY > 0 and step < passes
+        z = z.persist(StorageLevel.MEMORY_AND_DISK) if keep else cut_lineage(z)
+        m = _orthonormal(z, m.shape[1])  # V = Z M; a kept Z is computed here
+        y.unpersist()
+        if before is not written:
+            before.unpersist()
+        if not keep:  # what was written before is no longer needed to compute anything lost
+            release(written)
+            written = z
+    q = cut_lineage(_times(user_tiles, z, m, by_user))
+    release(z)
+    mq = _orthonormal(q, m.shape[1])  # Q = A V M'
+    b = cut_lineage(_times(item_tiles, q, mq, by_item))  # B^T = A^T Q
+    user_tiles.unpersist()
+    item_tiles.unpersist()
+    release(pairs)
+    lam, w = np.linalg.eigh(_gram(b, mq.shape[1]))  # B B^T = W S^2 W^T
     order = np.argsort(-lam)[:factors]
     sig = np.sqrt(np.clip(lam[order], 0.0, None))
     w = w[:, order]
-    users, _ = _combine(q, "user", cols, w * sig, prefix="f")  # U S = Q W S
     inv = np.where(sig > 0, 1.0 / np.where(sig > 0, sig, 1.0), 0.0)
-    items_f, _ = _combine(z, "item", cols, w * inv, prefix="f")  # V = B^T W S^-1
+    users = _unsliced(q, mq @ (w * sig), "user", "uid", ui, by_user)  # U S = Q W S
+    items_f = _unsliced(b, w * inv, "item", "iid", ii, by_item)  # V = B^T W S^-1
     return users, items_f, [float(x) for x in sig]
 
 

@@ -101,9 +101,9 @@ def q_als_recall(spark, d):
 def q_svd_recall(spark, d):
     """N02 + N03: truncated-SVD factors of the training pairs, recall@10 on held-out pairs."""
     train, val = split_interactions(spark, d)
-    users, items, _ = N.truncated_svd(train, factors=8)
     ui = N.index_ids(train, "user", "uid")
     ii = N.index_ids(train, "item", "iid")
+    users, items, _ = N.truncated_svd(train, factors=8, ui=ui, ii=ii)
     return N.als_recall(train, val, N.factor_model(users, items, ui, ii), ui, ii)
 
 
